@@ -10,7 +10,8 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from pressroom.operators import visibility
+from pressroom.functions.text import NA_TOKENS
+from pressroom.operators import boxstats, clean, profile, timeprofile, visibility
 from pressroom.plans.registry import register
 from pressroom.plans.standins import DOC_COMMENTS_SQL, doc_comments
 from pressroom.sources.tables import Tables
@@ -42,3 +43,198 @@ ORDER BY n_comments DESC, visible DESC
 """)
 def visibility_overall(spark: SparkSession, sf_dir: str):
     return visibility.visibility_ratio(doc_comments(Tables(spark, sf_dir)))
+
+
+# ---------------------------------------------------------------- J9 period filters
+def _orders_with_file_name(t: Tables):
+    """Orders as 'article files': name ``<yyyy-MM-dd>_<priority>_<key>.csv``."""
+    return t.orders.select(
+        "o_orderkey", "o_orderdate",
+        F.concat_ws("_", F.date_format("o_orderdate", "yyyy-MM-dd"), "o_orderpriority",
+                    F.col("o_orderkey").cast("string")).alias("stem"),
+    ).select("o_orderkey", "o_orderdate", F.concat("stem", F.lit(".csv")).alias("file_name"))
+
+
+_ORDERS_FILE_SQL = """
+f AS (SELECT o_orderkey, o_orderdate,
+             strftime(o_orderdate, '%Y-%m-%d') || '_' || o_orderpriority || '_' ||
+             CAST(o_orderkey AS VARCHAR) || '.csv' AS file_name
+      FROM orders),
+p AS (SELECT *, TRY_CAST(split_part(split_part(file_name, '_', 1), '-', 1) AS INTEGER) AS y,
+                TRY_CAST(split_part(split_part(file_name, '_', 1), '-', 2) AS INTEGER) AS m
+      FROM f)"""
+
+
+@register("orders_in_period", jobs=("J9",), ids=("B1", "B2", "A5"), sql=f"""
+WITH {_ORDERS_FILE_SQL}
+SELECT o_orderkey, o_orderdate, file_name FROM p
+WHERE y IS NOT NULL AND m IS NOT NULL AND y * 100 + m BETWEEN 199601 AND 199706
+  AND o_orderdate <= TIMESTAMP '1997-06-15 00:00:00'
+""")
+def orders_in_period(spark: SparkSession, sf_dir: str):
+    files = _orders_with_file_name(Tables(spark, sf_dir))
+    kept = clean.filter_name_months(files, "file_name", "1996-01", "1997-06", mode="range")
+    return clean.filter_period(kept, "o_orderdate", cutoff="1997-06-15")
+
+
+@register("orders_months_as_written", jobs=("J9",), ids=("B1",), sql=f"""
+WITH {_ORDERS_FILE_SQL}
+SELECT strftime(o_orderdate, '%Y-%m') AS year_month, count(*) AS n_files FROM p
+WHERE y IS NOT NULL AND m IS NOT NULL AND NOT ((y = 1996 AND m < 12) OR (y = 1998 AND m > 4))
+GROUP BY 1
+""")
+def orders_months_as_written(spark: SparkSession, sf_dir: str):
+    files = _orders_with_file_name(Tables(spark, sf_dir))
+    kept = clean.filter_name_months(files, "file_name", "1996-12", "1998-04", mode="as_written")
+    return (kept.groupBy(F.date_format("o_orderdate", "yyyy-MM").alias("year_month"))
+                .agg(F.count(F.lit(1)).alias("n_files")))
+
+
+# ---------------------------------------------------------------- J10 clean comments
+_NA_SQL = ", ".join("'" + s.replace("'", "''") + "'" for s in NA_TOKENS)
+
+
+@register("clean_comments", jobs=("J10",), ids=("B3", "B4", "B5", "B6"), sql=f"""
+WITH {DOC_COMMENTS_SQL},
+n AS (SELECT doc_id, press_name, quality,
+             CASE WHEN comments IN ({_NA_SQL}) THEN NULL ELSE comments END AS comments
+      FROM doc_comments)
+SELECT doc_id, press_name, length(comments) AS n_chars, coalesce(quality, -1) AS quality
+FROM n WHERE comments IS NOT NULL AND regexp_matches(comments, '\\S')
+""")
+def clean_comments_q(spark: SparkSession, sf_dir: str):
+    c = clean.clean_comments(doc_comments(Tables(spark, sf_dir)), text="comments",
+                             drop_null=["comments"], drop_blank=True, na_tokens=NA_TOKENS,
+                             fill={"quality": -1})
+    return c.select("doc_id", "press_name", F.length("comments").alias("n_chars"), "quality")
+
+
+# ---------------------------------------------------------------- J11 profile / audit / head
+@register("null_audit_hidden", jobs=("J11",), ids=("B8",), sql=f"""
+WITH {DOC_COMMENTS_SQL}, h AS (SELECT * FROM doc_comments WHERE visible = false)
+SELECT 'comments' AS column_name, count_if(comments IS NULL) AS n_null FROM h
+UNION ALL SELECT 'quality', count_if(quality IS NULL) FROM h
+UNION ALL SELECT 'lang', count_if(lang IS NULL) FROM h
+""")
+def null_audit_hidden(spark: SparkSession, sf_dir: str):
+    c = doc_comments(Tables(spark, sf_dir))
+    return profile.null_audit(c, F.col("visible") == F.lit(False), ["comments", "quality", "lang"])
+
+
+_PROFILE_COLS = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
+
+
+@register("profile_lineitem", jobs=("J11",), ids=("D5",), sql="\nUNION ALL\n".join(f"""
+SELECT '{c}' AS column_name, count({c}) AS count, round(avg({c}), 6) AS mean,
+       round(stddev_samp({c}), 6) AS std, min({c}) AS min,
+       round(quantile_cont({c}, 0.25), 6) AS p25, round(quantile_cont({c}, 0.5), 6) AS p50,
+       round(quantile_cont({c}, 0.75), 6) AS p75, max({c}) AS max
+FROM lineitem""" for c in _PROFILE_COLS))
+def profile_lineitem(spark: SparkSession, sf_dir: str):
+    return profile.profile(Tables(spark, sf_dir).lineitem, _PROFILE_COLS)
+
+
+_ORDERS_TYPES = (("o_orderkey", "bigint"), ("o_custkey", "bigint"), ("o_orderstatus", "string"),
+                 ("o_totalprice", "double"), ("o_orderdate", "timestamp_ntz"),
+                 ("o_orderpriority", "string"))
+
+
+@register("column_info_orders", jobs=("J11",), ids=("D5",), sql="\nUNION ALL\n".join(
+    f"SELECT {i} AS position, '{c}' AS column_name, '{t}' AS dtype, count({c}) AS non_null FROM orders"
+    for i, (c, t) in enumerate(_ORDERS_TYPES)))
+def column_info_orders(spark: SparkSession, sf_dir: str):
+    return profile.column_info(Tables(spark, sf_dir).orders)
+
+
+@register("head_orders", jobs=("J11",), ids=("F4",), sql="""
+SELECT o_orderkey, o_custkey, o_totalprice FROM orders ORDER BY o_orderkey LIMIT 5
+""")
+def head_orders(spark: SparkSession, sf_dir: str):
+    o = Tables(spark, sf_dir).orders.select("o_orderkey", "o_custkey", "o_totalprice")
+    return profile.head(o, 5, ["o_orderkey"])
+
+
+@register("tail_orders", jobs=("J11",), ids=("F4",), sql="""
+SELECT o_orderkey, o_custkey, o_totalprice FROM orders ORDER BY o_orderkey DESC LIMIT 5
+""")
+def tail_orders(spark: SparkSession, sf_dir: str):
+    o = Tables(spark, sf_dir).orders.select("o_orderkey", "o_custkey", "o_totalprice")
+    return profile.tail(o, 5, ["o_orderkey"])
+
+
+# ---------------------------------------------------------------- J13 / J14 time profile
+@register("event_time_parts", jobs=("J13",), ids=("B10",), sql="""
+SELECT event_id, ts, CAST(year(ts) AS INTEGER) AS year, CAST(hour(ts) AS INTEGER) AS hour,
+       dayname(ts) AS weekday, strftime(ts, '%Y-%m') AS year_month
+FROM events
+""")
+def event_time_parts(spark: SparkSession, sf_dir: str):
+    e = Tables(spark, sf_dir).events.select("event_id", "ts")
+    return timeprofile.time_parts(e, "ts")
+
+
+@register("hour_histogram", jobs=("J14",), ids=("D3", "F2"), sql="""
+SELECT h.hour, coalesce(n_comments, 0) AS n_comments
+FROM (SELECT CAST(range AS INTEGER) AS hour FROM range(24)) h
+LEFT JOIN (SELECT CAST(hour(ts) AS INTEGER) AS hour, count(*) AS n_comments FROM events
+           WHERE ts IS NOT NULL GROUP BY 1) c ON h.hour = c.hour
+ORDER BY h.hour
+""")
+def hour_histogram(spark: SparkSession, sf_dir: str):
+    return timeprofile.time_histogram(Tables(spark, sf_dir).events, "ts", "hour", dense=True)
+
+
+@register("weekday_histogram", jobs=("J14",), ids=("D3",), sql="""
+SELECT dayname(ts) AS weekday, count(*) AS n_comments FROM events WHERE ts IS NOT NULL GROUP BY 1
+""")
+def weekday_histogram(spark: SparkSession, sf_dir: str):
+    return timeprofile.time_histogram(Tables(spark, sf_dir).events, "ts", "weekday")
+
+
+@register("month_histogram", jobs=("J14",), ids=("D3", "F2"), sql="""
+SELECT strftime(o_orderdate, '%Y-%m') AS year_month, count(*) AS n_comments
+FROM orders WHERE o_orderdate IS NOT NULL GROUP BY 1 ORDER BY 1
+""")
+def month_histogram(spark: SparkSession, sf_dir: str):
+    return timeprofile.time_histogram(Tables(spark, sf_dir).orders, "o_orderdate", "year_month")
+
+
+# ---------------------------------------------------------------- J15 / J16 box statistics
+def _box_sql(src: str, key: str, cols: tuple[str, ...], metrics: tuple[str, ...] | None = None) -> str:
+    metrics = metrics or cols
+    parts = []
+    for c, m in zip(cols, metrics):
+        parts.append(f"""
+SELECT s.g AS {key}, '{m}' AS metric, n, round(mean, 6) AS mean, round(q1, 6) AS q1,
+       round(med, 6) AS median, round(q3, 6) AS q3,
+       min(v) FILTER (WHERE v >= lo AND v <= hi) AS whisker_lo,
+       max(v) FILTER (WHERE v >= lo AND v <= hi) AS whisker_hi,
+       count(*) FILTER (WHERE v IS NOT NULL AND NOT (v >= lo AND v <= hi)) AS n_outliers
+FROM (SELECT g, n, mean, q1, med, q3, q1 - 1.5::DOUBLE * (q3 - q1) AS lo, q3 + 1.5::DOUBLE * (q3 - q1) AS hi
+      FROM (SELECT g, count(v) AS n, avg(v) AS mean, quantile_cont(v, 0.25) AS q1,
+                   quantile_cont(v, 0.5) AS med, quantile_cont(v, 0.75) AS q3
+            FROM (SELECT {key} AS g, CAST({c} AS DOUBLE) AS v FROM {src} WHERE {key} IS NOT NULL)
+            GROUP BY g)) s
+JOIN (SELECT {key} AS g, CAST({c} AS DOUBLE) AS v FROM {src} WHERE {key} IS NOT NULL) d ON s.g = d.g
+WHERE n > 0
+GROUP BY s.g, n, mean, q1, med, q3""")
+    return "\nUNION ALL\n".join(parts)
+
+
+@register("box_stats_events", jobs=("J15",), ids=("D4",), sql=_box_sql("events", "event_type", ("value",)))
+def box_stats_events(spark: SparkSession, sf_dir: str):
+    return boxstats.box_stats(Tables(spark, sf_dir).events, "event_type", ["value"])
+
+
+@register("box_stats_lineitem", jobs=("J15",), ids=("D4",),
+          sql=_box_sql("lineitem", "l_returnflag", ("l_quantity", "l_discount")))
+def box_stats_lineitem(spark: SparkSession, sf_dir: str):
+    return boxstats.box_stats(Tables(spark, sf_dir).lineitem, "l_returnflag", ["l_quantity", "l_discount"])
+
+
+@register("length_distribution", jobs=("J16",), ids=("B12", "D4"),
+          sql=_box_sql("(SELECT source, length(text) AS comment_length FROM documents)", "source",
+                       ("comment_length",)))
+def length_distribution(spark: SparkSession, sf_dir: str):
+    d = Tables(spark, sf_dir).documents
+    return boxstats.length_distribution(d, "source", text="text")
