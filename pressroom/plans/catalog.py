@@ -10,8 +10,9 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from pressroom.functions.text import NA_TOKENS
-from pressroom.operators import boxstats, clean, profile, timeprofile, visibility
+from pressroom.functions.text import NA_TOKENS, STOPWORDS
+from pressroom.operators import (boxstats, clean, groups, profile, scores, shares, timeprofile, tokens,
+                                visibility)
 from pressroom.plans.registry import register
 from pressroom.plans.standins import DOC_COMMENTS_SQL, doc_comments
 from pressroom.sources.tables import Tables
@@ -238,3 +239,274 @@ def box_stats_lineitem(spark: SparkSession, sf_dir: str):
 def length_distribution(spark: SparkSession, sf_dir: str):
     d = Tables(spark, sf_dir).documents
     return boxstats.length_distribution(d, "source", text="text")
+
+
+# ---------------------------------------------------------------- J19 press groups
+# Caller data for the driver tables: outlets are document sources; "src1" is listed twice
+# (the first listing wins for a single assignment, both count for membership).
+DOC_GROUPS = {"group 1": ["src0", "src1", "src2"], "group 2": ["src3", "src4", "src5", "src1"]}
+
+
+def _sql_in(values) -> str:
+    return ", ".join("'" + v.replace("'", "''") + "'" for v in values)
+
+
+_GROUP_CASE_SQL = ("CASE " + " ".join(f"WHEN press_name IN ({_sql_in(m)}) THEN '{g}'" for g, m in DOC_GROUPS.items())
+                   + " ELSE 'other' END")
+
+
+@register("group_of_press", jobs=("J19",), ids=("B13", "C3"), sql=f"""
+WITH {DOC_COMMENTS_SQL}
+SELECT press_name, {_GROUP_CASE_SQL} AS "group", count(*) AS n_comments
+FROM doc_comments GROUP BY 1, 2
+""")
+def group_of_press(spark: SparkSession, sf_dir: str):
+    c = groups.assign_group(doc_comments(Tables(spark, sf_dir)), DOC_GROUPS)
+    return c.groupBy("press_name", "group").agg(F.count(F.lit(1)).alias("n_comments"))
+
+
+@register("unlisted_outlets", jobs=("J19",), ids=("C4", "G2", "G3", "D12", "F6"), sql=f"""
+SELECT DISTINCT source AS press_name FROM documents
+WHERE source IS NOT NULL AND source NOT IN ({_sql_in(groups.group_members(DOC_GROUPS))})
+ORDER BY 1
+""")
+def unlisted_outlets(spark: SparkSession, sf_dir: str):
+    return groups.unlisted_outlets(doc_comments(Tables(spark, sf_dir)), DOC_GROUPS)
+
+
+# ---------------------------------------------------------------- J20 / J21 / J23 shares
+# Stand-in for the monthly emotion summary: per order month x customer segment, the
+# quantity shipped under each return flag (three "emotion" columns that partition a total).
+SHARE_COLS = ("qty_R", "qty_A", "qty_N")
+SEGMENT_GROUPS = {"group 1": ["BUILDING", "AUTOMOBILE"], "group 2": ["MACHINERY", "AUTOMOBILE"]}
+
+
+def _segment_summary(t: Tables):
+    li = t.lineitem.select("l_orderkey", "l_quantity", "l_returnflag")
+    o = t.orders.select("o_orderkey", "o_custkey", "o_orderdate")
+    c = t.customer.select("c_custkey", "c_mktsegment")
+    rows = (li.join(o, li.l_orderkey == o.o_orderkey)
+              .join(c, o.o_custkey == c.c_custkey))
+    return shares.build_summary(rows, "o_orderdate", "c_mktsegment", {
+        f"qty_{flag}": F.sum(F.when(F.col("l_returnflag") == flag, F.col("l_quantity")).otherwise(F.lit(0.0)))
+        for flag in ("R", "A", "N")})
+
+
+_SUMMARY_SQL = """
+summary AS (
+  SELECT strftime(o.o_orderdate, '%Y-%m') || '-' || c.c_mktsegment AS "Year-Month-Media",
+         sum(CASE WHEN l.l_returnflag = 'R' THEN l.l_quantity ELSE 0.0 END) AS qty_R,
+         sum(CASE WHEN l.l_returnflag = 'A' THEN l.l_quantity ELSE 0.0 END) AS qty_A,
+         sum(CASE WHEN l.l_returnflag = 'N' THEN l.l_quantity ELSE 0.0 END) AS qty_N
+  FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey
+                  JOIN customer c ON o.o_custkey = c.c_custkey
+  WHERE o.o_orderdate IS NOT NULL AND c.c_mktsegment IS NOT NULL
+  GROUP BY 1),
+long AS (
+  SELECT "Year-Month-Media", 'qty_R' AS "Emotion_Type", coalesce(TRY_CAST(qty_R AS DOUBLE), 0.0) AS "Score" FROM summary
+  UNION ALL SELECT "Year-Month-Media", 'qty_A', coalesce(TRY_CAST(qty_A AS DOUBLE), 0.0) FROM summary
+  UNION ALL SELECT "Year-Month-Media", 'qty_N', coalesce(TRY_CAST(qty_N AS DOUBLE), 0.0) FROM summary),
+share AS (
+  SELECT l."Year-Month-Media", "Emotion_Type", "Score", "Group_Total_Score",
+         CASE WHEN "Group_Total_Score" = 0 THEN 0.0 ELSE "Score" / "Group_Total_Score" * 100 END AS "Ratio",
+         split_part(l."Year-Month-Media", '-', 1) || '-' || split_part(l."Year-Month-Media", '-', 2) AS "Year-Month",
+         nullif(split_part(l."Year-Month-Media", '-', 3), '') AS "Media_Outlet"
+  FROM long l JOIN (SELECT "Year-Month-Media", sum("Score") AS "Group_Total_Score" FROM long GROUP BY 1) t
+    ON l."Year-Month-Media" = t."Year-Month-Media")"""
+
+
+@register("emotion_share", jobs=("J20",), ids=("H1", "E1", "B9", "B11", "B7"), sql=f"""
+WITH {_SUMMARY_SQL}
+SELECT * FROM share
+""")
+def emotion_share(spark: SparkSession, sf_dir: str):
+    return shares.emotion_share(_segment_summary(Tables(spark, sf_dir)), SHARE_COLS)
+
+
+@register("group_month_share", jobs=("J23",), ids=("D10", "C6", "H3", "E2", "D12", "F2"), sql=f"""
+WITH {_SUMMARY_SQL},
+dim AS (SELECT * FROM (VALUES {", ".join(f"('{m}', '{g}')" for g, ms in SEGMENT_GROUPS.items() for m in ms)}) d(press_name, "group")),
+rows AS (SELECT coalesce(d."group", 'other') AS "group", s."Year-Month", s."Emotion_Type", s."Ratio"
+         FROM share s LEFT JOIN dim d ON s."Media_Outlet" = d.press_name
+         WHERE s."Media_Outlet" IS NOT NULL AND s."Year-Month" IS NOT NULL),
+means AS (SELECT "group", "Year-Month", "Emotion_Type", avg("Ratio") AS mean_ratio FROM rows GROUP BY 1, 2, 3),
+pos AS (SELECT * FROM (VALUES {", ".join(f"({i}, '{e}')" for i, e in enumerate(SHARE_COLS))}) p(pos, "Emotion_Type")),
+grid AS (SELECT g."group", g."Year-Month", p.pos, p."Emotion_Type"
+         FROM (SELECT DISTINCT "group", "Year-Month" FROM rows) g, pos p),
+dense AS (SELECT g.*, coalesce(m.mean_ratio, 0.0) AS mean_ratio FROM grid g
+          LEFT JOIN means m USING ("group", "Year-Month", "Emotion_Type")),
+st AS (SELECT *, coalesce(sum(mean_ratio) OVER (PARTITION BY "group", "Year-Month" ORDER BY pos
+                 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0) AS start FROM dense)
+SELECT "group", "Year-Month", CAST(pos AS INTEGER) AS pos, "Emotion_Type", mean_ratio, start,
+       start + mean_ratio / 2 AS mid,
+       CASE WHEN mean_ratio > 5 THEN printf('%.1f%%', round(mean_ratio, 1)) END AS label
+FROM st
+""")
+def group_month_share(spark: SparkSession, sf_dir: str):
+    long = shares.emotion_share(_segment_summary(Tables(spark, sf_dir)), SHARE_COLS)
+    return shares.group_month_share(long, SEGMENT_GROUPS, order=SHARE_COLS)
+
+
+_ORDER_SUMMARY_SQL = """
+osum AS (
+  SELECT CAST(year(o_orderdate) AS VARCHAR) || '-' || CAST(month(o_orderdate) AS VARCHAR) || '-' || o_orderpriority
+           AS "Year-Month-Media",
+         count(*) AS n_orders, count_if(o_orderstatus = 'O') AS n_open
+  FROM orders WHERE o_orderdate IS NOT NULL AND o_orderpriority IS NOT NULL GROUP BY 1)"""
+
+
+def _priority_summary(t: Tables):
+    o = t.orders.filter(F.col("o_orderdate").isNotNull() & F.col("o_orderpriority").isNotNull())
+    key = F.concat_ws("-", F.year("o_orderdate").cast("string"), F.month("o_orderdate").cast("string"),
+                      "o_orderpriority")
+    return o.groupBy(key.alias(shares.KEY)).agg(F.count(F.lit(1)).alias("n_orders"),
+                                                F.count_if(F.col("o_orderstatus") == "O").alias("n_open"))
+
+
+@register("conform_summary", jobs=("J21",), ids=("B11", "B9"), sql=f"""
+WITH {_ORDER_SUMMARY_SQL}
+SELECT "Year-Month-Media",
+       split_part("Year-Month-Media", '-', 1) || '-' || lpad(split_part("Year-Month-Media", '-', 2), 2, '0') AS "Year-Month",
+       nullif(split_part("Year-Month-Media", '-', 3), '') AS "Media_Outlet",
+       CAST(n_orders AS DOUBLE) AS n_orders, CAST(n_open AS DOUBLE) AS n_open, false AS bad_key
+FROM osum
+""")
+def conform_summary(spark: SparkSession, sf_dir: str):
+    return shares.conform_summary(_priority_summary(Tables(spark, sf_dir)), ["n_orders", "n_open"])
+
+
+@register("duplicate_summary_keys", jobs=("J21",), ids=("T5",), sql=f"""
+WITH {_ORDER_SUMMARY_SQL}
+SELECT split_part("Year-Month-Media", '-', 1) || '-' || lpad(split_part("Year-Month-Media", '-', 2), 2, '0')
+         || '-' || split_part("Year-Month-Media", '-', 3) AS "Year-Month-Media", count(*) AS n_rows
+FROM osum GROUP BY 1 HAVING count(*) > 1
+""")
+def duplicate_summary_keys(spark: SparkSession, sf_dir: str):
+    conf = shares.conform_summary(_priority_summary(Tables(spark, sf_dir)), ["n_orders", "n_open"])
+    rekeyed = conf.select(F.concat_ws("-", "Year-Month", "Media_Outlet").alias(shares.KEY))
+    return shares.duplicate_keys(rekeyed)
+
+
+# ---------------------------------------------------------------- J18 keywords
+_STOP_SQL = _sql_in(STOPWORDS)
+
+
+def _tokens_sql(group_expr: str, src: str, n: int) -> str:
+    return f"""
+t AS (SELECT {group_expr} AS g, unnest(regexp_extract_all(coalesce(comments, ''), '\\p{{L}}+')) AS word FROM {src}),
+c AS (SELECT g, word, count(*) AS n FROM t WHERE length(word) >= 2 AND word NOT IN ({_STOP_SQL}) GROUP BY 1, 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY n DESC, word ASC) AS rank FROM c)
+SELECT g AS GCOL, CAST(rank AS INTEGER) AS rank, word, n FROM r WHERE rank <= {n}"""
+
+
+@register("top_tokens_by_lang", jobs=("J18",), ids=("D6", "F1", "U1", "U3", "U4", "D11"),
+          sql=f"WITH {DOC_COMMENTS_SQL}, " + _tokens_sql("lang", "doc_comments", 20).replace("GCOL", "lang"))
+def top_tokens_by_lang(spark: SparkSession, sf_dir: str):
+    return tokens.top_tokens(doc_comments(Tables(spark, sf_dir)), "lang", n=20)
+
+
+@register("top_tokens_by_group", jobs=("J18", "J19"), ids=("D6", "F1", "B13"),
+          sql=f"WITH {DOC_COMMENTS_SQL}, " + _tokens_sql(_GROUP_CASE_SQL, "doc_comments", 30).replace("GCOL", '"group"'))
+def top_tokens_by_group(spark: SparkSession, sf_dir: str):
+    c = groups.assign_group(doc_comments(Tables(spark, sf_dir)), DOC_GROUPS)
+    return tokens.top_tokens(c, "group", n=30)
+
+
+@register("token_totals_by_lang", jobs=("J18",), ids=("D7",), sql=f"""
+WITH {DOC_COMMENTS_SQL}
+SELECT lang, CAST(sum(len(list_filter(regexp_extract_all(coalesce(comments, ''), '\\p{{L}}+'),
+                                    lambda w: length(w) >= 2 AND NOT list_contains([{_STOP_SQL}], w)))) AS BIGINT) AS n_tokens,
+       count(*) AS n_comments
+FROM doc_comments GROUP BY 1
+""")
+def token_totals_by_lang(spark: SparkSession, sf_dir: str):
+    return tokens.token_totals(doc_comments(Tables(spark, sf_dir)), "lang")
+
+
+# ---------------------------------------------------------------- J17 / J22 emotion scores
+# Demonstration lexicon for the default Catalyst scorer on the driver tables (function-word
+# families of the four document languages). A real deployment passes its own scorer.
+DEMO_LEXICON = {
+    "article": ["the", "a", "an", "le", "la", "les", "der", "die", "das", "el", "los"],
+    "conjunction": ["and", "or", "et", "ou", "und", "oder", "y", "o"],
+    "preposition": ["of", "in", "on", "to", "de", "des", "du", "von", "zu", "en", "para"],
+}
+
+
+def _doc_lines(t: Tables):
+    """Comments = lines of a document; press = source; the document is the 'file' (ordered by
+    doc_id) and its language is the period bucket."""
+    d = t.documents.select(F.col("source").alias("press_name"), F.col("lang").alias("month"),
+                           "doc_id", "text")
+    return d.select("press_name", "month", "doc_id", F.explode_outer(F.split("text", "\n")).alias("comments"))
+
+
+def _scores_sql(scope: str) -> str:
+    labels = list(DEMO_LEXICON)
+    score_cols = ",\n".join(
+        f"CASE WHEN len(toks) > 0 THEN len(list_filter(toks, lambda x: list_contains([{_sql_in(DEMO_LEXICON[lab])}], x)))"
+        f" / len(toks) ELSE 0.0 END AS sc{i}" for i, lab in enumerate(labels))
+    base = f"""
+lines AS (SELECT source AS press_name, lang AS month, doc_id,
+                 unnest(CASE WHEN text IS NULL THEN [NULL] ELSE string_split(text, chr(10)) END) AS comments
+          FROM documents),
+scored AS (SELECT *, coalesce(regexp_matches(comments, '\\S'), false) AS ok,
+                  regexp_extract_all(lower(comments), '\\p{{L}}+') AS toks FROM lines WHERE press_name IS NOT NULL),
+scored2 AS (SELECT *, {score_cols} FROM scored)"""
+    sums = ", ".join(f"sum(CASE WHEN ok THEN sc{i} END) AS s{i}" for i in range(len(labels)))
+    means = ", ".join(f"CASE WHEN n_comments = 0 THEN NULL ELSE round(s{i} / n_comments, 6) END AS \"{lab}\""
+                      for i, lab in enumerate(labels))
+    if scope == "month":
+        return f"""WITH {base},
+g AS (SELECT press_name, month, CAST(count_if(ok) AS BIGINT) AS n_comments, {sums} FROM scored2 GROUP BY 1, 2)
+SELECT press_name, month, n_comments, {means} FROM g"""
+    per_file = f"""pf AS (SELECT press_name, month, doc_id, CAST(count_if(ok) AS BIGINT) AS n_comments, {sums}
+        FROM scored2 GROUP BY 1, 2, 3)"""
+    if scope == "file":
+        return f"WITH {base}, {per_file}\nSELECT press_name, month, doc_id, n_comments, {means} FROM pf"
+    w = "OVER (PARTITION BY press_name, month ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+    run = ", ".join(f"sum(s{i}) {w} AS s{i}" for i in range(len(labels)))
+    return f"""WITH {base}, {per_file},
+m AS (SELECT press_name, month, doc_id, CAST(sum(n_comments) {w} AS BIGINT) AS n_comments, {run} FROM pf)
+SELECT press_name, month, doc_id, n_comments, {means} FROM m"""
+
+
+@register("mean_scores_month_to_date", jobs=("J17",), ids=("D8", "E3", "C7", "U2"), sql=_scores_sql("mtd"))
+def mean_scores_month_to_date(spark: SparkSession, sf_dir: str):
+    return scores.mean_scores(_doc_lines(Tables(spark, sf_dir)), scores.LexiconScorer(DEMO_LEXICON),
+                              file="doc_id", scope="month_to_date")
+
+
+@register("mean_scores_file", jobs=("J17",), ids=("D8",), sql=_scores_sql("file"))
+def mean_scores_file(spark: SparkSession, sf_dir: str):
+    return scores.mean_scores(_doc_lines(Tables(spark, sf_dir)), scores.LexiconScorer(DEMO_LEXICON),
+                              file="doc_id", scope="file")
+
+
+@register("mean_scores_month", jobs=("J17",), ids=("D8", "D9"), sql=_scores_sql("month"))
+def mean_scores_month(spark: SparkSession, sf_dir: str):
+    return scores.mean_scores(_doc_lines(Tables(spark, sf_dir)), scores.LexiconScorer(DEMO_LEXICON),
+                              file="doc_id", scope="month")
+
+
+def _top_emotions_sql(k: int) -> str:
+    labels = list(DEMO_LEXICON)
+    body = _scores_sql("month")
+    head, _ = body.rsplit("SELECT press_name, month, n_comments,", 1)
+    means = ", ".join(f"CASE WHEN n_comments = 0 THEN NULL ELSE round(s{i} / n_comments, 6) END AS e{i}"
+                      for i in range(len(labels)))
+    lng = " UNION ALL ".join(f"SELECT press_name, month, '{lab}' AS emotion, e{i} AS score FROM mm"
+                             for i, lab in enumerate(labels))
+    return f"""{head.rstrip()},
+mm AS (SELECT press_name, month, {means} FROM g),
+lng AS ({lng}),
+rk AS (SELECT *, row_number() OVER (PARTITION BY press_name, month ORDER BY score DESC, emotion ASC) AS rank
+       FROM lng WHERE score IS NOT NULL)
+SELECT press_name, month, CAST(rank AS INTEGER) AS rank, emotion, score FROM rk WHERE rank <= {k}"""
+
+
+@register("top_emotions", jobs=("J22",), ids=("D9", "F5"), sql=_top_emotions_sql(2))
+def top_emotions(spark: SparkSession, sf_dir: str):
+    m = scores.mean_scores(_doc_lines(Tables(spark, sf_dir)), scores.LexiconScorer(DEMO_LEXICON),
+                           file="doc_id", scope="month")
+    return scores.top_emotions(m, list(DEMO_LEXICON), ["press_name", "month"], k=2)
