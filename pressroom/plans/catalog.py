@@ -11,10 +11,11 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from pressroom.functions.text import NA_TOKENS, STOPWORDS
-from pressroom.operators import (boxstats, clean, groups, profile, scores, shares, timeprofile, tokens,
-                                visibility)
+from pressroom.operators import (articles, audit, boxstats, clean, groups, profile, scores, shares, timeprofile,
+                                tokens, visibility)
 from pressroom.plans.registry import register
 from pressroom.plans.standins import DOC_COMMENTS_SQL, doc_comments
+from pressroom.sources import links, payload, sink
 from pressroom.sources.tables import Tables
 
 
@@ -510,3 +511,196 @@ def top_emotions(spark: SparkSession, sf_dir: str):
     m = scores.mean_scores(_doc_lines(Tables(spark, sf_dir)), scores.LexiconScorer(DEMO_LEXICON),
                            file="doc_id", scope="month")
     return scores.top_emotions(m, list(DEMO_LEXICON), ["press_name", "month"], k=2)
+
+
+# ---------------------------------------------------------------- J3 comment payloads
+# Payload stand-in: each conversation is an article; its turns are the comments, landed as
+# JSONP pages of PAYLOAD_PAGE rows (small so that articles span several pages).
+PAYLOAD_PAGE = 3
+
+
+def _landed_payload(t: Tables):
+    c = t.conversations
+    return payload.build_payload(c, "conv_id", "turn", {
+        "userName": F.col("role"), "contents": F.col("text"), "visible": F.col("role") == "user",
+        "replyLevel": F.lit(0).cast("long"), "sympathyCount": F.col("turn"),
+        "antipathyCount": F.length("text").cast("long"), "replyAllCount": F.lit(0).cast("long"),
+    }, page_size=PAYLOAD_PAGE).withColumnRenamed("conv_id", "object_id")
+
+
+@register("explode_payload", jobs=("J3",), ids=("A6", "H4"), sql=f"""
+SELECT conv_id AS object_id, CAST(turn // {PAYLOAD_PAGE} + 1 AS BIGINT) AS page,
+       CAST(turn % {PAYLOAD_PAGE} AS INTEGER) AS pos, role AS user_nickname, CAST(NULL AS VARCHAR) AS userIdNo,
+       text AS comments, role = 'user' AS visible, CAST(0 AS BIGINT) AS replyLevel,
+       CAST(NULL AS VARCHAR) AS regTime, CAST(NULL AS VARCHAR) AS parentCommentNo, turn AS sympathyCount,
+       CAST(length(text) AS BIGINT) AS antipathyCount, CAST(0 AS BIGINT) AS replyAllCount
+FROM conversations
+""")
+def explode_payload_q(spark: SparkSession, sf_dir: str):
+    return payload.explode_payload(_landed_payload(Tables(spark, sf_dir)))
+
+
+@register("payload_completeness", jobs=("J3",), ids=("A14",), sql=f"""
+SELECT conv_id AS object_id, count(DISTINCT turn // {PAYLOAD_PAGE}) AS n_pages, count(*) AS n_rows,
+       count(*) % {PAYLOAD_PAGE} <> 0 AS complete
+FROM conversations GROUP BY 1
+""")
+def payload_completeness(spark: SparkSession, sf_dir: str):
+    return payload.page_report(_landed_payload(Tables(spark, sf_dir)), page_size=PAYLOAD_PAGE)
+
+
+@register("event_props", jobs=("J3",), ids=("A6",), sql="""
+SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events
+""")
+def event_props(spark: SparkSession, sf_dir: str):
+    e = Tables(spark, sf_dir).events
+    return e.select("event_id", payload.json_field("props", "k bigint").getField("k").alias("k"))
+
+
+# ---------------------------------------------------------------- J4 / J5 articles and links
+CRAWL_DAY = "2024-12-04"
+_TITLE_RE = "<title>(.*?)</title>"
+
+
+def _page_articles(t: Tables):
+    p = t.pages
+    return p.select("page_id", "url", F.regexp_extract("html", _TITLE_RE, 1).alias("title"),
+                    F.to_date(F.lit(CRAWL_DAY)).alias("day"))
+
+
+@register("article_index", jobs=("J4",), ids=("B16", "B17", "B18", "G4"), sql=f"""
+WITH p AS (SELECT url, regexp_extract(html, '{_TITLE_RE}', 1) AS title, DATE '{CRAWL_DAY}' AS day,
+                  string_split(split_part(url, '?', 1), '/') AS parts FROM pages),
+k AS (SELECT *, CASE WHEN len(parts) >= 2 THEN parts[-2] END AS press_id,
+                CASE WHEN len(parts) >= 2 THEN parts[-1] END AS article_id FROM p),
+o AS (SELECT *, 'news' || press_id || ',' || article_id AS object_id FROM k WHERE press_id IS NOT NULL),
+r AS (SELECT *, row_number() OVER (PARTITION BY object_id ORDER BY day, url) AS rn,
+             count(*) OVER (PARTITION BY object_id) AS n_copies,
+             min(day) OVER (PARTITION BY object_id) AS first_day FROM o)
+SELECT object_id, press_id, article_id, first_day, url,
+       regexp_replace(title, '{articles.UNSAFE_TITLE}', '_', 'g') AS safe_title,
+       CAST(day AS VARCHAR) || '_' || press_id || '_' || regexp_replace(title, '{articles.UNSAFE_TITLE}', '_', 'g') || '.csv'
+         AS file_name,
+       n_copies
+FROM r WHERE rn = 1
+""")
+def article_index(spark: SparkSession, sf_dir: str):
+    return articles.article_index(_page_articles(Tables(spark, sf_dir)), "url", "title", "day")
+
+
+_ANCHOR_SQL = links.ANCHOR.replace("'", "''")
+_LINKS_SQL = f"""
+a AS (SELECT page_id, regexp_extract_all(html, '{_ANCHOR_SQL}', 1) AS hrefs,
+             regexp_extract_all(html, '{_ANCHOR_SQL}', 2) AS inners FROM pages),
+u AS (SELECT page_id, unnest(hrefs) AS href, unnest(inners) AS ihtml,
+             unnest(generate_series(0, len(hrefs) - 1)) AS pos FROM a),
+l AS (SELECT page_id, CAST(pos AS INTEGER) AS pos, href,
+             regexp_replace(regexp_replace(CASE WHEN regexp_matches(ihtml, '{links.SPAN}')
+                                                THEN regexp_extract(ihtml, '{links.SPAN}', 1) ELSE ihtml END,
+                                           '{links.TAG}', '', 'g'), '^\\s+|\\s+$', '', 'g') AS text FROM u)"""
+
+
+@register("extract_links", jobs=("J5",), ids=("A11", "C5"), sql=f"WITH {_LINKS_SQL}\nSELECT * FROM l")
+def extract_links_q(spark: SparkSession, sf_dir: str):
+    return links.extract_links(Tables(spark, sf_dir).pages, "html", "page_id")
+
+
+@register("distinct_links", jobs=("J5",), ids=("G4", "B15"), sql=f"""
+WITH {_LINKS_SQL},
+r AS (SELECT *, row_number() OVER (PARTITION BY href ORDER BY page_id, pos) AS rn FROM l WHERE contains(href, '/'))
+SELECT page_id, pos, href, text FROM r WHERE rn = 1
+""")
+def distinct_links(spark: SparkSession, sf_dir: str):
+    return links.extract_links(Tables(spark, sf_dir).pages, "html", "page_id", contains="/", distinct=True)
+
+
+@register("url_query_param", jobs=("J5", "J6"), ids=("A12",), sql="""
+SELECT page_id, nullif(regexp_extract(split_part(split_part(url, '#', 1), '?', 2), '(?:^|&)page=([^&]*)', 1), '') AS page FROM pages
+""")
+def url_query_param(spark: SparkSession, sf_dir: str):
+    p = Tables(spark, sf_dir).pages
+    return p.select("page_id", links.query_value(F.col("url"), "page").alias("page"))
+
+
+# ---------------------------------------------------------------- J6 press lookup
+@register("lookup_nation_name", jobs=("J6",), ids=("C1", "A12"), sql="""
+SELECT c.c_custkey, c.c_nationkey, n.n_name AS press_name
+FROM customer c LEFT JOIN nation n ON c.c_nationkey = n.n_nationkey
+""")
+def lookup_nation_name(spark: SparkSession, sf_dir: str):
+    t = Tables(spark, sf_dir)
+    return articles.lookup_press(t.customer.select("c_custkey", "c_nationkey"), t.nation,
+                                 "c_nationkey", "n_nationkey", "n_name")
+
+
+@register("lookup_customer_name", jobs=("J6",), ids=("C1",), sql="""
+SELECT o.o_orderkey, o.o_custkey, c.c_name AS press_name
+FROM orders o LEFT JOIN customer c ON o.o_custkey = c.c_custkey
+""")
+def lookup_customer_name(spark: SparkSession, sf_dir: str):
+    t = Tables(spark, sf_dir)
+    return articles.lookup_press(t.orders.select("o_orderkey", "o_custkey"), t.customer,
+                                 "o_custkey", "c_custkey", "c_name")
+
+
+# ---------------------------------------------------------------- J7 day coverage
+@register("day_coverage", jobs=("J7",), ids=("A13",), sql="""
+WITH r AS (SELECT event_type, CAST(ts AS DATE) AS day FROM events WHERE event_type IS NOT NULL),
+c AS (SELECT event_type, day, count(*) AS n_rows FROM r
+      WHERE day BETWEEN DATE '2023-12-28' AND DATE '2024-02-03' GROUP BY 1, 2),
+g AS (SELECT t.event_type, CAST(d.generate_series AS DATE) AS day
+      FROM (SELECT DISTINCT event_type FROM r) t,
+           generate_series(DATE '2023-12-28', DATE '2024-02-03', INTERVAL 1 DAY) d)
+SELECT g.event_type, g.day, coalesce(c.n_rows, 0) AS n_rows FROM g LEFT JOIN c USING (event_type, day)
+""")
+def day_coverage(spark: SparkSession, sf_dir: str):
+    return articles.day_coverage(Tables(spark, sf_dir).events, "ts", "event_type", "2023-12-28", "2024-02-03")
+
+
+# ---------------------------------------------------------------- J8 ingest audit / J2 first fetch
+_AUDIT_SQL = """
+e AS (SELECT event_id, ts, user_id, event_type, CAST(json_extract(props, '$.k') AS BIGINT) AS n_comments,
+             coalesce(event_type = 'error', false) AS failed FROM events),
+f AS (SELECT *, row_number() OVER (PARTITION BY user_id, event_type, failed ORDER BY ts, event_id) AS rn FROM e),
+s AS (SELECT *, CASE WHEN failed THEN 'failed' WHEN rn = 1 THEN 'ok' ELSE 'duplicate' END AS status FROM f),
+a AS (SELECT event_id, ts, user_id, event_type, n_comments, status,
+        CAST(count(*) OVER w AS BIGINT) AS seq,
+        CAST(sum(CASE WHEN status = 'ok' THEN 1 ELSE 0 END) OVER w AS BIGINT) AS ok_count,
+        CAST(sum(CASE WHEN status = 'failed' THEN 1 ELSE 0 END) OVER w AS BIGINT) AS fail_count,
+        CAST(sum(CASE WHEN status = 'failed' THEN 0 ELSE coalesce(n_comments, 0) END) OVER w AS BIGINT) AS total_comments
+      FROM s WINDOW w AS (ORDER BY ts ASC NULLS FIRST, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))"""
+
+
+def _audit(t: Tables):
+    e = t.events.select("event_id", "ts", "user_id", "event_type", "props")
+    return audit.ingest_audit(e, ["user_id", "event_type"], "ts", "event_id",
+                              failed=F.col("event_type") == "error",
+                              n_comments=payload.json_field("props", "k bigint").getField("k")).drop("props")
+
+
+@register("ingest_audit", jobs=("J8",), ids=("A10", "E4"), sql=f"""
+WITH {_AUDIT_SQL}
+SELECT event_id, ts, user_id, event_type, n_comments, status, seq, ok_count, fail_count, total_comments FROM a
+""")
+def ingest_audit(spark: SparkSession, sf_dir: str):
+    return _audit(Tables(spark, sf_dir)).select(
+        "event_id", "ts", "user_id", "event_type", "n_comments", "status", "seq", "ok_count", "fail_count",
+        "total_comments")
+
+
+@register("audit_totals", jobs=("J8",), ids=("D13",), sql=f"""
+WITH {_AUDIT_SQL}
+SELECT status, count(*) AS n_fetches, CAST(sum(coalesce(n_comments, 0)) AS BIGINT) AS n_comments FROM a GROUP BY 1
+""")
+def audit_totals(spark: SparkSession, sf_dir: str):
+    return audit.audit_totals(_audit(Tables(spark, sf_dir)))
+
+
+@register("first_fetch_per_key", jobs=("J2",), ids=("G5", "C2"), sql="""
+SELECT e.event_id, e.user_id, e.event_type, e.ts
+FROM events e JOIN (SELECT user_id, event_type, min(ts) AS m FROM events GROUP BY 1, 2) f
+  ON e.user_id = f.user_id AND e.event_type = f.event_type AND e.ts = f.m
+""")
+def first_fetch_per_key(spark: SparkSession, sf_dir: str):
+    e = Tables(spark, sf_dir).events.select("event_id", "user_id", "event_type", "ts")
+    return sink.first_fetch(e, ["user_id", "event_type"], "ts").select("event_id", "user_id", "event_type", "ts")
