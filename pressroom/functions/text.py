@@ -51,8 +51,17 @@ def regex_tokens(col: Column | str, pattern: str = WORD_PATTERN) -> Column:
     return F.regexp_extract_all(c, F.lit(pattern), 0)
 
 
+def keep_token(word: Column, stopwords: Iterable[str] = STOPWORDS, min_len: int = 2) -> Column:
+    """Predicate on ONE exploded token: long enough and not a stopword (codegen'd; the
+    stopword test is a hash ``InSet``)."""
+    stop = list(stopwords)
+    cond = F.length(word) >= min_len
+    return cond & ~word.isin(stop) if stop else cond
+
+
 def keep_tokens(tokens: Column, stopwords: Iterable[str] = STOPWORDS, min_len: int = 2) -> Column:
-    """Drop stopwords and tokens shorter than ``min_len`` code points; repeats are kept."""
+    """Array form of :func:`keep_token` (a lambda ``filter``; used for per-row token lists --
+    bulk counting explodes first and filters with :func:`keep_token` instead)."""
     stop = [s for s in stopwords]
     if stop:
         stop_arr = F.array(*[F.lit(s) for s in stop])

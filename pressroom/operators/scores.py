@@ -19,6 +19,7 @@ Scorers are pluggable:
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Mapping, Sequence
 
 import pandas as pd
@@ -31,22 +32,40 @@ from pressroom.functions.text import WORD_PATTERN, has_text
 
 class LexiconScorer:
     """Label score = (# tokens of the comment in the label's lexicon) / (# tokens).
-    Lower-cased ``\\p{L}+`` tokens; a comment with no letter scores 0 on every label."""
+    Lower-cased ``\\p{L}+`` tokens; a comment with no letter scores 0 on every label.
+
+    Counting is two ``regexp_count`` calls per label -- whole tokens are matched with
+    letter look-arounds -- so the scorer stays inside whole-stage codegen (no lambdas, no
+    per-row arrays of tokens)."""
 
     def __init__(self, lexicon: Mapping[str, Sequence[str]], pattern: str = WORD_PATTERN):
         self.labels = list(lexicon)
         self.lexicon = {k: [w.lower() for w in v] for k, v in lexicon.items()}
         self.pattern = pattern
+        self.word_patterns = {
+            k: r"(?<!\p{L})(?:" + "|".join(re.escape(w) for w in sorted(set(v), key=lambda w: (-len(w), w)))
+               + r")(?!\p{L})"
+            for k, v in self.lexicon.items()}
 
     def __call__(self, text: Column) -> Column:
-        toks = F.regexp_extract_all(F.lower(text), F.lit(self.pattern), 0)
-        n = F.size(toks)
-        scores = []
-        for label in self.labels:
-            words = F.array(*[F.lit(w) for w in self.lexicon[label]])
-            hits = F.size(F.filter(toks, lambda t: F.array_contains(words, t)))
-            scores.append(F.when(n > 0, hits / n).otherwise(F.lit(0.0)))
-        return F.array(*scores)
+        """Single-expression form (array of label scores), for ad-hoc use."""
+        low = F.lower(text)
+        n = F.regexp_count(low, F.lit(self.pattern))
+        return F.array(*[F.when(n > 0, F.regexp_count(low, F.lit(self.word_patterns[lab])) / n).otherwise(F.lit(0.0))
+                         for lab in self.labels])
+
+    def apply(self, df: DataFrame, text: str, valid: Column, prefix: str = "_sc") -> DataFrame:
+        """Adds ``{prefix}{i}`` per label for rows where ``valid``. Staged projections: the
+        lower-cased text and the token count are computed once per row and referenced
+        by every label (Catalyst does not collapse projections that would duplicate them)."""
+        staged = df.withColumn("_low", F.when(valid, F.lower(F.col(text))))
+        staged = staged.withColumn("_n", F.regexp_count(F.col("_low"), F.lit(self.pattern)))
+        staged = staged.withColumns({f"_h{i}": F.regexp_count(F.col("_low"), F.lit(self.word_patterns[lab]))
+                                     for i, lab in enumerate(self.labels)})
+        staged = staged.withColumns({f"{prefix}{i}": F.when(F.col("_n") > 0, F.col(f"_h{i}") / F.col("_n"))
+                                                      .when(valid, F.lit(0.0))
+                                     for i in range(len(self.labels))})
+        return staged.drop("_low", "_n", *[f"_h{i}" for i in range(len(self.labels))])
 
 
 def pandas_scorer(fn: Callable[[list[str]], Sequence[Sequence[float]]], labels: Sequence[str]):
@@ -70,9 +89,21 @@ def pandas_scorer(fn: Callable[[list[str]], Sequence[Sequence[float]]], labels:
         def __call__(self, text: Column) -> Column:
             return _score(text)
 
+        def apply(self, df: DataFrame, text: str, valid: Column, prefix: str = "_sc") -> DataFrame:
+            out = df.withColumn("_arr", F.when(valid, _score(F.col(text))))
+            return out.withColumns({f"{prefix}{i}": F.col("_arr")[i] for i in range(k)}).drop("_arr")
+
     return _Scorer()
 
 
+def _apply_scorer(scorer, df: DataFrame, text: str, valid: Column, prefix: str = "_sc") -> DataFrame:
+    """Use the scorer's staged ``apply`` when it has one, else its array expression."""
+    if hasattr(scorer, "apply"):
+        return scorer.apply(df, text, valid, prefix)
+    out = df.withColumn("_arr", F.when(valid, scorer(F.col(text))))
+    return out.withColumns({f"{prefix}{i}": F.col("_arr")[i] for i in range(len(scorer.labels))}).drop("_arr")
+
+
 SCOPES = ("month_to_date", "file", "day", "month")
 
 
@@ -100,9 +131,9 @@ def mean_scores(df: DataFrame, scorer, press: str = "press_name", month: str = "
     order = order or file
     file_keys = [press, month, file] + ([order] if order != file else []) + ([day] if day else [])
     rows = df.select(*file_keys, text).filter(F.col(press).isNotNull())
-    ok = has_text(text)
-    scored = rows.withColumn("scores", F.when(ok, scorer(F.col(text)))).withColumn("ok", F.coalesce(ok, F.lit(False)))
-    sums = [F.sum(F.when(F.col("ok"), F.col("scores")[i])).alias(f"s{i}") for i in range(len(labels))]
+    rows = rows.withColumn("ok", F.coalesce(has_text(text), F.lit(False)))
+    scored = _apply_scorer(scorer, rows, text, F.col("ok"))
+    sums = [F.sum(f"_sc{i}").alias(f"s{i}") for i in range(len(labels))]
 
     if scope == "month":
         grouped = scored.groupBy(press, month).agg(F.count_if("ok").alias("n_comments"), *sums)

@@ -1,10 +1,16 @@
 """Emotion shares: J21 summary conforming, J20 share of key total, J23 group x month mean
 share with dense grid and stack offsets (B9, B11, C6, D10, D12, E1, E2, H1, H3).
 
-Totals per key are a grouped sum joined back to the rows (partial aggregation first; a hot
-key is split by AQE's skew join) rather than a window that would buffer a whole key in one
-task. Grids are generated with ``explode`` from the distinct keys of the data and the
-caller's emotion list -- never a cross join of two data-sized inputs.
+Both operators run on the month x outlet SUMMARY (one row per key, duplicates rare), whose
+size does not grow with the comment data. Each is one pass with one shuffle:
+
+* J20 computes each row's total locally, then the key total with a window sum over the WIDE
+  rows (a key's window partition holds only that key's duplicate rows), then unpivots. No
+  self-join, so the summary's lineage (often an expensive join + aggregate) runs once.
+* J23 is a single grouped aggregate per (group, month) with one conditional ``avg`` per
+  emotion; the dense grid and the stack offsets are then generated per row with ``inline``
+  (offsets are sums of the preceding means, built as column expressions). No grid join, no
+  cross join, no window.
 """
 
 from __future__ import annotations
@@ -64,11 +70,11 @@ def emotion_share(df: DataFrame, cols: Sequence[str] = EMOTIONS, key: str = KEY,
         raise ValueError(f"none of the emotion columns {list(cols)} exist")
     wide = df.select(F.col(key), *[F.coalesce(F.col(c).cast("string").try_cast("double"), F.lit(0.0)).alias(c)
                                    for c in present])
-    long = wide.unpivot([key], present, "Emotion_Type", "Score")
-    totals = long.groupBy(key).agg(F.sum("Score").alias("Group_Total_Score"))
-    out = long.join(totals, key, "inner")
+    row_total = sum((F.col(c) for c in present[1:]), F.col(present[0]))
+    wide = wide.withColumn("Group_Total_Score", F.sum(row_total).over(Window.partitionBy(key)))
+    long = wide.unpivot([key, "Group_Total_Score"], present, "Emotion_Type", "Score")
     ym, media = split_key(F.col(key), zero_pad)
-    out = out.select(
+    out = long.select(
         key, "Emotion_Type", "Score", "Group_Total_Score",
         F.when(F.col("Group_Total_Score") == 0, F.lit(0.0))
          .otherwise(F.col("Score") / F.col("Group_Total_Score") * 100).alias("Ratio"),
@@ -107,18 +113,17 @@ def group_month_share(long: DataFrame, groups: Mapping[str, Iterable[str]],
         (split_key(F.col(KEY), zero_pad)[0] if zero_pad else F.col("Year-Month")).alias("Year-Month"),
     ).filter(F.col("press_name").isNotNull() & F.col("Year-Month").isNotNull())
     rows = expand_groups(rows, groups, press="press_name", other=other, out="group")
-    means = rows.groupBy("group", "Year-Month", "Emotion_Type").agg(F.avg("Ratio").alias("mean_ratio"))
-
-    positions = F.array(*[F.struct(F.lit(i).alias("pos"), F.lit(e).alias("Emotion_Type"))
-                          for i, e in enumerate(order)])
-    grid = (rows.select("group", "Year-Month").distinct()
-                .select("group", "Year-Month", F.inline(positions)))
-    dense = (grid.join(means, ["group", "Year-Month", "Emotion_Type"], "left")
-                 .withColumn("mean_ratio", F.coalesce("mean_ratio", F.lit(0.0))))
-    w = Window.partitionBy("group", "Year-Month").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    start = F.coalesce(F.sum("mean_ratio").over(w), F.lit(0.0))
-    return (dense.withColumn("start", start)
-                 .withColumn("mid", F.col("start") + F.col("mean_ratio") / 2)
+    order = list(order)
+    et = F.col("Emotion_Type")
+    means = rows.groupBy("group", "Year-Month").agg(
+        *[F.coalesce(F.avg(F.when(et == e, F.col("Ratio"))), F.lit(0.0)).alias(f"m{i}") for i, e in enumerate(order)])
+    structs = []
+    for i, e in enumerate(order):
+        start = sum((F.col(f"m{j}") for j in range(1, i)), F.col("m0")) if i > 0 else F.lit(0.0)
+        structs.append(F.struct(F.lit(i).alias("pos"), F.lit(e).alias("Emotion_Type"),
+                                F.col(f"m{i}").alias("mean_ratio"), start.alias("start")))
+    dense = means.select("group", "Year-Month", F.inline(F.array(*structs)))
+    return (dense.withColumn("mid", F.col("start") + F.col("mean_ratio") / 2)
                  .withColumn("label", F.when(F.col("mean_ratio") > label_min,
                                              F.format_string("%.1f%%", F.round("mean_ratio", 1))))
                  .select("group", "Year-Month", "pos", "Emotion_Type", "mean_ratio", "start", "mid", "label"))

@@ -21,21 +21,27 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pressroom.functions.text import STOPWORDS, Tokenizer, keep_tokens, regex_tokens
+from pressroom.functions.text import STOPWORDS, Tokenizer, keep_token, keep_tokens, regex_tokens
 
 
 def tokenize(df: DataFrame, text: str = "comments", tokenizer: Tokenizer | None = None,
              stopwords: Iterable[str] = STOPWORDS, min_len: int = 2, out: str = "tokens") -> DataFrame:
-    """Adds ``out``: the kept tokens of ``text`` (null text -> empty array)."""
+    """Adds ``out``: the kept tokens of ``text`` as an array (null text -> empty array)."""
     tok = (tokenizer or regex_tokens)(F.coalesce(F.col(text), F.lit("")))
     return df.withColumn(out, keep_tokens(tok, stopwords, min_len))
 
 
-def token_counts(df: DataFrame, by: str | list[str], text: str = "comments", **kw) -> DataFrame:
+def _exploded(df: DataFrame, by: list[str], text: str, tokenizer: Tokenizer | None) -> DataFrame:
+    """One row per raw token (``posexplode_outer``: a row without tokens stays, word null)."""
+    tok = (tokenizer or regex_tokens)(F.coalesce(F.col(text), F.lit("")))
+    return df.select(*by, F.posexplode_outer(tok).alias("pos", "word"))
+
+
+def token_counts(df: DataFrame, by: str | list[str], text: str = "comments", tokenizer: Tokenizer | None = None,
+                 stopwords: Iterable[str] = STOPWORDS, min_len: int = 2) -> DataFrame:
     by = [by] if isinstance(by, str) else list(by)
-    toks = tokenize(df.select(*by, text), text, **kw)
-    return (toks.select(*by, F.explode("tokens").alias("word"))
-                .groupBy(*by, "word").agg(F.count(F.lit(1)).alias("n")))
+    words = _exploded(df, by, text, tokenizer).filter(keep_token(F.col("word"), stopwords, min_len))
+    return words.groupBy(*by, "word").agg(F.count(F.lit(1)).alias("n"))
 
 
 def top_tokens(df: DataFrame, by: str | list[str], n: int = 20, text: str = "comments", **kw) -> DataFrame:
@@ -48,10 +54,13 @@ def top_tokens(df: DataFrame, by: str | list[str], n: int = 20, text: str = "com
                   .select(*by, "rank", "word", "n"))
 
 
-def token_totals(df: DataFrame, by: str | list[str], text: str = "comments", **kw) -> DataFrame:
+def token_totals(df: DataFrame, by: str | list[str], text: str = "comments", tokenizer: Tokenizer | None = None,
+                 stopwords: Iterable[str] = STOPWORDS, min_len: int = 2) -> DataFrame:
     """Per group the number of kept tokens (what the reference prints as its
-    'comment count') next to the real number of comments."""
+    'comment count') next to the real number of comments. One pass: every comment yields
+    exactly one row with ``pos`` 0 or null."""
     by = [by] if isinstance(by, str) else list(by)
-    toks = tokenize(df.select(*by, text), text, **kw)
-    return toks.groupBy(*by).agg(F.sum(F.size("tokens")).alias("n_tokens"),
-                                 F.count(F.lit(1)).alias("n_comments"))
+    rows = _exploded(df, by, text, tokenizer)
+    kept = F.col("word").isNotNull() & keep_token(F.col("word"), stopwords, min_len)
+    return rows.groupBy(*by).agg(F.count_if(kept).alias("n_tokens"),
+                                 F.count_if(F.col("pos").isNull() | (F.col("pos") == 0)).alias("n_comments"))

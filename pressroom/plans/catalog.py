@@ -14,9 +14,9 @@ from pressroom.functions.text import NA_TOKENS, STOPWORDS
 from pressroom.operators import (articles, audit, boxstats, clean, groups, profile, scores, shares, timeprofile,
                                 tokens, visibility)
 from pressroom.plans.registry import register
-from pressroom.plans.standins import DOC_COMMENTS_SQL, doc_comments
+from pressroom.plans.standins import DOC_COMMENTS_SQL, DOC_TEXTS_SQL, doc_comments, doc_texts
 from pressroom.sources import links, payload, sink
-from pressroom.sources.tables import Tables
+from pressroom.sources.tables import Tables, spread
 
 
 # ---------------------------------------------------------------- J12 visibility ratios
@@ -283,14 +283,17 @@ SEGMENT_GROUPS = {"group 1": ["BUILDING", "AUTOMOBILE"], "group 2": ["MACHINERY"
 
 
 def _segment_summary(t: Tables):
-    li = t.lineitem.select("l_orderkey", "l_quantity", "l_returnflag")
+    # Eager aggregation: lineitem is summed per order BEFORE the join, so the big join sees
+    # one row per order instead of one per line (Catalyst does not push aggregates below joins).
+    per_order = t.lineitem.groupBy("l_orderkey").agg(*[
+        F.sum(F.when(F.col("l_returnflag") == flag, F.col("l_quantity")).otherwise(F.lit(0.0))).alias(f"q_{flag}")
+        for flag in ("R", "A", "N")])
     o = t.orders.select("o_orderkey", "o_custkey", "o_orderdate")
     c = t.customer.select("c_custkey", "c_mktsegment")
-    rows = (li.join(o, li.l_orderkey == o.o_orderkey)
-              .join(c, o.o_custkey == c.c_custkey))
-    return shares.build_summary(rows, "o_orderdate", "c_mktsegment", {
-        f"qty_{flag}": F.sum(F.when(F.col("l_returnflag") == flag, F.col("l_quantity")).otherwise(F.lit(0.0)))
-        for flag in ("R", "A", "N")})
+    rows = (per_order.join(o, per_order.l_orderkey == o.o_orderkey)
+                     .join(c, o.o_custkey == c.c_custkey))
+    return shares.build_summary(rows, "o_orderdate", "c_mktsegment",
+                                {f"qty_{flag}": F.sum(f"q_{flag}") for flag in ("R", "A", "N")})
 
 
 _SUMMARY_SQL = """
@@ -401,27 +404,27 @@ SELECT g AS GCOL, CAST(rank AS INTEGER) AS rank, word, n FROM r WHERE rank <= {n
 
 
 @register("top_tokens_by_lang", jobs=("J18",), ids=("D6", "F1", "U1", "U3", "U4", "D11"),
-          sql=f"WITH {DOC_COMMENTS_SQL}, " + _tokens_sql("lang", "doc_comments", 20).replace("GCOL", "lang"))
+          sql=f"WITH {DOC_TEXTS_SQL}, " + _tokens_sql("lang", "doc_texts", 20).replace("GCOL", "lang"))
 def top_tokens_by_lang(spark: SparkSession, sf_dir: str):
-    return tokens.top_tokens(doc_comments(Tables(spark, sf_dir)), "lang", n=20)
+    return tokens.top_tokens(doc_texts(Tables(spark, sf_dir)), "lang", n=20)
 
 
 @register("top_tokens_by_group", jobs=("J18", "J19"), ids=("D6", "F1", "B13"),
-          sql=f"WITH {DOC_COMMENTS_SQL}, " + _tokens_sql(_GROUP_CASE_SQL, "doc_comments", 30).replace("GCOL", '"group"'))
+          sql=f"WITH {DOC_TEXTS_SQL}, " + _tokens_sql(_GROUP_CASE_SQL, "doc_texts", 30).replace("GCOL", '"group"'))
 def top_tokens_by_group(spark: SparkSession, sf_dir: str):
-    c = groups.assign_group(doc_comments(Tables(spark, sf_dir)), DOC_GROUPS)
+    c = groups.assign_group(doc_texts(Tables(spark, sf_dir)), DOC_GROUPS)
     return tokens.top_tokens(c, "group", n=30)
 
 
 @register("token_totals_by_lang", jobs=("J18",), ids=("D7",), sql=f"""
-WITH {DOC_COMMENTS_SQL}
+WITH {DOC_TEXTS_SQL}
 SELECT lang, CAST(sum(len(list_filter(regexp_extract_all(coalesce(comments, ''), '\\p{{L}}+'),
                                     lambda w: length(w) >= 2 AND NOT list_contains([{_STOP_SQL}], w)))) AS BIGINT) AS n_tokens,
        count(*) AS n_comments
-FROM doc_comments GROUP BY 1
+FROM doc_texts GROUP BY 1
 """)
 def token_totals_by_lang(spark: SparkSession, sf_dir: str):
-    return tokens.token_totals(doc_comments(Tables(spark, sf_dir)), "lang")
+    return tokens.token_totals(doc_texts(Tables(spark, sf_dir)), "lang")
 
 
 # ---------------------------------------------------------------- J17 / J22 emotion scores
@@ -437,7 +440,7 @@ DEMO_LEXICON = {
 def _doc_lines(t: Tables):
     """Comments = lines of a document; press = source; the document is the 'file' (ordered by
     doc_id) and its language is the period bucket."""
-    d = t.documents.select(F.col("source").alias("press_name"), F.col("lang").alias("month"),
+    d = spread(t.documents, "doc_id").select(F.col("source").alias("press_name"), F.col("lang").alias("month"),
                            "doc_id", "text")
     return d.select("press_name", "month", "doc_id", F.explode_outer(F.split("text", "\n")).alias("comments"))
 

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pressroom.sources.tables import Tables
+from pressroom.sources.tables import Tables, spread
 
 
 def doc_comments(t: Tables) -> DataFrame:
@@ -34,3 +34,13 @@ doc_comments AS (
          l.toxic = 0 AS visible, l.quality
   FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id
 )"""
+
+
+def doc_texts(t: Tables) -> DataFrame:
+    """Text-only view of the documents (no label join) for keyword and scoring jobs."""
+    d = spread(t.documents, "doc_id")
+    return d.select("doc_id", F.col("source").alias("press_name"), F.col("text").alias("comments"), "lang")
+
+
+DOC_TEXTS_SQL = """
+doc_texts AS (SELECT doc_id, source AS press_name, text AS comments, lang FROM documents)"""
