@@ -15,7 +15,7 @@ from pressroom.operators import (articles, audit, boxstats, clean, groups, profi
                                 tokens, visibility)
 from pressroom.plans.registry import register
 from pressroom.plans.standins import DOC_COMMENTS_SQL, DOC_TEXTS_SQL, doc_comments, doc_texts
-from pressroom.sources import links, payload, sink
+from pressroom.sources import links, payload, press_tree, sink
 from pressroom.sources.tables import Tables, spread
 
 
@@ -707,3 +707,46 @@ FROM events e JOIN (SELECT user_id, event_type, min(ts) AS m FROM events GROUP B
 def first_fetch_per_key(spark: SparkSession, sf_dir: str):
     e = Tables(spark, sf_dir).events.select("event_id", "user_id", "event_type", "ts")
     return sink.first_fetch(e, ["user_id", "event_type"], "ts").select("event_id", "user_id", "event_type", "ts")
+
+
+# ---------------------------------------------------------------- J1 / J24 ingest round trips
+def _events_as_comments(t: Tables):
+    """Events as article comments: press = event type, one article file per day."""
+    return t.events.select(
+        F.col("event_type").alias("press_name"), F.date_format("ts", "yyyy-MM-dd").alias("date"),
+        F.col("user_id").cast("string").alias("user_nickname"), F.col("props").alias("comments"),
+        F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("regTime"), F.col("event_id").alias("sympathyCount"))
+
+
+@register("press_tree_roundtrip", jobs=("J1", "J2"), ids=("A1", "A2", "A4", "A7", "G1", "B20", "D14"), sql="""
+SELECT event_type AS press_name, strftime(ts, '%Y-%m-%d') AS date, CAST(user_id AS VARCHAR) AS user_nickname,
+       props AS comments, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS regTime, event_id AS sympathyCount
+FROM events WHERE event_type IS NOT NULL AND ts IS NOT NULL
+""")
+def press_tree_roundtrip(spark: SparkSession, sf_dir: str):
+    """Writes the events as a partitioned CSV comment tree (the J2 sink layout) into the
+    shared checkpoint folder, then ingests it back with J1."""
+    from pressroom.session import scratch_path
+    root = scratch_path(spark, "press-tree")
+    rows = _events_as_comments(Tables(spark, sf_dir)).filter(F.col("press_name").isNotNull() & F.col("date").isNotNull())
+    sink.write_table(rows, root, partition_by=["press_name", "date"], fmt="csv")
+    comments, _ = press_tree.ingest_press_tree(spark, root, layout="partitioned", extra_columns=False)
+    return comments.select("press_name", "date", "user_nickname", "comments", "regTime", "sympathyCount")
+
+
+@register("stream_first_fetch", jobs=("J24",), ids=("S1", "G5", "C2"), sql="""
+SELECT e.event_id, e.user_id, e.event_type, e.ts
+FROM events e JOIN (SELECT user_id, event_type, min(ts) AS m FROM events GROUP BY 1, 2) f
+  ON e.user_id = f.user_id AND e.event_type = f.event_type AND e.ts = f.m
+""")
+def stream_first_fetch(spark: SparkSession, sf_dir: str):
+    """Structured Streaming over the events table file: per micro-batch first fetch per
+    (user, type), anti-joined with the sink, appended; the result is the sink."""
+    from pressroom.session import scratch_path
+    from pressroom.streaming import ingest
+    base = scratch_path(spark, "stream")
+    schema = Tables(spark, sf_dir).events.schema
+    ingest.stream_ingest(spark, sf_dir, f"{base}/sink", f"{base}/checkpoint", schema,
+                         key=["user_id", "event_type"], order="ts", partition_by=["event_type"],
+                         audit=f"{base}/audit", glob_filter="events.parquet")
+    return ingest.read_sink(spark, f"{base}/sink").select("event_id", "user_id", "event_type", "ts")

@@ -92,39 +92,61 @@ def _decode_files(encodings: Sequence[str]):
     return decode
 
 
-def _file_paths(root: str, months: Iterable[str] | None) -> list[str]:
+LAYOUTS = ("press", "partitioned")
+
+
+def _file_paths(root: str, months: Iterable[str] | None, layout: str) -> list[str]:
+    """``press``: ``root/<press>/<date>_<press>_<title>.csv`` (month pruning on the name);
+    ``partitioned``: the J2 sink layout ``root/press_name=<press>/date=<date>/*.csv``
+    (month pruning on the date folder)."""
     root = root.rstrip("/")
-    if not months:
-        return [f"{root}/*/*.csv"]
-    return [f"{root}/*/{m}*.csv" for m in months]
+    if layout == "press":
+        return [f"{root}/*/*.csv"] if not months else [f"{root}/*/{m}*.csv" for m in months]
+    if layout == "partitioned":
+        return ([f"{root}/press_name=*/date=*/*.csv"] if not months
+                else [f"{root}/press_name=*/date={m}*/*.csv" for m in months])
+    raise ValueError(f"layout must be one of {LAYOUTS}")
 
 
 def decode_tree(spark: SparkSession, root: str, months: Iterable[str] | None = None,
-                encodings: Sequence[str] = ENCODINGS) -> DataFrame:
-    files = (spark.read.format("binaryFile").load(_file_paths(root, months))
+                encodings: Sequence[str] = ENCODINGS, layout: str = "press") -> DataFrame:
+    files = (spark.read.format("binaryFile").load(_file_paths(root, months, layout))
                   .select("path", "content"))
     return files.mapInPandas(_decode_files(encodings), DECODED_SCHEMA)
 
 
-def _press_and_name(path_col):
+def _unescape_partition(value):
+    """Partition folder values are %XX-escaped by Spark's writer ('+' is left as is)."""
+    return F.try_url_decode(F.regexp_replace(value, r"\+", "%2B"))
+
+
+def _path_parts(path_col, layout: str):
+    """(press, file name, date) from the listed path (listed paths are not escaped; only the
+    partition folders written by Spark are)."""
     parts = F.split(path_col, "/")
-    press = F.regexp_replace(F.element_at(parts, -2), r"^press_name=", "")
-    return F.url_decode(press), F.url_decode(F.element_at(parts, -1))
+    name = F.element_at(parts, -1)
+    if layout == "partitioned":
+        press = _unescape_partition(F.regexp_replace(F.element_at(parts, -3), r"^press_name=", ""))
+        date = F.regexp_extract(F.element_at(parts, -2), "^date=(" + DATE_IN_NAME + ")", 1)
+    else:
+        press = F.element_at(parts, -2)
+        date = F.regexp_extract(name, DATE_IN_NAME, 0)
+    return press, name, date
 
 
 def ingest_press_tree(spark: SparkSession, root: str, months: Iterable[str] | None = None,
                       encodings: Sequence[str] = ENCODINGS, na_tokens: Iterable[str] = NA_TOKENS,
                       columns: Sequence[tuple[str, str]] = COMMENT_COLUMNS,
-                      extra_columns: bool = True, with_title: bool = False) -> tuple[DataFrame, DataFrame]:
+                      extra_columns: bool = True, with_title: bool = False,
+                      layout: str = "press") -> tuple[DataFrame, DataFrame]:
     """Returns ``(comments, rejects)``.
 
     ``comments``: ``press_name, date`` (+ ``title``) + the declared columns (+ any other
     header names found, as strings). ``rejects``: ``path, reason`` for files that could not
     be decoded or parsed and rows of files without a date in their name.
     """
-    decoded = decode_tree(spark, root, months, encodings)
-    press, name = _press_and_name(F.col("path"))
-    date = F.regexp_extract(name, DATE_IN_NAME, 0)
+    decoded = decode_tree(spark, root, months, encodings, layout)
+    press, name, date = _path_parts(F.col("path"), layout)
     tagged = decoded.select("path", press.alias("press_name"), name.alias("file_name"),
                             date.alias("date"), "row_no", "cells", "reason")
     good = tagged.filter(F.col("reason").isNull() & (F.col("date") != ""))

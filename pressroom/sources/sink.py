@@ -44,7 +44,11 @@ def new_articles(df: DataFrame, path: str, key: Sequence[str] = DEFAULT_KEY, ord
     fresh = first_fetch(df, key, order)
     spark = df.sparkSession
     if _exists(spark, path):
-        existing = spark.read.format(fmt).load(path).select(*key).distinct()
+        reader = spark.read.format(fmt)
+        if fmt == "csv":
+            reader = reader.option("header", True).option("escape", '"').option("multiLine", True)
+        # Partition discovery may type a folder value (e.g. a date); compare as the input types.
+        existing = reader.load(path).select(*[F.col(k).cast(df.schema[k].dataType).alias(k) for k in key]).distinct()
         fresh = fresh.join(existing, key, "left_anti")
     return fresh
 
@@ -61,7 +65,10 @@ def write_new_articles(df: DataFrame, path: str, key: Sequence[str] = DEFAULT_KE
     fresh = new_articles(df, path, key, order, fmt).checkpoint(eager=True)
     n = fresh.count()
     if n:
-        fresh.write.mode("append").partitionBy(*partition_by).format(fmt).save(path)
+        w = fresh.write.mode("append").partitionBy(*partition_by).format(fmt)
+        if fmt == "csv":
+            w = w.option("header", True).option("escape", '"')
+        w.save(path)
     return n
 
 

@@ -31,7 +31,8 @@ AUDIT_SCHEMA = T.StructType([
 def stream_ingest(spark: SparkSession, src: str, sink: str, checkpoint: str, schema: T.StructType | str,
                   key: Sequence[str] = DEFAULT_KEY, order: str = "fetch_seq", fmt: str = "parquet",
                   partition_by: Sequence[str] = ("press_name", "date"), audit: str | None = None,
-                  max_files_per_trigger: int | None = None, csv_options: dict | None = None):
+                  max_files_per_trigger: int | None = None, csv_options: dict | None = None,
+                  glob_filter: str | None = None):
     """Start the incremental ingest and wait for it (``availableNow``); returns the
     finished ``StreamingQuery``."""
     reader = spark.readStream.schema(schema).format(fmt)
@@ -39,6 +40,8 @@ def stream_ingest(spark: SparkSession, src: str, sink: str, checkpoint: str, sch
         opts = {"header": "true", "multiLine": "true", "escape": '"'}
         opts.update(csv_options or {})
         reader = reader.options(**opts)
+    if glob_filter:
+        reader = reader.option("pathGlobFilter", glob_filter)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     stream = reader.load(src)

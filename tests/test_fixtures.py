@@ -278,3 +278,23 @@ def test_f16_article_key(spark):
     assert (r.press_id, r.article_id, r.object_id, r.safe_title) == ("023", "0001", "news023,0001", "a_b_c_")
     assert r.file_name == "2024-12-05_023_a_b_c_.csv"
     assert articles.article_rejects(df).count() == 1
+
+
+def test_raw_path_names(spark):
+    root = _tmp()
+    _write(f"{root}/조선 일보/2024-12-05_x_50%off+1.csv", b"comments\nz\n")
+    rows, _ = press_tree.ingest_press_tree(spark, root, with_title=True)
+    r = rows.first()
+    assert (r.press_name, r.title, r.comments) == ("조선 일보", "50%off+1", "z")
+
+
+def test_sink_layout_round_trip(spark):
+    root = os.path.join(_tmp(), "sink")
+    df = spark.createDataFrame([("2024-12-05", "a/b+c", "t1", 0, 'say "x", y')],
+                               "date string, press_name string, title string, fetch_seq long, comments string")
+    sink.write_new_articles(df, root, fmt="csv")
+    rows, rejects = press_tree.ingest_press_tree(spark, root, layout="partitioned",
+                                                 columns=(("title", "string"), ("comments", "string")))
+    r = rows.first()
+    assert (r.press_name, r.date, r.title, r.comments) == ("a/b+c", "2024-12-05", "t1", 'say "x", y')
+    assert rejects.count() == 0
