@@ -718,7 +718,7 @@ def _events_as_comments(t: Tables):
         F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("regTime"), F.col("event_id").alias("sympathyCount"))
 
 
-@register("press_tree_roundtrip", jobs=("J1", "J2"), ids=("A1", "A2", "A4", "A7", "G1", "B20", "D14"), sql="""
+@register("press_tree_roundtrip", jobs=("J1", "J2"), ids=("A1", "A2", "A4", "A7", "G1", "B20"), sql="""
 SELECT event_type AS press_name, strftime(ts, '%Y-%m-%d') AS date, CAST(user_id AS VARCHAR) AS user_nickname,
        props AS comments, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS regTime, event_id AS sympathyCount
 FROM events WHERE event_type IS NOT NULL AND ts IS NOT NULL
