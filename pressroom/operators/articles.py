@@ -68,7 +68,8 @@ def lookup_press(df: DataFrame, dim: DataFrame, key: str, dim_key: str, name: st
     side is broadcast only after its row count is checked (``bounded_broadcast``); a large
     directory falls back to a shuffle join."""
     d = dim.select(F.col(dim_key).alias("_k"), F.col(name).alias(out))
-    side, _ = bounded_broadcast(d) if max_rows is None else bounded_broadcast(d, max_rows)
+    limit = {} if max_rows is None else {"max_rows": max_rows}
+    side, _ = bounded_broadcast(d, materialize=False, **limit)
     return df.join(side, F.col(key) == F.col("_k"), "left").drop("_k")
 
 

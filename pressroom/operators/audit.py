@@ -5,9 +5,10 @@ would pull every row into one task. Instead the log is cut into time buckets (de
 hour of the order timestamp):
 
 1. per bucket, a grouped aggregate gives the bucket totals (partial per task);
-2. the bucket totals -- one row per bucket, bounded by the time span, not by the data --
-   get their exclusive running sums (the bucket offsets), are checkpointed, counted and
-   broadcast;
+2. the bucket totals -- one row per bucket -- get their exclusive running sums (the bucket
+   offsets). Their row count is bounded by the time span: a min/max aggregate over the raw
+   timestamp column (one cheap scan) gives the number of buckets, and the offsets are
+   broadcast when that bound is under the limit (else shuffle-joined);
 3. each row's counter = its bucket offset + the running sum inside its bucket
    (``Window.partitionBy(bucket)``), so the sort work is spread over all buckets.
 
@@ -24,7 +25,9 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pressroom.operators.joins import bounded_broadcast
+from pressroom.operators.joins import BROADCAST_MAX_ROWS
+
+BUCKET_SECONDS = {"second": 1, "minute": 60, "hour": 3600, "day": 86400, "week": 7 * 86400}
 
 STATUS_OK, STATUS_FAILED, STATUS_DUPLICATE = "ok", "failed", "duplicate"
 
@@ -42,10 +45,20 @@ def fetch_status(df: DataFrame, key: Sequence[str], ts: str, tiebreak: str, fail
     return j.withColumn("status", status).drop("_failed", "_first")
 
 
+def bucket_bound(span_source: DataFrame, ts: str, bucket: str) -> int:
+    """Upper bound on the number of distinct buckets (incl. a null bucket) from min/max of
+    ``ts`` -- a one-column aggregate, answered per task from the scan."""
+    lo, hi = span_source.agg(F.min(ts).alias("lo"), F.max(ts).alias("hi")).first()
+    if lo is None:
+        return 1
+    return int((hi - lo).total_seconds() // BUCKET_SECONDS[bucket]) + 3
+
+
 def running_counters(df: DataFrame, ts: str, tiebreak: str, values: Mapping[str, Column],
-                     bucket: str = "hour") -> DataFrame:
+                     bucket: str = "hour", span_source: DataFrame | None = None) -> DataFrame:
     """Adds one running-sum column per entry of ``values`` in ``(ts, tiebreak)`` order
-    (nulls first), computed bucket-wise as described in the module doc."""
+    (nulls first), computed bucket-wise as described in the module doc. ``span_source``
+    (default ``df``) is a cheap frame holding the same ``ts`` values, used for the bound."""
     names = list(values)
     rows = df.withColumn("_b", F.date_trunc(bucket, F.col(ts))) \
              .withColumns({f"_v{i}": values[n] for i, n in enumerate(names)})
@@ -53,7 +66,10 @@ def running_counters(df: DataFrame, ts: str, tiebreak: str, values: Mapping[str,
     wb = Window.orderBy(F.col("_b").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select("_b", *[F.coalesce(F.sum(f"_t{i}").over(wb), F.lit(0)).alias(f"_o{i}")
                                     for i in range(len(names))])
-    offsets_b, _ = bounded_broadcast(offsets)
+    if bucket_bound(span_source if span_source is not None else df, ts, bucket) <= BROADCAST_MAX_ROWS:
+        offsets_b = F.broadcast(offsets)
+    else:
+        offsets_b = offsets
     w = (Window.partitionBy("_b").orderBy(F.col(ts).asc_nulls_first(), F.col(tiebreak))
                .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     out = rows.join(offsets_b, rows["_b"].eqNullSafe(offsets_b["_b"]), "inner").drop(offsets_b["_b"])
@@ -72,7 +88,7 @@ def ingest_audit(df: DataFrame, key: Sequence[str], ts: str, tiebreak: str, fail
         "ok_count": (st == STATUS_OK).cast("long"),
         "fail_count": (st == STATUS_FAILED).cast("long"),
         "total_comments": F.when(st == STATUS_FAILED, F.lit(0)).otherwise(F.coalesce(F.col("n_comments"), F.lit(0))).cast("long"),
-    }, bucket)
+    }, bucket, span_source=df.select(ts))
 
 
 def audit_totals(audit: DataFrame) -> DataFrame:

@@ -18,11 +18,15 @@ from pressroom.session import checkpoint_root
 BROADCAST_MAX_ROWS = 500_000
 
 
-def bounded_broadcast(small: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> tuple[DataFrame, bool]:
-    """Materialise ``small`` (checkpoint, survives executor loss), count it, and return it
-    wrapped in a broadcast hint when it has at most ``max_rows`` rows."""
-    checkpoint_root(small.sparkSession)
-    small = small.checkpoint(eager=True)
+def bounded_broadcast(small: DataFrame, max_rows: int = BROADCAST_MAX_ROWS,
+                      materialize: bool = True) -> tuple[DataFrame, bool]:
+    """Count ``small`` and return it wrapped in a broadcast hint when it has at most
+    ``max_rows`` rows. A computed side is materialised first (checkpoint into the shared
+    folder: counted once, reused by the join, survives executor loss); a stored table
+    (``materialize=False``) is just counted -- re-reading it is deterministic."""
+    if materialize:
+        checkpoint_root(small.sparkSession)
+        small = small.checkpoint(eager=True)
     n = small.count()
     if n <= max_rows:
         return F.broadcast(small), True

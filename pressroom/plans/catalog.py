@@ -696,7 +696,11 @@ WITH {_AUDIT_SQL}
 SELECT status, count(*) AS n_fetches, CAST(sum(coalesce(n_comments, 0)) AS BIGINT) AS n_comments FROM a GROUP BY 1
 """)
 def audit_totals(spark: SparkSession, sf_dir: str):
-    return audit.audit_totals(_audit(Tables(spark, sf_dir)))
+    e = Tables(spark, sf_dir).events.select("event_id", "ts", "user_id", "event_type", "props")
+    e = e.withColumn("n_comments", payload.json_field("props", "k bigint").getField("k"))
+    statuses = audit.fetch_status(e, ["user_id", "event_type"], "ts", "event_id",
+                                  failed=F.col("event_type") == "error")
+    return audit.audit_totals(statuses)
 
 
 @register("first_fetch_per_key", jobs=("J2",), ids=("G5", "C2"), sql="""
