@@ -102,7 +102,7 @@ def duplicate_keys(df: DataFrame, key: str = KEY) -> DataFrame:
 
 def group_month_share(long: DataFrame, groups: Mapping[str, Iterable[str]],
                       order: Sequence[str] = EMOTIONS, other: str | None = OTHER,
-                      zero_pad: bool = True, label_min: float = 5.0) -> DataFrame:
+                      zero_pad: bool = True, label_min: float = 5.0, places: int | None = 6) -> DataFrame:
     """Per press group x month x emotion the mean ``Ratio`` (D10) over the group's
     outlets, on a dense grid -- every month seen in the group times every emotion of
     ``order``, missing -> 0 (C6 / H3) -- with stack offsets ``start`` (running sum over the
@@ -123,7 +123,12 @@ def group_month_share(long: DataFrame, groups: Mapping[str, Iterable[str]],
         structs.append(F.struct(F.lit(i).alias("pos"), F.lit(e).alias("Emotion_Type"),
                                 F.col(f"m{i}").alias("mean_ratio"), start.alias("start")))
     dense = means.select("group", "Year-Month", F.inline(F.array(*structs)))
+
+    def r(c):
+        return F.round(c, places) if places is not None else c
+
     return (dense.withColumn("mid", F.col("start") + F.col("mean_ratio") / 2)
                  .withColumn("label", F.when(F.col("mean_ratio") > label_min,
                                              F.format_string("%.1f%%", F.round("mean_ratio", 1))))
-                 .select("group", "Year-Month", "pos", "Emotion_Type", "mean_ratio", "start", "mid", "label"))
+                 .select("group", "Year-Month", "pos", "Emotion_Type", r(F.col("mean_ratio")).alias("mean_ratio"),
+                         r(F.col("start")).alias("start"), r(F.col("mid")).alias("mid"), "label"))

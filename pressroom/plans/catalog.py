@@ -25,7 +25,7 @@ WITH {DOC_COMMENTS_SQL}
 SELECT press_name, n_hidden, n_shown,
        n_hidden / (n_hidden + n_shown) AS hidden_ratio,
        n_shown / (n_hidden + n_shown) AS shown_ratio
-FROM (SELECT press_name, count_if(NOT visible) AS n_hidden, count_if(visible) AS n_shown
+FROM (SELECT press_name, CAST(count_if(NOT visible) AS BIGINT) AS n_hidden, CAST(count_if(visible) AS BIGINT) AS n_shown
       FROM doc_comments WHERE press_name IS NOT NULL AND visible IS NOT NULL
       GROUP BY press_name)
 """)
@@ -35,7 +35,7 @@ def visibility_by_press(spark: SparkSession, sf_dir: str):
 
 @register("visibility_overall", jobs=("J12",), ids=("D1", "F3"), sql=f"""
 WITH {DOC_COMMENTS_SQL},
-t AS (SELECT count_if(visible) AS n_true, count_if(NOT visible) AS n_false FROM doc_comments)
+t AS (SELECT CAST(count_if(visible) AS BIGINT) AS n_true, CAST(count_if(NOT visible) AS BIGINT) AS n_false FROM doc_comments)
 SELECT visible, n_comments, n_comments / n_total * 100 AS pct FROM (
   SELECT true AS visible, n_true AS n_comments, n_true + n_false AS n_total FROM t
   UNION ALL
@@ -101,7 +101,7 @@ WITH {DOC_COMMENTS_SQL},
 n AS (SELECT doc_id, press_name, quality,
              CASE WHEN comments IN ({_NA_SQL}) THEN NULL ELSE comments END AS comments
       FROM doc_comments)
-SELECT doc_id, press_name, length(comments) AS n_chars, coalesce(quality, -1) AS quality
+SELECT doc_id, press_name, CAST(length(comments) AS INTEGER) AS n_chars, coalesce(quality, -1) AS quality
 FROM n WHERE comments IS NOT NULL AND regexp_matches(comments, '\\S')
 """)
 def clean_comments_q(spark: SparkSession, sf_dir: str):
@@ -114,9 +114,9 @@ def clean_comments_q(spark: SparkSession, sf_dir: str):
 # ---------------------------------------------------------------- J11 profile / audit / head
 @register("null_audit_hidden", jobs=("J11",), ids=("B8",), sql=f"""
 WITH {DOC_COMMENTS_SQL}, h AS (SELECT * FROM doc_comments WHERE visible = false)
-SELECT 'comments' AS column_name, count_if(comments IS NULL) AS n_null FROM h
-UNION ALL SELECT 'quality', count_if(quality IS NULL) FROM h
-UNION ALL SELECT 'lang', count_if(lang IS NULL) FROM h
+SELECT 'comments' AS column_name, CAST(count_if(comments IS NULL) AS BIGINT) AS n_null FROM h
+UNION ALL SELECT 'quality', CAST(count_if(quality IS NULL) AS BIGINT) FROM h
+UNION ALL SELECT 'lang', CAST(count_if(lang IS NULL) AS BIGINT) FROM h
 """)
 def null_audit_hidden(spark: SparkSession, sf_dir: str):
     c = doc_comments(Tables(spark, sf_dir))
@@ -341,8 +341,8 @@ dense AS (SELECT g.*, coalesce(m.mean_ratio, 0.0) AS mean_ratio FROM grid g
           LEFT JOIN means m USING ("group", "Year-Month", "Emotion_Type")),
 st AS (SELECT *, coalesce(sum(mean_ratio) OVER (PARTITION BY "group", "Year-Month" ORDER BY pos
                  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0) AS start FROM dense)
-SELECT "group", "Year-Month", CAST(pos AS INTEGER) AS pos, "Emotion_Type", mean_ratio, start,
-       start + mean_ratio / 2 AS mid,
+SELECT "group", "Year-Month", CAST(pos AS INTEGER) AS pos, "Emotion_Type", round(mean_ratio, 6) AS mean_ratio,
+       round(start, 6) AS start, round(start + mean_ratio / 2, 6) AS mid,
        CASE WHEN mean_ratio > 5 THEN printf('%.1f%%', round(mean_ratio, 1)) END AS label
 FROM st
 """)

@@ -27,12 +27,22 @@ def test_every_oracle_has_a_query():
     assert set(ORACLES) <= set(QUERIES)
 
 
+SPARK_TO_DUCK = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR",
+                 "boolean": "BOOLEAN", "timestamp_ntz": "TIMESTAMP", "date": "DATE"}
+
+
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_matches_oracle(spark, con, name):
-    res = spark_rows(QUERIES[name](spark, SF01))
+    df = QUERIES[name](spark, SF01)
+    res = spark_rows(df)
     exp = oracle_rows(con, ORACLES[name])
-    problem = diff(res, exp)
+    problem = diff(res, exp, places=12)
     assert problem is None, f"{name}: {problem}"
+    rel = con.sql(ORACLES[name])
+    duck_types = {c: str(t) for c, t in zip(rel.columns, rel.types)}
+    spark_types = {f.name: SPARK_TO_DUCK.get(f.dataType.simpleString(), f.dataType.simpleString())
+                   for f in df.schema.fields}
+    assert spark_types == duck_types, f"{name}: types differ"
 
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
