@@ -137,13 +137,16 @@ def _path_parts(path_col, layout: str):
 def ingest_press_tree(spark: SparkSession, root: str, months: Iterable[str] | None = None,
                       encodings: Sequence[str] = ENCODINGS, na_tokens: Iterable[str] = NA_TOKENS,
                       columns: Sequence[tuple[str, str]] = COMMENT_COLUMNS,
-                      extra_columns: bool = True, with_title: bool = False,
+                      extra_columns: bool | str = True, with_title: bool = False,
                       layout: str = "press") -> tuple[DataFrame, DataFrame]:
     """Returns ``(comments, rejects)``.
 
-    ``comments``: ``press_name, date`` (+ ``title``) + the declared columns (+ any other
-    header names found, as strings). ``rejects``: ``path, reason`` for files that could not
-    be decoded or parsed and rows of files without a date in their name.
+    ``comments``: ``press_name, date`` (+ ``title``) + the declared columns, then the other
+    header names found: ``extra_columns=True`` makes each a top-level string column (union by
+    name, as the reference does; costs one extra pass over the files to learn the names),
+    ``"map"`` keeps them in one ``extra`` map column in a single pass, ``False`` drops them.
+    ``rejects``: ``path, reason`` for files that could not be decoded or parsed and rows of
+    files without a date in their name.
     """
     decoded = decode_tree(spark, root, months, encodings, layout)
     press, name, date = _path_parts(F.col("path"), layout)
@@ -156,13 +159,16 @@ def ingest_press_tree(spark: SparkSession, root: str, months: Iterable[str] | No
 
     declared = [c for c, _ in columns]
     extras: list[str] = []
-    if extra_columns:
+    if extra_columns is True:
         # Distinct header names only (bounded by the number of distinct columns, not data).
         names = good.select(F.explode(F.map_keys("cells")).alias("k")).distinct().collect()
         extras = sorted(r.k for r in names if r.k not in declared)
     tokens = list(na_tokens)
     typed = [null_if_na(F.col("cells")[c], tokens).try_cast(t).alias(c) for c, t in columns]
     typed += [null_if_na(F.col("cells")[c], tokens).alias(c) for c in extras]
+    if extra_columns == "map":
+        known = F.array(*[F.lit(c) for c in declared])
+        typed.append(F.map_filter("cells", lambda k, v: ~F.array_contains(known, k)).alias("extra"))
     lead = [F.col("press_name"), F.col("date")]
     if with_title:
         lead.append(F.regexp_extract("file_name", r"^\d{4}-\d{2}-\d{2}_[^_]*_(.*)\.csv$", 1).alias("title"))

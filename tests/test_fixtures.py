@@ -298,3 +298,12 @@ def test_sink_layout_round_trip(spark):
     r = rows.first()
     assert (r.press_name, r.date, r.title, r.comments) == ("a/b+c", "2024-12-05", "t1", 'say "x", y')
     assert rejects.count() == 0
+
+
+def test_extra_columns_as_map(spark):
+    root = _tmp()
+    _write(f"{root}/P/2024-12-05_P_1.csv", b"a,b\n1,2\n")
+    _write(f"{root}/P/2024-12-07_P_3.csv", b"a,c\n5,6\n")
+    rows, _ = press_tree.ingest_press_tree(spark, root, columns=(("a", "bigint"),), extra_columns="map")
+    got = sorted((r.a, sorted(r.extra.items())) for r in rows.collect())
+    assert got == [(1, [("b", "2")]), (5, [("c", "6")])]
