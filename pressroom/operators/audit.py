@@ -22,10 +22,10 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pressroom.operators.joins import BROADCAST_MAX_ROWS
+from pressroom.operators.running import running_sums
 
 BUCKET_SECONDS = {"second": 1, "minute": 60, "hour": 3600, "day": 86400, "week": 7 * 86400}
 
@@ -57,24 +57,11 @@ def bucket_bound(span_source: DataFrame, ts: str, bucket: str) -> int:
 def running_counters(df: DataFrame, ts: str, tiebreak: str, values: Mapping[str, Column],
                      bucket: str = "hour", span_source: DataFrame | None = None) -> DataFrame:
     """Adds one running-sum column per entry of ``values`` in ``(ts, tiebreak)`` order
-    (nulls first), computed bucket-wise as described in the module doc. ``span_source``
-    (default ``df``) is a cheap frame holding the same ``ts`` values, used for the bound."""
-    names = list(values)
-    rows = df.withColumn("_b", F.date_trunc(bucket, F.col(ts))) \
-             .withColumns({f"_v{i}": values[n] for i, n in enumerate(names)})
-    totals = rows.groupBy("_b").agg(*[F.sum(f"_v{i}").alias(f"_t{i}") for i in range(len(names))])
-    wb = Window.orderBy(F.col("_b").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select("_b", *[F.coalesce(F.sum(f"_t{i}").over(wb), F.lit(0)).alias(f"_o{i}")
-                                    for i in range(len(names))])
-    if bucket_bound(span_source if span_source is not None else df, ts, bucket) <= BROADCAST_MAX_ROWS:
-        offsets_b = F.broadcast(offsets)
-    else:
-        offsets_b = offsets
-    w = (Window.partitionBy("_b").orderBy(F.col(ts).asc_nulls_first(), F.col(tiebreak))
-               .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    out = rows.join(offsets_b, rows["_b"].eqNullSafe(offsets_b["_b"]), "inner").drop(offsets_b["_b"])
-    out = out.withColumns({n: F.col(f"_o{i}") + F.sum(f"_v{i}").over(w) for i, n in enumerate(names)})
-    return out.drop("_b", *[f"_v{i}" for i in range(len(names))], *[f"_o{i}" for i in range(len(names))])
+    (nulls first), computed bucket-wise (``operators.running``). ``span_source`` (default
+    ``df``) is a cheap frame holding the same ``ts`` values, used for the offsets bound."""
+    bound = bucket_bound(span_source if span_source is not None else df, ts, bucket)
+    return running_sums(df, values, [F.col(ts).asc_nulls_first(), F.col(tiebreak)],
+                        bucket=F.date_trunc(bucket, F.col(ts)), offsets_bound=bound)
 
 
 def ingest_audit(df: DataFrame, key: Sequence[str], ts: str, tiebreak: str, failed: Column,

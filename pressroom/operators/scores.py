@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pressroom.functions.text import WORD_PATTERN, has_text
+from pressroom.operators.running import running_sums
 
 
 class LexiconScorer:
@@ -115,13 +116,16 @@ def comment_scores(df: DataFrame, scorer, text: str = "comments", keys: Sequence
 
 def mean_scores(df: DataFrame, scorer, press: str = "press_name", month: str = "month",
                 file: str = "file_name", order: str | None = None, day: str | None = None,
-                text: str = "comments", scope: str = "month_to_date", places: int | None = 6) -> DataFrame:
+                text: str = "comments", scope: str = "month_to_date", places: int | None = 6,
+                order_bucket: Column | None = None) -> DataFrame:
     """Mean label scores per press x month x file (or day / month), see module doc.
 
     * ``month_to_date`` (reference default, T3): for each file, the mean over all non-blank
       comments of this press and month in files up to and including it, files ordered by
       ``order`` (default: the file name). A file without comments still gets a row (T4):
-      null when nothing came before it.
+      null when nothing came before it. ``order_bucket`` (a column monotone in the file
+      order, e.g. the date prefix of the file name) spreads a hot press-month over several
+      tasks (``operators.running``).
     * ``file``: mean over the file's own comments; ``day``: per ``day`` column;
       ``month``: one row per press x month.
     """
@@ -147,11 +151,10 @@ def mean_scores(df: DataFrame, scorer, press: str = "press_name", month: str = "
         per_file = scored.groupBy(*file_keys).agg(F.count_if("ok").alias("n_comments"), *sums)
         keys = file_keys
         if scope == "month_to_date":
-            w = (Window.partitionBy(press, month).orderBy(order, file)
-                       .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-            grouped = per_file.select(
-                *keys, F.sum("n_comments").over(w).alias("n_comments"),
-                *[F.sum(f"s{i}").over(w).alias(f"s{i}") for i in range(len(labels))])
+            sums_ = {"n_comments": F.col("n_comments"), **{f"s{i}": F.col(f"s{i}") for i in range(len(labels))}}
+            grouped = running_sums(per_file.withColumnsRenamed({c: f"_{c}" for c in sums_}),
+                                   {c: F.col(f"_{c}") for c in sums_}, [order, file], keys=[press, month],
+                                   bucket=order_bucket)
         else:
             grouped = per_file
 

@@ -477,8 +477,10 @@ SELECT press_name, month, doc_id, n_comments, {means} FROM m"""
 
 @register("mean_scores_month_to_date", jobs=("J17",), ids=("D8", "E3", "C7", "U2"), sql=_scores_sql("mtd"))
 def mean_scores_month_to_date(spark: SparkSession, sf_dir: str):
+    # Files are ordered by doc_id; blocks of 100 ids are the order buckets of the running sums.
     return scores.mean_scores(_doc_lines(Tables(spark, sf_dir)), scores.LexiconScorer(DEMO_LEXICON),
-                              file="doc_id", scope="month_to_date")
+                              file="doc_id", scope="month_to_date",
+                              order_bucket=F.floor(F.col("doc_id") / 100))
 
 
 @register("mean_scores_file", jobs=("J17",), ids=("D8",), sql=_scores_sql("file"))

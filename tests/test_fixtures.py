@@ -307,3 +307,16 @@ def test_extra_columns_as_map(spark):
     rows, _ = press_tree.ingest_press_tree(spark, root, columns=(("a", "bigint"),), extra_columns="map")
     got = sorted((r.a, sorted(r.extra.items())) for r in rows.collect())
     assert got == [(1, [("b", "2")]), (5, [("c", "6")])]
+
+
+def test_bucketed_running_sums_equal_plain_window(spark):
+    from pressroom.operators.running import running_sums
+    rows = [("hot" if i % 3 else f"k{i % 7}", i if i % 11 else None, i % 5) for i in range(400)]
+    df = spark.createDataFrame(rows, "k string, o long, v long").withColumn("id", F.monotonically_increasing_id())
+    order = [F.col("o").asc_nulls_first(), F.col("id")]
+    plain = running_sums(df, {"r": F.col("v")}, order, keys=["k"])
+    bucketed = running_sums(df, {"r": F.col("v")}, order, keys=["k"], bucket=F.floor(F.col("o") / 17),
+                            offsets_bound=100)
+    a = sorted((r.k, r.id, r.r) for r in plain.collect())
+    b = sorted((r.k, r.id, r.r) for r in bucketed.collect())
+    assert a == b
