@@ -1,12 +1,11 @@
 """J15 box-plot statistics and J16 comment-length distribution.
 
-Plan: (1) one grouped aggregate computes n, mean and the three quartiles of every value
-column (Spark's ``percentile`` keeps a value->count map per group and merges partial maps,
-so repeated values cost nothing; ``exact=False`` uses the bounded ``percentile_approx``
-sketch instead); (2) the per-group result -- one row per group -- is checkpointed, counted
-and broadcast to the data, and a second grouped aggregate takes the whiskers (extreme values
-inside the 1.5 x IQR fences) and counts outliers. No step gathers a group's values in one
-task, so a hot group costs the same as a cold one; the data is never shuffled whole.
+Plan: the value columns are unpivoted to ``(group, metric, value)`` rows; (1) quartiles,
+n and mean per (group, metric) -- exact by band refinement (``operators.quantiles``: no task
+holds a whole hot group) or, with ``exact=False``, ``percentile_approx``; (2) the per-group
+result, one row per (group, metric), is checkpointed, counted and broadcast to the rows, and
+a grouped aggregate takes the whiskers (extreme values inside the 1.5 x IQR fences) and
+counts outliers. Every shuffle carries partial aggregates, never a group's raw values.
 """
 
 from __future__ import annotations
@@ -17,52 +16,45 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pressroom.operators.joins import bounded_broadcast
+from pressroom.operators.quantiles import DEFAULT_ACCURACY, exact_quantiles
 
 
 def box_stats(df: DataFrame, by: str, cols: Iterable[str], whis: float = 1.5, exact: bool = True,
-              accuracy: int = 10_000, places: int | None = 6) -> DataFrame:
+              accuracy: int = DEFAULT_ACCURACY, places: int | None = 6) -> DataFrame:
     """Long result: ``by, metric, n, mean, q1, median, q3, whisker_lo, whisker_hi,
     n_outliers`` (matplotlib / seaborn box-plot rules). Nulls in the value are ignored;
     rows with a null group key are dropped."""
     cols = list(cols)
     g = F.col(by)
-    data = df.select(g.alias(by), *[F.col(c).cast("double").alias(f"v{i}") for i, c in enumerate(cols)]) \
-             .filter(g.isNotNull())
-    aggs = []
-    for i in range(len(cols)):
-        v = F.col(f"v{i}")
-        q = (F.percentile(v, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))) if exact
-             else F.percentile_approx(v, [0.25, 0.5, 0.75], accuracy))
-        aggs += [F.count(v).alias(f"n{i}"), F.avg(v).alias(f"mean{i}"), q.alias(f"q{i}")]
-    stats = data.groupBy(by).agg(*aggs)
-    for i in range(len(cols)):
-        q1, q3 = F.col(f"q{i}")[0], F.col(f"q{i}")[2]
-        iqr = q3 - q1
-        stats = stats.withColumns({f"lo{i}": q1 - F.lit(whis) * iqr, f"hi{i}": q3 + F.lit(whis) * iqr})
+    wide = df.select(g.alias(by), *[F.col(c).cast("double").alias(c) for c in cols]).filter(g.isNotNull())
+    long = wide.unpivot([by], cols, "metric", "_val")
+    keys = [by, "metric"]
+    if exact:
+        stats = exact_quantiles(long, keys, "_val", [0.25, 0.5, 0.75], accuracy,
+                                extra_aggs={"mean": F.avg("_v")})
+    else:
+        v = F.col("_val")
+        q = F.percentile_approx(v, [0.25, 0.5, 0.75], accuracy)
+        stats = (long.filter(v.isNotNull()).groupBy(*keys)
+                     .agg(F.count(v).alias("n"), F.avg(v).alias("mean"), q.alias("_q"))
+                     .select(*keys, "n", "mean", *[F.col("_q")[i].alias(f"q{i}") for i in range(3)]))
+    iqr = F.col("q2") - F.col("q0")
+    stats = stats.withColumns({"_lo": F.col("q0") - F.lit(whis) * iqr, "_hi": F.col("q2") + F.lit(whis) * iqr})
     stats_b, _ = bounded_broadcast(stats)
 
-    fences = stats_b.select(by, *[c for i in range(len(cols)) for c in (f"lo{i}", f"hi{i}")])
-    tagged = data.join(fences, by, "inner")
-    waggs = []
-    for i in range(len(cols)):
-        v, lo, hi = F.col(f"v{i}"), F.col(f"lo{i}"), F.col(f"hi{i}")
-        inside = (v >= lo) & (v <= hi)
-        waggs += [F.min(F.when(inside, v)).alias(f"wlo{i}"), F.max(F.when(inside, v)).alias(f"whi{i}"),
-                  F.count_if(v.isNotNull() & ~inside).alias(f"out{i}")]
-    whiskers = tagged.groupBy(by).agg(*waggs)
-    joined = stats_b.join(whiskers, by, "inner")
+    v = F.col("_val")
+    inside = (v >= F.col("_lo")) & (v <= F.col("_hi"))
+    whiskers = (long.join(stats_b.select(*keys, "_lo", "_hi"), keys)
+                    .groupBy(*keys).agg(F.min(F.when(inside, v)).alias("whisker_lo"),
+                                        F.max(F.when(inside, v)).alias("whisker_hi"),
+                                        F.count_if(v.isNotNull() & ~inside).alias("n_outliers")))
 
     def r(c):
         return F.round(c, places) if places is not None else c
 
-    structs = [
-        F.struct(F.lit(c).alias("metric"), F.col(f"n{i}").alias("n"), r(F.col(f"mean{i}")).alias("mean"),
-                 r(F.col(f"q{i}")[0]).alias("q1"), r(F.col(f"q{i}")[1]).alias("median"),
-                 r(F.col(f"q{i}")[2]).alias("q3"), F.col(f"wlo{i}").alias("whisker_lo"),
-                 F.col(f"whi{i}").alias("whisker_hi"), F.col(f"out{i}").alias("n_outliers"))
-        for i, c in enumerate(cols)
-    ]
-    return joined.select(by, F.inline(F.array(*structs))).filter(F.col("n") > 0)
+    return stats_b.join(whiskers, keys).select(
+        by, "metric", "n", r(F.col("mean")).alias("mean"), r(F.col("q0")).alias("q1"),
+        r(F.col("q1")).alias("median"), r(F.col("q2")).alias("q3"), "whisker_lo", "whisker_hi", "n_outliers")
 
 
 def length_distribution(df: DataFrame, by: str, text: str = "comments", **kw) -> DataFrame:

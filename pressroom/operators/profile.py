@@ -1,9 +1,9 @@
 """J11 column profile, null audit and first/last rows.
 
-``profile`` computes every statistic of every column in ONE aggregate (one scan, partial
-aggregation per task, a single tiny final merge) and unpivots the one-row result. Quartiles
-are exact (``percentile``, linear interpolation like pandas) by default; ``exact=False``
-switches to ``percentile_approx`` whose buffer is bounded, for very large columns.
+``profile`` unpivots the numeric columns and computes every statistic per column as a
+group: count, mean, std, min, max in one partial aggregate; quartiles exact by band
+refinement (linear interpolation like pandas, no task holds a whole column) or, with
+``exact=False``, by ``percentile_approx``.
 """
 
 from __future__ import annotations
@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pressroom.operators.quantiles import DEFAULT_ACCURACY, exact_quantiles
+
 NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType,
            T.DecimalType)
 
@@ -23,33 +25,34 @@ def numeric_columns(df: DataFrame) -> list[str]:
 
 
 def profile(df: DataFrame, cols: Iterable[str] | None = None, exact: bool = True,
-            accuracy: int = 10_000, places: int | None = 6) -> DataFrame:
+            accuracy: int = DEFAULT_ACCURACY, places: int | None = 6) -> DataFrame:
     """One row per numeric column: count, mean, std, min, p25, p50, p75, max (pandas
-    ``describe``). Floats are rounded to ``places`` when given."""
+    ``describe``). Floats are rounded to ``places`` when given.
+
+    The columns are unpivoted to ``(column_name, value)`` and profiled as groups, so all
+    columns share the same passes; exact quartiles use band refinement
+    (``operators.quantiles``), ``exact=False`` the ``percentile_approx`` sketch."""
     cols = list(cols) if cols is not None else numeric_columns(df)
-    qs = [0.25, 0.5, 0.75]
-    aggs = []
-    for i, c in enumerate(cols):
-        x = F.col(c).cast("double")
-        q = (F.percentile(x, F.array(*[F.lit(v) for v in qs])) if exact
-             else F.percentile_approx(x, qs, accuracy))
-        aggs += [F.count(x).alias(f"n{i}"), F.avg(x).alias(f"mean{i}"),
-                 F.stddev_samp(x).alias(f"std{i}"), F.min(x).alias(f"min{i}"),
-                 q.alias(f"q{i}"), F.max(x).alias(f"max{i}")]
-    wide = df.agg(*aggs)
+    long = df.select(*[F.col(c).cast("double").alias(c) for c in cols]).unpivot([], cols, "column_name", "_val")
+    extra = {"mean": F.avg("_v"), "std": F.stddev_samp("_v"), "min": F.min("_v"), "max": F.max("_v")}
+    if exact:
+        st = exact_quantiles(long, ["column_name"], "_val", [0.25, 0.5, 0.75], accuracy, extra_aggs=extra)
+    else:
+        v = F.col("_val")
+        st = (long.filter(v.isNotNull()).withColumn("_v", v).groupBy("column_name")
+                  .agg(F.count(v).alias("n"), *[e.alias(k) for k, e in extra.items()],
+                       F.percentile_approx(v, [0.25, 0.5, 0.75], accuracy).alias("_q"))
+                  .select("column_name", "n", *extra, *[F.col("_q")[i].alias(f"q{i}") for i in range(3)]))
+    # Columns without any value still get a row (count 0), as in pandas.
+    names = df.sparkSession.createDataFrame([(c, i) for i, c in enumerate(cols)], "column_name string, _pos int")
+    st = F.broadcast(names).join(st, "column_name", "left")
 
     def r(col: Column) -> Column:
         return F.round(col, places) if places is not None else col
 
-    structs = [
-        F.struct(F.lit(c).alias("column_name"), F.col(f"n{i}").alias("count"),
-                 r(F.col(f"mean{i}")).alias("mean"), r(F.col(f"std{i}")).alias("std"),
-                 F.col(f"min{i}").alias("min"),
-                 r(F.col(f"q{i}")[0]).alias("p25"), r(F.col(f"q{i}")[1]).alias("p50"),
-                 r(F.col(f"q{i}")[2]).alias("p75"), F.col(f"max{i}").alias("max"))
-        for i, c in enumerate(cols)
-    ]
-    return wide.select(F.inline(F.array(*structs)))
+    return st.select("column_name", F.coalesce("n", F.lit(0)).alias("count"), r(F.col("mean")).alias("mean"),
+                     r(F.col("std")).alias("std"), "min", r(F.col("q0")).alias("p25"), r(F.col("q1")).alias("p50"),
+                     r(F.col("q2")).alias("p75"), "max")
 
 
 def column_info(df: DataFrame) -> DataFrame:
