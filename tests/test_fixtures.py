@@ -320,3 +320,28 @@ def test_bucketed_running_sums_equal_plain_window(spark):
     a = sorted((r.k, r.id, r.r) for r in plain.collect())
     b = sorted((r.k, r.id, r.r) for r in bucketed.collect())
     assert a == b
+
+
+def test_stream_csv_source(spark):
+    base = _tmp()
+    src, out, ck = (os.path.join(base, x) for x in ("src", "sink", "ck"))
+    _write(f"{src}/b1.csv", 'date,press_name,title,fetch_seq,comments\n'
+                            '2024-12-05,P,t1,0,"multi\nline, quoted"\n'
+                            '2024-12-05,P,t1,1,later copy\n'.encode("utf-8"))
+    schema = "date string, press_name string, title string, fetch_seq long, comments string"
+    ingest.stream_ingest(spark, src, out, ck, schema, fmt="csv")
+    got = [(r.title, r.comments) for r in ingest.read_sink(spark, out).collect()]
+    assert got == [("t1", "multi\nline, quoted")]
+
+
+def test_pandas_tokenizer_plugin(spark):
+    import pandas as pd
+    from pyspark.sql import types as T
+
+    @F.pandas_udf(T.ArrayType(T.StringType()))
+    def split_ws(s: pd.Series) -> pd.Series:
+        return s.fillna("").str.split()
+
+    df = spark.createDataFrame([("g", "aa bb aa c-c"), ("g", None)], "grp string, comments string")
+    top = [(r.word, r.n) for r in tokens.top_tokens(df, "grp", n=5, tokenizer=split_ws).orderBy("rank").collect()]
+    assert top == [("aa", 2), ("bb", 1), ("c-c", 1)]
