@@ -345,3 +345,33 @@ def test_pandas_tokenizer_plugin(spark):
     df = spark.createDataFrame([("g", "aa bb aa c-c"), ("g", None)], "grp string, comments string")
     top = [(r.word, r.n) for r in tokens.top_tokens(df, "grp", n=5, tokenizer=split_ws).orderBy("rank").collect()]
     assert top == [("aa", 2), ("bb", 1), ("c-c", 1)]
+
+
+def test_stream_watermark_dedup(spark):
+    base = _tmp()
+    src, out, ck = (os.path.join(base, x) for x in ("src", "sink", "ck"))
+    schema = "k long, ts timestamp_ntz, v string"
+    t0 = dt.datetime(2024, 12, 5, 10, 0, 0)
+    spark.createDataFrame([(1, t0, "a"), (1, t0 + dt.timedelta(minutes=5), "b"), (2, t0, "c")], schema) \
+         .write.parquet(os.path.join(src, "b1"))
+    ingest.stream_dedup_watermark(spark, src + "/*", out, ck, schema, ["k"], "ts", "1 hour")
+    spark.createDataFrame([(2, t0 + dt.timedelta(minutes=1), "d"), (3, t0, "e")], schema) \
+         .write.parquet(os.path.join(src, "b2"))
+    ingest.stream_dedup_watermark(spark, src + "/*", out, ck, schema, ["k"], "ts", "1 hour")
+    keys = sorted(r.k for r in spark.read.parquet(out).collect())
+    assert keys == [1, 2, 3]
+
+
+def test_a13_crawl_days(spark):
+    n = spark.range(1).select(F.size(articles.day_list("2024-12-04", "2025-04-15")).alias("n")).first().n
+    assert n == 132
+
+
+def test_c1_lookup_unmatched_and_large_directory(spark):
+    df = spark.createDataFrame([(1,), (2,), (None,)], "pid long")
+    dim = spark.createDataFrame([(1, "A"), (3, "C")], "id long, name string")
+    for max_rows in (None, 1):  # broadcast, then the shuffle-join fallback
+        got = sorted(((r.pid, r.press_name) for r in
+                      articles.lookup_press(df, dim, "pid", "id", "name", max_rows=max_rows).collect()),
+                     key=repr)
+        assert got == sorted([(1, "A"), (2, None), (None, None)], key=repr)
