@@ -49,6 +49,14 @@ def build_summary(df: DataFrame, ts: str, outlet: str, values: Mapping[str, Colu
               .agg(*[agg.alias(name) for name, agg in values.items()]))
 
 
+def summary_from_scores(scores: DataFrame, labels: Sequence[str], press: str = "press_name",
+                        month: str = "month", key: str = KEY) -> DataFrame:
+    """Bridge J17 -> J20: month-scope mean scores (one row per press x ``YYYY-MM`` month)
+    become the ``Year-Month-Media`` summary that ``emotion_share`` reads."""
+    k = F.concat_ws("-", F.col(month), F.col(press))
+    return scores.select(k.alias(key), *[F.col(f"`{c}`") for c in labels])
+
+
 def split_key(key: Column, zero_pad: bool = False) -> tuple[Column, Column]:
     """``Year-Month`` = first two ``-`` parts, ``Media_Outlet`` = the third one
     (an outlet holding ``-`` is cut there, as in the reference). Missing parts -> null."""

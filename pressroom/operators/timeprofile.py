@@ -20,6 +20,10 @@ PARTS = {
 
 # Dense domains for parts with a fixed range.
 DENSE = {"hour": (0, 23)}
+# --- fixed values -------------------------------------------------------------------------
+# Day names in week order, as ``date_format(ts, 'EEEE')`` prints them.
+WEEKDAYS = ("Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday", "Sunday")
+# ------------------------------------------------------------------------------------------
 
 
 def time_parts(df: DataFrame, ts: str, keep_unparsable: bool = True) -> DataFrame:
@@ -42,12 +46,19 @@ def time_histogram(df: DataFrame, ts: str, part: str = "hour", dense: bool = Fal
     counts = (df.select(value.alias(part)).filter(F.col(part).isNotNull())
                 .groupBy(part).agg(F.count(F.lit(1)).alias("n_comments")))
     if dense:
-        if part not in DENSE:
+        # The domain is a generator over one row (24 hours / 7 days), not a scan or a join
+        # partner that grows with the data.
+        one = counts.sparkSession.range(1)
+        if part in DENSE:
+            lo, hi = DENSE[part]
+            domain = one.select(F.explode(F.sequence(F.lit(lo), F.lit(hi))).alias(part))
+        elif part == "weekday":
+            domain = one.select(F.explode(F.array(*[F.lit(d) for d in WEEKDAYS])).alias(part))
+        else:
             raise ValueError(f"no dense domain for {part}")
-        lo, hi = DENSE[part]
-        # The domain is a generator over one row (24 values), not a scan or a join partner
-        # that grows with the data.
-        domain = counts.sparkSession.range(1).select(F.explode(F.sequence(F.lit(lo), F.lit(hi))).alias(part))
         counts = (domain.join(counts, part, "left")
                         .select(part, F.coalesce("n_comments", F.lit(0)).alias("n_comments")))
+    if part == "weekday":
+        pos = F.array_position(F.array(*[F.lit(d) for d in WEEKDAYS]), F.col(part))
+        return counts.orderBy(pos)
     return counts.orderBy(part)

@@ -375,3 +375,20 @@ def test_c1_lookup_unmatched_and_large_directory(spark):
                       articles.lookup_press(df, dim, "pid", "id", "name", max_rows=max_rows).collect()),
                      key=repr)
         assert got == sorted([(1, "A"), (2, None), (None, None)], key=repr)
+
+
+def test_scores_to_shares_chain(spark):
+    df = spark.createDataFrame([("P", "2024-12", "f1", "0.2"), ("P", "2024-12", "f1", "0.6"),
+                                ("Q", "2025-01", "f2", "1")],
+                               "press_name string, month string, file_name string, comments string")
+    month = scores.mean_scores(df, NumberScorer(), scope="month")
+    summary = shares.summary_from_scores(month, ["s"])
+    long = shares.emotion_share(summary, ["s"])
+    got = sorted((r["Year-Month"], r.Media_Outlet, r.Score, r.Ratio) for r in long.collect())
+    assert got == [("2024-12", "P", 0.4, 100.0), ("2025-01", "Q", 1.0, 100.0)]
+
+
+def test_dense_weekdays(spark):
+    df = spark.createDataFrame([(dt.datetime(2024, 12, 5, 1, 0),), (dt.datetime(2024, 12, 5, 2, 0),)], "ts timestamp_ntz")
+    got = [(r.weekday, r.n_comments) for r in timeprofile.time_histogram(df, "ts", "weekday", dense=True).collect()]
+    assert got[0] == ("Monday", 0) and got[3] == ("Thursday", 2) and len(got) == 7
