@@ -40,14 +40,21 @@ def checkpoint_root(spark: SparkSession) -> str:
     """Shared folder for checkpoints and intermediate tables.
 
     On a cluster this is the folder the cluster names in ``spark.checkpoint.dir``; we only
-    pick our own (a fresh folder under the system temp dir) when it is unset, as in tests.
+    pick our own (a fresh folder under the system temp dir) when the session names none, as
+    in tests. The core setting itself is never modified at runtime: only the context's
+    checkpoint directory is set.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = tempfile.mkdtemp(prefix="pressroom-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(root)
+    sc = spark.sparkContext
+    root = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+    if root:
+        if sc.getCheckpointDir() is None:
+            sc.setCheckpointDir(root)
+        return root
+    existing = sc.getCheckpointDir()
+    if existing:
+        return existing
+    root = tempfile.mkdtemp(prefix="pressroom-ckpt-")
+    sc.setCheckpointDir(root)
     return root
 
 
