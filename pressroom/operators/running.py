@@ -24,15 +24,19 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pressroom.operators.joins import BROADCAST_MAX_ROWS
+from pressroom.session import checkpoint_root
 
 
 def running_sums(df: DataFrame, values: Mapping[str, Column], order: Sequence[Column | str],
                  keys: Sequence[str] = (), bucket: Column | None = None,
-                 offsets_bound: int | None = None) -> DataFrame:
+                 offsets_bound: int | None = None, materialize: bool = False) -> DataFrame:
     """Adds one running-sum column (rows from the first up to the current one, in ``order``)
     per entry of ``values``, restarting for every combination of ``keys``. ``bucket`` must be
     monotone in ``order`` (ascending, nulls first); without it the window is partitioned by
-    ``keys`` only."""
+    ``keys`` only. ``materialize`` checkpoints the partitioned input once (into the shared
+    checkpoint folder) so that the totals branch and the row branch -- which column pruning
+    plans as different shuffles -- do not both recompute an expensive input; use it when the
+    input is already reduced (e.g. one row per file)."""
     keys = list(keys)
     order_cols = [F.col(o) if isinstance(o, str) else o for o in order]
     names = list(values)
@@ -41,19 +45,33 @@ def running_sums(df: DataFrame, values: Mapping[str, Column], order: Sequence[Co
         w = Window.partitionBy(*keys).orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, Window.currentRow)
         return df.withColumns({n: F.sum(values[n]).over(w) for n in names})
 
-    rows = df.withColumn("_b", bucket).withColumns(vcols)
-    totals = rows.groupBy(*keys, "_b").agg(*[F.sum(f"_v{i}").alias(f"_t{i}") for i in range(len(names))])
+    # One shuffle serves the bucket totals, the offsets join and the per-bucket window: rows
+    # are hash-partitioned by a surrogate of (keys, bucket). The join's only equi-key is the
+    # surrogate (exact null-safe key equality is checked as a residual condition), and the
+    # window clusters on (surrogate, keys, bucket), which that partitioning already
+    # satisfies -- so the input's lineage (e.g. scoring) runs once.
+    kb = keys + ["_b"]
+    rows = (df.withColumn("_b", bucket).withColumns(vcols)
+              .withColumn("_jk", F.xxhash64(*[F.col(c) for c in kb])).repartition("_jk"))
+    if materialize:
+        checkpoint_root(rows.sparkSession)
+        rows = rows.checkpoint(eager=True)
+    totals = rows.groupBy("_jk", *kb).agg(*[F.sum(f"_v{i}").alias(f"_t{i}") for i in range(len(names))])
     wb = (Window.partitionBy(*keys).orderBy(F.col("_b").asc_nulls_first())
                 .rowsBetween(Window.unboundedPreceding, -1))
-    offsets = totals.select(*keys, "_b", *[F.coalesce(F.sum(f"_t{i}").over(wb), F.lit(0)).alias(f"_o{i}")
-                                           for i in range(len(names))])
+    renamed = {c: f"_o_{c}" for c in ["_jk", *kb]}
+    offsets = totals.select(*[F.col(c).alias(renamed[c]) for c in ["_jk", *kb]],
+                            *[F.coalesce(F.sum(f"_t{i}").over(wb), F.lit(0)).alias(f"_o{i}")
+                              for i in range(len(names))])
     if offsets_bound is not None and offsets_bound <= BROADCAST_MAX_ROWS:
         offsets = F.broadcast(offsets)
-    cond = [rows[k].eqNullSafe(offsets[k]) for k in keys + ["_b"]]
-    joined = rows.join(offsets, cond, "inner")
-    for k in keys + ["_b"]:
-        joined = joined.drop(offsets[k])
-    w = (Window.partitionBy(*keys, "_b").orderBy(*order_cols)
+    same = [F.coalesce(F.col(c) == F.col(renamed[c]), F.col(c).isNull() & F.col(renamed[c]).isNull())
+            for c in kb]
+    cond = F.col("_jk") == F.col("_o__jk")
+    for c in same:
+        cond = cond & c
+    joined = rows.join(offsets, cond, "inner").drop(*renamed.values())
+    w = (Window.partitionBy("_jk", *kb).orderBy(*order_cols)
                .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     out = joined.withColumns({n: F.col(f"_o{i}") + F.sum(f"_v{i}").over(w) for i, n in enumerate(names)})
-    return out.drop("_b", *vcols, *[f"_o{i}" for i in range(len(names))])
+    return out.drop("_b", "_jk", *vcols, *[f"_o{i}" for i in range(len(names))])

@@ -154,7 +154,7 @@ def mean_scores(df: DataFrame, scorer, press: str = "press_name", month: str = "
             sums_ = {"n_comments": F.col("n_comments"), **{f"s{i}": F.col(f"s{i}") for i in range(len(labels))}}
             grouped = running_sums(per_file.withColumnsRenamed({c: f"_{c}" for c in sums_}),
                                    {c: F.col(f"_{c}") for c in sums_}, [order, file], keys=[press, month],
-                                   bucket=order_bucket)
+                                   bucket=order_bucket, materialize=order_bucket is not None)
         else:
             grouped = per_file
 

@@ -257,12 +257,12 @@ _GROUP_CASE_SQL = ("CASE " + " ".join(f"WHEN press_name IN ({_sql_in(m)}) THEN '
 
 
 @register("group_of_press", jobs=("J19",), ids=("B13", "C3"), sql=f"""
-WITH {DOC_COMMENTS_SQL}
+WITH {DOC_TEXTS_SQL}
 SELECT press_name, {_GROUP_CASE_SQL} AS "group", count(*) AS n_comments
-FROM doc_comments GROUP BY 1, 2
+FROM doc_texts GROUP BY 1, 2
 """)
 def group_of_press(spark: SparkSession, sf_dir: str):
-    c = groups.assign_group(doc_comments(Tables(spark, sf_dir)), DOC_GROUPS)
+    c = groups.assign_group(doc_texts(Tables(spark, sf_dir)), DOC_GROUPS)
     return c.groupBy("press_name", "group").agg(F.count(F.lit(1)).alias("n_comments"))
 
 
@@ -272,7 +272,7 @@ WHERE source IS NOT NULL AND source NOT IN ({_sql_in(groups.group_members(DOC_GR
 ORDER BY 1
 """)
 def unlisted_outlets(spark: SparkSession, sf_dir: str):
-    return groups.unlisted_outlets(doc_comments(Tables(spark, sf_dir)), DOC_GROUPS)
+    return groups.unlisted_outlets(doc_texts(Tables(spark, sf_dir)), DOC_GROUPS)
 
 
 # ---------------------------------------------------------------- J20 / J21 / J23 shares

@@ -65,17 +65,23 @@ def write_new_articles(df: DataFrame, path: str, key: Sequence[str] = DEFAULT_KE
     fresh = new_articles(df, path, key, order, fmt).checkpoint(eager=True)
     n = fresh.count()
     if n:
-        w = fresh.write.mode("append").partitionBy(*partition_by).format(fmt)
+        w = rebalance_for_write(fresh, partition_by).write.mode("append").partitionBy(*partition_by).format(fmt)
         if fmt == "csv":
             w = w.option("header", True).option("escape", '"')
         w.save(path)
     return n
 
 
+def rebalance_for_write(df: DataFrame, partition_by: Sequence[str]) -> DataFrame:
+    """``REBALANCE`` hint on the folder columns: AQE shuffles rows so each task writes whole
+    folders (few files per folder) and splits a hot folder over several tasks."""
+    return df.hint("rebalance", *partition_by) if partition_by else df
+
+
 def write_table(df: DataFrame, path: str, partition_by: Sequence[str] = (), fmt: str = "parquet",
                 mode: str = "overwrite") -> None:
     """Overwrite a result table (optionally one folder per press)."""
-    w = df.write.mode(mode).format(fmt)
+    w = rebalance_for_write(df, partition_by).write.mode(mode).format(fmt)
     if partition_by:
         w = w.partitionBy(*partition_by)
     if fmt == "csv":
