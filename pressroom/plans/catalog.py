@@ -756,3 +756,25 @@ def stream_first_fetch(spark: SparkSession, sf_dir: str):
                          key=["user_id", "event_type"], order="ts", partition_by=["event_type"],
                          audit=f"{base}/audit", glob_filter="events.parquet")
     return ingest.read_sink(spark, f"{base}/sink").select("event_id", "user_id", "event_type", "ts")
+
+
+# ---------------------------------------------------------------- J14 dense / J19 members
+@register("weekday_histogram_dense", jobs=("J14",), ids=("D3", "F2"), sql="""
+WITH d(weekday, pos) AS (VALUES ('Monday', 1), ('Tuesday', 2), ('Wednesday', 3), ('Thursday', 4),
+                                ('Friday', 5), ('Saturday', 6), ('Sunday', 7)),
+c AS (SELECT dayname(o_orderdate) AS weekday, count(*) AS n_comments FROM orders
+      WHERE o_orderdate IS NOT NULL GROUP BY 1)
+SELECT d.weekday, coalesce(c.n_comments, 0) AS n_comments FROM d LEFT JOIN c USING (weekday) ORDER BY d.pos
+""")
+def weekday_histogram_dense(spark: SparkSession, sf_dir: str):
+    return timeprofile.time_histogram(Tables(spark, sf_dir).orders, "o_orderdate", "weekday", dense=True)
+
+
+@register("comments_of_members", jobs=("J19",), ids=("B14", "C3", "G3"), sql=f"""
+SELECT source AS press_name, count(*) AS n_comments, CAST(sum(length(text)) AS BIGINT) AS n_chars
+FROM documents WHERE source IN ({_sql_in(groups.group_members(DOC_GROUPS))}) GROUP BY 1
+""")
+def comments_of_members(spark: SparkSession, sf_dir: str):
+    c = groups.filter_members(doc_texts(Tables(spark, sf_dir)), groups.group_members(DOC_GROUPS))
+    return c.groupBy("press_name").agg(F.count(F.lit(1)).alias("n_comments"),
+                                       F.sum(F.length("comments")).cast("long").alias("n_chars"))

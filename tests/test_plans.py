@@ -60,3 +60,17 @@ def test_share_summary_computed_once(spark):
     p = plan(QUERIES["group_month_share"](spark, SF01))
     scans = re.findall(r"^\(\d+\) Scan parquet", p, flags=re.M)
     assert len(scans) == 3, p  # lineitem, orders, customer -- once each
+
+
+@pytest.mark.parametrize("name", ["top_tokens_by_lang", "first_fetch_per_key", "article_index",
+                                  "visibility_by_press", "audit_totals", "mean_scores_month"])
+def test_grouped_steps_aggregate_before_the_shuffle(spark, name):
+    """A hot key ships one partial row per task: every grouped step has a partial aggregate
+    below its exchange."""
+    p = plan(QUERIES[name](spark, SF01))
+    assert re.search(r"Functions \[\d+\]: \[partial_", p), p
+
+
+def test_member_filter_reaches_the_scan(spark):
+    p = plan(QUERIES["comments_of_members"](spark, SF01))
+    assert re.search(r"PushedFilters: \[.*In\(source", p), p
