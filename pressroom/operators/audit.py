@@ -32,17 +32,27 @@ BUCKET_SECONDS = {"second": 1, "minute": 60, "hour": 3600, "day": 86400, "week":
 STATUS_OK, STATUS_FAILED, STATUS_DUPLICATE = "ok", "failed", "duplicate"
 
 
+def _first_fetches(base: DataFrame, key: list[str], ts: str, tiebreak: str) -> DataFrame:
+    """One row per key: the smallest (ts, tiebreak) among its non-failed fetches."""
+    return (base.filter(~F.col("_failed"))
+                .groupBy(*key).agg(F.min(F.struct(F.col(ts).alias("t"), F.col(tiebreak).alias("i"))).alias("_first")))
+
+
+def _with_status(base: DataFrame, firsts: DataFrame, key: list[str], ts: str, tiebreak: str) -> DataFrame:
+    j = base.join(firsts, key, "left")
+    is_first = F.col("_first.t").eqNullSafe(F.col(ts)) & F.col("_first.i").eqNullSafe(F.col(tiebreak))
+    status = (F.when(F.col("_failed"), F.lit(STATUS_FAILED))
+               .when(F.coalesce(is_first, F.lit(False)), F.lit(STATUS_OK)).otherwise(F.lit(STATUS_DUPLICATE)))
+    return j.withColumn("status", status).drop("_first")
+
+
 def fetch_status(df: DataFrame, key: Sequence[str], ts: str, tiebreak: str, failed: Column) -> DataFrame:
-    """Adds ``status``: failed / duplicate / ok (first non-failed fetch of its key)."""
+    """Adds ``status``: failed / duplicate / ok (first non-failed fetch of its key, by
+    ``(ts, tiebreak)``; ``tiebreak`` must be unique per row, e.g. a fetch id). Rows with a
+    null key never match a first fetch, so they count as duplicates."""
     key = list(key)
     base = df.withColumn("_failed", F.coalesce(failed, F.lit(False)))
-    firsts = (base.filter(~F.col("_failed"))
-                  .groupBy(*key).agg(F.min(F.struct(F.col(ts).alias("t"), F.col(tiebreak).alias("i"))).alias("_first")))
-    j = base.join(firsts, key, "left")
-    is_first = (F.col("_first.t").eqNullSafe(F.col(ts))) & (F.col("_first.i") == F.col(tiebreak))
-    status = (F.when(F.col("_failed"), F.lit(STATUS_FAILED))
-               .when(is_first, F.lit(STATUS_OK)).otherwise(F.lit(STATUS_DUPLICATE)))
-    return j.withColumn("status", status).drop("_failed", "_first")
+    return _with_status(base, _first_fetches(base, key, ts, tiebreak), key, ts, tiebreak).drop("_failed")
 
 
 def bucket_bound(span_source: DataFrame, ts: str, bucket: str) -> int:
@@ -67,15 +77,38 @@ def running_counters(df: DataFrame, ts: str, tiebreak: str, values: Mapping[str,
 def ingest_audit(df: DataFrame, key: Sequence[str], ts: str, tiebreak: str, failed: Column,
                  n_comments: Column, bucket: str = "hour") -> DataFrame:
     """Status per fetch plus running ``seq`` (file number), ``ok_count``, ``fail_count``
-    and ``total_comments`` (comments fetched so far; a failed fetch brings none)."""
-    s = fetch_status(df.withColumn("n_comments", n_comments), key, ts, tiebreak, failed)
+    and ``total_comments`` (comments fetched so far; a failed fetch brings none).
+
+    The per-bucket totals are counted without the status join: ``seq``, ``fail_count`` and
+    ``total_comments`` are row-local, and a bucket's ``ok_count`` is the number of keys whose
+    first fetch falls in it -- counted from the first-per-key table the status join uses
+    anyway. So the join over all rows runs once."""
+    key = list(key)
+    base = df.withColumn("n_comments", n_comments).withColumn("_failed", F.coalesce(failed, F.lit(False)))
+    firsts = _first_fetches(base, key, ts, tiebreak)
+    s = _with_status(base, firsts, key, ts, tiebreak)
     st = F.col("status")
-    return running_counters(s, ts, tiebreak, {
+    values = {
         "seq": F.lit(1).cast("long"),
         "ok_count": (st == STATUS_OK).cast("long"),
         "fail_count": (st == STATUS_FAILED).cast("long"),
         "total_comments": F.when(st == STATUS_FAILED, F.lit(0)).otherwise(F.coalesce(F.col("n_comments"), F.lit(0))).cast("long"),
-    }, bucket, span_source=df.select(ts))
+    }
+    b = F.date_trunc(bucket, F.col(ts))
+    raw = base.groupBy(b.alias("_b")).agg(
+        F.count(F.lit(1)).alias("_t0"), F.count_if("_failed").alias("_t2"),
+        F.sum(F.when(F.col("_failed"), F.lit(0)).otherwise(F.coalesce(F.col("n_comments"), F.lit(0)))).cast("long").alias("_t3"))
+    not_null_key = F.lit(True)
+    for k in key:
+        not_null_key = not_null_key & F.col(k).isNotNull()
+    oks = (firsts.filter(not_null_key).groupBy(F.date_trunc(bucket, F.col("_first.t")).alias("_ob"))
+                 .agg(F.count(F.lit(1)).alias("_t1")))
+    totals = (raw.join(oks, raw["_b"].eqNullSafe(oks["_ob"]), "left")
+                 .select("_b", "_t0", F.coalesce("_t1", F.lit(0)).alias("_t1"), "_t2", "_t3"))
+    bound = bucket_bound(df.select(ts), ts, bucket)
+    out = running_sums(s, values, [F.col(ts).asc_nulls_first(), F.col(tiebreak)], bucket=b,
+                       offsets_bound=bound, totals=totals)
+    return out.drop("_failed")
 
 
 def audit_totals(audit: DataFrame) -> DataFrame:

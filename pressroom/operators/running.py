@@ -29,14 +29,17 @@ from pressroom.session import checkpoint_root
 
 def running_sums(df: DataFrame, values: Mapping[str, Column], order: Sequence[Column | str],
                  keys: Sequence[str] = (), bucket: Column | None = None,
-                 offsets_bound: int | None = None, materialize: bool = False) -> DataFrame:
+                 offsets_bound: int | None = None, materialize: bool = False,
+                 totals: DataFrame | None = None) -> DataFrame:
     """Adds one running-sum column (rows from the first up to the current one, in ``order``)
     per entry of ``values``, restarting for every combination of ``keys``. ``bucket`` must be
     monotone in ``order`` (ascending, nulls first); without it the window is partitioned by
     ``keys`` only. ``materialize`` checkpoints the partitioned input once (into the shared
     checkpoint folder) so that the totals branch and the row branch -- which column pruning
     plans as different shuffles -- do not both recompute an expensive input; use it when the
-    input is already reduced (e.g. one row per file)."""
+    input is already reduced (e.g. one row per file). ``totals`` (columns ``keys``, ``_b``,
+    ``_t0``.. in ``values`` order) replaces the bucket totals computed from ``df`` -- for
+    callers that can count them from cheaper inputs than the rows themselves."""
     keys = list(keys)
     order_cols = [F.col(o) if isinstance(o, str) else o for o in order]
     names = list(values)
@@ -56,7 +59,11 @@ def running_sums(df: DataFrame, values: Mapping[str, Column], order: Sequence[Co
     if materialize:
         checkpoint_root(rows.sparkSession)
         rows = rows.checkpoint(eager=True)
-    totals = rows.groupBy("_jk", *kb).agg(*[F.sum(f"_v{i}").alias(f"_t{i}") for i in range(len(names))])
+    if totals is None:
+        totals = rows.groupBy("_jk", *kb).agg(*[F.sum(f"_v{i}").alias(f"_t{i}") for i in range(len(names))])
+    else:
+        totals = totals.select(F.xxhash64(*[F.col(c) for c in kb]).alias("_jk"), *kb,
+                               *[F.col(f"_t{i}") for i in range(len(names))])
     wb = (Window.partitionBy(*keys).orderBy(F.col("_b").asc_nulls_first())
                 .rowsBetween(Window.unboundedPreceding, -1))
     renamed = {c: f"_o_{c}" for c in ["_jk", *kb]}
