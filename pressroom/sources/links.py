@@ -13,6 +13,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ANCHOR = r'<a\s[^>]*?href="([^"]*)"[^>]*>(.*?)</a>'
+# The same matches as ANCHOR, capturing the whole opening tag (for the class filter).
+ANCHOR_TAG = r'(<a\s[^>]*?href="[^"]*"[^>]*>).*?</a>'
+CLASS_ATTR = r'class="([^"]*)"'
 SPAN = r"<span[^>]*>(.*?)</span>"
 TAG = r"<[^>]*>"
 
@@ -23,10 +26,17 @@ def strip_text(c: Column) -> Column:
 
 
 def extract_links(df: DataFrame, html: str = "html", key: str = "page_id", contains: str | None = None,
-                  distinct: bool = False) -> DataFrame:
+                  distinct: bool = False, css_class: str | None = None) -> DataFrame:
+    """``css_class``: keep only anchors whose ``class`` attribute lists that class."""
     hrefs = F.regexp_extract_all(F.col(html), F.lit(ANCHOR), 1)
     inner = F.regexp_extract_all(F.col(html), F.lit(ANCHOR), 2)
-    rows = df.select(key, F.posexplode(F.arrays_zip(hrefs.alias("href"), inner.alias("inner"))).alias("pos", "a"))
+    parts = [hrefs.alias("href"), inner.alias("inner")]
+    if css_class is not None:
+        parts.append(F.regexp_extract_all(F.col(html), F.lit(ANCHOR_TAG), 1).alias("tag"))
+    rows = df.select(key, F.posexplode(F.arrays_zip(*parts)).alias("pos", "a"))
+    if css_class is not None:
+        classes = F.split(F.regexp_extract(F.col("a.tag"), CLASS_ATTR, 1), r"\s+")
+        rows = rows.filter(F.array_contains(classes, css_class))
     span = F.regexp_extract(F.col("a.inner"), SPAN, 1)
     text = F.when(F.col("a.inner").rlike(SPAN), strip_text(span)).otherwise(strip_text(F.col("a.inner")))
     out = rows.select(key, "pos", F.col("a.href").alias("href"), text.alias("text"))
@@ -42,3 +52,14 @@ def extract_links(df: DataFrame, html: str = "html", key: str = "page_id", conta
 def query_value(url: Column, name: str) -> Column:
     """Value of a query parameter (``try_parse_url``: malformed url -> null)."""
     return F.try_parse_url(url, F.lit("QUERY"), F.lit(name))
+
+
+def press_directory(links: DataFrame, param: str = "officeId", out_id: str = "press_id",
+                    out_name: str = "press_name") -> DataFrame:
+    """Press directory from extracted links -- id = the ``param`` query value of the
+    href, name = the link text; one row per id (first link by page and position). The
+    result feeds ``operators.articles.lookup_press``."""
+    rows = (links.select(query_value(F.col("href"), param).alias(out_id), F.col("text").alias(out_name),
+                         F.struct(*[c for c in links.columns if c not in ("href", "text")]).alias("_o"))
+                 .filter(F.col(out_id).isNotNull()))
+    return rows.groupBy(out_id).agg(F.min_by(out_name, "_o").alias(out_name))

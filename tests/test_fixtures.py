@@ -392,3 +392,17 @@ def test_dense_weekdays(spark):
     df = spark.createDataFrame([(dt.datetime(2024, 12, 5, 1, 0),), (dt.datetime(2024, 12, 5, 2, 0),)], "ts timestamp_ntz")
     got = [(r.weekday, r.n_comments) for r in timeprofile.time_histogram(df, "ts", "weekday", dense=True).collect()]
     assert got[0] == ("Monday", 0) and got[3] == ("Thursday", 2) and len(got) == 7
+
+
+def test_a11_a12_links_by_class_and_directory(spark):
+    from pressroom.sources import links
+    html = ('<ul><li><a class="list_press nclicks" href="https://n.example.com/office?officeId=023&x=1">'
+            '<span> 조선일보 </span></a></li>'
+            '<li><a href="https://n.example.com/office?officeId=025" class="other">중앙일보</a></li>'
+            '<li><a class="list_press" href="https://n.example.com/office?officeId=028"> 한겨레\t</a></li></ul>')
+    df = spark.createDataFrame([(1, html)], "page_id long, html string")
+    picked = links.extract_links(df, css_class="list_press").orderBy("pos").collect()
+    assert [(r.pos, r.text) for r in picked] == [(0, "조선일보"), (2, "한겨레")]
+    directory = {r.press_id: r.press_name for r in
+                 links.press_directory(links.extract_links(df, css_class="list_press")).collect()}
+    assert directory == {"023": "조선일보", "028": "한겨레"}
