@@ -8,11 +8,12 @@ values. Here each quantile is found by band refinement:
 1. one grouped aggregate: ``n``, min, max and ``percentile_approx`` at ``p - m`` and
    ``p + m`` for each wanted ``p`` (``m = margin / accuracy``) -- a bracket around the
    wanted ranks; groups with ``n <= accuracy`` take ``[min, max]`` as their bracket;
-2. one counting pass verifies each bracket (``#(v < lo) <= rank`` and ``#(v <= hi) > rank``)
-   and records ``#(v < lo)``; a bracket that fails falls back to ``[min, max]``;
-3. only values inside a bracket are kept, counted per distinct value, and ranked with a
-   window per (group, quantile); the rows holding the two ranks around ``p * (n - 1)`` give
-   the interpolated value.
+2. one pass keeps, per wanted quantile, the values inside its bracket counted per distinct
+   value plus one counter of the rows below the bracket; this small result is checkpointed
+   and each bracket verified (``#(v < lo) <= rank`` and ``#(v <= hi) > rank``); the rare
+   bracket that fails is recounted over its group's whole range;
+3. the in-bracket values are ranked with a window per (group, quantile); the rows holding
+   the two ranks around ``p * (n - 1)`` give the interpolated value.
 
 A bracket of a large group holds about ``2 * m * n`` rows, a small group at most
 ``accuracy`` rows, so no task ever holds a whole hot group. The per-group tables (one row per
@@ -33,6 +34,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pressroom.operators.joins import bounded_broadcast
+from pressroom.session import checkpoint_root
 
 DEFAULT_ACCURACY = 10_000
 # Largest per-group distinct-value count routed to Spark's map-based ``percentile``
@@ -108,43 +110,53 @@ def _band_quantiles(data: DataFrame, by: list[str], probs: list[float], accuracy
                  F.when(small, F.col("_max")).otherwise(F.col("_ap")[2 * i + 1]).alias(f"_hi{i}")]
     stats = stats.select("*", *cols).drop("_ap")
     stats_b, _ = bounded_broadcast(stats)
-
-    # 2. verify the brackets, count the rows below them
-    k = range(len(probs))
-    checks = (data.join(stats_b.select(*by, *[c for i in k for c in (f"_lo{i}", f"_hi{i}")]), by)
-                  .groupBy(*by).agg(*[c for i in k for c in (
-                      F.count_if(v < F.col(f"_lo{i}")).alias(f"_below{i}"),
-                      F.count_if(v <= F.col(f"_hi{i}")).alias(f"_le{i}"))]))
-    bands = stats_b.join(checks, by)
-    fixed = []
-    for i in k:
-        ok = (F.col(f"_below{i}") <= F.col(f"_rl{i}")) & (F.col(f"_le{i}") > F.col(f"_rh{i}"))
-        fixed += [F.when(ok, F.col(f"_lo{i}")).otherwise(F.col("_min")).alias(f"_lo{i}"),
-                  F.when(ok, F.col(f"_hi{i}")).otherwise(F.col("_max")).alias(f"_hi{i}"),
-                  F.when(ok, F.col(f"_below{i}")).otherwise(F.lit(0)).alias(f"_base{i}")]
-    keep = [c for c in stats.columns if not c.startswith("_lo") and not c.startswith("_hi")]
-    bands_b, _ = bounded_broadcast(bands.select(*keep, *fixed))
-
-    # 3. rank the values inside the brackets
-    in_band = data.join(bands_b.select(*by, *[c for i in k for c in (f"_lo{i}", f"_hi{i}")]), by)
-    which = F.explode(F.array(*[F.when((v >= F.col(f"_lo{i}")) & (v <= F.col(f"_hi{i}")), F.lit(i)) for i in k]))
-    counts = (in_band.select(*by, which.alias("_i"), v).filter(F.col("_i").isNotNull())
-                     .groupBy(*by, "_i", "_v").agg(F.count(F.lit(1)).alias("_c")))
-    w = Window.partitionBy(*by, "_i").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = counts.withColumn("_cum", F.sum("_c").over(w))
-    meta = bands_b.select(*by, F.array(*[F.col(f"_base{i}") for i in k]).alias("_bases"),
-                          F.array(*[F.col(f"_rl{i}") for i in k]).alias("_rls"),
-                          F.array(*[F.col(f"_rh{i}") for i in k]).alias("_rhs"))
-    ranked = ranked.join(meta, by)
-    base = F.element_at("_bases", F.col("_i") + 1)
+    k = list(range(len(probs)))
+
+    # 2. one pass: per target, the in-bracket values counted per distinct value plus ONE
+    #    "below the bracket" counter (partial aggregation folds those rows to one per task).
+    #    The result is bounded by the bracket sizes; it is checkpointed and verified.
+    def band_counts(src: DataFrame, brackets: DataFrame) -> DataFrame:
+        j = src.join(brackets.select(*by, *[c for i in k for c in (f"_lo{i}", f"_hi{i}")]), by)
+        elems = [F.when(v <= F.col(f"_hi{i}"),
+                        F.struct(F.lit(i).alias("_i"), (v < F.col(f"_lo{i}")).alias("_below"),
+                                 F.when(v >= F.col(f"_lo{i}"), v).alias("_bv")))
+                 for i in k]
+        return (j.select(*by, F.explode(F.array(*elems)).alias("_e")).filter(F.col("_e").isNotNull())
+                 .select(*by, "_e.*").groupBy(*by, "_i", "_below", "_bv").agg(F.count(F.lit(1)).alias("_c")))
+
+    checkpoint_root(data.sparkSession)
+    counts = band_counts(data, stats_b).checkpoint(eager=True)
+    ranks = stats_b.select(*by, F.array(*[F.col(f"_rl{i}") for i in k]).alias("_rls"),
+                           F.array(*[F.col(f"_rh{i}") for i in k]).alias("_rhs"))
+    rl, rh = F.element_at("_rls", F.col("_i") + 1), F.element_at("_rhs", F.col("_i") + 1)
+    check = (counts.groupBy(*by, "_i")
+                   .agg(F.coalesce(F.sum(F.when(F.col("_below"), F.col("_c"))), F.lit(0)).alias("_below_n"),
+                        F.sum("_c").alias("_le_n"))
+                   .join(ranks, by))
+    failed = check.filter(~((F.col("_below_n") <= rl) & (F.col("_le_n") > rh))).select(*by, "_i")
+    if failed.count():
+        # A bracket missed its rank (small groups, or the sketch's bound did not hold):
+        # recount those (group, target) pairs over the group's whole range.
+        whole = stats_b.select(*by, *[c for i in k for c in (F.col("_min").alias(f"_lo{i}"),
+                                                             F.col("_max").alias(f"_hi{i}"))])
+        redo = band_counts(data.join(failed.select(*by).distinct(), by, "left_semi"), whole) \
+            .join(failed, by + ["_i"], "left_semi")
+        counts = counts.join(failed, by + ["_i"], "left_anti").unionByName(redo)
+
+    # 3. rank the in-bracket values; base = rows below the bracket
+    bases = counts.filter(F.col("_below")).groupBy(*by, "_i").agg(F.sum("_c").alias("_base"))
+    vals = counts.filter(~F.col("_below")).select(*by, "_i", "_bv", "_c")
+    w = Window.partitionBy(*by, "_i").orderBy("_bv").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = (vals.withColumn("_cum", F.sum("_c").over(w))
+                  .join(bases, by + ["_i"], "left").join(ranks, by))
+    base = F.coalesce(F.col("_base"), F.lit(0))
     first_rank = base + F.col("_cum") - F.col("_c")
     last_rank = base + F.col("_cum") - 1
-    rl, rh = F.element_at("_rls", F.col("_i") + 1), F.element_at("_rhs", F.col("_i") + 1)
     picked = ranked.groupBy(*by).agg(*[c for i in k for c in (
-        F.max(F.when((F.col("_i") == i) & (first_rank <= rl) & (rl <= last_rank), v)).alias(f"_xl{i}"),
-        F.max(F.when((F.col("_i") == i) & (first_rank <= rh) & (rh <= last_rank), v)).alias(f"_xh{i}"))])
+        F.max(F.when((F.col("_i") == i) & (first_rank <= rl) & (rl <= last_rank), F.col("_bv"))).alias(f"_xl{i}"),
+        F.max(F.when((F.col("_i") == i) & (first_rank <= rh) & (rh <= last_rank), F.col("_bv"))).alias(f"_xh{i}"))])
 
-    out = bands_b.join(picked, by)
+    out = stats_b.join(picked, by)
     results = []
     for i in k:
         pos, lo_r, hi_r = F.col(f"_pos{i}"), F.col(f"_rl{i}"), F.col(f"_rh{i}")

@@ -26,3 +26,16 @@ def test_exact_quantiles_match_percentile(spark, accuracy, method):
     assert got.keys() == exp.keys()
     for g in exp:
         assert got[g] == pytest.approx(exp[g], rel=1e-12, abs=1e-12), g
+
+
+def test_failed_brackets_fall_back_to_whole_range(spark):
+    rnd = random.Random(11)
+    df = spark.createDataFrame([("g", rnd.random()) for _ in range(3000)] + [("h", float(i % 7)) for i in range(900)],
+                               "g string, v double")
+    probs = [0.1, 0.5, 0.99]
+    got = {r.g: [r[f"q{i}"] for i in range(3)] for r in
+           exact_quantiles(df, ["g"], "v", probs, accuracy=100, margin=0.0, method="band").collect()}
+    exp = {r.g: list(r.q) for r in
+           df.groupBy("g").agg(F.percentile("v", F.array(*[F.lit(p) for p in probs])).alias("q")).collect()}
+    for g in exp:
+        assert got[g] == pytest.approx(exp[g], rel=1e-12, abs=1e-12), g
