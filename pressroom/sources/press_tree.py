@@ -62,15 +62,7 @@ def _decode_files(encodings: Sequence[str]):
         for pdf in batches:
             out = []
             for path, content in zip(pdf["path"], pdf["content"]):
-                raw = bytes(content) if content is not None else b""
-                text, used = None, None
-                for enc in encs:
-                    try:
-                        text = raw.decode("utf-8-sig" if enc.lower().replace("_", "-") == "utf-8" else enc)
-                        used = enc
-                        break
-                    except (UnicodeDecodeError, LookupError):
-                        continue
+                text, used = _decode(bytes(content) if content is not None else b"", encs)
                 if text is None:
                     out.append((path, None, None, None, "undecodable"))
                     continue
@@ -95,6 +87,38 @@ def _decode_files(encodings: Sequence[str]):
 LAYOUTS = ("press", "partitioned")
 
 
+def _decode(raw: bytes, encs: Sequence[str]) -> tuple[str | None, str | None]:
+    for enc in encs:
+        try:
+            return raw.decode("utf-8-sig" if enc.lower().replace("_", "-") == "utf-8" else enc), enc
+        except (UnicodeDecodeError, LookupError):
+            continue
+    return None, None
+
+
+def _header_names(encodings: Sequence[str]):
+    """Header record of each file: the whole file is decoded with the same fallback as the
+    main pass (so the same encoding is chosen), but only the first CSV record is parsed."""
+    encs = list(encodings)
+
+    def headers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for path, content in zip(pdf["path"], pdf["content"]):
+                text, _ = _decode(bytes(content) if content is not None else b"", encs)
+                if text is None:
+                    continue
+                try:
+                    first = next(csv.reader(io.StringIO(text, newline="")), None)
+                except csv.Error:
+                    continue
+                if first:
+                    out.append((path, first))
+            yield pd.DataFrame(out, columns=["path", "header"])
+
+    return headers
+
+
 def _file_paths(root: str, months: Iterable[str] | None, layout: str) -> list[str]:
     """``press``: ``root/<press>/<date>_<press>_<title>.csv`` (month pruning on the name);
     ``partitioned``: the J2 sink layout ``root/press_name=<press>/date=<date>/*.csv``
@@ -160,8 +184,12 @@ def ingest_press_tree(spark: SparkSession, root: str, months: Iterable[str] | No
     declared = [c for c, _ in columns]
     extras: list[str] = []
     if extra_columns is True:
-        # Distinct header names only (bounded by the number of distinct columns, not data).
-        names = good.select(F.explode(F.map_keys("cells")).alias("k")).distinct().collect()
+        # Distinct header names only (bounded by the number of distinct columns, not data),
+        # from a header-only pass over the dated files.
+        files = spark.read.format("binaryFile").load(_file_paths(root, months, layout)).select("path", "content")
+        files = files.filter(_path_parts(F.col("path"), layout)[2] != "")
+        heads = files.mapInPandas(_header_names(encodings), "path string, header array<string>")
+        names = heads.select(F.explode("header").alias("k")).distinct().collect()
         extras = sorted(r.k for r in names if r.k not in declared)
     tokens = list(na_tokens)
     typed = [null_if_na(F.col("cells")[c], tokens).try_cast(t).alias(c) for c, t in columns]
