@@ -406,3 +406,20 @@ def test_a11_a12_links_by_class_and_directory(spark):
     directory = {r.press_id: r.press_name for r in
                  links.press_directory(links.extract_links(df, css_class="list_press")).collect()}
     assert directory == {"023": "조선일보", "028": "한겨레"}
+
+
+def test_monthly_and_group_keyword_reports(spark):
+    from pressroom.operators import reports
+    df = spark.createDataFrame([
+        ("P", "2024-12-05_P_a.csv", "alpha beta alpha", "2024-12-05T10:00:00+0900"),
+        ("P", "2025-04-30_P_b.csv", "gamma gamma", "2025-04-30T00:00:00+0900"),
+        ("Q", "2025-04-30_Q_c.csv", "delta", "2025-04-30T00:00:01+0900"),
+        ("Q", "2025-05-01_Q_d.csv", "omega", "2025-05-01T09:00:00+0900"),
+        ("Q", "2023-11-01_Q_e.csv", None, "bad"),
+    ], "press_name string, file_name string, comments string, regTime string")
+    top, totals = reports.monthly_keywords(df, n=1, cutoff="2025-04-30", stopwords=[])
+    assert sorted((r.year_month, r.word, r.n) for r in top.collect()) == [("2024-12", "alpha", 2), ("2025-04", "gamma", 2)]
+    assert sorted((r.year_month, r.n_tokens, r.n_comments) for r in totals.collect()) == [("2024-12", 3, 1), ("2025-04", 2, 1)]
+    gtop, _ = reports.group_keywords(df, {"G": ["P"]}, start="2024-12", end="2025-04", n=5, stopwords=[])
+    got = sorted((r.group, r.word, r.n) for r in gtop.collect())
+    assert got == [("G", "alpha", 2), ("G", "beta", 1), ("G", "gamma", 2), ("other", "delta", 1)]
