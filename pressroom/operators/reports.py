@@ -5,6 +5,9 @@
   comment totals per month.
 * ``group_keywords`` (D6 by press group, B1, B13, T7, T8): group assignment, file-name month
   window, top ``n`` tokens per group.
+* ``emotion_report`` (D8, J17 -> J20 -> J23): month-scope mean scores per press, the
+  ``Year-Month-Media`` summary, shares of each key's total, and mean shares per press group
+  and month with stack offsets -- the chain whose hand-overs the reference leaves to files.
 
 Both are the same Catalyst operators as the individual jobs (no extra shuffles beyond the
 token count and the top-N window), returned as ``(top, totals)`` frames.
@@ -17,7 +20,7 @@ from collections.abc import Iterable, Mapping
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pressroom.operators import clean, groups, tokens
+from pressroom.operators import clean, groups, scores, shares, tokens
 from pressroom.operators.timeprofile import time_parts
 
 
@@ -40,3 +43,13 @@ def group_keywords(df: DataFrame, group_map: Mapping[str, Iterable[str]], text:
     rows = groups.assign_group(rows.select(press, text), group_map, press=press, other=other)
     return (tokens.top_tokens(rows, "group", n=n, text=text, **token_kw),
             tokens.token_totals(rows, "group", text=text, **token_kw))
+
+
+def emotion_report(df: DataFrame, scorer, group_map: Mapping[str, Iterable[str]], press: str = "press_name",
+                   month: str = "month", file: str = "file_name", text: str = "comments",
+                   other: str | None = groups.OTHER) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Returns ``(month_scores, shares_long, group_month_shares)``; ``month`` holds ``YYYY-MM``."""
+    month_scores = scores.mean_scores(df, scorer, press=press, month=month, file=file, text=text, scope="month")
+    summary = shares.summary_from_scores(month_scores, scorer.labels, press=press, month=month)
+    long = shares.emotion_share(summary, scorer.labels)
+    return month_scores, long, shares.group_month_share(long, group_map, order=scorer.labels, other=other)

@@ -423,3 +423,16 @@ def test_monthly_and_group_keyword_reports(spark):
     gtop, _ = reports.group_keywords(df, {"G": ["P"]}, start="2024-12", end="2025-04", n=5, stopwords=[])
     got = sorted((r.group, r.word, r.n) for r in gtop.collect())
     assert got == [("G", "alpha", 2), ("G", "beta", 1), ("G", "gamma", 2), ("other", "delta", 1)]
+
+
+def test_emotion_report_chain(spark):
+    from pressroom.operators import reports
+    sc = scores.pandas_scorer(lambda texts: [[float(t), 1.0 - float(t)] for t in texts], ["pos", "neg"])
+    df = spark.createDataFrame([("P", "2024-12", "f1", "0.25"), ("P", "2024-12", "f2", "0.75"),
+                                ("Q", "2024-12", "f3", "1.0")],
+                               "press_name string, month string, file_name string, comments string")
+    _, long, g = reports.emotion_report(df, sc, {"G": ["P", "Q"]})
+    ratios = sorted((r.Media_Outlet, r.Emotion_Type, r.Ratio) for r in long.collect())
+    assert ratios == [("P", "neg", 50.0), ("P", "pos", 50.0), ("Q", "neg", 0.0), ("Q", "pos", 100.0)]
+    got = {(r.Emotion_Type): (r.mean_ratio, r.start) for r in g.collect()}
+    assert got == {"pos": (75.0, 0.0), "neg": (25.0, 75.0)}
