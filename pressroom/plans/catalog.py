@@ -285,7 +285,9 @@ SEGMENT_GROUPS = {"group 1": ["BUILDING", "AUTOMOBILE"], "group 2": ["MACHINERY"
 def _segment_summary(t: Tables):
     # Eager aggregation: lineitem is summed per order BEFORE the join, so the big join sees
     # one row per order instead of one per line (Catalyst does not push aggregates below joins).
-    per_order = t.lineitem.groupBy("l_orderkey").agg(*[
+    # Spread by the order key (single-split scans only): the per-order sums are of integer
+    # quantities, exact in any order, and the aggregate then needs no further shuffle.
+    per_order = spread(t.lineitem, "l_orderkey").groupBy("l_orderkey").agg(*[
         F.sum(F.when(F.col("l_returnflag") == flag, F.col("l_quantity")).otherwise(F.lit(0.0))).alias(f"q_{flag}")
         for flag in ("R", "A", "N")])
     o = t.orders.select("o_orderkey", "o_custkey", "o_orderdate")
