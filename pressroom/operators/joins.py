@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pressroom.session import checkpoint_root
+from pressroom.session import cut_lineage
 
 # Row ceiling for an explicit broadcast. Group-stat rows are ~100 bytes, so this bounds
 # the broadcast at roughly 50 MB on every executor.
@@ -25,8 +25,7 @@ def bounded_broadcast(small: DataFrame, max_rows: int = BROADCAST_MAX_ROWS,
     folder: counted once, reused by the join, survives executor loss); a stored table
     (``materialize=False``) is just counted -- re-reading it is deterministic."""
     if materialize:
-        checkpoint_root(small.sparkSession)
-        small = small.checkpoint(eager=True)
+        small = cut_lineage(small)
     n = small.count()
     if n <= max_rows:
         return F.broadcast(small), True

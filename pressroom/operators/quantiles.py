@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pressroom.operators.joins import bounded_broadcast
-from pressroom.session import checkpoint_root
+from pressroom.session import cut_lineage
 
 DEFAULT_ACCURACY = 10_000
 # Largest per-group distinct-value count routed to Spark's map-based ``percentile``
@@ -124,8 +124,7 @@ def _band_quantiles(data: DataFrame, by: list[str], probs: list[float], accuracy
         return (j.select(*by, F.explode(F.array(*elems)).alias("_e")).filter(F.col("_e").isNotNull())
                  .select(*by, "_e.*").groupBy(*by, "_i", "_below", "_bv").agg(F.count(F.lit(1)).alias("_c")))
 
-    checkpoint_root(data.sparkSession)
-    counts = band_counts(data, stats_b).checkpoint(eager=True)
+    counts = cut_lineage(band_counts(data, stats_b))
     ranks = stats_b.select(*by, F.array(*[F.col(f"_rl{i}") for i in k]).alias("_rls"),
                            F.array(*[F.col(f"_rh{i}") for i in k]).alias("_rhs"))
     rl, rh = F.element_at("_rls", F.col("_i") + 1), F.element_at("_rhs", F.col("_i") + 1)

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pressroom.operators.joins import BROADCAST_MAX_ROWS
-from pressroom.session import checkpoint_root
+from pressroom.session import cut_lineage
 
 
 def running_sums(df: DataFrame, values: Mapping[str, Column], order: Sequence[Column | str],
@@ -57,8 +57,7 @@ def running_sums(df: DataFrame, values: Mapping[str, Column], order: Sequence[Co
     rows = (df.withColumn("_b", bucket).withColumns(vcols)
               .withColumn("_jk", F.xxhash64(*[F.col(c) for c in kb])).repartition("_jk"))
     if materialize:
-        checkpoint_root(rows.sparkSession)
-        rows = rows.checkpoint(eager=True)
+        rows = cut_lineage(rows)
     if totals is None:
         totals = rows.groupBy("_jk", *kb).agg(*[F.sum(f"_v{i}").alias(f"_t{i}") for i in range(len(names))])
     else:

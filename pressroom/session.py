@@ -88,3 +88,17 @@ def checkpoint_root(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new, unique path under the shared checkpoint folder."""
     return os.path.join(checkpoint_root(spark), f"{name}-{uuid.uuid4().hex[:12]}")
+
+
+def cut_lineage(df):
+    """``checkpoint()`` into the shared checkpoint folder, then re-alias every column.
+
+    A checkpoint keeps the attribute ids of the plan it came from; joining it back to a
+    frame of the same lineage (per-group stats joined to their rows) then needs attribute
+    de-duplication that Spark cannot do for checkpointed relations when adaptive execution
+    is off. Fresh aliases make such joins plain."""
+    from pyspark.sql import functions as F
+
+    checkpoint_root(df.sparkSession)
+    done = df.checkpoint(eager=True)
+    return done.select(*[F.col(f"`{c}`").alias(c) for c in done.columns])

@@ -59,10 +59,9 @@ def write_new_articles(df: DataFrame, path: str, key: Sequence[str] = DEFAULT_KE
 
     The new rows are checkpointed first so the anti-join against the sink is evaluated once
     -- before the append changes the sink -- and the count and the write see the same rows."""
-    from pressroom.session import checkpoint_root
+    from pressroom.session import cut_lineage
 
-    checkpoint_root(df.sparkSession)
-    fresh = new_articles(df, path, key, order, fmt).checkpoint(eager=True)
+    fresh = cut_lineage(new_articles(df, path, key, order, fmt))
     n = fresh.count()
     if n:
         w = rebalance_for_write(fresh, partition_by).write.mode("append").partitionBy(*partition_by).format(fmt)
