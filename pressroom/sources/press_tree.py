@@ -212,3 +212,24 @@ def files_per_press(comments: DataFrame) -> DataFrame:
 def day_of_file(name_col) -> F.Column:
     """Third piece of the file name split on ``-`` or ``_`` (the day of month)."""
     return F.get(F.split(name_col, "[-_]"), 2)
+
+
+def read_csv_table(spark: SparkSession, path: str, encodings: Sequence[str] = ("cp949", "euc-kr"),
+                   na_tokens: Iterable[str] = NA_TOKENS, strict: bool = True) -> DataFrame:
+    """A3: one CSV file (or a glob of files with the same meaning) read with an encoding
+    fallback, columns bound by header name, all as strings with null tokens -> null (cast
+    downstream, e.g. ``try_cast`` in J20). ``strict`` raises when a file cannot be decoded
+    or parsed, as the reference aborts; otherwise such files are skipped."""
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    decoded = files.mapInPandas(_decode_files(encodings), DECODED_SCHEMA)
+    if strict:
+        bad = decoded.filter(F.col("reason").isNotNull()).select("path", "reason").limit(1).collect()
+        if bad:
+            raise ValueError(f"cannot read {bad[0].path}: {bad[0].reason} (tried {list(encodings)})")
+    good = decoded.filter(F.col("reason").isNull())
+    heads = files.mapInPandas(_header_names(encodings), "path string, header array<string>")
+    names: list[str] = []
+    for r in heads.select("header").distinct().collect():  # distinct header lines: tiny
+        names += [c for c in r.header if c not in names]
+    tokens = list(na_tokens)
+    return good.select(*[null_if_na(F.col("cells")[c], tokens).alias(c) for c in names])

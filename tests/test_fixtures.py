@@ -436,3 +436,17 @@ def test_emotion_report_chain(spark):
     assert ratios == [("P", "neg", 50.0), ("P", "pos", 50.0), ("Q", "neg", 0.0), ("Q", "pos", 100.0)]
     got = {(r.Emotion_Type): (r.mean_ratio, r.start) for r in g.collect()}
     assert got == {"pos": (75.0, 0.0), "neg": (25.0, 75.0)}
+
+
+def test_a3_summary_csv_in_cp949_feeds_shares(spark):
+    root = _tmp()
+    e1, e2 = shares.EMOTIONS[0], shares.EMOTIONS[1]
+    text = f"Year-Month-Media,{e1},{e2}\n2024-12-조선일보,1,3\n2024-12-한겨레,NA,2\n"
+    _write(f"{root}/summary.csv", text.encode("cp949"))
+    df = press_tree.read_csv_table(spark, f"{root}/summary.csv")
+    long = shares.emotion_share(df)
+    got = sorted((r.Media_Outlet, r.Emotion_Type, r.Ratio) for r in long.collect())
+    assert got == sorted([("조선일보", e1, 25.0), ("조선일보", e2, 75.0), ("한겨레", e1, 0.0), ("한겨레", e2, 100.0)])
+    _write(f"{root}/bad.csv", b"a,b\n\xff\xfe\x80\x80,1\n")
+    with pytest.raises(ValueError):
+        press_tree.read_csv_table(spark, f"{root}/bad.csv")
