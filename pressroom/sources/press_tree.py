@@ -51,6 +51,9 @@ COMMENT_COLUMNS = (
 DATE_IN_NAME = r"\d{4}-\d{2}-\d{2}"
 # ------------------------------------------------------------------------------------------
 
+# Rows per output batch of the decoder (input batches are capped by Arrow's byte limit).
+OUT_ROWS = 20_000
+
 DECODED_SCHEMA = ("path string, encoding string, row_no long, cells map<string,string>, "
                   "reason string")
 
@@ -58,6 +61,8 @@ DECODED_SCHEMA = ("path string, encoding string, row_no long, cells map<string,s
 def _decode_files(encodings: Sequence[str]):
     encs = list(encodings)
 
+    cols = ["path", "encoding", "row_no", "cells", "reason"]
+
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
@@ -79,7 +84,11 @@ def _decode_files(encodings: Sequence[str]):
                     if not rec:
                         continue
                     out.append((path, used, i, dict(zip(header, rec)), None))
-            yield pd.DataFrame(out, columns=["path", "encoding", "row_no", "cells", "reason"])
+                    if len(out) >= OUT_ROWS:
+                        yield pd.DataFrame(out, columns=cols)
+                        out = []
+            if out:
+                yield pd.DataFrame(out, columns=cols)
 
     return decode
 
