@@ -48,7 +48,8 @@ def article_index(df: DataFrame, url: str = "url", title: str = "title", day: st
     rows = df.select(press.alias("press_id"), article.alias("article_id"), obj.alias("object_id"),
                      F.col(url).alias("url"), F.col(title).alias("title"), F.col(day).alias("day"),
                      F.col(order).alias("_ord")).filter(F.col("object_id").isNotNull())
-    first = F.min_by(F.struct("url", "title", "day"), F.struct("_ord", "url"))
+    # Total order (order, url, title): the pick does not depend on task order or retries.
+    first = F.min_by(F.struct("url", "title", "day"), F.struct("_ord", "url", "title"))
     agg = rows.groupBy("object_id", "press_id", "article_id").agg(
         first.alias("f"), F.min("day").alias("first_day"), F.count(F.lit(1)).alias("n_copies"))
     return agg.select("object_id", "press_id", "article_id", "first_day", F.col("f.url").alias("url"),
