@@ -37,9 +37,17 @@ def _exists(spark, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
+# Most distinct partition values a batch may touch for the sink read to be pruned to them.
+PRUNE_MAX_VALUES = 100_000
+
+
 def new_articles(df: DataFrame, path: str, key: Sequence[str] = DEFAULT_KEY, order: str = "fetch_seq",
-                 fmt: str = "parquet") -> DataFrame:
-    """First-fetch rows whose key is not in the sink at ``path`` yet."""
+                 fmt: str = "parquet", prune_by: Sequence[str] = ()) -> DataFrame:
+    """First-fetch rows whose key is not in the sink at ``path`` yet.
+
+    ``prune_by``: sink partition columns that are part of the key. The batch's distinct values
+    of each (bounded by the folders it touches; skipped above ``PRUNE_MAX_VALUES``) become a
+    partition filter, so the anti-join reads only those folders of the sink, not all of it."""
     key = list(key)
     fresh = first_fetch(df, key, order)
     spark = df.sparkSession
@@ -47,8 +55,16 @@ def new_articles(df: DataFrame, path: str, key: Sequence[str] = DEFAULT_KEY, ord
         reader = spark.read.format(fmt)
         if fmt == "csv":
             reader = reader.option("header", True).option("escape", '"').option("multiLine", True)
+        sink_df = reader.load(path)
+        for c in [c for c in prune_by if c in key]:
+            vals = [r[0] for r in df.select(F.col(c).cast("string")).distinct().limit(PRUNE_MAX_VALUES + 1).collect()]
+            if len(vals) <= PRUNE_MAX_VALUES:
+                cond = F.col(c).cast("string").isin([v for v in vals if v is not None])
+                if any(v is None for v in vals):
+                    cond = cond | F.col(c).isNull()
+                sink_df = sink_df.filter(cond)
         # Partition discovery may type a folder value (e.g. a date); compare as the input types.
-        existing = reader.load(path).select(*[F.col(k).cast(df.schema[k].dataType).alias(k) for k in key]).distinct()
+        existing = sink_df.select(*[F.col(k).cast(df.schema[k].dataType).alias(k) for k in key]).distinct()
         fresh = fresh.join(existing, key, "left_anti")
     return fresh
 
@@ -61,7 +77,7 @@ def write_new_articles(df: DataFrame, path: str, key: Sequence[str] = DEFAULT_KE
     -- before the append changes the sink -- and the count and the write see the same rows."""
     from pressroom.session import cut_lineage
 
-    fresh = cut_lineage(new_articles(df, path, key, order, fmt))
+    fresh = cut_lineage(new_articles(df, path, key, order, fmt, prune_by=partition_by))
     n = fresh.count()
     if n:
         w = rebalance_for_write(fresh, partition_by).write.mode("append").partitionBy(*partition_by).format(fmt)

@@ -54,7 +54,7 @@ def stream_ingest(spark: SparkSession, src: str, sink: str, checkpoint: str, sch
     key = list(key)
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
-        fresh = new_articles(batch, sink, key, order, "parquet").persist()
+        fresh = new_articles(batch, sink, key, order, "parquet", prune_by=partition_by).persist()
         try:
             n_written = fresh.count()
             if n_written:

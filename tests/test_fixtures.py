@@ -450,3 +450,19 @@ def test_a3_summary_csv_in_cp949_feeds_shares(spark):
     _write(f"{root}/bad.csv", b"a,b\n\xff\xfe\x80\x80,1\n")
     with pytest.raises(ValueError):
         press_tree.read_csv_table(spark, f"{root}/bad.csv")
+
+
+def test_sink_read_is_pruned_to_the_batch_folders(spark):
+    import contextlib
+    import io
+    out = os.path.join(_tmp(), "sink")
+    sink.write_new_articles(_fetches(spark, [1, 2]), out)
+    other_day = spark.createDataFrame([("2024-12-09", "P", "t9", 5, "c")],
+                                      "date string, press_name string, title string, fetch_seq long, comments string")
+    fresh = sink.new_articles(other_day, out, prune_by=("press_name", "date"))
+    buf = io.StringIO()
+    with contextlib.redirect_stdout(buf):
+        fresh.explain("formatted")
+    assert "PartitionFilters: [" in buf.getvalue() and "2024-12-09" in buf.getvalue()
+    assert [r.title for r in fresh.collect()] == ["t9"]
+    assert sink.write_new_articles(_fetches(spark, [1, 2, 3], seq0=20), out) == 1
