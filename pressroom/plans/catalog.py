@@ -262,7 +262,7 @@ SELECT press_name, {_GROUP_CASE_SQL} AS "group", count(*) AS n_comments
 FROM doc_texts GROUP BY 1, 2
 """)
 def group_of_press(spark: SparkSession, sf_dir: str):
-    c = groups.assign_group(doc_texts(Tables(spark, sf_dir)), DOC_GROUPS)
+    c = groups.assign_group(doc_texts(Tables(spark, sf_dir), text_heavy=False), DOC_GROUPS)
     return c.groupBy("press_name", "group").agg(F.count(F.lit(1)).alias("n_comments"))
 
 
@@ -272,7 +272,7 @@ WHERE source IS NOT NULL AND source NOT IN ({_sql_in(groups.group_members(DOC_GR
 ORDER BY 1
 """)
 def unlisted_outlets(spark: SparkSession, sf_dir: str):
-    return groups.unlisted_outlets(doc_texts(Tables(spark, sf_dir)), DOC_GROUPS)
+    return groups.unlisted_outlets(doc_texts(Tables(spark, sf_dir), text_heavy=False), DOC_GROUPS)
 
 
 # ---------------------------------------------------------------- J20 / J21 / J23 shares
@@ -777,6 +777,6 @@ SELECT source AS press_name, count(*) AS n_comments, CAST(sum(length(text)) AS B
 FROM documents WHERE source IN ({_sql_in(groups.group_members(DOC_GROUPS))}) GROUP BY 1
 """)
 def comments_of_members(spark: SparkSession, sf_dir: str):
-    c = groups.filter_members(doc_texts(Tables(spark, sf_dir)), groups.group_members(DOC_GROUPS))
+    c = groups.filter_members(doc_texts(Tables(spark, sf_dir), text_heavy=False), groups.group_members(DOC_GROUPS))
     return c.groupBy("press_name").agg(F.count(F.lit(1)).alias("n_comments"),
                                        F.sum(F.length("comments")).cast("long").alias("n_chars"))
