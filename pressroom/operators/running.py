@@ -58,6 +58,10 @@ def running_sums(df: DataFrame, values: Mapping[str, Column], order: Sequence[Co
               .withColumn("_jk", F.xxhash64(*[F.col(c) for c in kb])).repartition("_jk"))
     if materialize:
         rows = cut_lineage(rows)
+        if offsets_bound is None:
+            # The offsets table has at most one row per input row: counting the checkpointed
+            # input is cheap and proves the bound.
+            offsets_bound = rows.count()
     if totals is None:
         totals = rows.groupBy("_jk", *kb).agg(*[F.sum(f"_v{i}").alias(f"_t{i}") for i in range(len(names))])
     else:
