@@ -45,8 +45,8 @@ PAYLOAD_SCHEMA = ("struct<result: struct<commentList: array<struct<"
 
 
 def strip_jsonp(text: Column) -> Column:
-    """Drop the ``_callback(`` prefix and the trailing ``);``."""
-    body = F.regexp_replace(text, r"^\s*_callback\(", "")
+    """Drop a leading byte-order mark, the ``_callback(`` prefix and the trailing ``);``."""
+    body = F.regexp_replace(text, "^\ufeff?\\s*_callback\\(", "")
     return F.regexp_replace(body, r"\);?\s*$", "")
 
 

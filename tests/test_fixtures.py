@@ -466,3 +466,8 @@ def test_sink_read_is_pruned_to_the_batch_folders(spark):
     assert "PartitionFilters: [" in buf.getvalue() and "2024-12-09" in buf.getvalue()
     assert [r.title for r in fresh.collect()] == ["t9"]
     assert sink.write_new_articles(_fetches(spark, [1, 2, 3], seq0=20), out) == 1
+
+
+def test_payload_with_byte_order_mark(spark):
+    df = spark.createDataFrame([("a", 1, "\ufeff" + _page(2))], "object_id string, page long, payload string")
+    assert payload.explode_payload(df).count() == 2
