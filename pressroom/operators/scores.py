@@ -171,3 +171,15 @@ def top_emotions(scores: DataFrame, labels: Sequence[str], keys: Sequence[str],
     w = Window.partitionBy(*keys).orderBy(F.desc("score"), F.asc("emotion"))
     return (long.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
                 .select(*keys, "rank", "emotion", "score"))
+
+
+def score_table(scores_df: DataFrame, labels: Sequence[str], press: str = "press_name", month: str = "month",
+                file: str = "file_name") -> DataFrame:
+    """The per-press score table -- ``press_name``, ``year-month-day`` (the
+    month plus the day cut from the file name: its third piece split on ``-`` or ``_``), then
+    one mean per label in label order. Write it with ``sink.write_table(...,
+    partition_by=["press_name"])`` for one folder per press."""
+    day = F.get(F.split(F.col(file), "[-_]"), 2)
+    return scores_df.select(F.col(press).alias("press_name"),
+                            F.concat_ws("-", F.col(month), day).alias("year-month-day"),
+                            *[F.col(f"`{lab}`") for lab in labels])

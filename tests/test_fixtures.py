@@ -471,3 +471,11 @@ def test_sink_read_is_pruned_to_the_batch_folders(spark):
 def test_payload_with_byte_order_mark(spark):
     df = spark.createDataFrame([("a", 1, "\ufeff" + _page(2))], "object_id string, page long, payload string")
     assert payload.explode_payload(df).count() == 2
+
+
+def test_score_table_keys(spark):
+    df = spark.createDataFrame([("P", "2024-12", "2024-12-05_P_t.csv", "0.5")],
+                               "press_name string, month string, file_name string, comments string")
+    t = scores.score_table(scores.mean_scores(df, NumberScorer(), scope="file"), ["s"])
+    assert t.columns == ["press_name", "year-month-day", "s"]
+    assert [tuple(r) for r in t.collect()] == [("P", "2024-12-05", 0.5)]
