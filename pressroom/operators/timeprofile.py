@@ -46,14 +46,25 @@ def time_histogram(df: DataFrame, ts: str, part: str = "hour", dense: bool = Fal
     counts = (df.select(value.alias(part)).filter(F.col(part).isNotNull())
                 .groupBy(part).agg(F.count(F.lit(1)).alias("n_comments")))
     if dense:
-        # The domain is a generator over one row (24 hours / 7 days), not a scan or a join
-        # partner that grows with the data.
+        # The domain is generated (24 hours, 7 days, or the months / years between the first
+        # and last seen), never a scan or a join partner that grows with the data.
         one = counts.sparkSession.range(1)
         if part in DENSE:
             lo, hi = DENSE[part]
             domain = one.select(F.explode(F.sequence(F.lit(lo), F.lit(hi))).alias(part))
         elif part == "weekday":
             domain = one.select(F.explode(F.array(*[F.lit(d) for d in WEEKDAYS])).alias(part))
+        elif part in ("year_month", "year"):
+            # Every month (year) between the first and the last one seen: a one-row aggregate
+            # of the counts generates the domain inside the plan, no driver round trip.
+            bounds = counts.agg(F.min(part).alias("_lo"), F.max(part).alias("_hi"))
+            if part == "year":
+                domain = bounds.select(F.explode(F.sequence("_lo", "_hi")).alias(part))
+            else:
+                first = F.to_date(F.concat(F.col("_lo"), F.lit("-01")))
+                last = F.to_date(F.concat(F.col("_hi"), F.lit("-01")))
+                domain = bounds.select(F.explode(F.sequence(first, last, F.expr("INTERVAL 1 MONTH"))).alias("_d")) \
+                               .select(F.date_format("_d", "yyyy-MM").alias(part))
         else:
             raise ValueError(f"no dense domain for {part}")
         counts = (domain.join(counts, part, "left")

@@ -780,3 +780,18 @@ def comments_of_members(spark: SparkSession, sf_dir: str):
     c = groups.filter_members(doc_texts(Tables(spark, sf_dir), text_heavy=False), groups.group_members(DOC_GROUPS))
     return c.groupBy("press_name").agg(F.count(F.lit(1)).alias("n_comments"),
                                        F.sum(F.length("comments")).cast("long").alias("n_chars"))
+
+
+@register("month_histogram_dense", jobs=("J14",), ids=("D3", "F2"), sql="""
+WITH c AS (SELECT strftime(o_orderdate, '%Y-%m') AS year_month, count(*) AS n_comments
+           FROM orders WHERE o_orderdate IS NOT NULL AND o_orderpriority = '1-URGENT' GROUP BY 1),
+d AS (SELECT strftime(m, '%Y-%m') AS year_month
+      FROM (SELECT min(year_month) AS lo, max(year_month) AS hi FROM c) b,
+           generate_series(CAST(lo || '-01' AS DATE), CAST(hi || '-01' AS DATE), INTERVAL 1 MONTH) g(m))
+SELECT d.year_month, coalesce(c.n_comments, 0) AS n_comments FROM d LEFT JOIN c USING (year_month)
+ORDER BY 1
+""")
+def month_histogram_dense(spark: SparkSession, sf_dir: str):
+    """Urgent orders per month over the whole span, months without any -> 0."""
+    o = Tables(spark, sf_dir).orders.filter(F.col("o_orderpriority") == "1-URGENT")
+    return timeprofile.time_histogram(o, "o_orderdate", "year_month", dense=True)

@@ -479,3 +479,12 @@ def test_score_table_keys(spark):
     t = scores.score_table(scores.mean_scores(df, NumberScorer(), scope="file"), ["s"])
     assert t.columns == ["press_name", "year-month-day", "s"]
     assert [tuple(r) for r in t.collect()] == [("P", "2024-12-05", 0.5)]
+
+
+def test_dense_months_and_years_fill_gaps(spark):
+    df = spark.createDataFrame([(dt.datetime(2024, 11, 5),), (dt.datetime(2025, 2, 1),), (dt.datetime(2025, 2, 9),)],
+                               "ts timestamp_ntz")
+    months = [(r.year_month, r.n_comments) for r in timeprofile.time_histogram(df, "ts", "year_month", dense=True).collect()]
+    assert months == [("2024-11", 1), ("2024-12", 0), ("2025-01", 0), ("2025-02", 2)]
+    years = [(r.year, r.n_comments) for r in timeprofile.time_histogram(df, "ts", "year", dense=True).collect()]
+    assert years == [(2024, 1), (2025, 2)]
