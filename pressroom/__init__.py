@@ -2,17 +2,21 @@
 
 Sub-packages:
 
-* ``sources``   – scans and sinks (CSV press trees, comment payloads, link extraction,
-                  driver parquet tables, first-write-wins sink).
+* ``sources``   – scans and sinks (CSV press trees and single CSV tables with an encoding
+                  fallback, comment payloads, link extraction, driver parquet tables,
+                  first-write-wins sink).
 * ``functions`` – reusable Column expressions (null tokens, blank test, time parts,
-                  tokenizer, article keys).
-* ``operators`` – the analytic jobs (visibility, profile, time histograms, box stats,
-                  keywords, emotion scores and shares, audit counters, ...).
+                  tokenizer, stopwords).
+* ``operators`` – the analytic jobs (visibility, profile, time histograms, box statistics,
+                  keywords, emotion scores and shares, audit counters, article keys, ...),
+                  their building blocks (exact band quantiles, bucketed running sums,
+                  size-checked broadcasts) and composed reports.
 * ``plans``     – the registered queries that run the operators over the driver tables,
-                  with their SQL oracles.
+                  with their SQL oracles, and explain / digest / check tools.
 * ``streaming`` – incremental ingest with Structured Streaming.
 """
 
-from pressroom.session import build_session, checkpoint_root
+from pressroom.session import build_session, checkpoint_root, scale_settings
 
-__all__ = ["build_session", "checkpoint_root"]
+__all__ = ["build_session", "checkpoint_root", "scale_settings"]
+__version__ = "0.1.0"
