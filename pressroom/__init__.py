@@ -16,7 +16,14 @@ Sub-packages:
 * ``streaming`` – incremental ingest with Structured Streaming.
 """
 
-from pressroom.session import build_session, checkpoint_root, scale_settings
+import sys
+
+from pyspark import cloudpickle
+
+# Workers get the package's functions by value, so they need no copy of it on their path.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+from pressroom.session import build_session, checkpoint_root, scale_settings  # noqa: E402
 
 __all__ = ["build_session", "checkpoint_root", "scale_settings"]
 __version__ = "0.1.0"
