@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from pressroom.llm.common import U64, mix64, parallelism, written
 
@@ -87,17 +88,15 @@ def shard(docs: DataFrame, shards: int, seed: int = 0) -> DataFrame:
     if shards < 1:
         raise ValueError("shards must be positive")
     rows = number_rows(docs)
-    schema = rows.drop("n_rows").schema.add("shard", "int").add("slot", "long")
+    fields = ("doc_id", "size", "text_crc32", "row_number")
+    schema = StructType([*(rows.schema[c] for c in fields), StructField("shard", IntegerType()), StructField("slot", LongType())])
 
     def place(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             if part.num_rows:
                 at = permute(part.column("row_number").to_numpy(), part.column("n_rows")[0].as_py(), seed)
-                yield pa.RecordBatch.from_arrays(
-                    [*(part.column(c) for c in ("doc_id", "size", "text_crc32", "row_number")),
-                     pa.array((at % shards).astype(np.int32)), pa.array(at // shards)], schema=pa.schema(
-                        [*(part.schema.field(c) for c in ("doc_id", "size", "text_crc32", "row_number")),
-                         pa.field("shard", pa.int32()), pa.field("slot", pa.int64())]))
+                columns = [*(part.column(c) for c in fields), pa.array((at % shards).astype(np.int32)), pa.array(at // shards)]
+                yield pa.RecordBatch.from_arrays(columns, names=[*fields, "shard", "slot"])
 
     placed = rows.mapInArrow(place, schema)
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
