@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pressroom.llm import chat_format, exact_dedup, sharding, url_filter
+from pressroom.llm import chat_format, exact_dedup, sentencepiece_codec, sharding, url_filter
 from pressroom.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,6 +24,12 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+@query("op3_sentencepiece")
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return sentencepiece_codec.encode_documents(docs).select("doc_id", "n_ids", "ids", "round_trip")
+
+
 _ESCAPED = r"replace(replace(replace({}, '\', '\\'), '### ', '\### '), '</turn>', '<\/turn>')"
 
 
