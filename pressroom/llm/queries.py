@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pressroom.llm import chat_format, exact_dedup, sentencepiece_codec, sharding, url_filter
+from pressroom.llm import chat_format, decontaminate, exact_dedup, quality, sentencepiece_codec, sharding, url_filter
 from pressroom.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,6 +24,12 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+@query("op1_quality")
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = quality.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", "text_score", "page_score", "score", "keep")
+
+
 @query("op3_sentencepiece")
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -68,6 +74,21 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"), keep="largest")
 
 
+@query("op6_decontaminate", sql=f"""
+WITH w AS (
+  SELECT 'd' AS kind, doc_id AS id, regexp_extract_all({LOWER.format("text")}, '[^\x20\x09-\x0D]+') AS w FROM documents WHERE text IS NOT NULL
+  UNION ALL SELECT 'i', item_id, regexp_extract_all({LOWER.format("text")}, '[^\x20\x09-\x0D]+') FROM benchmark WHERE text IS NOT NULL),
+s AS (
+  SELECT DISTINCT kind, id, unnest(CASE WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS g FROM w WHERE len(w) > 0),
+n AS (SELECT id, count(*) AS n FROM s WHERE kind = 'i' GROUP BY id),
+m AS (SELECT d.id AS doc_id, i.id AS item_id, count(*) AS n_shared FROM s d JOIN s i ON d.g = i.g AND d.kind = 'd' AND i.kind = 'i' GROUP BY ALL)
+SELECT doc_id, item_id, n_shared, n AS n_item_shingles, n_shared / n AS containment FROM m JOIN n ON n.id = m.item_id
+WHERE 100 * n_shared >= 75 * n""")
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 # The rules of the query (host, path, verdict).
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 
