@@ -125,8 +125,10 @@ def find_contaminated(docs: DataFrame, items: DataFrame, threshold: float = 0.75
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, threshold: float = 0.75) -> DataFrame:
-    """The documents that no item contaminates, with all their columns. A row goes by its doc_id;
-    rows with a null doc_id go only if their own text is contaminated."""
-    marked = docs.withColumn("_row", F.monotonically_increasing_id())
-    found = find_contaminated(marked.select(F.col("_row").alias("doc_id"), "text"), items, threshold)
-    return marked.join(written(found.select(F.col("doc_id").alias("_row")).distinct(), "contaminated"), "_row", "left_anti").drop("_row")
+    """The documents that no item contaminates, with all their columns. Rows are told by doc_id and
+    a hash of their content, so rows of one doc_id and different texts go each by its own text."""
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    packed = docs.select(F.xxhash64("doc_id", "text").alias("row"), F.struct(*[F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, names, strict=True)]).alias("doc"))
+    found = find_contaminated(docs.select(F.xxhash64("doc_id", "text").alias("doc_id"), "text"), items, threshold)
+    gone = written(found.select(F.col("doc_id").alias("row")).distinct(), "contaminated")
+    return packed.join(gone, "row", "left_anti").select(*[F.col("doc")[n].alias(c) for c, n in zip(docs.columns, names, strict=True)])

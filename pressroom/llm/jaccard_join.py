@@ -299,13 +299,14 @@ def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return pairs.join(a, "a", "left").join(b, "b", "left").filter(F.coalesce("component_a", "a") != F.coalesce("component_b", "b")).select("a", "b")
 
 
-def link_components(docs: DataFrame, percent: int = 75, rare: int = 32) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, node (of its set; null without)."""
+def _grouped(docs: DataFrame, percent: int, rare: int) -> tuple[DataFrame, DataFrame]:
+    """(node, doc, uid, n) of every row, and (node, component, smallest, first) of every node: the
+    smallest doc_id and the first row of its own."""
     if not 50 <= percent <= 100 or rare < 2:
         raise ValueError("percent from 50 to 100, rare from 2")
     rows = _prefixes(docs, percent, rare, parallelism(docs.sparkSession))
     members = rows.filter(F.col("kind") == DOC).select(F.col("a").alias("node"), F.col("b").alias("doc"), F.col("w").alias("uid"), F.col("na").alias("n"))
-    nodes = members.filter("n > 0").groupBy("node").agg(F.min(F.struct("doc", "uid")).alias("first"),
+    nodes = members.filter("n > 0").groupBy("node").agg(F.min(F.struct((F.col("doc") == NULL_ID).alias("none"), "doc", "uid")).alias("first"),
                                                        F.min(F.when(F.col("doc") != NULL_ID, F.col("doc"))).alias("smallest"))
     nodes = written(nodes, "join-nodes")
     texts = _Texts(docs, nodes, percent)
@@ -342,7 +343,12 @@ def link_components(docs: DataFrame, percent: int = 75, rare: int = 32) -> DataF
     if not more.isEmpty():
         labels = components(links.unionAll(more))
 
-    named = nodes.join(labels, "node", "left").select("node", "smallest", F.coalesce("component", "node").alias("component"))
+    return members, nodes.join(labels, "node", "left").select("node", "smallest", "first", F.coalesce("component", "node").alias("component"))
+
+
+def link_components(docs: DataFrame, percent: int = 75, rare: int = 32) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id, node (of its set; null without)."""
+    members, named = _grouped(docs, percent, rare)
     smallest = named.groupBy("component").agg(F.min("smallest").alias("component_id"))
     of_node = named.join(smallest, "component").select("node", "component_id")
     doc_id = F.when(F.col("doc") != NULL_ID, F.col("doc")).alias("doc_id")
@@ -352,9 +358,14 @@ def link_components(docs: DataFrame, percent: int = 75, rare: int = 32) -> DataF
 
 
 def keep_one(docs: DataFrame, percent: int = 75, rare: int = 32) -> DataFrame:
-    """Of every component the rows of its smallest doc_id, with all their columns; of rows with
-    one doc_id and equal text one; rows with a null doc_id stay if nothing with a doc_id is linked."""
-    found = link_components(docs, percent, rare)
-    stays = written(found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct(), "join-kept")
-    kept = docs.join(stays, docs["doc_id"].eqNullSafe(stays["doc_id"]), "left_semi")
-    return kept
+    """Of every component one row, that of the smallest doc_id (null last; of several the first by
+    a hash of the content), with all its columns. Rows without tokens all stay."""
+    members, named = _grouped(docs, percent, rare)
+    one = named.groupBy("component").agg(F.min("first").alias("one")).select(F.col("one.doc").alias("doc"), F.col("one.uid").alias("uid"), F.lit(True).alias("tokens"))
+    empty = members.filter("n = 0").select("doc", "uid", F.lit(False).alias("tokens")).distinct()
+    stays = written(one.unionAll(empty), "join-kept")
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    packed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc"), F.xxhash64("doc_id", "text").alias("uid"),
+                         F.struct(*[F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, names, strict=True)]).alias("row"))
+    kept = packed.join(stays, ["doc", "uid"]).withColumn("tie", F.when(F.col("tokens"), F.lit(0)).otherwise(F.monotonically_increasing_id()))
+    return kept.dropDuplicates(["doc", "uid", "tie"]).select(*[F.col("row")[n].alias(c) for c, n in zip(docs.columns, names, strict=True)])

@@ -246,5 +246,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.5,
 
 
 def keep_wanted(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """The documents that are not rejected, with their own columns."""
-    return score_documents(docs, labels, **options).filter("keep").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The documents that are not rejected, with their own columns, also those named like a result."""
+    aside = {c: f"own_{c}" for c in docs.columns if c.lower() in RESULT}
+    scored = score_documents(docs.withColumnsRenamed(aside), labels, **options).filter("keep")
+    return scored.select(*[F.col(f"`{aside.get(c, c)}`").alias(c) for c in docs.columns])

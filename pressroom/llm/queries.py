@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pressroom.llm import chat_format, decontaminate, exact_dedup, jaccard_join, quality, sentencepiece_codec, sharding, suffix_dedup, url_filter
+from pressroom.llm import chat_format, decontaminate, exact_dedup, jaccard_join, line_dedup, quality, sentencepiece_codec, sharding, suffix_dedup, url_filter
 from pressroom.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -30,6 +30,12 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "text_score", "page_score", "score", "keep")
 
 
+@query("op2_line_dedup")
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), report=True, max_edits=2, min_chars=30)
+    return done.select("doc_id", "n_lines", F.size("removed_lines").alias("n_removed"), "removed_lines", F.sha2("text", 256).alias("kept_sha256"))
+
+
 @query("op3_sentencepiece")
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
