@@ -6,7 +6,7 @@ none) would be in no example, so the last turn always ends one more example, wit
 
 Template of a turn: ``### <role>: <text></turn>`` and a line end. Inside role and text a
 backslash is doubled and the control strings get one backslash (``\\### ``, ``<\\/turn>``), a
-colon in a role becomes ``\\c``; :func:`unescape` takes that back.
+colon in a role becomes ``<\\c>``; :func:`unescape` takes that back.
 
 Defined results: null role or text count as empty; turns are ordered by ``turn`` (nulls first),
 ties by role and text, repeated rows are turns of their own; rows with a null ``conv_id`` form
@@ -28,11 +28,11 @@ def escape(text: Column, role: bool = False) -> Column:
     out = F.replace(text, F.lit("\\"), F.lit("\\\\"))
     out = F.replace(out, F.lit(HEAD), F.lit("\\" + HEAD))
     out = F.replace(out, F.lit(END), F.lit("<\\/turn>"))
-    return F.replace(out, F.lit(":"), F.lit("\\c")) if role else out
+    return F.replace(out, F.lit(":"), F.lit("<\\c>")) if role else out
 
 
 def unescape(text: Column, role: bool = False) -> Column:
-    out = F.replace(text, F.lit("\\c"), F.lit(":")) if role else text
+    out = F.replace(text, F.lit("<\\c>"), F.lit(":")) if role else text
     out = F.replace(out, F.lit("<\\/turn>"), F.lit(END))
     out = F.replace(out, F.lit("\\" + HEAD), F.lit(HEAD))
     return F.replace(out, F.lit("\\\\"), F.lit("\\"))

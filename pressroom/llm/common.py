@@ -147,6 +147,14 @@ def shingles_of(hashes: np.ndarray, at: np.ndarray, width: int = WORDS) -> list[
     return out
 
 
+def changes(*columns: np.ndarray) -> np.ndarray:
+    """Whether each row differs from the one before it (the first does)."""
+    out = np.ones(len(columns[0]), bool)
+    if len(out) > 1:
+        out[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
+    return out
+
+
 def signed(x: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(x, U64).view(np.int64)
 

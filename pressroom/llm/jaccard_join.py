@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pressroom.llm.common import U64, byte_table, flat_bytes, mix64, parallelism, shingles_of, signed, text_slices, unsigned, words_of, written
+from pressroom.llm.common import U64, byte_table, changes, flat_bytes, mix64, parallelism, shingles_of, signed, text_slices, unsigned, words_of, written
 from pressroom.llm.components import components
 
 SEED = 7
@@ -126,10 +126,10 @@ def _prefixes(docs: DataFrame, percent: int, rare: int, parts_n: int) -> DataFra
             part = (mix64(token) % U64(parts_n)).astype(np.int64)
             order = np.lexsort((token, part))
             token, owner, part = token[order], owner[order], part[order]
-            new = np.concatenate(([True], token[1:] != token[:-1])) if len(token) else np.zeros(0, bool)
+            new = changes(token)
             group = np.cumsum(new) - 1
             # what is frequent within the task already goes on spread out, and is named once
-            many = np.bincount(group, minlength=1)[group] > rare if len(token) else np.zeros(0, bool)
+            many = np.bincount(group, minlength=1)[group] > rare
             named, named_part = token[new & many], part[new & many]
             through = (token[many], nodes[owner[many]], sizes[owner[many]])
             token, owner, part = token[~many], owner[~many], part[~many]
@@ -184,9 +184,9 @@ def _prefixes(docs: DataFrame, percent: int, rare: int, parts_n: int) -> DataFra
             token, owner, sizes = token[order], owner[order], sizes[order]
             if not len(token):
                 return
-            once = np.concatenate(([True], (token[1:] != token[:-1]) | (owner[1:] != owner[:-1])))
+            once = changes(token, owner)
             token, owner, sizes = token[once], owner[once], sizes[once]
-            new = np.concatenate(([True], token[1:] != token[:-1]))
+            new = changes(token)
             group = np.cumsum(new) - 1
             count = np.bincount(group)
             many = (count > rare) | np.isin(token[new], np.concatenate([x[4] for x in loaded]))
@@ -213,7 +213,7 @@ def _prefixes(docs: DataFrame, percent: int, rare: int, parts_n: int) -> DataFra
             order = np.lexsort((b, a))
             a, b, w, na, nb = a[order], b[order], w[order], na[order], nb[order]
             if len(a):
-                first = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]))))
+                first = np.flatnonzero(changes(a, b))
                 yield out(PAIR, a[first], b[first], np.add.reduceat(w, first), na[first], nb[first])
 
         now, blocks = None, []

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
-from pressroom.llm.common import U64, mix64, parallelism, signed, text_slices, unsigned, written
+from pressroom.llm.common import U64, changes, mix64, parallelism, signed, text_slices, unsigned, written
 
 SEED = 2
 NULL_ID = -(2**63)  # stands for a null doc_id
@@ -243,17 +243,17 @@ def _line_table(docs: DataFrame, edits: int, min_chars: int, hot: int) -> DataFr
             yield _rows(REMOVED, *removed.T)
             lines = np.concatenate([x[0] for x in loaded])
             lines = lines[np.lexsort(lines.T[::-1])]
-            same = np.concatenate(([False], (lines[1:, :2] == lines[:-1, :2]).all(1)))
-            yield _rows(LINE, *lines[~same].T)
-            at = np.flatnonzero(~same)[np.cumsum(~same) - 1]
-            moved = same & (lines[:, 2:] != lines[at, 2:]).any(1)  # the same place of a repeated row is no copy
+            new = changes(lines[:, 0], lines[:, 1])
+            yield _rows(LINE, *lines[new].T)
+            at = np.flatnonzero(new)[np.cumsum(new) - 1]
+            moved = ~new & (lines[:, 2:] != lines[at, 2:]).any(1)  # the same place of a repeated row is no copy
             yield _rows(REMOVED, *lines[moved][:, 2:].T)
             sides = []
             for side in (1, 2):
                 key, node, count = (np.concatenate([x[side][k] for x in loaded]) for k in range(3))
                 order = np.lexsort((node, key))
                 key, node, count = key[order], node[order], count[order]
-                once = np.concatenate(([True], (key[1:] != key[:-1]) | (node[1:] != node[:-1]))) if len(key) else np.zeros(0, bool)
+                once = changes(key, node)
                 sides.append((key[once], node[once], count[once]))
             index, probe = sides
             names, sizes = np.unique(index[0], return_counts=True)

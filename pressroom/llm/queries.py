@@ -52,7 +52,7 @@ WITH t AS (
   UNION ALL SELECT -7, 1, 'assistant', '\\### Assistant: </turn> ok'),
 n AS (
   SELECT *, row_number() OVER w AS i, count(*) OVER (PARTITION BY conv_id) AS n,
-    4 + length(replace({_ESCAPED.format('role')}, ':', '\\c')) + 2 + length({_ESCAPED.format('text')}) + 8 AS chars
+    4 + length(replace({_ESCAPED.format('role')}, ':', '<\\c>')) + 2 + length({_ESCAPED.format('text')}) + 8 AS chars
   FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)),
 s AS (SELECT *, sum(chars) OVER (PARTITION BY conv_id ORDER BY i) AS so_far FROM n)
 SELECT conv_id, count(*) AS n_turns,

@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pressroom.llm.common import U64, byte_table, flat_bytes, mix64, parallelism, signed, text_slices, written
+from pressroom.llm.common import U64, byte_table, changes, flat_bytes, mix64, parallelism, signed, text_slices, written
 
 SEED = 100
 RUN = 64  # windows of a fragment
@@ -113,7 +113,7 @@ def merge_spans(doc: np.ndarray, uid: np.ndarray, a: np.ndarray, b: np.ndarray)
     doc, uid, a, b = doc[order], uid[order], a[order], b[order]
     if not len(a):
         return doc, uid, a, b
-    new = np.concatenate(([True], (doc[1:] != doc[:-1]) | (uid[1:] != uid[:-1])))
+    new = changes(doc, uid)
     group = np.cumsum(new) - 1
     shift = group * (int(b.max()) + 1)
     far = np.maximum.accumulate(b + shift) - shift
@@ -141,9 +141,8 @@ class Entries:
         fp, content, doc, uid, start, _, _ = self.columns
         e = self.take(np.lexsort((start, uid, doc, content, fp)))
         fp, content, doc, uid, start, windows, _ = e.columns
-        same = np.concatenate(([False], (fp[1:] == fp[:-1]) & (content[1:] == content[:-1])))
-        twice = np.concatenate(([False], (doc[1:] == doc[:-1]) & (uid[1:] == uid[:-1]) & (start[1:] == start[:-1]))) & same
-        rest = np.flatnonzero(same & ~twice)
+        same = ~changes(fp, content)
+        rest = np.flatnonzero(same & changes(doc, uid, start))
         # a row that is equal to the first in all is the same place, and so is one equal to a later one
         return e.take(np.flatnonzero(~same)), (doc[rest], uid[rest], start[rest], windows[rest])
 
@@ -242,12 +241,10 @@ def repeats(strings: list[bytes], doc: np.ndarray, uid: np.ndarray, start: np.nd
     kinds, owner, at = (np.concatenate(x) for x in zip(*found, strict=True))
     order = np.lexsort((at, uid[owner], doc[owner], kinds))
     kinds, owner, at = kinds[order], owner[order], at[order]
-    same = kinds[1:] == kinds[:-1]
-    later = np.concatenate(([False], same))
-    # a place that two strings hold is one place: it is later only if an earlier one is
-    new = np.concatenate(([True], ~same))
+    new = changes(kinds)
     first = np.flatnonzero(new)[np.cumsum(new) - 1]
-    later &= ~((doc[owner] == doc[owner[first]]) & (uid[owner] == uid[owner[first]]) & (at == at[first]))
+    # a place that two strings hold is one place, not a copy of itself
+    later = ~new & ~((doc[owner] == doc[owner[first]]) & (uid[owner] == uid[owner[first]]) & (at == at[first]))
     owner, at = owner[later], at[later]
     return merge_spans(doc[owner], uid[owner], at, at + length)
 
@@ -320,10 +317,9 @@ def find_repeats(docs: DataFrame, length: int = 100, anchor: int = 40, hot: int
             spans = [np.concatenate([own[i], *(s[i] for _, s in loaded)]) for i in range(4)]
             yield table(*merge_spans(*spans))
             fp, _, doc, uid, start, windows, again = firsts.columns
-            new = np.concatenate(([True], fp[1:] != fp[:-1])) if len(fp) else np.zeros(0, bool)
-            group = np.cumsum(new) - 1
+            group = np.cumsum(changes(fp)) - 1
             distinct = np.bincount(group, minlength=1)
-            on = np.flatnonzero((distinct[group] > 1) | again) if len(fp) else np.zeros(0, np.int64)
+            on = np.flatnonzero((distinct[group] > 1) | again)
             yield table(doc[on], uid[on], start[on], start[on] + windows[on].astype(np.int64) + length - 1, fp[on], distinct[group[on]] > hot)
 
         now, blocks = None, []
