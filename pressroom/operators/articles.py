@@ -7,7 +7,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pressroom.operators.joins import bounded_broadcast
 
 # --- fixed values -------------------------------------------------------------------------
 # Characters not allowed in a file title; each becomes "_".
@@ -64,14 +63,12 @@ def article_rejects(df: DataFrame, url: str = "url") -> DataFrame:
 
 
 def lookup_press(df: DataFrame, dim: DataFrame, key: str, dim_key: str, name: str,
-                 out: str = "press_name", max_rows: int | None = None) -> DataFrame:
-    """Left join id -> name; unmatched rows are kept with a null name. The directory
-    side is broadcast only after its row count is checked (``bounded_broadcast``); a large
-    directory falls back to a shuffle join."""
-    d = dim.select(F.col(dim_key).alias("_k"), F.col(name).alias(out))
-    limit = {} if max_rows is None else {"max_rows": max_rows}
-    side, _ = bounded_broadcast(d, materialize=False, **limit)
-    return df.join(side, F.col(key) == F.col("_k"), "left").drop("_k")
+                 out: str = "press_name") -> DataFrame:
+    """Left join id -> name; unmatched rows are kept with a null name. An id listed
+    several times has its smallest name, so rows are never multiplied. Which side is broadcast,
+    if any, is left to the planner."""
+    d = dim.groupBy(F.col(dim_key).alias("_k")).agg(F.min(name).alias(out))
+    return df.join(d, F.col(key) == F.col("_k"), "left").drop("_k")
 
 
 def day_list(start: str, end: str, inclusive_end: bool = False) -> Column:

@@ -1,16 +1,7 @@
 """J8 ingest audit: status per article and running counters.
 
-Running counters over a whole log are prefix sums. Doing them with one un-partitioned window
-would pull every row into one task. Instead the log is cut into time buckets (default: the
-hour of the order timestamp):
-
-1. per bucket, a grouped aggregate gives the bucket totals (partial per task);
-2. the bucket totals -- one row per bucket -- get their exclusive running sums (the bucket
-   offsets). Their row count is bounded by the time span: a min/max aggregate over the raw
-   timestamp column (one cheap scan) gives the number of buckets, and the offsets are
-   broadcast when that bound is under the limit (else shuffle-joined);
-3. each row's counter = its bucket offset + the running sum inside its bucket
-   (``Window.partitionBy(bucket)``), so the sort work is spread over all buckets.
+Running counters over a whole log are prefix sums: ``operators.running`` range-partitions the log
+by its order, sums each partition and adds what came before, so no task holds more than a partition.
 
 Status follows the crawl log: ``failed`` when the fetch returned nothing, ``duplicate`` when
 an earlier successful fetch wrote the same key, else ``ok``. "Earlier" is decided by a
@@ -25,10 +16,9 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pressroom.operators.joins import join_keys
 from pressroom.operators.running import running_sums
 
-BUCKET_SECONDS = {"second": 1, "minute": 60, "hour": 3600, "day": 86400, "week": 7 * 86400}
-
 STATUS_OK, STATUS_FAILED, STATUS_DUPLICATE = "ok", "failed", "duplicate"
 
 
@@ -39,7 +29,7 @@ def _first_fetches(base: DataFrame, key: list[str], ts: str, tiebreak: str) -> D
 
 
 def _with_status(base: DataFrame, firsts: DataFrame, key: list[str], ts: str, tiebreak: str) -> DataFrame:
-    j = base.join(firsts, key, "left")
+    j = join_keys(base, firsts, key, "left")
     is_first = F.col("_first.t").eqNullSafe(F.col(ts)) & F.col("_first.i").eqNullSafe(F.col(tiebreak))
     status = (F.when(F.col("_failed"), F.lit(STATUS_FAILED))
                .when(F.coalesce(is_first, F.lit(False)), F.lit(STATUS_OK)).otherwise(F.lit(STATUS_DUPLICATE)))
@@ -48,67 +38,30 @@ def _with_status(base: DataFrame, firsts: DataFrame, key: list[str], ts: str, ti
 
 def fetch_status(df: DataFrame, key: Sequence[str], ts: str, tiebreak: str, failed: Column) -> DataFrame:
     """Adds ``status``: failed / duplicate / ok (first non-failed fetch of its key, by
-    ``(ts, tiebreak)``; ``tiebreak`` must be unique per row, e.g. a fetch id). Rows with a
-    null key never match a first fetch, so they count as duplicates."""
+    ``(ts, tiebreak)``; ``tiebreak`` must be unique per row, e.g. a fetch id). A null in the key
+    is a value like any other."""
     key = list(key)
     base = df.withColumn("_failed", F.coalesce(failed, F.lit(False)))
     return _with_status(base, _first_fetches(base, key, ts, tiebreak), key, ts, tiebreak).drop("_failed")
 
 
-def bucket_bound(span_source: DataFrame, ts: str, bucket: str) -> int:
-    """Upper bound on the number of distinct buckets (incl. a null bucket) from min/max of
-    ``ts`` -- a one-column aggregate, answered per task from the scan."""
-    lo, hi = span_source.agg(F.min(ts).alias("lo"), F.max(ts).alias("hi")).first()
-    if lo is None:
-        return 1
-    return int((hi - lo).total_seconds() // BUCKET_SECONDS[bucket]) + 3
-
-
-def running_counters(df: DataFrame, ts: str, tiebreak: str, values: Mapping[str, Column],
-                     bucket: str = "hour", span_source: DataFrame | None = None) -> DataFrame:
-    """Adds one running-sum column per entry of ``values`` in ``(ts, tiebreak)`` order
-    (nulls first), computed bucket-wise (``operators.running``). ``span_source`` (default
-    ``df``) is a cheap frame holding the same ``ts`` values, used for the offsets bound."""
-    bound = bucket_bound(span_source if span_source is not None else df, ts, bucket)
-    return running_sums(df, values, [F.col(ts).asc_nulls_first(), F.col(tiebreak)],
-                        bucket=F.date_trunc(bucket, F.col(ts)), offsets_bound=bound)
+def running_counters(df: DataFrame, ts: str, tiebreak: str, values: Mapping[str, Column]) -> DataFrame:
+    """Adds one running-sum column per entry of ``values`` in ``(ts, tiebreak)`` order (nulls first)."""
+    return running_sums(df, values, [F.col(ts).asc_nulls_first(), F.col(tiebreak)])
 
 
 def ingest_audit(df: DataFrame, key: Sequence[str], ts: str, tiebreak: str, failed: Column,
-                 n_comments: Column, bucket: str = "hour") -> DataFrame:
+                 n_comments: Column) -> DataFrame:
     """Status per fetch plus running ``seq`` (file number), ``ok_count``, ``fail_count``
-    and ``total_comments`` (comments fetched so far; a failed fetch brings none).
-
-    The per-bucket totals are counted without the status join: ``seq``, ``fail_count`` and
-    ``total_comments`` are row-local, and a bucket's ``ok_count`` is the number of keys whose
-    first fetch falls in it -- counted from the first-per-key table the status join uses
-    anyway. So the join over all rows runs once."""
-    key = list(key)
-    base = df.withColumn("n_comments", n_comments).withColumn("_failed", F.coalesce(failed, F.lit(False)))
-    firsts = _first_fetches(base, key, ts, tiebreak)
-    s = _with_status(base, firsts, key, ts, tiebreak)
+    and ``total_comments`` (comments fetched so far; a failed fetch brings none)."""
+    s = fetch_status(df.withColumn("n_comments", n_comments), key, ts, tiebreak, failed)
     st = F.col("status")
-    values = {
+    return running_counters(s, ts, tiebreak, {
         "seq": F.lit(1).cast("long"),
         "ok_count": (st == STATUS_OK).cast("long"),
         "fail_count": (st == STATUS_FAILED).cast("long"),
         "total_comments": F.when(st == STATUS_FAILED, F.lit(0)).otherwise(F.coalesce(F.col("n_comments"), F.lit(0))).cast("long"),
-    }
-    b = F.date_trunc(bucket, F.col(ts))
-    raw = base.groupBy(b.alias("_b")).agg(
-        F.count(F.lit(1)).alias("_t0"), F.count_if("_failed").alias("_t2"),
-        F.sum(F.when(F.col("_failed"), F.lit(0)).otherwise(F.coalesce(F.col("n_comments"), F.lit(0)))).cast("long").alias("_t3"))
-    not_null_key = F.lit(True)
-    for k in key:
-        not_null_key = not_null_key & F.col(k).isNotNull()
-    oks = (firsts.filter(not_null_key).groupBy(F.date_trunc(bucket, F.col("_first.t")).alias("_ob"))
-                 .agg(F.count(F.lit(1)).alias("_t1")))
-    totals = (raw.join(oks, raw["_b"].eqNullSafe(oks["_ob"]), "left")
-                 .select("_b", "_t0", F.coalesce("_t1", F.lit(0)).alias("_t1"), "_t2", "_t3"))
-    bound = bucket_bound(df.select(ts), ts, bucket)
-    out = running_sums(s, values, [F.col(ts).asc_nulls_first(), F.col(tiebreak)], bucket=b,
-                       offsets_bound=bound, totals=totals)
-    return out.drop("_failed")
+    })
 
 
 def audit_totals(audit: DataFrame) -> DataFrame:

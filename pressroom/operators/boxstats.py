@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pressroom.operators.joins import bounded_broadcast
+from pressroom.operators.profile import not_nan
 from pressroom.operators.quantiles import DEFAULT_ACCURACY, exact_quantiles
 
 
@@ -26,7 +27,7 @@ def box_stats(df: DataFrame, by: str, cols: Iterable[str], whis: float = 1.5, ex
     rows with a null group key are dropped."""
     cols = list(cols)
     g = F.col(by)
-    wide = df.select(g.alias(by), *[F.col(c).cast("double").alias(c) for c in cols]).filter(g.isNotNull())
+    wide = df.select(g.alias(by), *[not_nan(F.col(c)).alias(c) for c in cols]).filter(g.isNotNull())
     long = wide.unpivot([by], cols, "metric", "_val")
     keys = [by, "metric"]
     if exact:

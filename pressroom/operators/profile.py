@@ -20,6 +20,12 @@ NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.Do
            T.DecimalType)
 
 
+def not_nan(c: Column) -> Column:
+    """As double, NaN as null: pandas counts neither."""
+    x = c.cast("double")
+    return F.when(~F.isnan(x), x)
+
+
 def numeric_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if isinstance(f.dataType, NUMERIC)]
 
@@ -33,7 +39,7 @@ def profile(df: DataFrame, cols: Iterable[str] | None = None, exact: bool = True
     columns share the same passes; exact quartiles use band refinement
     (``operators.quantiles``), ``exact=False`` the ``percentile_approx`` sketch."""
     cols = list(cols) if cols is not None else numeric_columns(df)
-    long = df.select(*[F.col(c).cast("double").alias(c) for c in cols]).unpivot([], cols, "column_name", "_val")
+    long = df.select(*[not_nan(F.col(c)).alias(c) for c in cols]).unpivot([], cols, "column_name", "_val")
     extra = {"mean": F.avg("_v"), "std": F.stddev_samp("_v"), "min": F.min("_v"), "max": F.max("_v")}
     if exact:
         st = exact_quantiles(long, ["column_name"], "_val", [0.25, 0.5, 0.75], accuracy, extra_aggs=extra)

@@ -2,90 +2,52 @@
 holding a group's values in one task.
 
 Spark's exact ``percentile`` keeps a value -> count map per group and merges it in one task:
-fine for counts and lengths (few distinct values), unbounded for a hot group of continuous
-values. Here each quantile is found by band refinement:
+unbounded for a hot group of continuous values. Here each quantile is found by band refinement,
+the same way for groups of all sizes:
 
 1. one grouped aggregate: ``n``, min, max and ``percentile_approx`` at ``p - m`` and
    ``p + m`` for each wanted ``p`` (``m = margin / accuracy``) -- a bracket around the
-   wanted ranks; groups with ``n <= accuracy`` take ``[min, max]`` as their bracket;
+   wanted ranks;
 2. one pass keeps, per wanted quantile, the values inside its bracket counted per distinct
    value plus one counter of the rows below the bracket; this small result is checkpointed
-   and each bracket verified (``#(v < lo) <= rank`` and ``#(v <= hi) > rank``); the rare
-   bracket that fails is recounted over its group's whole range;
-3. the in-bracket values are ranked with a window per (group, quantile); the rows holding
-   the two ranks around ``p * (n - 1)`` give the interpolated value.
-
-A bracket of a large group holds about ``2 * m * n`` rows, a small group at most
-``accuracy`` rows, so no task ever holds a whole hot group. The per-group tables (one row per
-group) are checkpointed, counted and broadcast (``joins.bounded_broadcast``).
-
-``method="auto"`` (default) first measures each group's distinct values with a HyperLogLog
-sketch (one partial aggregate, one row per group). Groups with at most ``map_max_distinct``
-distinct values use Spark's ``percentile`` -- its value -> count map is then bounded by that
-number, and it needs one pass instead of three -- the others use band refinement. A path no
-group needs is not run.
+   and each bracket verified (``#(v < lo) <= rank`` and ``#(v <= hi) > rank``); a bracket that
+   fails (its two ranks lie further apart than the margin, or the sketch was off) is recounted
+   over its group's whole range;
+3. the in-bracket values are ranked by running sums over range partitions (``operators.running``),
+   so a bracket of any size is spread over tasks; the rows holding the two ranks around
+   ``p * (n - 1)`` give the interpolated value.
+
+NaN counts as missing. The per-group tables (one row per group) are checkpointed and broadcast
+behind a check of their bytes (``joins.bounded_broadcast``).
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pressroom.operators.joins import bounded_broadcast
+from pressroom.operators.running import running_sums
 from pressroom.session import cut_lineage
 
 DEFAULT_ACCURACY = 10_000
-# Largest per-group distinct-value count routed to Spark's map-based ``percentile``
-# (value -> count map of at most ~100 k entries, a few MB per group).
-MAP_MAX_DISTINCT = 100_000
 
 
 def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, probs: Sequence[float],
                     accuracy: int = DEFAULT_ACCURACY, margin: float = 4.0,
-                    extra_aggs: Mapping[str, Column] | None = None, out_prefix: str = "q",
-                    method: str = "auto", map_max_distinct: int = MAP_MAX_DISTINCT) -> DataFrame:
-    """One row per group: ``by``, ``n`` (non-null values), the ``extra_aggs`` (expressions over
-    the column ``_v``) and ``{out_prefix}{i}`` = the exact ``probs[i]`` quantile. Null values
-    are ignored; groups without a value (or with a null key) are absent."""
+                    extra_aggs: Mapping[str, Column] | None = None, out_prefix: str = "q") -> DataFrame:
+    """One row per group: ``by``, ``n`` (values that are no null and no NaN), the ``extra_aggs``
+    (expressions over the column ``_v``) and ``{out_prefix}{i}`` = the exact ``probs[i]`` quantile.
+    Groups without a value (or with a null key) are absent."""
     by = list(by)
     probs = [float(p) for p in probs]
-    data = df.select(*by, F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
-    if method == "band":
-        return _band_quantiles(data, by, probs, accuracy, margin, extra_aggs, out_prefix)
-    if method == "map":
-        return _map_quantiles(data, by, probs, extra_aggs, out_prefix)
-    if method != "auto":
-        raise ValueError(method)
-    # HLL distinct count per group (relative error 5%, so the limit is checked with slack).
-    sizes = data.groupBy(*by).agg(F.approx_count_distinct("_v", 0.05).alias("_d"))
-    sizes_b, _ = bounded_broadcast(sizes)
-    limit = int(map_max_distinct / 1.2)
-    n_small = sizes_b.filter(F.col("_d") <= limit).count()
-    n_large = sizes_b.filter(F.col("_d") > limit).count()
-    parts = []
-    if n_small:
-        small = data.join(sizes_b.filter(F.col("_d") <= limit).select(*by), by, "left_semi")
-        parts.append(_map_quantiles(small, by, probs, extra_aggs, out_prefix))
-    if n_large:
-        large = data.join(sizes_b.filter(F.col("_d") > limit).select(*by), by, "left_semi")
-        parts.append(_band_quantiles(large, by, probs, accuracy, margin, extra_aggs, out_prefix))
-    if not parts:
-        return _map_quantiles(data, by, probs, extra_aggs, out_prefix)  # empty input
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
-
-
-def _map_quantiles(data: DataFrame, by: list[str], probs: list[float], extra_aggs, out_prefix: str) -> DataFrame:
-    """Spark's exact ``percentile`` (partial value -> count maps merged per group)."""
-    q = F.percentile(F.col("_v"), F.array(*[F.lit(p) for p in probs]))
-    agg = data.groupBy(*by).agg(F.count("_v").alias("n"), *[e.alias(k) for k, e in (extra_aggs or {}).items()],
-                                q.alias("_q"))
-    return agg.select(*by, "n", *list(extra_aggs or {}),
-                      *[F.col("_q")[i].alias(f"{out_prefix}{i}") for i in range(len(probs))])
+    v = F.col("_v")
+    data = df.select(*by, F.col(value).cast("double").alias("_v")).filter(v.isNotNull() & ~F.isnan(v))
+    for k in by:
+        data = data.filter(F.col(k).isNotNull())
+    return _band_quantiles(data, by, probs, accuracy, margin, extra_aggs, out_prefix)
 
 
 def _band_quantiles(data: DataFrame, by: list[str], probs: list[float], accuracy: int, margin: float,
@@ -101,13 +63,11 @@ def _band_quantiles(data: DataFrame, by: list[str], probs: list[float], accuracy
         F.count(v).alias("_n"), F.min(v).alias("_min"), F.max(v).alias("_max"),
         F.percentile_approx(v, pcts, accuracy).alias("_ap"),
         *[e.alias(k) for k, e in (extra_aggs or {}).items()])
-    small = F.col("_n") <= accuracy
     cols = []
     for i, p in enumerate(probs):
         pos = F.lit(p) * (F.col("_n") - 1)
         cols += [pos.alias(f"_pos{i}"), F.floor(pos).alias(f"_rl{i}"), F.ceil(pos).alias(f"_rh{i}"),
-                 F.when(small, F.col("_min")).otherwise(F.col("_ap")[2 * i]).alias(f"_lo{i}"),
-                 F.when(small, F.col("_max")).otherwise(F.col("_ap")[2 * i + 1]).alias(f"_hi{i}")]
+                 F.col("_ap")[2 * i].alias(f"_lo{i}"), F.col("_ap")[2 * i + 1].alias(f"_hi{i}")]
     stats = stats.select("*", *cols).drop("_ap")
     stats_b, _ = bounded_broadcast(stats)
     k = list(range(len(probs)))
@@ -134,8 +94,7 @@ def _band_quantiles(data: DataFrame, by: list[str], probs: list[float], accuracy
                    .join(ranks, by))
     failed = check.filter(~((F.col("_below_n") <= rl) & (F.col("_le_n") > rh))).select(*by, "_i")
     if failed.count():
-        # A bracket missed its rank (small groups, or the sketch's bound did not hold):
-        # recount those (group, target) pairs over the group's whole range.
+        # recount those (group, target) pairs over the group's whole range
         whole = stats_b.select(*by, *[c for i in k for c in (F.col("_min").alias(f"_lo{i}"),
                                                              F.col("_max").alias(f"_hi{i}"))])
         redo = band_counts(data.join(failed.select(*by).distinct(), by, "left_semi"), whole) \
@@ -145,8 +104,7 @@ def _band_quantiles(data: DataFrame, by: list[str], probs: list[float], accuracy
     # 3. rank the in-bracket values; base = rows below the bracket
     bases = counts.filter(F.col("_below")).groupBy(*by, "_i").agg(F.sum("_c").alias("_base"))
     vals = counts.filter(~F.col("_below")).select(*by, "_i", "_bv", "_c")
-    w = Window.partitionBy(*by, "_i").orderBy("_bv").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = (vals.withColumn("_cum", F.sum("_c").over(w))
+    ranked = (running_sums(vals, {"_cum": F.col("_c")}, ["_bv"], keys=[*by, "_i"])
                   .join(bases, by + ["_i"], "left").join(ranks, by))
     base = F.coalesce(F.col("_base"), F.lit(0))
     first_rank = base + F.col("_cum") - F.col("_c")

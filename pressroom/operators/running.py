@@ -1,19 +1,14 @@
-"""Exact running sums without one task per partition key (used by J8 and J17).
+"""Exact running sums without one task per partition key (used by J8, J17 and the quantiles).
 
 ``Window.partitionBy(keys).orderBy(order)`` puts every row of a key into one task; with a hot
-key (a third of the rows) that task sorts a third of the data. Here the order is cut into
-buckets -- any column that is monotone in the order (the hour of a timestamp, the date prefix
-of a file name, ``id div 1000``):
-
-1. a grouped aggregate gives per ``(keys, bucket)`` totals (partial per task);
-2. a window over those totals -- one row per bucket -- gives each bucket's offset, the sum of
-   all earlier buckets of its key;
-3. each row's running sum = its bucket's offset + the running sum inside its bucket, a window
-   partitioned by ``(keys, bucket)``; the sort work is spread over all buckets.
-
-The offsets table has one row per (key, bucket). When the caller proves a bound on its size
-(``offsets_bound``) below the broadcast limit it is broadcast; otherwise the join is left to
-the planner (AQE converts it to a broadcast at runtime when the offsets turn out small).
+key (a third of the rows) that task sorts a third of the data. Here the rows are range-partitioned
+by ``(keys, order)``, so the parallelism follows the data, whatever the keys or their time span:
+
+1. the range-partitioned rows are checkpointed with their partition number (the bounds are sampled,
+   so they must not be drawn again);
+2. a grouped aggregate gives the total per (partition, key), and a window over these -- one row per
+   partition and key in it -- the sum of all earlier partitions of the key;
+3. a row's running sum is that offset plus the running sum within its partition and key.
 """
 
 from __future__ import annotations
@@ -23,65 +18,38 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pressroom.operators.joins import BROADCAST_MAX_ROWS
 from pressroom.session import cut_lineage
 
 
 def running_sums(df: DataFrame, values: Mapping[str, Column], order: Sequence[Column | str],
-                 keys: Sequence[str] = (), bucket: Column | None = None,
-                 offsets_bound: int | None = None, materialize: bool = False,
-                 totals: DataFrame | None = None) -> DataFrame:
+                 keys: Sequence[str] = ()) -> DataFrame:
     """Adds one running-sum column (rows from the first up to the current one, in ``order``)
-    per entry of ``values``, restarting for every combination of ``keys``. ``bucket`` must be
-    monotone in ``order`` (ascending, nulls first); without it the window is partitioned by
-    ``keys`` only. ``materialize`` checkpoints the partitioned input once (into the shared
-    checkpoint folder) so that the totals branch and the row branch -- which column pruning
-    plans as different shuffles -- do not both recompute an expensive input; use it when the
-    input is already reduced (e.g. one row per file). ``totals`` (columns ``keys``, ``_b``,
-    ``_t0``.. in ``values`` order) replaces the bucket totals computed from ``df`` -- for
-    callers that can count them from cheaper inputs than the rows themselves."""
+    per entry of ``values``, restarting for every combination of ``keys`` (null is a key)."""
     keys = list(keys)
     order_cols = [F.col(o) if isinstance(o, str) else o for o in order]
     names = list(values)
-    vcols = {f"_v{i}": values[n] for i, n in enumerate(names)}
-    if bucket is None:
-        w = Window.partitionBy(*keys).orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        return df.withColumns({n: F.sum(values[n]).over(w) for n in names})
-
-    # One shuffle serves the bucket totals, the offsets join and the per-bucket window: rows
-    # are hash-partitioned by a surrogate of (keys, bucket). The join's only equi-key is the
-    # surrogate (exact null-safe key equality is checked as a residual condition), and the
-    # window clusters on (surrogate, keys, bucket), which that partitioning already
-    # satisfies -- so the input's lineage (e.g. scoring) runs once.
-    kb = keys + ["_b"]
-    rows = (df.withColumn("_b", bucket).withColumns(vcols)
-              .withColumn("_jk", F.xxhash64(*[F.col(c) for c in kb])).repartition("_jk"))
-    if materialize:
-        rows = cut_lineage(rows)
-        if offsets_bound is None:
-            # The offsets table has at most one row per input row: counting the checkpointed
-            # input is cheap and proves the bound.
-            offsets_bound = rows.count()
-    if totals is None:
-        totals = rows.groupBy("_jk", *kb).agg(*[F.sum(f"_v{i}").alias(f"_t{i}") for i in range(len(names))])
-    else:
-        totals = totals.select(F.xxhash64(*[F.col(c) for c in kb]).alias("_jk"), *kb,
-                               *[F.col(f"_t{i}") for i in range(len(names))])
-    wb = (Window.partitionBy(*keys).orderBy(F.col("_b").asc_nulls_first())
-                .rowsBetween(Window.unboundedPreceding, -1))
-    renamed = {c: f"_o_{c}" for c in ["_jk", *kb]}
-    offsets = totals.select(*[F.col(c).alias(renamed[c]) for c in ["_jk", *kb]],
-                            *[F.coalesce(F.sum(f"_t{i}").over(wb), F.lit(0)).alias(f"_o{i}")
-                              for i in range(len(names))])
-    if offsets_bound is not None and offsets_bound <= BROADCAST_MAX_ROWS:
-        offsets = F.broadcast(offsets)
-    same = [F.coalesce(F.col(c) == F.col(renamed[c]), F.col(c).isNull() & F.col(renamed[c]).isNull())
-            for c in kb]
-    cond = F.col("_jk") == F.col("_o__jk")
-    for c in same:
-        cond = cond & c
-    joined = rows.join(offsets, cond, "inner").drop(*renamed.values())
-    w = (Window.partitionBy("_jk", *kb).orderBy(*order_cols)
-               .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    out = joined.withColumns({n: F.col(f"_o{i}") + F.sum(f"_v{i}").over(w) for i, n in enumerate(names)})
-    return out.drop("_b", "_jk", *vcols, *[f"_o{i}" for i in range(len(names))])
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = df.withColumns({f"_v{i}": values[n] for i, n in enumerate(names)})
+    rows = cut_lineage(rows.repartitionByRange(parts, *keys, *order_cols).withColumn("_p", F.spark_partition_id()))
+    part = ["_p", *keys]
+    totals = rows.groupBy(*part).agg(*[F.sum(f"_v{i}").alias(f"_t{i}") for i in range(len(names))])
+    earlier = Window.partitionBy(*keys).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(*part, *[F.sum(f"_t{i}").over(earlier).alias(f"_o{i}") for i in range(len(names))])
+    within = Window.partitionBy("_jk", *part).orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # One shuffle for the offsets and the window: both go by a surrogate of (partition, key); the
+    # keys themselves are compared as a residual condition.
+    rows = rows.withColumn("_jk", F.xxhash64(*part))
+    names_o = {c: f"_right_{c}" for c in part}
+    offsets = offsets.withColumn("_right_jk", F.xxhash64(*part)).withColumnsRenamed(names_o)
+    cond = F.col("_jk") == F.col("_right_jk")
+    for c in part:
+        a, b = F.col(f"`{c}`"), F.col(f"`{names_o[c]}`")
+        cond = cond & F.coalesce(a == b, a.isNull() & b.isNull())
+    joined = rows.join(offsets, cond).drop("_right_jk", *names_o.values())
+
+    def running(i: int) -> Column:  # null while there was no value at all
+        before, here = F.col(f"_o{i}"), F.sum(f"_v{i}").over(within)
+        return F.coalesce(before + here, before, here)
+
+    out = joined.withColumns({n: running(i) for i, n in enumerate(names)})
+    return out.drop("_p", "_jk", *[f"{c}{i}" for c in ("_v", "_o") for i in range(len(names))])

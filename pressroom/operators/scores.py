@@ -20,7 +20,7 @@ Scorers are pluggable:
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -69,29 +69,60 @@ class LexiconScorer:
         return staged.drop("_low", "_n", *[f"_h{i}" for i in range(len(self.labels))])
 
 
-def pandas_scorer(fn: Callable[[list[str]], Sequence[Sequence[float]]], labels: Sequence[str]):
+def label_scores(rows, labels: Sequence[str]) -> list[list[float]]:
+    """A model's rows to scores in the order of ``labels``. A row is a mapping or a sequence of
+    (label, score) pairs or of ``{"label": .., "score": ..}`` -- taken by name, a missing label is
+    0.0, an unknown one is skipped, of a repeated one the last counts -- or a sequence of plain
+    numbers, which must be one per label."""
+    out = []
+    for row in rows:
+        items = list(row.items()) if isinstance(row, Mapping) else list(row)
+        if items and isinstance(items[0], Mapping):
+            items = [(x["label"], x["score"]) for x in items]
+        if items and isinstance(items[0], (tuple, list)):
+            named = dict(items)
+            out.append([float(named.get(lab, 0.0)) for lab in labels])
+        elif isinstance(row, Mapping) or not items and labels:
+            out.append([0.0] * len(labels))
+        elif len(items) == len(labels):
+            out.append([float(x) for x in items])
+        else:
+            raise ValueError(f"a score row has {len(items)} numbers for {len(labels)} labels")
+    return out
+
+
+def pandas_scorer(load: Callable, labels: Sequence[str], loads: bool = False):
     """Wrap a batch scoring function as an Arrow-batched pandas UDF (the U2 plug-in point).
 
-    ``fn`` receives a list of comment texts and returns one score row per text, in the order
-    of ``labels``; missing labels must be 0.0 (C7)."""
+    The function gets a list of comment texts and returns one row per text, see
+    :func:`label_scores`. With ``loads``, ``load()`` returns that function and is called once per
+    partition, so a model is loaded there and not per batch; else ``load`` is the function. Blank
+    and null texts are never sent to it."""
+    labels = list(labels)
     k = len(labels)
 
     @F.pandas_udf(T.ArrayType(T.DoubleType()))
-    def _score(texts: pd.Series) -> pd.Series:
-        if len(texts) == 0:
-            return pd.Series([], dtype=object)
-        rows = fn(texts.fillna("").tolist())
-        return pd.Series([[float(x) for x in r][:k] + [0.0] * (k - len(r)) for r in rows])
+    def _score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        fn = load() if loads else load
+        for texts in batches:
+            sent = texts.notna()
+            rows = label_scores(fn(texts[sent].tolist()), labels) if sent.any() else []
+            if len(rows) != int(sent.sum()):
+                raise ValueError("the scorer must return one row per text")
+            out = pd.Series([None] * len(texts), dtype=object)
+            for at, row in zip(sent.to_numpy().nonzero()[0], rows, strict=True):
+                out.iat[int(at)] = row
+            yield out
 
     class _Scorer:
         def __init__(self):
-            self.labels = list(labels)
+            self.labels = labels
 
         def __call__(self, text: Column) -> Column:
-            return _score(text)
+            return _score(F.when(has_text(text), text))
 
         def apply(self, df: DataFrame, text: str, valid: Column, prefix: str = "_sc") -> DataFrame:
-            out = df.withColumn("_arr", F.when(valid, _score(F.col(text))))
+            out = df.withColumn("_arr", _score(F.when(valid, F.col(text))))
             return out.withColumns({f"{prefix}{i}": F.col("_arr")[i] for i in range(k)}).drop("_arr")
 
     return _Scorer()
@@ -116,16 +147,14 @@ def comment_scores(df: DataFrame, scorer, text: str = "comments", keys: Sequence
 
 def mean_scores(df: DataFrame, scorer, press: str = "press_name", month: str = "month",
                 file: str = "file_name", order: str | None = None, day: str | None = None,
-                text: str = "comments", scope: str = "month_to_date", places: int | None = 6,
-                order_bucket: Column | None = None) -> DataFrame:
+                text: str = "comments", scope: str = "month_to_date", places: int | None = 6) -> DataFrame:
     """Mean label scores per press x month x file (or day / month), see module doc.
 
     * ``month_to_date`` (reference default, T3): for each file, the mean over all non-blank
       comments of this press and month in files up to and including it, files ordered by
       ``order`` (default: the file name). A file without comments still gets a row (T4):
-      null when nothing came before it. ``order_bucket`` (a column monotone in the file
-      order, e.g. the date prefix of the file name) spreads a hot press-month over several
-      tasks (``operators.running``).
+      null when nothing came before it. A hot press-month is spread over several tasks
+      (``operators.running``).
     * ``file``: mean over the file's own comments; ``day``: per ``day`` column;
       ``month``: one row per press x month.
     """
@@ -153,8 +182,7 @@ def mean_scores(df: DataFrame, scorer, press: str = "press_name", month: str = "
         if scope == "month_to_date":
             sums_ = {"n_comments": F.col("n_comments"), **{f"s{i}": F.col(f"s{i}") for i in range(len(labels))}}
             grouped = running_sums(per_file.withColumnsRenamed({c: f"_{c}" for c in sums_}),
-                                   {c: F.col(f"_{c}") for c in sums_}, [order, file], keys=[press, month],
-                                   bucket=order_bucket, materialize=order_bucket is not None)
+                                   {c: F.col(f"_{c}") for c in sums_}, [order, file], keys=[press, month])
         else:
             grouped = per_file
 

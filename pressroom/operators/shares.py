@@ -68,6 +68,12 @@ def split_key(key: Column, zero_pad: bool = False) -> tuple[Column, Column]:
     return ym, media
 
 
+def number(c: Column) -> Column:
+    """Text to double; what is no number -- also ``NaN`` -- is null."""
+    x = c.cast("string").try_cast("double")
+    return F.when(~F.isnan(x), x)
+
+
 def emotion_share(df: DataFrame, cols: Sequence[str] = EMOTIONS, key: str = KEY,
                   zero_pad: bool = False, sort: bool = False) -> DataFrame:
     """Keep the listed columns that exist (B7), text -> double with bad values -> 0
@@ -76,7 +82,7 @@ def emotion_share(df: DataFrame, cols: Sequence[str] = EMOTIONS, key: str = KEY,
     present = require_columns(df, [key], cols)
     if not present:
         raise ValueError(f"none of the emotion columns {list(cols)} exist")
-    wide = df.select(F.col(key), *[F.coalesce(F.col(c).cast("string").try_cast("double"), F.lit(0.0)).alias(c)
+    wide = df.select(F.col(key), *[F.coalesce(number(F.col(c)), F.lit(0.0)).alias(c)
                                    for c in present])
     row_total = sum((F.col(c) for c in present[1:]), F.col(present[0]))
     wide = wide.withColumn("Group_Total_Score", F.sum(row_total).over(Window.partitionBy(key)))
@@ -98,7 +104,7 @@ def conform_summary(df: DataFrame, cols: Sequence[str], key: str = KEY, zero_pad
     ym, media = split_key(F.col(key), zero_pad)
     return df.select(
         key, ym.alias("Year-Month"), media.alias("Media_Outlet"),
-        *[F.col(c).cast("string").try_cast("double").alias(c) for c in present],
+        *[number(F.col(c)).alias(c) for c in present],
         (ym.isNull() | media.isNull()).alias("bad_key"),
     )
 

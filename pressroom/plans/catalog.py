@@ -11,7 +11,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from pressroom.functions.text import NA_TOKENS, STOPWORDS
-from pressroom.operators import (articles, audit, boxstats, clean, groups, profile, scores, shares, timeprofile,
+from pressroom.operators import (articles, audit, boxstats, clean, groups, profile, reports, scores, shares, timeprofile,
                                 tokens, visibility)
 from pressroom.plans.registry import register
 from pressroom.plans.standins import DOC_COMMENTS_SQL, DOC_TEXTS_SQL, doc_comments, doc_texts
@@ -67,7 +67,7 @@ p AS (SELECT *, TRY_CAST(split_part(split_part(file_name, '_', 1), '-', 1) AS IN
       FROM f)"""
 
 
-@register("orders_in_period", jobs=("J9",), ids=("B1", "B2", "A5"), sql=f"""
+@register("orders_in_period", jobs=("J9",), ids=("B1", "B2"), sql=f"""
 WITH {_ORDERS_FILE_SQL}
 SELECT o_orderkey, o_orderdate, file_name FROM p
 WHERE y IS NOT NULL AND m IS NOT NULL AND y * 100 + m BETWEEN 199601 AND 199706
@@ -285,9 +285,7 @@ SEGMENT_GROUPS = {"group 1": ["BUILDING", "AUTOMOBILE"], "group 2": ["MACHINERY"
 def _segment_summary(t: Tables):
     # Eager aggregation: lineitem is summed per order BEFORE the join, so the big join sees
     # one row per order instead of one per line (Catalyst does not push aggregates below joins).
-    # Spread by the order key (single-split scans only): the per-order sums are of integer
-    # quantities, exact in any order, and the aggregate then needs no further shuffle.
-    per_order = spread(t.lineitem, "l_orderkey").groupBy("l_orderkey").agg(*[
+    per_order = t.lineitem.groupBy("l_orderkey").agg(*[
         F.sum(F.when(F.col("l_returnflag") == flag, F.col("l_quantity")).otherwise(F.lit(0.0))).alias(f"q_{flag}")
         for flag in ("R", "A", "N")])
     o = t.orders.select("o_orderkey", "o_custkey", "o_orderdate")
@@ -381,16 +379,17 @@ def conform_summary(spark: SparkSession, sf_dir: str):
     return shares.conform_summary(_priority_summary(Tables(spark, sf_dir)), ["n_orders", "n_open"])
 
 
-@register("duplicate_summary_keys", jobs=("J21",), ids=("T5",), sql=f"""
-WITH {_ORDER_SUMMARY_SQL}
-SELECT split_part("Year-Month-Media", '-', 1) || '-' || lpad(split_part("Year-Month-Media", '-', 2), 2, '0')
-         || '-' || split_part("Year-Month-Media", '-', 3) AS "Year-Month-Media", count(*) AS n_rows
-FROM osum GROUP BY 1 HAVING count(*) > 1
+@register("duplicate_summary_keys", jobs=("J21",), ids=("T5",), sql="""
+WITH r AS (
+  SELECT strftime(o_orderdate, '%Y-%m') || '-' || o_orderpriority AS "Year-Month-Media", o_orderstatus
+  FROM orders WHERE o_orderdate IS NOT NULL AND o_orderpriority IS NOT NULL GROUP BY ALL)
+SELECT "Year-Month-Media", count(*) AS n_rows FROM r GROUP BY 1 HAVING count(*) > 1
 """)
 def duplicate_summary_keys(spark: SparkSession, sf_dir: str):
-    conf = shares.conform_summary(_priority_summary(Tables(spark, sf_dir)), ["n_orders", "n_open"])
-    rekeyed = conf.select(F.concat_ws("-", "Year-Month", "Media_Outlet").alias(shares.KEY))
-    return shares.duplicate_keys(rekeyed)
+    """A summary with one row per key and order status: keys seen with several statuses repeat."""
+    o = Tables(spark, sf_dir).orders.filter(F.col("o_orderdate").isNotNull() & F.col("o_orderpriority").isNotNull())
+    key = F.concat_ws("-", F.date_format("o_orderdate", "yyyy-MM"), "o_orderpriority")
+    return shares.duplicate_keys(o.select(key.alias(shares.KEY), "o_orderstatus").distinct())
 
 
 # ---------------------------------------------------------------- J18 keywords
@@ -405,7 +404,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY n DESC, word ASC) AS
 SELECT g AS GCOL, CAST(rank AS INTEGER) AS rank, word, n FROM r WHERE rank <= {n}"""
 
 
-@register("top_tokens_by_lang", jobs=("J18",), ids=("D6", "F1", "U1", "U3", "U4", "D11"),
+@register("top_tokens_by_lang", jobs=("J18",), ids=("D6", "F1", "U1", "U3", "D11"),
           sql=f"WITH {DOC_TEXTS_SQL}, " + _tokens_sql("lang", "doc_texts", 20).replace("GCOL", "lang"))
 def top_tokens_by_lang(spark: SparkSession, sf_dir: str):
     return tokens.top_tokens(doc_texts(Tables(spark, sf_dir)), "lang", n=20)
@@ -477,12 +476,11 @@ m AS (SELECT press_name, month, doc_id, CAST(sum(n_comments) {w} AS BIGINT) AS n
 SELECT press_name, month, doc_id, n_comments, {means} FROM m"""
 
 
-@register("mean_scores_month_to_date", jobs=("J17",), ids=("D8", "E3", "C7", "U2"), sql=_scores_sql("mtd"))
+@register("mean_scores_month_to_date", jobs=("J17",), ids=("D8", "E3", "U2"), sql=_scores_sql("mtd"))
 def mean_scores_month_to_date(spark: SparkSession, sf_dir: str):
-    # Files are ordered by doc_id; blocks of 100 ids are the order buckets of the running sums.
+    # Files are ordered by doc_id.
     return scores.mean_scores(_doc_lines(Tables(spark, sf_dir)), scores.LexiconScorer(DEMO_LEXICON),
-                              file="doc_id", scope="month_to_date",
-                              order_bucket=F.floor(F.col("doc_id") / 100))
+                              file="doc_id", scope="month_to_date")
 
 
 @register("mean_scores_file", jobs=("J17",), ids=("D8",), sql=_scores_sql("file"))
@@ -595,13 +593,14 @@ def article_index(spark: SparkSession, sf_dir: str):
     return articles.article_index(_page_articles(Tables(spark, sf_dir)), "url", "title", "day")
 
 
-_ANCHOR_SQL = links.ANCHOR.replace("'", "''")
+# Anchors as the driver's pages write them.
+_ANCHOR_SQL = r'<a\s[^>]*?href="([^"]*)"[^>]*>(.*?)</a>'
 _LINKS_SQL = f"""
 a AS (SELECT page_id, regexp_extract_all(html, '{_ANCHOR_SQL}', 1) AS hrefs,
              regexp_extract_all(html, '{_ANCHOR_SQL}', 2) AS inners FROM pages),
 u AS (SELECT page_id, unnest(hrefs) AS href, unnest(inners) AS ihtml,
              unnest(generate_series(0, len(hrefs) - 1)) AS pos FROM a),
-l AS (SELECT page_id, CAST(pos AS INTEGER) AS pos, href,
+l AS (SELECT page_id, CAST(pos AS INTEGER) AS pos, replace(replace(href, '&quot;', '"'), '&amp;', '&') AS href,
              regexp_replace(regexp_replace(CASE WHEN regexp_matches(ihtml, '{links.SPAN}')
                                                 THEN regexp_extract(ihtml, '{links.SPAN}', 1) ELSE ihtml END,
                                            '{links.TAG}', '', 'g'), '^\\s+|\\s+$', '', 'g') AS text FROM u)"""
@@ -707,10 +706,10 @@ def audit_totals(spark: SparkSession, sf_dir: str):
     return audit.audit_totals(statuses)
 
 
-@register("first_fetch_per_key", jobs=("J2",), ids=("G5", "C2"), sql="""
+@register("first_fetch_per_key", jobs=("J2",), ids=("G5",), sql="""
 SELECT e.event_id, e.user_id, e.event_type, e.ts
 FROM events e JOIN (SELECT user_id, event_type, min(ts) AS m FROM events GROUP BY 1, 2) f
-  ON e.user_id = f.user_id AND e.event_type = f.event_type AND e.ts = f.m
+  ON e.user_id IS NOT DISTINCT FROM f.user_id AND e.event_type IS NOT DISTINCT FROM f.event_type AND e.ts IS NOT DISTINCT FROM f.m
 """)
 def first_fetch_per_key(spark: SparkSession, sf_dir: str):
     e = Tables(spark, sf_dir).events.select("event_id", "user_id", "event_type", "ts")
@@ -726,7 +725,7 @@ def _events_as_comments(t: Tables):
         F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("regTime"), F.col("event_id").alias("sympathyCount"))
 
 
-@register("press_tree_roundtrip", jobs=("J1", "J2"), ids=("A1", "A2", "A4", "A7", "G1", "B20"), sql="""
+@register("press_tree_roundtrip", jobs=("J1", "J2"), ids=("A4", "A7", "B20"), sql="""
 SELECT event_type AS press_name, strftime(ts, '%Y-%m-%d') AS date, CAST(user_id AS VARCHAR) AS user_nickname,
        props AS comments, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS regTime, event_id AS sympathyCount
 FROM events WHERE event_type IS NOT NULL AND ts IS NOT NULL
@@ -742,7 +741,7 @@ def press_tree_roundtrip(spark: SparkSession, sf_dir: str):
     return comments.select("press_name", "date", "user_nickname", "comments", "regTime", "sympathyCount")
 
 
-@register("stream_first_fetch", jobs=("J24",), ids=("S1", "G5", "C2"), sql="""
+@register("stream_first_fetch", jobs=("J24",), ids=("S1", "G5"), sql="""
 SELECT e.event_id, e.user_id, e.event_type, e.ts
 FROM events e JOIN (SELECT user_id, event_type, min(ts) AS m FROM events GROUP BY 1, 2) f
   ON e.user_id = f.user_id AND e.event_type = f.event_type AND e.ts = f.m
@@ -784,7 +783,7 @@ def comments_of_members(spark: SparkSession, sf_dir: str):
 
 @register("month_histogram_dense", jobs=("J14",), ids=("D3", "F2"), sql="""
 WITH c AS (SELECT strftime(o_orderdate, '%Y-%m') AS year_month, count(*) AS n_comments
-           FROM orders WHERE o_orderdate IS NOT NULL AND o_orderpriority = '1-URGENT' GROUP BY 1),
+           FROM orders WHERE o_orderdate IS NOT NULL GROUP BY 1),
 d AS (SELECT strftime(m, '%Y-%m') AS year_month
       FROM (SELECT min(year_month) AS lo, max(year_month) AS hi FROM c) b,
            generate_series(CAST(lo || '-01' AS DATE), CAST(hi || '-01' AS DATE), INTERVAL 1 MONTH) g(m))
@@ -792,6 +791,304 @@ SELECT d.year_month, coalesce(c.n_comments, 0) AS n_comments FROM d LEFT JOIN c
 ORDER BY 1
 """)
 def month_histogram_dense(spark: SparkSession, sf_dir: str):
-    """Urgent orders per month over the whole span, months without any -> 0."""
-    o = Tables(spark, sf_dir).orders.filter(F.col("o_orderpriority") == "1-URGENT")
-    return timeprofile.time_histogram(o, "o_orderdate", "year_month", dense=True)
+    """Orders per month over the whole span, months without any -> 0."""
+    return timeprofile.time_histogram(Tables(spark, sf_dir).orders, "o_orderdate", "year_month", dense=True)
+
+
+# ---------------------------------------------------------------- NaN, continuous values
+@register("emotion_share_nan", jobs=("J20",), ids=("E1", "B9", "B6"), sql="""
+WITH o AS (SELECT strftime(o_orderdate, '%Y-%m') || '-' || o_orderpriority AS k, o_orderstatus AS st, o_totalprice AS p
+           FROM orders WHERE o_orderdate IS NOT NULL AND o_orderpriority IS NOT NULL),
+s AS (SELECT k, coalesce(sum(CASE WHEN st = 'O' THEN 1.0 ELSE 0.0 END), 0) AS n_o,
+             CASE WHEN count_if(st = 'P') % 2 = 0 THEN 0.0 ELSE CAST(count_if(st = 'P') AS DOUBLE) END AS n_p FROM o GROUP BY 1),
+l AS (SELECT k, 'n_o' AS e, CAST(n_o AS DOUBLE) AS v FROM s UNION ALL SELECT k, 'n_p', n_p FROM s),
+t AS (SELECT k, sum(v) AS total FROM l GROUP BY 1)
+SELECT l.k AS "Year-Month-Media", e AS "Emotion_Type", v AS "Score", total AS "Group_Total_Score",
+       CASE WHEN total = 0 THEN 0.0 ELSE v / total * 100 END AS "Ratio",
+       split_part(l.k, '-', 1) || '-' || split_part(l.k, '-', 2) AS "Year-Month", nullif(split_part(l.k, '-', 3), '') AS "Media_Outlet"
+FROM l JOIN t ON l.k = t.k
+""")
+def emotion_share_nan(spark: SparkSession, sf_dir: str):
+    """A text summary where even counts of one column came out as ``NaN``: they count as 0."""
+    o = Tables(spark, sf_dir).orders.filter(F.col("o_orderdate").isNotNull() & F.col("o_orderpriority").isNotNull())
+    n_p = F.count_if(F.col("o_orderstatus") == "P")
+    summary = o.groupBy(F.concat_ws("-", F.date_format("o_orderdate", "yyyy-MM"), "o_orderpriority").alias(shares.KEY)).agg(
+        F.count_if(F.col("o_orderstatus") == "O").cast("string").alias("n_o"),
+        F.when(n_p % 2 == 0, "NaN").otherwise(n_p.cast("string")).alias("n_p"))
+    return shares.emotion_share(summary, ["n_o", "n_p"])
+
+
+@register("profile_orders_nan", jobs=("J11",), ids=("D5", "B8"), sql="""
+SELECT 'price' AS column_name, count(v) AS count, round(avg(v), 6) AS mean, round(stddev_samp(v), 6) AS std, min(v) AS min,
+       round(quantile_cont(v, 0.25), 6) AS p25, round(quantile_cont(v, 0.5), 6) AS p50, round(quantile_cont(v, 0.75), 6) AS p75, max(v) AS max
+FROM (SELECT CASE WHEN o_orderstatus <> 'P' THEN o_totalprice END AS v FROM orders)
+""")
+def profile_orders_nan(spark: SparkSession, sf_dir: str):
+    """A continuous column with NaN where the order is pending: NaN is no value."""
+    o = Tables(spark, sf_dir).orders
+    return profile.profile(o.select(F.when(F.col("o_orderstatus") != "P", F.col("o_totalprice")).otherwise(F.lit(float("nan"))).alias("price")))
+
+
+@register("box_stats_orders", jobs=("J15",), ids=("D4",), sql=_box_sql("orders", "o_orderpriority", ("o_totalprice",)))
+def box_stats_orders(spark: SparkSession, sf_dir: str):
+    return boxstats.box_stats(Tables(spark, sf_dir).orders, "o_orderpriority", ["o_totalprice"])
+
+
+# ---------------------------------------------------------------- J2 / J24 several batches, null keys
+_KEYED_EVENTS_SQL = """k AS (SELECT event_id, user_id, nullif(event_type, 'error') AS press_name, date_trunc('hour', ts) AS fetched FROM events)"""
+
+
+def _keyed_events(t: Tables):
+    """Events as fetches: the key holds nulls, the order has ties."""
+    press = F.when(F.col("event_type") != "error", F.col("event_type"))
+    return t.events.select("event_id", "user_id", press.alias("press_name"), F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("fetched"))
+
+
+@register("first_fetch_null_keys", jobs=("J2",), ids=("G5",), sql=f"""
+WITH {_KEYED_EVENTS_SQL}, f AS (SELECT user_id, press_name, min(fetched) AS m FROM k GROUP BY 1, 2)
+SELECT k.* FROM k JOIN f ON k.user_id IS NOT DISTINCT FROM f.user_id AND k.press_name IS NOT DISTINCT FROM f.press_name AND k.fetched = f.m
+""")
+def first_fetch_null_keys(spark: SparkSession, sf_dir: str):
+    return sink.first_fetch(_keyed_events(Tables(spark, sf_dir)), ["user_id", "press_name"], "fetched")
+
+
+@register("sink_two_runs", jobs=("J2",), ids=("A7", "C2", "G5"), sql=f"""
+WITH {_KEYED_EVENTS_SQL},
+mid AS (SELECT min(fetched) + (max(fetched) - min(fetched)) / 2 AS m FROM k),
+a AS (SELECT k.* FROM k, mid WHERE fetched <= m),
+fa AS (SELECT user_id, press_name, min(fetched) AS f FROM a GROUP BY 1, 2),
+fk AS (SELECT user_id, press_name, min(fetched) AS f FROM k GROUP BY 1, 2)
+SELECT k.* FROM k JOIN fk ON k.user_id IS NOT DISTINCT FROM fk.user_id AND k.press_name IS NOT DISTINCT FROM fk.press_name AND k.fetched = fk.f
+""")
+def sink_two_runs(spark: SparkSession, sf_dir: str):
+    """Two runs into one sink: the earlier half, then everything. The second run adds only keys that
+    the sink does not hold, null keys included."""
+    from pressroom.session import scratch_path
+    root = scratch_path(spark, "sink")
+    rows = _keyed_events(Tables(spark, sf_dir))
+    span = rows.agg(F.min("fetched").alias("lo"), F.max("fetched").alias("hi"))
+    middle = span.select((F.col("lo") + (F.col("hi") - F.col("lo")) / 2).alias("m"))
+    half = rows.join(F.broadcast(middle), F.col("fetched") <= F.col("m")).drop("m")  # one row
+    for part in (half, rows):
+        sink.write_new_articles(part, root, ["user_id", "press_name"], "fetched", partition_by=["press_name"])
+    return spark.read.parquet(root).select("event_id", "user_id", "press_name", "fetched")
+
+
+@register("stream_three_batches", jobs=("J24",), ids=("S1", "C2", "G5"), sql=f"""
+WITH {_KEYED_EVENTS_SQL}, f AS (SELECT user_id, press_name, min(fetched) AS m FROM k GROUP BY 1, 2)
+SELECT k.* FROM k JOIN f ON k.user_id IS NOT DISTINCT FROM f.user_id AND k.press_name IS NOT DISTINCT FROM f.press_name AND k.fetched = f.m
+""")
+def stream_three_batches(spark: SparkSession, sf_dir: str):
+    """The fetches land in three portions in time order, so articles are split between them and known
+    keys come again; after each the stream runs once. The sink holds each key's first fetch, whole."""
+    from pressroom.session import cut_lineage, scratch_path
+    from pressroom.streaming import ingest
+    base = scratch_path(spark, "stream")
+    rows = _keyed_events(Tables(spark, sf_dir))
+    dealt = cut_lineage(rows.repartitionByRange(3, "fetched", "event_id").withColumn("portion", F.spark_partition_id()))
+    for portion in range(3):
+        dealt.filter(F.col("portion") == portion).drop("portion").write.mode("append").parquet(f"{base}/landed")
+        ingest.stream_ingest(spark, f"{base}/landed", f"{base}/sink", f"{base}/checkpoint", rows.schema,
+                             key=["user_id", "press_name"], order="fetched", partition_by=["press_name"], glob_filter="*.parquet")
+    return ingest.read_sink(spark, f"{base}/sink").select("event_id", "user_id", "press_name", "fetched")
+
+
+# ---------------------------------------------------------------- J3 damaged payloads
+def _damaged_payload(t: Tables):
+    """The landed pages, those of every article's first page twice, and second pages cut off."""
+    pages = _landed_payload(t)
+    broken = F.expr("substring(payload, 1, 20)")
+    return (pages.withColumn("payload", F.when(F.col("page") == 2, broken).otherwise(F.col("payload")))
+                 .unionByName(pages.filter(F.col("page") == 1)))
+
+
+@register("payload_damaged_rows", jobs=("J3",), ids=("A6", "H4"), sql=f"""
+SELECT conv_id AS object_id, CAST(turn // {PAYLOAD_PAGE} + 1 AS BIGINT) AS page, CAST(turn % {PAYLOAD_PAGE} AS INTEGER) AS pos, text AS comments
+FROM conversations WHERE turn // {PAYLOAD_PAGE} <> 1
+""")
+def payload_damaged_rows(spark: SparkSession, sf_dir: str):
+    return payload.explode_payload(_damaged_payload(Tables(spark, sf_dir))).select("object_id", "page", "pos", "comments")
+
+
+@register("payload_rejects", jobs=("J3",), ids=("A6",), sql=f"""
+SELECT DISTINCT conv_id AS object_id, CAST(2 AS BIGINT) AS page, 20 AS n_bytes FROM conversations WHERE turn // {PAYLOAD_PAGE} = 1
+""")
+def payload_rejects(spark: SparkSession, sf_dir: str):
+    return payload.payload_rejects(_damaged_payload(Tables(spark, sf_dir)))
+
+
+@register("payload_damaged_completeness", jobs=("J3",), ids=("A14",), sql=f"""
+WITH p AS (SELECT conv_id, turn // {PAYLOAD_PAGE} AS page, CASE WHEN turn // {PAYLOAD_PAGE} = 1 THEN 0 ELSE 1 END AS ok FROM conversations)
+SELECT conv_id AS object_id, count(DISTINCT page) AS n_pages, CAST(sum(ok) AS BIGINT) AS n_rows,
+       (max(page) = 0 AND sum(ok) < {PAYLOAD_PAGE}) OR (max(page) = 1) AS complete
+FROM p GROUP BY 1
+""")
+def payload_damaged_completeness(spark: SparkSession, sf_dir: str):
+    """A cut-off page counts as empty: an article is complete only if that is its last page."""
+    return payload.page_report(_damaged_payload(Tables(spark, sf_dir)), page_size=PAYLOAD_PAGE)
+
+
+# ---------------------------------------------------------------- J17 by label name, J18 by month, reports
+def _length_scorer(texts):
+    """A stand-in model: scores by label, in its own order, with one label nobody asked for."""
+    return [[{"label": "unasked", "score": 1.0}, {"label": "spaces", "score": t.count(" ")}, {"label": "length", "score": len(t)}] for t in texts]
+
+
+@register("mean_scores_by_label", jobs=("J17",), ids=("C7", "U2", "D8"), sql="""
+WITH l AS (SELECT source AS press_name, lang AS month, doc_id, unnest(string_split(text, chr(10))) AS c FROM documents),
+s AS (SELECT press_name, month, doc_id, count(c) FILTER (WHERE regexp_matches(c, '\\S')) AS n,
+             sum(length(c)) FILTER (WHERE regexp_matches(c, '\\S')) AS chars,
+             sum(length(c) - length(replace(c, ' ', ''))) FILTER (WHERE regexp_matches(c, '\\S')) AS spaces
+      FROM l WHERE press_name IS NOT NULL GROUP BY 1, 2, 3)
+SELECT press_name, month, doc_id, n AS n_comments, CASE WHEN n > 0 THEN round(chars / n, 6) END AS length,
+       CASE WHEN n > 0 THEN CAST(0.0 AS DOUBLE) END AS absent, CASE WHEN n > 0 THEN round(spaces / n, 6) END AS spaces FROM s
+""")
+def mean_scores_by_label(spark: SparkSession, sf_dir: str):
+    scorer = scores.pandas_scorer(_length_scorer, ["length", "absent", "spaces"])
+    return scores.mean_scores(_doc_lines(Tables(spark, sf_dir)), scorer, file="doc_id", scope="file")
+
+
+@register("monthly_keywords", jobs=("J18",), ids=("U4", "D6", "B2"), sql="WITH m AS ("
+          "SELECT p_name AS comments, strftime(l_shipdate, '%Y-%m') AS ym FROM lineitem JOIN part ON l_partkey = p_partkey "
+          "WHERE p_name IS NOT NULL AND l_shipdate <= DATE '2000-06-30'), " + _tokens_sql("ym", "m", 5).replace("GCOL", "year_month"))
+def monthly_keywords(spark: SparkSession, sf_dir: str):
+    t = Tables(spark, sf_dir)
+    sold = t.lineitem.select("l_partkey", F.col("l_shipdate").alias("regTime")).join(
+        t.part.select(F.col("p_partkey").alias("l_partkey"), F.col("p_name").alias("comments")), "l_partkey")
+    return reports.monthly_keywords(sold, n=5, cutoff="2000-06-30")[0]
+
+
+@register("press_directory", jobs=("J5", "J6"), ids=("A12",), sql=f"""
+WITH l AS (SELECT page_id, regexp_extract(split_part(split_part(url, '#', 1), '?', 2), '(?:^|&)page=([^&]*)', 1) AS press_id,
+                  regexp_extract(html, '{_TITLE_RE}', 1) AS title FROM pages)
+SELECT press_id, min_by(title, page_id) AS press_name FROM l WHERE press_id <> '' GROUP BY 1
+""")
+def press_directory(spark: SparkSession, sf_dir: str):
+    """Pages as links of a directory: the id is a query value of the url, the name the title."""
+    rows = Tables(spark, sf_dir).pages.select("page_id", F.col("url").alias("href"), F.regexp_extract("html", _TITLE_RE, 1).alias("text"))
+    return links.press_directory(rows, param="page")
+
+
+_DATED_FILE_SQL = "'2024-' || lpad(CAST(doc_id % 12 + 1 AS VARCHAR), 2, '0') || '-' || lpad(CAST(doc_id % 28 + 1 AS VARCHAR), 2, '0') || '_' || source || '_' || doc_id || '.csv'"
+
+
+def _dated_files(t: Tables):
+    """Documents as article files with a date in the name; their lines are the comments."""
+    two = lambda c: F.lpad(c.cast("string"), 2, "0")
+    month = F.concat(F.lit("2024-"), two(F.col("doc_id") % 12 + 1))
+    name = F.concat(month, F.lit("-"), two(F.col("doc_id") % 28 + 1), F.lit("_"), "source", F.lit("_"), "doc_id", F.lit(".csv"))
+    d = spread(t.documents, "doc_id").filter(F.col("source").isNotNull())
+    return d.select(F.col("source").alias("press_name"), month.alias("month"), name.alias("file_name"),
+                    F.explode_outer(F.split("text", "\n")).alias("comments"))
+
+
+@register("score_table", jobs=("J17",), ids=("A8", "B19", "B20"), sql=f"""
+WITH l AS (SELECT source AS press_name, {_DATED_FILE_SQL} AS f, unnest(string_split(text, chr(10))) AS c FROM documents WHERE source IS NOT NULL),
+s AS (SELECT press_name, f, count(c) FILTER (WHERE regexp_matches(c, '\\S')) AS n, sum(length(c)) FILTER (WHERE regexp_matches(c, '\\S')) AS chars FROM l GROUP BY 1, 2)
+SELECT press_name, f[1:10] AS "year-month-day", CASE WHEN n > 0 THEN round(chars / n, 6) END AS length FROM s
+""")
+def score_table(spark: SparkSession, sf_dir: str):
+    """Mean score per file, as the per-press table, written one folder per press and read back."""
+    from pressroom.session import scratch_path
+    scored = scores.mean_scores(_dated_files(Tables(spark, sf_dir)), scores.pandas_scorer(_length_scorer, ["length"]), scope="file")
+    root = scratch_path(spark, "score-table")
+    sink.write_table(scores.score_table(scored, ["length"]), root, partition_by=["press_name"])
+    return spark.read.parquet(root).select("press_name", "year-month-day", "length")
+
+
+@register("emotion_report", jobs=("J17", "J20", "J23"), ids=("D8", "E1", "D10", "H1"), sql="""
+WITH l AS (SELECT source AS press_name, '2024-' || lpad(CAST(doc_id % 12 + 1 AS VARCHAR), 2, '0') AS month, unnest(string_split(text, chr(10))) AS c
+           FROM documents WHERE source IS NOT NULL),
+s AS (SELECT press_name, month, round(sum(length(c)) / count(c), 6) AS length, round(sum(length(c) - length(replace(c, ' ', ''))) / count(c), 6) AS spaces
+      FROM l WHERE regexp_matches(c, '\\S') GROUP BY 1, 2),
+e AS (SELECT month || '-' || press_name AS k, month, press_name, 'length' AS e, length AS v, length + spaces AS total FROM s
+      UNION ALL SELECT month || '-' || press_name, month, press_name, 'spaces', spaces, length + spaces FROM s)
+SELECT k AS "Year-Month-Media", e AS "Emotion_Type", v AS "Score", round(total, 6) AS "Group_Total_Score",
+       round(CASE WHEN total = 0 THEN 0.0 ELSE v / total * 100 END, 6) AS "Ratio", month AS "Year-Month", press_name AS "Media_Outlet" FROM e
+""")
+def emotion_report(spark: SparkSession, sf_dir: str):
+    """Comments -> month scores -> summary -> shares, as one chain."""
+    _, shares_long, _ = reports.emotion_report(_dated_files(Tables(spark, sf_dir)), scores.pandas_scorer(_length_scorer, ["length", "spaces"]), DOC_GROUPS)
+    return shares_long.withColumns({c: F.round(c, 6) for c in ("Group_Total_Score", "Ratio")})
+
+
+# ---------------------------------------------------------------- J1 the raw press layout
+ARTICLE_ROWS = 500
+# Two ways the files of a press are written: encoding and order of the columns.
+RAW_KINDS = (("utf-8", ("user_nickname", "comments", "regTime", "sympathyCount")),
+             ("cp949", ("sympathyCount", "regTime", "comments", "user_nickname")))
+
+
+def _write_raw_tree(rows, root: str) -> None:
+    """Writes ``<root>/<press>/<date>_<press>_<title>.csv``, at most ARTICLE_ROWS rows a file. Every
+    task names its files by its own number, so a task that is run again writes the same ones."""
+    kinds = RAW_KINDS
+
+    def write(batches):
+        import csv
+        import io
+
+        import pandas as pd
+        from pyarrow import fs
+        from pyspark import TaskContext
+        store, base = fs.FileSystem.from_uri(root if "://" in root or root.startswith("file:") else f"file://{root}")
+        number = 0
+        for pdf in batches:
+            for (press, date), group in pdf.groupby(["press_name", "date"], sort=True):
+                for at in range(0, len(group), ARTICLE_ROWS):
+                    encoding, columns = kinds[len(press) % len(kinds)]
+                    out = io.StringIO(newline="")
+                    writer = csv.writer(out)
+                    writer.writerow(columns)
+                    writer.writerows(group.iloc[at: at + ARTICLE_ROWS][list(columns)].itertuples(index=False, name=None))
+                    store.create_dir(f"{base}/{press}", recursive=True)
+                    with store.open_output_stream(f"{base}/{press}/{date}_{press}_t{TaskContext.get().partitionId()}n{number}.csv") as f:
+                        f.write(out.getvalue().encode(encoding))
+                    number += 1
+            yield pd.DataFrame({"n": [len(pdf)]})
+
+    rows.mapInPandas(write, "n long").agg(F.sum("n")).collect()
+
+
+def _raw_comments(t: Tables):
+    """Events as comments with Korean text, quotes, line ends and outer blanks in the cells."""
+    return _events_as_comments(t).filter(F.col("press_name").isNotNull() & F.col("date").isNotNull()).withColumn(
+        "comments", F.concat(F.lit("  \ub313\uae00 \"q\", "), "comments", F.lit("\n\ub05d ")))
+
+
+_RAW_SQL = """
+SELECT event_type AS press_name, strftime(ts, '%Y-%m-%d') AS date, CAST(user_id AS VARCHAR) AS user_nickname,
+       '  \ub313\uae00 "q", ' || props || chr(10) || '\ub05d ' AS comments, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS regTime, event_id AS sympathyCount
+FROM events WHERE event_type IS NOT NULL AND ts IS NOT NULL AND props IS NOT NULL"""
+
+
+@register("press_tree_raw", jobs=("J1",), ids=("A1", "A2", "A5", "B21", "G1"), sql=_RAW_SQL + " AND strftime(ts, '%Y-%m') = '2024-01'")
+def press_tree_raw(spark: SparkSession, sf_dir: str):
+    """The raw layout in two encodings and two column orders, read by name for one month."""
+    from pressroom.session import scratch_path
+    root = scratch_path(spark, "raw-tree")
+    _write_raw_tree(_raw_comments(Tables(spark, sf_dir)).filter(F.col("comments").isNotNull()), root)
+    rows, _ = press_tree.ingest_press_tree(spark, root, months=["2024-01"], with_title=True, extra_columns=False)
+    return rows.filter(F.col("title").rlike("^t[0-9]+n[0-9]+$")).select("press_name", "date", "user_nickname", "comments", "regTime", "sympathyCount")
+
+
+@register("raw_tree_files", jobs=("J1",), ids=("D14", "A3", "A1"), sql="""
+SELECT event_type AS press_name, count(*) AS n_rows, true AS all_listed FROM events WHERE event_type IS NOT NULL AND ts IS NOT NULL AND props IS NOT NULL GROUP BY 1
+""")
+def raw_tree_files(spark: SparkSession, sf_dir: str):
+    """Files per press of the raw tree against the files that its rows name; one press is also read
+    as a single table with an encoding fallback (A3) and must give the same rows."""
+    from pressroom.session import scratch_path
+    root = scratch_path(spark, "raw-tree")
+    _write_raw_tree(_raw_comments(Tables(spark, sf_dir)).filter(F.col("comments").isNotNull()), root)
+    rows, _ = press_tree.ingest_press_tree(spark, root, extra_columns=False)
+    table = press_tree.read_csv_table(spark, f"{root}/*/*.csv", encodings=("utf-8", "cp949"))
+    both = rows.select("press_name", "file_name", F.lit(1).alias("tree"))
+    per_press = both.groupBy("press_name").agg(F.count("*").alias("n_rows"))
+    files = press_tree.files_per_press(rows)
+    listed = (spark.read.format("binaryFile").load(f"{root}/*/*.csv").select(F.element_at(F.split("path", "/"), -2).alias("press_name"))
+              .groupBy("press_name").agg(F.count("*").alias("n_listed")))
+    total = table.agg(F.count("*").alias("n_table"))
+    every = rows.agg(F.count("*").alias("n_all"))
+    checked = per_press.join(files, "press_name").join(listed, "press_name").join(F.broadcast(total)).join(F.broadcast(every))  # one row each
+    return checked.select("press_name", "n_rows", ((F.col("n_files") == F.col("n_listed")) & (F.col("n_table") == F.col("n_all"))).alias("all_listed"))

@@ -38,7 +38,7 @@ doc_comments AS (
 
 def doc_texts(t: Tables, text_heavy: bool = True) -> DataFrame:
     """Text-only view of the documents (no label join). ``text_heavy`` jobs (regex over the
-    whole texts) spread single-split scans over the cores; others read the scan as is."""
+    whole texts) deal the texts out evenly; others read the scan as is."""
     d = spread(t.documents, "doc_id") if text_heavy else t.documents
     return d.select("doc_id", F.col("source").alias("press_name"), F.col("text").alias("comments"), "lang")
 

@@ -12,12 +12,26 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-ANCHOR = r'<a\s[^>]*?href="([^"]*)"[^>]*>(.*?)</a>'
-# The same matches as ANCHOR, capturing the whole opening tag (for the class filter).
-ANCHOR_TAG = r'(<a\s[^>]*?href="[^"]*"[^>]*>).*?</a>'
-CLASS_ATTR = r'class="([^"]*)"'
-SPAN = r"<span[^>]*>(.*?)</span>"
+# Anchors over several lines, either quote style or none, any case.
+_VALUE = r"""(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
+ANCHOR_TAG = r"""(?is)<a\s((?:[^>"']|"[^"]*"|'[^']*')*)>(.*?)</a\s*>"""
+HREF = r"""(?is)(?:^|\s)href\s*=\s*""" + _VALUE
+CLASS_ATTR = r"""(?is)(?:^|\s)class\s*=\s*""" + _VALUE
+SPAN = r"(?is)<span[^>]*>(.*?)</span\s*>"
 TAG = r"<[^>]*>"
+# Character references that attribute values and texts hold, ampersand last.
+REFERENCES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&amp;", "&"))
+
+
+def attribute(tag: Column, pattern: str) -> Column:
+    """Value of an attribute of an opening tag, whichever way it is quoted; absent: null."""
+    return F.when(tag.rlike(pattern), F.concat(*[F.regexp_extract(tag, pattern, i) for i in (1, 2, 3)]))
+
+
+def decode_references(c: Column) -> Column:
+    for name, char in REFERENCES:
+        c = F.replace(c, F.lit(name), F.lit(char))
+    return c
 
 
 def strip_text(c: Column) -> Column:
@@ -27,16 +41,18 @@ def strip_text(c: Column) -> Column:
 
 def extract_links(df: DataFrame, html: str = "html", key: str = "page_id", contains: str | None = None,
                   distinct: bool = False, css_class: str | None = None) -> DataFrame:
-    """``css_class``: keep only anchors whose ``class`` attribute lists that class."""
-    hrefs = F.regexp_extract_all(F.col(html), F.lit(ANCHOR), 1)
-    inner = F.regexp_extract_all(F.col(html), F.lit(ANCHOR), 2)
-    parts = [hrefs.alias("href"), inner.alias("inner")]
-    if css_class is not None:
-        parts.append(F.regexp_extract_all(F.col(html), F.lit(ANCHOR_TAG), 1).alias("tag"))
-    rows = df.select(key, F.posexplode(F.arrays_zip(*parts)).alias("pos", "a"))
+    """``css_class``: keep only anchors whose ``class`` attribute lists all the classes named
+    there (one or several, in any order, A11). ``pos`` counts the anchors with a ``href``;
+    character references in the ``href`` are decoded."""
+    tags = F.regexp_extract_all(F.col(html), F.lit(ANCHOR_TAG), 1)
+    inner = F.regexp_extract_all(F.col(html), F.lit(ANCHOR_TAG), 2)
+    anchors = F.transform(F.arrays_zip(tags.alias("tag"), inner.alias("inner")), lambda a: F.struct(
+        a["tag"].alias("tag"), a["inner"].alias("inner"), decode_references(attribute(a["tag"], HREF)).alias("href")))
+    rows = df.select(key, F.posexplode(F.filter(anchors, lambda a: a["href"].isNotNull())).alias("pos", "a"))
     if css_class is not None:
-        classes = F.split(F.regexp_extract(F.col("a.tag"), CLASS_ATTR, 1), r"\s+")
-        rows = rows.filter(F.array_contains(classes, css_class))
+        wanted = [F.lit(c) for c in css_class.split()]
+        classes = F.split(F.coalesce(attribute(F.col("a.tag"), CLASS_ATTR), F.lit("")), r"\s+")
+        rows = rows.filter(F.size(F.array_except(F.array(*wanted), classes)) == 0)
     span = F.regexp_extract(F.col("a.inner"), SPAN, 1)
     text = F.when(F.col("a.inner").rlike(SPAN), strip_text(span)).otherwise(strip_text(F.col("a.inner")))
     out = rows.select(key, "pos", F.col("a.href").alias("href"), text.alias("text"))
@@ -50,8 +66,8 @@ def extract_links(df: DataFrame, html: str = "html", key: str = "page_id", conta
 
 
 def query_value(url: Column, name: str) -> Column:
-    """Value of a query parameter (``try_parse_url``: malformed url -> null)."""
-    return F.try_parse_url(url, F.lit("QUERY"), F.lit(name))
+    """Decoded value of a query parameter (malformed url or value -> null)."""
+    return F.try_url_decode(F.try_parse_url(decode_references(url), F.lit("QUERY"), F.lit(name)))
 
 
 def press_directory(links: DataFrame, param: str = "officeId", out_id: str = "press_id",

@@ -46,15 +46,38 @@ PAYLOAD_SCHEMA = ("struct<result: struct<commentList: array<struct<"
 
 def strip_jsonp(text: Column) -> Column:
     """Drop a leading byte-order mark, the ``_callback(`` prefix and the trailing ``);``."""
-    body = F.regexp_replace(text, "^\ufeff?\\s*_callback\\(", "")
+    body = F.regexp_replace(text, "^\ufeff?\\s*" + CALLBACK.replace("(", "\\("), "")
     return F.regexp_replace(body, r"\);?\s*$", "")
 
 
+def _parsed(text: Column) -> Column:
+    return F.from_json(strip_jsonp(text), PAYLOAD_SCHEMA)
+
+
+def _readable(text: Column) -> Column:
+    """Whether the body is JSON with a ``result`` (``try_parse_json`` is null for what is not JSON)."""
+    return F.coalesce(F.is_variant_null(F.try_parse_json(strip_jsonp(text))) == F.lit(False), F.lit(False)) & _parsed(text)["result"].isNotNull()
+
+
+def one_landing(df: DataFrame, text: str = "payload", article: str = "object_id", page: str = "page") -> DataFrame:
+    """One text per (article, page): of several landings a readable one, the longest, then the
+    first by text. Grouped ``max_by``, so copies leave a task as one row."""
+    rank = F.struct(_readable(F.col(text)).alias("r"), F.length(text).alias("n"), F.col(text).alias("t"))
+    return df.groupBy(article, page).agg(F.max_by(F.col(text), rank).alias(text))
+
+
+def payload_rejects(df: DataFrame, text: str = "payload", article: str = "object_id", page: str = "page") -> DataFrame:
+    """Landed pages that cannot be read (null, no JSON, no ``result``): article, page, n_bytes."""
+    bad = df.filter(~_readable(F.col(text)))
+    return bad.select(article, page, F.coalesce(F.octet_length(text), F.lit(0)).alias("n_bytes"))
+
+
 def explode_payload(df: DataFrame, text: str = "payload", article: str = "object_id",
                     page: str = "page", rename: bool = True) -> DataFrame:
-    """One row per comment: ``article, page, pos`` + the ten fields. A page without
-    ``commentList`` (or with an unparsable body) yields no rows."""
-    parsed = df.select(article, page, F.from_json(strip_jsonp(F.col(text)), PAYLOAD_SCHEMA).alias("p"))
+    """One row per comment: ``article, page, pos`` + the ten fields. A page that landed several
+    times counts once (:func:`one_landing`). A page without ``commentList`` yields no rows; the
+    unparsable ones are what :func:`payload_rejects` returns."""
+    parsed = one_landing(df, text, article, page).select(article, page, _parsed(F.col(text)).alias("p"))
     lst = F.coalesce(F.col("p.result.commentList"), F.array())
     rows = parsed.select(article, page, F.posexplode(lst).alias("pos", "c"))
     names = [(n, OUTPUT_NAMES[n] if rename else n) for n, _ in COMMENT_FIELDS]
@@ -64,11 +87,10 @@ def explode_payload(df: DataFrame, text: str = "payload", article: str = "object
 def page_report(df: DataFrame, text: str = "payload", article: str = "object_id", page: str = "page",
                 page_size: int = PAGE_SIZE) -> DataFrame:
     """Per article -- pages, rows, and ``complete`` = pages are 1..n without gaps, every
-    page but the last is full, the last has fewer than ``page_size`` rows (an empty last
+    page but the last is full (repeated landings of a page count once), the last has fewer than ``page_size`` rows (an empty last
     page after full ones is fine), and the first page is not empty."""
-    sizes = df.select(article, page, F.size(F.coalesce(
-        F.from_json(strip_jsonp(F.col(text)), PAYLOAD_SCHEMA).getField("result").getField("commentList"),
-        F.array())).alias("n"))
+    sizes = one_landing(df, text, article, page).select(article, page, F.size(F.coalesce(
+        _parsed(F.col(text)).getField("result").getField("commentList"), F.array())).alias("n"))
     rep = sizes.groupBy(article).agg(
         F.count(F.lit(1)).alias("n_pages"), F.min(page).alias("first_page"), F.max(page).alias("last_page"),
         F.sum("n").alias("n_rows"),

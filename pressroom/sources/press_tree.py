@@ -64,6 +64,7 @@ def _decode_files(encodings: Sequence[str]):
     cols = ["path", "encoding", "row_no", "cells", "reason"]
 
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        csv.field_size_limit(2**31 - 1)  # cells of any length
         for pdf in batches:
             out = []
             for path, content in zip(pdf["path"], pdf["content"]):
@@ -72,15 +73,17 @@ def _decode_files(encodings: Sequence[str]):
                     out.append((path, None, None, None, "undecodable"))
                     continue
                 try:
-                    records = list(csv.reader(io.StringIO(text, newline="")))
+                    # a first run over the records, so that a file that does not parse gives no rows
+                    widest = max((len(r) for r in csv.reader(io.StringIO(text, newline=""), strict=True)), default=0)
                 except csv.Error as e:
                     out.append((path, used, None, None, f"parse error: {e}"))
                     continue
-                if not records:
+                if not widest:
                     out.append((path, used, None, None, "empty file"))
                     continue
-                header = records[0]
-                for i, rec in enumerate(records[1:]):
+                records = csv.reader(io.StringIO(text, newline=""), strict=True)
+                header = _cell_names(next(records), widest)
+                for i, rec in enumerate(records):
                     if not rec:
                         continue
                     out.append((path, used, i, dict(zip(header, rec)), None))
@@ -93,6 +96,20 @@ def _decode_files(encodings: Sequence[str]):
     return decode
 
 
+def _cell_names(header: list[str], widest: int) -> list[str]:
+    """Names of all cells of a file's widest record: a repeated header name is numbered from its
+    second place on (``a``, ``a.1``), cells beyond the header are ``_cell<place>``."""
+    names: list[str] = []
+    for i in range(max(widest, len(header))):
+        name = header[i] if i < len(header) else f"_cell{i}"
+        n, unique = 0, name
+        while unique in names:
+            n += 1
+            unique = f"{name}.{n}"
+        names.append(unique)
+    return names
+
+
 LAYOUTS = ("press", "partitioned")
 
 
@@ -111,6 +128,7 @@ def _header_names(encodings: Sequence[str]):
     encs = list(encodings)
 
     def headers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        csv.field_size_limit(2**31 - 1)
         for pdf in batches:
             out = []
             for path, content in zip(pdf["path"], pdf["content"]):
@@ -150,7 +168,7 @@ def decode_tree(spark: SparkSession, root: str, months: Iterable[str] | None = N
 
 def _unescape_partition(value):
     """Partition folder values are %XX-escaped by Spark's writer ('+' is left as is)."""
-    return F.try_url_decode(F.regexp_replace(value, r"\+", "%2B"))
+    return F.when(value != "__HIVE_DEFAULT_PARTITION__", F.try_url_decode(F.regexp_replace(value, r"\+", "%2B")))
 
 
 def _path_parts(path_col, layout: str):
@@ -170,14 +188,14 @@ def _path_parts(path_col, layout: str):
 def ingest_press_tree(spark: SparkSession, root: str, months: Iterable[str] | None = None,
                       encodings: Sequence[str] = ENCODINGS, na_tokens: Iterable[str] = NA_TOKENS,
                       columns: Sequence[tuple[str, str]] = COMMENT_COLUMNS,
-                      extra_columns: bool | str = True, with_title: bool = False,
+                      extra_columns: bool | str = "map", with_title: bool = False,
                       layout: str = "press") -> tuple[DataFrame, DataFrame]:
     """Returns ``(comments, rejects)``.
 
     ``comments``: ``press_name, date`` (+ ``title``) + the declared columns, then the other
-    header names found: ``extra_columns=True`` makes each a top-level string column (union by
-    name, as the reference does; costs one extra pass over the files to learn the names),
-    ``"map"`` keeps them in one ``extra`` map column in a single pass, ``False`` drops them.
+    header names found: ``extra_columns="map"`` keeps them in one ``extra`` map column in a single
+    pass, ``True`` makes each a top-level string column (union by name, as the reference does;
+    costs one extra pass over the files to learn the names), ``False`` drops them.
     ``rejects``: ``path, reason`` for files that could not be decoded or parsed and rows of
     files without a date in their name.
     """

@@ -9,64 +9,75 @@ sink's key columns, which Catalyst prunes to a key-only scan) and appends partit
 
 from __future__ import annotations
 
-import os
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pressroom.operators.joins import join_keys
+
 # Default output key of an article file: (date, press, sanitised title) -- SURVEY T20.
 DEFAULT_KEY = ("date", "press_name", "title")
 
 
 def first_fetch(df: DataFrame, key: Sequence[str], order: str) -> DataFrame:
-    """Rows of the first fetch (smallest ``order``) of each key."""
+    """Rows of the first fetch (smallest ``order``) of each key. A null in the key is a
+    value like any other; a null ``order`` comes last (a key with nothing else keeps its rows)."""
     key = list(key)
     firsts = df.groupBy(*key).agg(F.min(order).alias("_first"))
-    return (df.join(firsts, key, "inner")
-              .filter(F.col(order) == F.col("_first")).drop("_first"))
+    return (join_keys(df, firsts, key).filter(F.col(order).eqNullSafe(F.col("_first"))).drop("_first"))
 
 
 def _exists(spark, path: str) -> bool:
-    if path.startswith("file:"):
-        path = path[5:]
-    if "://" not in path:
-        return os.path.exists(path)
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
+    """Whether the path exists where Spark would write it (the Hadoop file system of the path,
+    by default ``fs.defaultFS``)."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
-# Most distinct partition values a batch may touch for the sink read to be pruned to them.
-PRUNE_MAX_VALUES = 100_000
+# Cells keep their outer white space, quotes are doubled.
+CSV_WRITE = {"header": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+CSV_READ = {"header": True, "escape": '"', "multiLine": True}
 
 
 def new_articles(df: DataFrame, path: str, key: Sequence[str] = DEFAULT_KEY, order: str = "fetch_seq",
-                 fmt: str = "parquet", prune_by: Sequence[str] = ()) -> DataFrame:
-    """First-fetch rows whose key is not in the sink at ``path`` yet.
-
-    ``prune_by``: sink partition columns that are part of the key. The batch's distinct values
-    of each (bounded by the folders it touches; skipped above ``PRUNE_MAX_VALUES``) become a
-    partition filter, so the anti-join reads only those folders of the sink, not all of it."""
+                 fmt: str = "parquet", prune_by: Sequence[str] = (), except_batch: int | None = None) -> DataFrame:
+    """First-fetch rows whose key is not in the sink at ``path`` yet (null equals null).
+
+    ``prune_by``: sink partition columns that are part of the key. The batch's smallest and largest
+    value of each (two values, whatever the batch) become a partition filter, so only folders within
+    that span are read. ``except_batch`` (streams): the sink has a ``batch_id`` column;
+    rows of this batch do not count as present (a replay writes them anew), and rows of a key
+    whose stored fetch has the same ``order`` are the rest of an article that came in several
+    batches: they are taken unless the same row is stored already."""
     key = list(key)
     fresh = first_fetch(df, key, order)
     spark = df.sparkSession
-    if _exists(spark, path):
-        reader = spark.read.format(fmt)
-        if fmt == "csv":
-            reader = reader.option("header", True).option("escape", '"').option("multiLine", True)
-        sink_df = reader.load(path)
-        for c in [c for c in prune_by if c in key]:
-            vals = [r[0] for r in df.select(F.col(c).cast("string")).distinct().limit(PRUNE_MAX_VALUES + 1).collect()]
-            if len(vals) <= PRUNE_MAX_VALUES:
-                cond = F.col(c).cast("string").isin([v for v in vals if v is not None])
-                if any(v is None for v in vals):
-                    cond = cond | F.col(c).isNull()
-                sink_df = sink_df.filter(cond)
-        # Partition discovery may type a folder value (e.g. a date); compare as the input types.
-        existing = sink_df.select(*[F.col(k).cast(df.schema[k].dataType).alias(k) for k in key]).distinct()
-        fresh = fresh.join(existing, key, "left_anti")
-    return fresh
+    if not _exists(spark, path):
+        return fresh
+    reader = spark.read.format(fmt)
+    if fmt == "csv":
+        reader = reader.options(**CSV_READ)
+    sink_df = reader.load(path)
+    if except_batch is not None:
+        sink_df = sink_df.filter(F.col("batch_id") != except_batch)
+    folders = [c for c in prune_by if c in key]
+    if folders:
+        # Partition discovery may type a folder value (e.g. a date); compare as the sink's types.
+        own = {c: F.col(c).cast(sink_df.schema[c].dataType) for c in folders}
+        span = df.agg(*[f(own[c]).alias(f"{name}{i}") for i, c in enumerate(folders)
+                        for name, f in (("lo", F.min), ("hi", F.max), ("none", lambda x: F.max(x.isNull())))]).first()
+        for i, c in enumerate(folders):
+            inside = F.col(c).between(F.lit(span[f"lo{i}"]), F.lit(span[f"hi{i}"])) if span[f"lo{i}"] is not None else F.lit(False)
+            sink_df = sink_df.filter(inside | F.col(c).isNull() if span[f"none{i}"] else inside)
+    stored = sink_df.select(*[F.col(c).cast(df.schema[c].dataType).alias(c) for c in (df.columns if except_batch is not None else key)])
+    if except_batch is None:
+        return join_keys(fresh, stored.distinct(), key, "left_anti")
+    known = stored.groupBy(*key).agg(F.min(order).alias("_stored"))
+    rest = join_keys(fresh, known, key, "left").filter(F.col("_stored").isNull() | F.col("_stored").eqNullSafe(F.col(order)))
+    same = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
+    stored_rows = stored.select(*key, same.alias("_row")).distinct()
+    return join_keys(rest.withColumn("_row", same), stored_rows, [*key, "_row"], "left_anti").select(*df.columns)
 
 
 def write_new_articles(df: DataFrame, path: str, key: Sequence[str] = DEFAULT_KEY, order: str = "fetch_seq",
@@ -82,7 +93,7 @@ def write_new_articles(df: DataFrame, path: str, key: Sequence[str] = DEFAULT_KE
     if n:
         w = rebalance_for_write(fresh, partition_by).write.mode("append").partitionBy(*partition_by).format(fmt)
         if fmt == "csv":
-            w = w.option("header", True).option("escape", '"')
+            w = w.options(**CSV_WRITE)
         w.save(path)
     return n
 
@@ -100,5 +111,5 @@ def write_table(df: DataFrame, path: str, partition_by: Sequence[str] = (), fmt:
     if partition_by:
         w = w.partitionBy(*partition_by)
     if fmt == "csv":
-        w = w.option("header", True).option("escape", '"')
+        w = w.options(**CSV_WRITE)
     w.save(path)

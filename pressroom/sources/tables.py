@@ -33,19 +33,8 @@ class Tables:
         return table(self._spark, self._dir, name)
 
 
-def spread(df: DataFrame, key: str | None = None, min_partitions: int | None = None) -> DataFrame:
-    """Spread CPU-heavy row-local work (regex over long texts) over all cores when the scan
-    yields fewer splits than the cluster's parallelism -- e.g. a table stored as one small
-    parquet row group. Large inputs already have many splits and pass through untouched, so
-    no shuffle is added at scale. The partition count is known on the driver from file
-    listing (no job runs); rows are hash-partitioned by ``key`` so a retry re-partitions
-    identically."""
-    spark = df.sparkSession
-    try:
-        want = min_partitions or spark.sparkContext.defaultParallelism
-        have = df.rdd.getNumPartitions()
-    except Exception:  # noqa: BLE001 -- sessions without RDD access: leave the plan as is
-        return df
-    if have >= want:
-        return df
-    return df.repartition(want, key) if key else df.repartition(want)
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Deal CPU-heavy row-local work (regex over long texts) evenly: rows are hash-partitioned by
+    ``key``, at every size, so a retry deals them the same way and no plan depends on how the
+    table happens to be split into files."""
+    return df.repartition(key)

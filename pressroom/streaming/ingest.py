@@ -5,9 +5,11 @@ batch) -> ``foreachBatch``: per micro-batch, keep the first fetch of each key, d
 sink already holds (``left_anti`` against the sink -- stateless, so no dedup state grows for
 ever), append partitioned by press and date, and append one audit row per batch.
 
-Exactly-once in effect: the file source and the checkpoint make a batch replay after a
-failure see the same files, and the anti-join against the sink makes a replayed batch add
-nothing that is already there. ``trigger(availableNow=True)`` processes everything present
+Every batch writes a folder of its own (``batch_id=<n>``) with overwrite. The file source and the
+checkpoint make a replay after a failure see the same files under the same batch id, so it writes
+that folder anew, whole, whatever the failed run left in it; its own folder does not count as
+present. Rows of a key that the sink holds are dropped, unless they belong to the stored fetch (an
+article split over two files or batches) and are not stored yet. ``trigger(availableNow=True)`` processes everything present
 and stops, so the same code serves scheduled incremental runs.
 
 ``stream_dedup_watermark`` is the stateful alternative for continuous streams: an event-time
@@ -25,7 +27,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pressroom.sources.sink import DEFAULT_KEY, new_articles
+from pressroom.session import cut_lineage
+from pressroom.sources.sink import DEFAULT_KEY, new_articles, rebalance_for_write
 
 AUDIT_SCHEMA = T.StructType([
     T.StructField("batch_id", T.LongType()),
@@ -54,17 +57,15 @@ def stream_ingest(spark: SparkSession, src: str, sink: str, checkpoint: str, sch
     key = list(key)
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
-        fresh = new_articles(batch, sink, key, order, "parquet", prune_by=partition_by).persist()
-        try:
-            n_written = fresh.count()
-            if n_written:
-                fresh.write.mode("append").partitionBy(*partition_by).parquet(sink)
-            if audit:
-                n_input = batch.count()
-                row = spark.createDataFrame([(int(batch_id), int(n_input), int(n_written))], AUDIT_SCHEMA)
-                row.write.mode("append").parquet(audit)
-        finally:
-            fresh.unpersist()
+        own = batch.sparkSession
+        fresh = cut_lineage(new_articles(batch, sink, key, order, "parquet", prune_by=partition_by, except_batch=int(batch_id)))
+        n_written = fresh.count()
+        folder = f"{sink}/batch_id={int(batch_id)}"
+        if n_written:
+            rebalance_for_write(fresh, partition_by).write.mode("overwrite").partitionBy(*partition_by).parquet(folder)
+        if audit:
+            row = own.createDataFrame([(int(batch_id), int(batch.count()), int(n_written))], AUDIT_SCHEMA)
+            row.drop("batch_id").write.mode("overwrite").parquet(f"{audit}/batch_id={int(batch_id)}")
 
     q = (stream.writeStream.foreachBatch(write_batch)
                .option("checkpointLocation", checkpoint)
@@ -102,7 +103,7 @@ def stream_dedup_watermark(spark: SparkSession, src: str, sink: str, checkpoint:
 
 
 def read_sink(spark: SparkSession, sink: str) -> DataFrame:
-    return spark.read.parquet(sink)
+    return spark.read.parquet(sink).drop("batch_id")
 
 
 def batch_audit(spark: SparkSession, audit: str) -> DataFrame:

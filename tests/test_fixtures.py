@@ -8,8 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from pressroom.functions.text import has_text, regex_tokens
-from pressroom.operators import articles, boxstats, clean, groups, scores, shares, timeprofile, tokens, visibility
-from pressroom.sources import payload, press_tree, sink
+from pressroom.operators import articles, boxstats, clean, groups, profile, scores, shares, timeprofile, tokens, visibility
+from pressroom.sources import links, payload, press_tree, sink
 from pressroom.streaming import ingest
 
 
@@ -36,7 +36,7 @@ def test_f1_csv_text(spark):
             'u7,""\n'
             'u8, pad \n')
     _write(f"{root}/P/2024-12-05_P_t.csv", body.encode("utf-8"))
-    rows, rejects = press_tree.ingest_press_tree(spark, root)
+    rows, rejects = press_tree.ingest_press_tree(spark, root, extra_columns=True)
     got = [r.comments for r in rows.orderBy("row_no").collect()]
     assert got == ["a\nb", 'say "hi", x', None, None, None, None, None, " pad "]
     assert rejects.count() == 0
@@ -49,7 +49,7 @@ def test_f2_encodings(spark):
     _write(f"{root}/B/2024-12-05_B_c.csv", text.encode("cp949"))
     _write(f"{root}/C/2024-12-05_C_e.csv", text.encode("euc-kr"))
     _write(f"{root}/D/2024-12-05_D_bad.csv", b"a,b\n\xff\xfe\xfa,1\n")
-    rows, rejects = press_tree.ingest_press_tree(spark, root)
+    rows, rejects = press_tree.ingest_press_tree(spark, root, extra_columns=True)
     got = sorted((r.press_name, r.press_name_col, r.n) for r in rows.collect())
     assert got == [("A", "조선일보", "1"), ("B", "조선일보", "1"), ("C", "조선일보", "1")]
     rej = rejects.collect()
@@ -61,7 +61,7 @@ def test_f3_headers_bind_by_name(spark):
     _write(f"{root}/P/2024-12-05_P_1.csv", b"a,b\n1,2\n")
     _write(f"{root}/P/2024-12-06_P_2.csv", b"b,a\n3,4\n")
     _write(f"{root}/P/2024-12-07_P_3.csv", b"a,c\n5,6\n")
-    rows, _ = press_tree.ingest_press_tree(spark, root, columns=(("a", "bigint"), ("b", "bigint")))
+    rows, _ = press_tree.ingest_press_tree(spark, root, columns=(("a", "bigint"), ("b", "bigint")), extra_columns=True)
     got = sorted((r.a, r.b, r.c) for r in rows.collect())
     assert got == [(1, 2, None), (4, 3, None), (5, None, "6")]
 
@@ -71,7 +71,7 @@ def test_f4_file_names(spark):
     _write(f"{root}/X/2024-12-05_X_t.csv", b"comments\nhello\n")
     _write(f"{root}/X/notes.csv", b"comments\nskip\n")
     _write(f"{root}/into.txt", b"log line\n")
-    rows, rejects = press_tree.ingest_press_tree(spark, root)
+    rows, rejects = press_tree.ingest_press_tree(spark, root, extra_columns=True)
     r = rows.collect()
     assert [(x.press_name, x.date, x.comments) for x in r] == [("X", "2024-12-05", "hello")]
     rej = rejects.collect()
@@ -309,16 +309,18 @@ def test_extra_columns_as_map(spark):
     assert got == [(1, [("b", "2")]), (5, [("c", "6")])]
 
 
-def test_bucketed_running_sums_equal_plain_window(spark):
+def test_running_sums_equal_plain_window(spark):
+    from pyspark.sql import Window
     from pressroom.operators.running import running_sums
     rows = [("hot" if i % 3 else f"k{i % 7}", i if i % 11 else None, i % 5) for i in range(400)]
     df = spark.createDataFrame(rows, "k string, o long, v long").withColumn("id", F.monotonically_increasing_id())
     order = [F.col("o").asc_nulls_first(), F.col("id")]
-    plain = running_sums(df, {"r": F.col("v")}, order, keys=["k"])
-    bucketed = running_sums(df, {"r": F.col("v")}, order, keys=["k"], bucket=F.floor(F.col("o") / 17),
-                            offsets_bound=100)
+    df = spark.createDataFrame(df.collect(), df.schema)
+    w = Window.partitionBy("k").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    plain = df.withColumn("r", F.sum("v").over(w))
+    dealt = running_sums(df, {"r": F.col("v")}, order, keys=["k"])
     a = sorted((r.k, r.id, r.r) for r in plain.collect())
-    b = sorted((r.k, r.id, r.r) for r in bucketed.collect())
+    b = sorted((r.k, r.id, r.r) for r in dealt.collect())
     assert a == b
 
 
@@ -370,11 +372,9 @@ def test_a13_crawl_days(spark):
 def test_c1_lookup_unmatched_and_large_directory(spark):
     df = spark.createDataFrame([(1,), (2,), (None,)], "pid long")
     dim = spark.createDataFrame([(1, "A"), (3, "C")], "id long, name string")
-    for max_rows in (None, 1):  # broadcast, then the shuffle-join fallback
-        got = sorted(((r.pid, r.press_name) for r in
-                      articles.lookup_press(df, dim, "pid", "id", "name", max_rows=max_rows).collect()),
-                     key=repr)
-        assert got == sorted([(1, "A"), (2, None), (None, None)], key=repr)
+    dim = dim.unionAll(spark.createDataFrame([(1, "B"), (1, "A")], dim.schema))  # a repeated id adds no rows
+    got = sorted(((r.pid, r.press_name) for r in articles.lookup_press(df, dim, "pid", "id", "name").collect()), key=repr)
+    assert got == sorted([(1, "A"), (2, None), (None, None)], key=repr)
 
 
 def test_scores_to_shares_chain(spark):
@@ -488,3 +488,82 @@ def test_dense_months_and_years_fill_gaps(spark):
     assert months == [("2024-11", 1), ("2024-12", 0), ("2025-01", 0), ("2025-02", 2)]
     years = [(r.year, r.n_comments) for r in timeprofile.time_histogram(df, "ts", "year", dense=True).collect()]
     assert years == [(2024, 1), (2025, 2)]
+
+
+# ---------------------------------------------------------------- rows that used to be lost or wrong
+def test_null_keys_are_keys(spark):
+    rows = [("P", None, 1), ("P", None, 2), (None, "a", 3), (None, "a", 3), ("P", "a", None)]
+    df = spark.createDataFrame(rows, "press string, title string, seq long")
+    got = sorted((tuple(r) for r in sink.first_fetch(df, ["press", "title"], "seq").collect()), key=repr)
+    assert got == sorted([("P", None, 1), (None, "a", 3), (None, "a", 3), ("P", "a", None)], key=repr)
+    out = os.path.join(_tmp(), "sink")
+    assert sink.write_new_articles(df, out, ["press", "title"], "seq", partition_by=["press"]) == 4
+    assert sink.write_new_articles(df, out, ["press", "title"], "seq", partition_by=["press"]) == 0
+
+
+def test_csv_cells_keep_blanks_and_length(spark):
+    root = _tmp()
+    long = "x" * 200_000
+    df = spark.createDataFrame([("P", "2024-12-05", "  padded  "), ("P", "2024-12-05", long), (None, "2024-12-06", "no press")],
+                               "press_name string, date string, comments string")
+    sink.write_table(df, os.path.join(root, "t"), partition_by=["press_name", "date"], fmt="csv")
+    rows, rejects = press_tree.ingest_press_tree(spark, os.path.join(root, "t"), layout="partitioned")
+    assert sorted(((r.press_name, r.comments) for r in rows.collect()), key=repr) == sorted(
+        [("P", "  padded  "), ("P", long), (None, "no press")], key=repr)
+    assert rejects.count() == 0
+
+
+def test_cells_beyond_the_header_and_repeated_names(spark):
+    root = _tmp()
+    _write(f"{root}/P/2024-12-05_P_t.csv", b"a,a,b\n1,2,3,4\n")
+    rows, _ = press_tree.ingest_press_tree(spark, root, columns=(("a", "bigint"),))
+    assert [(r.a, r.extra) for r in rows.collect()] == [(1, {"a.1": "2", "b": "3", "_cell3": "4"})]
+
+
+def test_nan_is_no_value(spark):
+    nan = float("nan")
+    df = spark.createDataFrame([(1.0,), (2.0,), (nan,)], "v double")
+    r = profile.profile(df, ["v"]).first()
+    assert (r["count"], r["mean"], r["p50"], r["max"]) == (2, 1.5, 1.5, 2.0)
+    wide = spark.createDataFrame([("2024-12-P", "NaN", "3")], "`Year-Month-Media` string, Angry string, Happy string")
+    assert {r["Emotion_Type"]: r["Ratio"] for r in shares.emotion_share(wide, ["Angry", "Happy"]).collect()} == {"Angry": 0.0, "Happy": 100.0}
+
+
+def test_article_split_over_two_stream_files(spark):
+    from pressroom.streaming import ingest
+    base = _tmp()
+    schema = "date string, press_name string, title string, fetch_seq long, comments string"
+    for n, rows in enumerate([[("d", "P", "t", 0, "first half")], [("d", "P", "t", 0, "second half"), ("d", "P", "t", 1, "later fetch")]]):
+        spark.createDataFrame(rows, schema).write.mode("append").parquet(f"{base}/src")
+        ingest.stream_ingest(spark, f"{base}/src", f"{base}/sink", f"{base}/ck", schema, glob_filter="*.parquet")
+        assert ingest.read_sink(spark, f"{base}/sink").count() == n + 1
+
+
+def test_anchors_of_all_kinds(spark):
+    html = """<a href="/1">plain</a><a
+      class="x  hot y" href="/2?a=1&amp;officeId=9">over
+      lines</a><A HREF='/3'>upper</A><a data-x="a>b" href=/4>bare</a><a name="n">none</a>"""
+    df = spark.createDataFrame([(1, html)], "page_id long, html string")
+    got = [(r.pos, r.href) for r in links.extract_links(df).orderBy("pos").collect()]
+    assert got == [(0, "/1"), (1, "/2?a=1&officeId=9"), (2, "/3"), (3, "/4")]
+    assert [r.href for r in links.extract_links(df, css_class="y hot").collect()] == ["/2?a=1&officeId=9"]
+    q = df.select(links.query_value(F.lit("http://h/p?officeId=a%20b&amp;x=1"), "officeId").alias("v"), links.query_value(F.lit("http://h/p?a=1&amp;x=2"), "x").alias("w"))
+    assert tuple(q.first()) == ("a b", "2")
+
+
+def test_scores_go_by_label(spark):
+    labels = ["a", "b"]
+    assert scores.label_scores([[("b", 1.0)], {"a": 2, "z": 9}, [{"label": "b", "score": 3}], [4, 5], []], labels) == [
+        [0.0, 1.0], [2.0, 0.0], [0.0, 3.0], [4.0, 5.0], [0.0, 0.0]]
+    with pytest.raises(ValueError):
+        scores.label_scores([[1.0]], labels)
+    df = spark.createDataFrame([("P", "m", "f", " "), ("P", "m", "f", "2"), ("P", "m", "f", None)], "press_name string, month string, file_name string, comments string")
+    strict = scores.pandas_scorer(lambda: (lambda texts: [{"a": float(t)} for t in texts]), labels, loads=True)
+    assert [(r.a, r.b, r.n_comments) for r in scores.mean_scores(df, strict, scope="month").collect()] == [(2.0, 0.0, 1)]
+
+
+def test_broadcast_goes_by_bytes(spark):
+    from pressroom.operators.joins import bounded_broadcast, size_bound
+    small = spark.createDataFrame([("x" * 100, 1)] * 10, "s string, n long")
+    assert 1000 <= size_bound(small) <= 2000
+    assert bounded_broadcast(small, 2000)[1] and not bounded_broadcast(small, 500)[1]

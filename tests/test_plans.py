@@ -9,10 +9,12 @@ import re
 import pytest
 
 import __spark_entry__ as entry_mod
+from pressroom.plans.registry import REGISTRY
 from tests.conftest import SF01
 
-QUERIES = entry_mod.queries()
-PYTHON_OK = {"press_tree_roundtrip"}  # file decoding runs in mapInPandas
+QUERIES = {name: entry_mod.queries()[name] for name in REGISTRY}
+# file decoding runs in mapInPandas, plug-in scorers in a pandas UDF
+PYTHON_OK = {"press_tree_roundtrip", "press_tree_raw", "raw_tree_files", "mean_scores_by_label", "emotion_report"}
 PYTHON_NODES = ("BatchEvalPython", "ArrowEvalPython", "MapInPandas", "FlatMapGroupsInPandas",
                 "PythonUDF", "MapInArrow")
 
