@@ -3,7 +3,6 @@ and vectorised hashing of whole texts."""
 
 from __future__ import annotations
 
-import atexit
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,39 +13,17 @@ from pressroom.session import scratch_path
 
 U64 = np.uint64
 WORDS = 5  # words of a shingle
-_WRITTEN: list[tuple[SparkSession, str]] = []
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet under the shared checkpoint folder and read it back: lineage is
-    cut there, and a lost executor only repeats what it was running."""
+    cut there, and a lost executor only repeats what it was running. ``session.drop_scratch``
+    deletes the folder."""
     path = scratch_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
-    _WRITTEN.append((df.sparkSession, path))
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def drop_written(spark: SparkSession) -> None:
-    """Delete the tables that :func:`written` left for this session."""
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    for entry in [e for e in _WRITTEN if e[0] is spark]:
-        path = hadoop.Path(entry[1])
-        path.getFileSystem(conf).delete(path, True)
-        _WRITTEN.remove(entry)
-
-
-def _drop_all() -> None:
-    for spark in {id(s): s for s, _ in _WRITTEN}.values():
-        try:
-            drop_written(spark)
-        except Exception:  # noqa: BLE001 -- the session may have ended before the interpreter
-            pass
-
-
-atexit.register(_drop_all)
-
-
 def parallelism(spark: SparkSession) -> int:
     """Shuffle partitions of the session, the count that grows with the input."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
@@ -95,7 +72,7 @@ def flat_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[off[0]: off[-1]] if len(off) else np.zeros(0, np.uint8), off - off[0]
 
 
-def text_slices(batch: pa.RecordBatch, column: str, max_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def text_slices(batch: pa.RecordBatch, column: str, max_bytes: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Split a batch so that each part holds about ``max_bytes`` of text (one row at least)."""
     if not batch.num_rows:
         return
@@ -147,6 +124,25 @@ def shingles_of(hashes: np.ndarray, at: np.ndarray, width: int = WORDS) -> list[
     return out
 
 
+def blocks_by_part(batches: Iterator[pa.RecordBatch]) -> Iterator[list[bytes]]:
+    """The blocks of one part after the other, of rows (part, block) that are sorted by part."""
+    now, blocks = None, []
+    for batch in batches:
+        for part, block in zip(batch.column("part").to_pylist(), batch.column("block"), strict=True):
+            if part != now and blocks:
+                yield blocks
+                blocks = []
+            now = part
+            blocks.append(block.as_py())
+    if blocks:
+        yield blocks
+
+
+def dealt_blocks(rows: DataFrame, parts: int) -> DataFrame:
+    """Rows (part, block) dealt out by part, sorted for :func:`blocks_by_part`."""
+    return rows.repartition(parts, "part").sortWithinPartitions("part")
+
+
 def changes(*columns: np.ndarray) -> np.ndarray:
     """Whether each row differs from the one before it (the first does)."""
     out = np.ones(len(columns[0]), bool)

@@ -11,11 +11,12 @@ share at least the smaller of their k there. By how many nodes have a token in t
 * rare (up to ``rare``): a single token is a signature. All pairs of the few nodes are counted,
   and a pair stays if its rare tokens and the frequent ones that both could share reach k.
 * frequent: two tokens together are a signature. Only nodes with k frequent tokens or more can be
-  linked by these alone. Per size class the frequent tokens are split into k - 1 lots by hash, and
-  pairs of tokens of a lot are taken from the smallest on until no n - k misses could break them
-  all; linked nodes then share a combination. A combination may be in very many nodes, so a
-  group first meets its smallest node only, and pairs are looked at only where that left different
-  components.
+  linked by these alone. Of their whole sets the tokens that no other of these nodes has are counted:
+  what is left of a set bounds what it can share, which rules most nodes, pairs and partner sizes
+  out. Per size class the frequent tokens are split into k - 1 lots by hash, and pairs of tokens of
+  a lot are taken from the smallest on until no n - k misses could break them all; linked nodes then
+  share a combination. A combination may be in very many nodes, so a group first meets one node only,
+  the one with most to share, and pairs are looked at only where that left different components.
 
 All pairs are verified on whole sets. Groups where all nodes are already connected are never
 expanded: in the result only components matter. Verification goes best pair first for each node,
@@ -37,13 +38,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pressroom.llm.common import U64, byte_table, changes, flat_bytes, mix64, parallelism, shingles_of, signed, text_slices, unsigned, words_of, written
+from pressroom.llm.common import U64, blocks_by_part, byte_table, changes, dealt_blocks, flat_bytes, mix64, parallelism, shingles_of, signed, text_slices, unsigned, words_of, written
 from pressroom.llm.components import components
 
 SEED = 7
 NULL_ID = -(2**63)  # stands for a null doc_id
-FLUSH = 2_000_000  # prefix tokens that a scan task gathers before it passes them on
+FLUSH = 500_000  # prefix tokens that a scan task gathers before it passes them on
 DOC, PAIR, FREQUENT = 0, 1, 2
+BINS = 64
 
 
 def need(n, percent: int):
@@ -216,37 +218,116 @@ def _prefixes(docs: DataFrame, percent: int, rare: int, parts_n: int) -> DataFra
                 first = np.flatnonzero(changes(a, b))
                 yield out(PAIR, a[first], b[first], np.add.reduceat(w, first), na[first], nb[first])
 
-        now, blocks = None, []
-        for batch in parts:
-            for part, block in zip(batch.column("part").to_pylist(), batch.column("block"), strict=True):
-                if part != now and blocks:
-                    yield from done(blocks)
-                    blocks = []
-                now = part
-                blocks.append(block.as_py())
-        if blocks:
+        for blocks in blocks_by_part(parts):
             yield from done(blocks)
 
-    blocks = _identified(docs).mapInArrow(cut, "part int, block binary").repartition(parts_n, "part").sortWithinPartitions("part")
+    blocks = dealt_blocks(_identified(docs).mapInArrow(cut, "part int, block binary"), parts_n)
     return written(blocks.mapInArrow(meet, "kind int, a long, b long, w long, na long, nb long"), "join-prefixes")
 
 
-def _signatures(frequent: DataFrame, percent: int) -> DataFrame:
-    """(key, node, n) of the nodes that frequent tokens alone could link."""
+def _heavy(frequent: DataFrame, percent: int) -> DataFrame:
+    """(node, n, tokens) of the nodes that have enough frequent tokens to be linked by these alone."""
+    nodes = frequent.select(F.col("b").alias("node"), F.col("nb").alias("n"), F.col("a").alias("token")).distinct()
+    nodes = nodes.groupBy("node", "n").agg(F.collect_list("token").alias("tokens"))  # of one node: at most its set
+    smallest = F.floor((F.lit(percent) * F.col("n") + 99) / 100)
+    return written(nodes.filter(F.size("tokens") >= _extra_column(smallest, percent)), "join-heavy")
+
+
+def _bounds(texts: DataFrame, parts_n: int) -> DataFrame:
+    """(node, free, bins) of each text (node, text): free is how many of its tokens other texts have
+    too, bins counts these by BINS classes of hash (a byte each, 255: that many or more). What two
+    nodes share is at most the smaller free, and at most the sum of the smaller bins."""
+    def cut(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = byte_table(SEED)
+        for whole in parts:
+            for batch in text_slices(whole, "text"):
+                sets = shingles_of(*words_of(*flat_bytes(batch.column("text")), table))
+                nodes = batch.column("node").to_numpy()
+                token = np.concatenate(sets)
+                owner = np.repeat(np.arange(len(nodes)), [len(s) for s in sets])
+                part = (mix64(token) % U64(parts_n)).astype(np.int64)
+                order = np.argsort(part, kind="stable")
+                at = np.searchsorted(part[order], np.arange(parts_n + 1))
+                token, owner = token[order], owner[order]
+                for p in np.flatnonzero(np.diff(at)):
+                    here, places = np.unique(owner[at[p]: at[p + 1]], return_inverse=True)
+                    block = pickle.dumps((token[at[p]: at[p + 1]], places.astype(np.int32), nodes[here]), 5)
+                    yield pa.RecordBatch.from_arrays([pa.array([int(p)], pa.int32()), pa.array([block], pa.binary())], names=["part", "block"])
+
+    def alone(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The tokens that one node only has, as blocks of nodes and classes dealt by node."""
+        for blocks in blocks_by_part(parts):
+            loaded = [pickle.loads(b) for b in blocks]
+            token = np.concatenate([t for t, _, _ in loaded])
+            owner = np.concatenate([nodes[places] for _, places, nodes in loaded])
+            order = np.argsort(token, kind="stable")
+            token, owner = token[order], owner[order]
+            new = changes(token)
+            only = new & np.append(new[1:], True)
+            classes, owner = (token[only] % U64(BINS)).astype(np.uint8), owner[only]
+            to = (mix64(unsigned(owner)) % U64(parts_n)).astype(np.int64)
+            order = np.argsort(to, kind="stable")
+            classes, owner = classes[order], owner[order]
+            at = np.searchsorted(to[order], np.arange(parts_n + 1))
+            for p in np.flatnonzero(np.diff(at)):
+                block = pickle.dumps((owner[at[p]: at[p + 1]], classes[at[p]: at[p + 1]]), 5)
+                yield pa.RecordBatch.from_arrays([pa.array([int(p)], pa.int32()), pa.array([block], pa.binary())], names=["part", "block"])
+
+    def gather(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for blocks in blocks_by_part(parts):
+            owner, classes = (np.concatenate(x) for x in zip(*map(pickle.loads, blocks), strict=True))
+            order = np.argsort(owner, kind="stable")
+            owner, classes = owner[order], classes[order]
+            first = np.flatnonzero(changes(owner))
+            lists = [c.tobytes() for c in np.split(classes, first[1:])]
+            yield pa.RecordBatch.from_arrays([pa.array(owner[first]), pa.array(lists, pa.binary())], names=["node", "own"])
+
+    def subtract(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = byte_table(SEED)
+        for whole in parts:
+            for batch in text_slices(whole, "text"):
+                rows = []
+                sets = shingles_of(*words_of(*flat_bytes(batch.column("text")), table))
+                for node, own, tokens in zip(batch.column("node").to_pylist(), batch.column("own").to_pylist(), sets, strict=True):
+                    bins = np.bincount((tokens % U64(BINS)).astype(np.int64), minlength=BINS)
+                    bins -= np.bincount(np.frombuffer(own or b"", np.uint8), minlength=BINS)
+                    rows.append((node, int(bins.sum()), np.minimum(bins, 255).astype(np.uint8).tobytes()))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.binary()), strict=True)],
+                                                 names=["node", "free", "bins"])
+
+    texts = texts.select("node", "text")
+    blocks = dealt_blocks(texts.mapInArrow(cut, "part int, block binary"), parts_n).mapInArrow(alone, "part int, block binary")
+    own = dealt_blocks(blocks, parts_n).mapInArrow(gather, "node long, own binary")
+    return texts.join(own, "node", "left").mapInArrow(subtract, "node long, free long, bins binary")
+
+
+def _could_link(n: Column, free: Column, m: Column, other_free: Column, percent: int) -> Column:
+    """Whether sets of n and m tokens of which so many may be shared can reach the threshold."""
+    shared = F.least(free, other_free)
+    return shared * 100 >= (n + m - shared) * percent
+
+
+def _signatures(heavy: DataFrame, percent: int) -> DataFrame:
+    """(key, node, n, free) of heavy nodes (node, n, tokens, free). Rows without a possible partner
+    size under their key are left out."""
     classes = SizeClasses(percent)
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            for node, n, tokens in zip(part.column("node").to_pylist(), part.column("n").to_pylist(), part.column("tokens"), strict=True):
+            for node, n, free, tokens in zip(*(part.column(c).to_pylist() for c in ("node", "n", "free")), part.column("tokens"), strict=True):
                 keys = combinations(np.sort(unsigned(tokens.values.to_numpy())), n, classes)
                 if len(keys):
-                    yield pa.RecordBatch.from_arrays([pa.array(signed(keys)), pa.array(np.full(len(keys), node, np.int64)), pa.array(np.full(len(keys), n, np.int64))],
-                                                     names=["key", "node", "n"])
+                    columns = [np.full(len(keys), x, np.int64) for x in (node, n, free)]
+                    yield pa.RecordBatch.from_arrays([pa.array(signed(keys)), *map(pa.array, columns)], names=["key", "node", "n", "free"])
 
-    nodes = frequent.select(F.col("b").alias("node"), F.col("nb").alias("n"), F.col("a").alias("token")).distinct()
-    nodes = nodes.groupBy("node", "n").agg(F.collect_list("token").alias("tokens"))  # of one node: at most its set
-    smallest = F.floor((F.lit(percent) * F.col("n") + 99) / 100)
-    return nodes.filter(F.size("tokens") >= _extra_column(smallest, percent)).mapInArrow(batches, "key long, node long, n long")
+    rows = written(heavy.select("node", "n", "free", "tokens").filter(_could_link(F.col("n"), F.col("free"), F.col("free"), F.col("free"), percent))
+                   .mapInArrow(batches, "key long, node long, n long, free long"), "join-signatures")
+    # per key the sizes there are, each with the most that one of this size has free: as many as sizes in a class
+    sizes = rows.groupBy("key", "n").agg(F.max("free").alias("most"), F.count("*").alias("rows"))
+    sizes = sizes.groupBy("key").agg(F.collect_list(F.struct("n", "most", "rows")).alias("sizes"), F.sum("rows").alias("total")).filter("total > 1").drop("total")
+    n, own_free = F.col("n"), F.col("free")
+    possible = F.exists("sizes", lambda s: ((s["n"] != n) | (s["rows"] > 1)) & _could_link(n, own_free, s["n"], s["most"], percent))
+    return rows.join(sizes, "key").filter(possible).drop("sizes")
 
 
 class _Texts:
@@ -255,7 +336,8 @@ class _Texts:
     def __init__(self, docs: DataFrame, nodes: DataFrame, percent: int):
         self.docs, self.nodes, self.percent, self.have = _identified(docs), nodes, percent, None
 
-    def _fetch(self, wanted: DataFrame) -> DataFrame:
+    def fetch(self, wanted: DataFrame) -> DataFrame:
+        """(node, text) of at least the wanted nodes."""
         if self.have is not None:
             wanted = wanted.join(self.have.select("node"), "node", "left_anti")
         keys = wanted.join(self.nodes, "node").select("node", F.col("first.doc").alias("doc"), F.col("first.uid").alias("uid"))
@@ -269,7 +351,7 @@ class _Texts:
         pairs = written(pairs.select("a", "b").distinct(), "join-pairs")
         if pairs.isEmpty():
             return pairs
-        texts = self._fetch(pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node"))).distinct())
+        texts = self.fetch(pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node"))).distinct())
 
         def verify(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             table = byte_table(SEED)
@@ -293,6 +375,49 @@ class _Texts:
         return written(joined.mapInArrow(verify, "a long, b long"), "join-links")
 
 
+def _clusters_apart(rows: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of the nodes of a cluster that are in different components and could link by
+    their sizes, their free tokens and the bins of these. rows: cluster, node, component, n, free,
+    bins. Nodes outside a cluster's largest component are compared with all, in blocks."""
+    def compare(node, component, n, free, bins) -> Iterator[pa.RecordBatch]:
+        names, code, count = np.unique(component, return_inverse=True, return_counts=True)
+        outside = np.flatnonzero(code != count.argmax())
+        step = max(1, 32_000_000 // (BINS * len(node)))
+        for at in range(0, len(outside), step):
+            x = outside[at: at + step]
+            shared = np.minimum(free[x][:, None], free[None, :])
+            fit = (code[x][:, None] != code[None, :]) & (100 * shared >= percent * (n[x][:, None] + n[None, :] - shared))
+            i, j = np.nonzero(fit)
+            i = x[i]
+            for part in range(0, len(i), 500_000):
+                a, b = i[part: part + 500_000], j[part: part + 500_000]
+                both = np.minimum(bins[a], bins[b]).astype(np.int64)
+                shared = np.where((both == 255).any(1), np.minimum(free[a], free[b]), both.sum(1))
+                good = 100 * shared >= percent * (n[a] + n[b] - shared)
+                pairs = np.unique(np.column_stack((np.minimum(node[a], node[b])[good], np.maximum(node[a], node[b])[good])), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+
+    def clusters(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+
+        def done() -> Iterator[pa.RecordBatch]:
+            *numbers, bins = zip(*held, strict=True)
+            return compare(*(np.array(x, np.int64) for x in numbers), np.frombuffer(b"".join(bins), np.uint8).reshape(-1, BINS))
+
+        for batch in parts:
+            for cluster, *row in zip(*(batch.column(c).to_pylist() for c in ("cluster", "node", "component", "n", "free", "bins")), strict=True):
+                if cluster != now and held:
+                    yield from done()
+                    held = []
+                now = cluster
+                held.append(row)
+        if held:
+            yield from done()
+
+    dealt = rows.repartition(parallelism(rows.sparkSession), "cluster").sortWithinPartitions("cluster")
+    return dealt.mapInArrow(clusters, "a long, b long")
+
+
 def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     """The pairs whose nodes are not in one component yet."""
     a, b = (labels.select(F.col("node").alias(c), F.col("component").alias(f"component_{c}")) for c in "ab")
@@ -320,9 +445,12 @@ def _grouped(docs: DataFrame, percent: int, rare: int) -> tuple[DataFrame, DataF
     pairs = written(pairs.filter(F.col("w") + both >= F.least(_extra_column(F.col("na"), percent), _extra_column(F.col("nb"), percent))).select("a", "b", "w"), "join-candidates")
     best = pairs.groupBy("b").agg(F.max_by("a", F.struct("w", -F.col("a"))).alias("a"))
 
-    keys = written(_signatures(frequent, percent), "join-signatures")
-    pivots = keys.groupBy("key").agg(F.min("node").alias("a"))
-    stars = written(keys.join(pivots, "key").filter(F.col("node") != F.col("a")).groupBy("a", F.col("node").alias("b")).agg(F.count("*").alias("w")), "join-stars")
+    heavy = _heavy(frequent, percent)
+    heavy = written(heavy.join(_bounds(texts.fetch(heavy.select("node")), parallelism(docs.sparkSession)), "node"), "join-bounds")
+    keys = written(_signatures(heavy, percent), "join-signatures")
+    pivots = keys.groupBy("key").agg(F.max(F.struct("free", (-F.col("node")).alias("order"), "node", "n")).alias("p"))
+    stars = keys.join(pivots, "key").filter((F.col("node") != F.col("p.node")) & _could_link(F.col("n"), F.col("free"), F.col("p.n"), F.col("p.free"), percent))
+    stars = written(stars.groupBy(F.col("p.node").alias("a"), F.col("node").alias("b")).agg(F.count("*").alias("w")), "join-stars")
     best_star = stars.groupBy("b").agg(F.max_by("a", F.struct("w", -F.col("a"))).alias("a"))
 
     links = texts.linked(best.select("a", "b").unionAll(best_star.select("a", "b")))
@@ -332,14 +460,15 @@ def _grouped(docs: DataFrame, percent: int, rare: int) -> tuple[DataFrame, DataF
         links = links.unionAll(more)
         labels = components(links)
 
-    # what shares a combination and is still apart
-    named = keys.join(labels, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("component"))
-    mixed = named.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("key")
-    named = written(named.join(mixed, "key"), "join-apart")
-    other = named.select("key", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"))
-    apart = named.join(other, "key").filter((F.col("node") < F.col("b")) & (F.col("component") != F.col("cb"))
-                                            & (F.least("n", "nb") * 100 >= F.greatest("n", "nb") * percent))
-    more = texts.linked(apart.select(F.col("node").alias("a"), "b").distinct().join(stars.select("a", "b"), ["a", "b"], "left_anti"))
+    # what shares a combination and is still apart: the groups of keys whose pivots are connected are
+    # taken as one, each node once
+    component = F.coalesce("component", "node").alias("component")
+    rows = keys.select("key", "node").join(labels, "node", "left").select("key", "node", component)
+    mixed = rows.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("key")
+    of_pivot = pivots.join(mixed, "key").select("key", F.col("p.node").alias("node")).join(labels, "node", "left").select("key", component)
+    rows = rows.join(of_pivot.withColumnRenamed("component", "cluster"), "key").select("cluster", "node", "component").distinct()
+    rows = written(rows.join(heavy.select("node", "n", "free", "bins"), "node"), "join-apart")
+    more = texts.linked(_clusters_apart(rows, percent).distinct().join(stars.select("a", "b"), ["a", "b"], "left_anti"))
     if not more.isEmpty():
         labels = components(links.unionAll(more))
 
