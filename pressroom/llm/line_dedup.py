@@ -34,11 +34,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
-from pressroom.llm.common import U64, changes, mix64, parallelism, signed, text_slices, unsigned, written
+from pressroom.llm.common import U64, blocks_by_part, changes, dealt_blocks, mix64, parallelism, signed, text_slices, unsigned, written
 
 SEED = 2
 NULL_ID = -(2**63)  # stands for a null doc_id
-FLUSH = 1_000_000  # keys that a scan task gathers before it passes them on
+FLUSH = 500_000  # keys that a scan task gathers before it passes them on
 MULTIPLIER = 0x9E3779B97F4A7C15
 INVERSE = pow(MULTIPLIER, -1, 2**64)
 REMOVED, LINE, PAIR, HOT_INDEX, HOT_PROBE = range(5)
@@ -209,7 +209,7 @@ def _line_table(docs: DataFrame, edits: int, min_chars: int, hot: int) -> DataFr
 
         held = 0
         for whole in parts:
-            for batch in text_slices(whole, "text", 2 << 20):
+            for batch in text_slices(whole, "text"):
                 new: dict[bytes, str] = {}
                 for doc, uid, text in zip(*(batch.column(c).to_pylist() for c in ("doc", "uid", "text")), strict=True):
                     for number, line in enumerate((text or "").split("\n")):
@@ -265,18 +265,10 @@ def _line_table(docs: DataFrame, edits: int, min_chars: int, hot: int) -> DataFr
             for a, b in _candidates(index, probe, edits):
                 yield _rows(PAIR, a, b)
 
-        now, blocks = None, []
-        for batch in parts:
-            for part, block in zip(batch.column("part").to_pylist(), batch.column("block"), strict=True):
-                if part != now and blocks:
-                    yield from done(blocks)
-                    blocks = []
-                now = part
-                blocks.append(block.as_py())
-        if blocks:
+        for blocks in blocks_by_part(parts):
             yield from done(blocks)
 
-    blocks = _identified(docs).mapInArrow(cut, "part int, block binary").repartition(parts_n, "part").sortWithinPartitions("part")
+    blocks = dealt_blocks(_identified(docs).mapInArrow(cut, "part int, block binary"), parts_n)
     return written(blocks.mapInArrow(meet, ROWS), "lines")
 
 

@@ -40,12 +40,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pressroom.llm.common import U64, byte_table, changes, flat_bytes, mix64, parallelism, signed, text_slices, written
+from pressroom.llm.common import U64, blocks_by_part, byte_table, changes, dealt_blocks, flat_bytes, mix64, parallelism, signed, text_slices, written
 
 SEED = 100
 RUN = 64  # windows of a fragment
 NULL_ID = -(2**63)  # stands for a null doc_id
-FLUSH = 2_000_000  # fragments that a scan task gathers before it passes them on
+FLUSH = 500_000  # fragments that a scan task gathers before it passes them on
 MULTIPLIER = 0x9E3779B97F4A7C15
 INVERSE = pow(MULTIPLIER, -1, 2**64)
 
@@ -288,7 +288,7 @@ def find_repeats(docs: DataFrame, length: int = 100, anchor: int = 40, hot: int
                     yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([block], pa.binary())], names=["part", "block"])
 
         for whole in parts:
-            for batch in text_slices(whole, "text", 2 << 20):
+            for batch in text_slices(whole, "text"):
                 data, off = flat_bytes(batch.column("text"))
                 doc, uid = (batch.column(c).to_numpy() for c in ("doc", "uid"))
                 text, start, windows, fp, content, again = fragments(data, off, length, anchor, powers)
@@ -322,19 +322,10 @@ def find_repeats(docs: DataFrame, length: int = 100, anchor: int = 40, hot: int
             on = np.flatnonzero((distinct[group] > 1) | again)
             yield table(doc[on], uid[on], start[on], start[on] + windows[on].astype(np.int64) + length - 1, fp[on], distinct[group[on]] > hot)
 
-        now, blocks = None, []
-        for batch in parts:
-            for part, block in zip(batch.column("part").to_pylist(), batch.column("block"), strict=True):
-                if part != now and blocks:
-                    yield from done(blocks)
-                    blocks = []
-                now = part
-                blocks.append(block.as_py())
-        if blocks:
+        for blocks in blocks_by_part(parts):
             yield from done(blocks)
 
-    met = written(source.mapInArrow(cut, "part int, block binary").repartition(parts_n, "part").sortWithinPartitions("part")
-                  .mapInArrow(meet, "doc long, uid long, a long, b long, fp long, hot boolean"), "suffix-fragments")
+    met = written(dealt_blocks(source.mapInArrow(cut, "part int, block binary"), parts_n).mapInArrow(meet, "doc long, uid long, a long, b long, fp long, hot boolean"), "suffix-fragments")
     covered = met.filter(F.col("fp").isNull()).select("doc", "uid", "a", "b")
     wanted = met.filter(F.col("fp").isNotNull()).groupBy("doc", "uid").agg(F.collect_list(F.struct("a", "b", "fp", "hot")).alias("cuts"))
 
