@@ -866,9 +866,8 @@ def sink_two_runs(spark: SparkSession, sf_dir: str):
     from pressroom.session import scratch_path
     root = scratch_path(spark, "sink")
     rows = _keyed_events(Tables(spark, sf_dir))
-    span = rows.agg(F.min("fetched").alias("lo"), F.max("fetched").alias("hi"))
-    middle = span.select((F.col("lo") + (F.col("hi") - F.col("lo")) / 2).alias("m"))
-    half = rows.join(F.broadcast(middle), F.col("fetched") <= F.col("m")).drop("m")  # one row
+    lo, hi = rows.agg(F.min("fetched"), F.max("fetched")).first()
+    half = rows.filter(F.col("fetched") <= F.lit(lo + (hi - lo) / 2)) if lo is not None else rows
     for part in (half, rows):
         sink.write_new_articles(part, root, ["user_id", "press_name"], "fetched", partition_by=["press_name"])
     return spark.read.parquet(root).select("event_id", "user_id", "press_name", "fetched")
@@ -1088,7 +1087,6 @@ def raw_tree_files(spark: SparkSession, sf_dir: str):
     files = press_tree.files_per_press(rows)
     listed = (spark.read.format("binaryFile").load(f"{root}/*/*.csv").select(F.element_at(F.split("path", "/"), -2).alias("press_name"))
               .groupBy("press_name").agg(F.count("*").alias("n_listed")))
-    total = table.agg(F.count("*").alias("n_table"))
-    every = rows.agg(F.count("*").alias("n_all"))
-    checked = per_press.join(files, "press_name").join(listed, "press_name").join(F.broadcast(total)).join(F.broadcast(every))  # one row each
-    return checked.select("press_name", "n_rows", ((F.col("n_files") == F.col("n_listed")) & (F.col("n_table") == F.col("n_all"))).alias("all_listed"))
+    same = table.count() == rows.count()
+    checked = per_press.join(files, "press_name").join(listed, "press_name")
+    return checked.select("press_name", "n_rows", ((F.col("n_files") == F.col("n_listed")) & F.lit(same)).alias("all_listed"))

@@ -19,7 +19,7 @@ from pressroom.plans.registry import REGISTRY
 from pressroom.session import build_session
 
 PY_NODES = ("BatchEvalPython", "ArrowEvalPython", "MapInPandas", "FlatMapGroupsInPandas", "MapInArrow")
-SKIP = {"press_tree_roundtrip", "stream_first_fetch"}  # write files while being planned
+SKIP: set[str] = set()
 
 
 def formatted(df) -> str:

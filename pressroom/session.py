@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
@@ -80,14 +81,43 @@ def checkpoint_root(spark: SparkSession) -> str:
     existing = sc.getCheckpointDir()
     if existing:
         return existing
+    if not sc.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     root = tempfile.mkdtemp(prefix="pressroom-ckpt-")
     sc.setCheckpointDir(root)
     return root
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new, unique path under the shared checkpoint folder."""
-    return os.path.join(checkpoint_root(spark), f"{name}-{uuid.uuid4().hex[:12]}")
+    """A new, unique path under the shared checkpoint folder; :func:`drop_scratch` deletes it, at
+    the latest when the interpreter ends."""
+    path = os.path.join(checkpoint_root(spark), f"{name}-{uuid.uuid4().hex[:12]}")
+    _SCRATCH.append((spark, path))
+    return path
+
+
+_SCRATCH: list[tuple[SparkSession, str]] = []
+
+
+def drop_scratch(spark: SparkSession) -> None:
+    """Delete what this session has under its scratch paths. Results that read from there must
+    have been written or collected before."""
+    hadoop, conf = spark.sparkContext._jvm.org.apache.hadoop.fs, spark.sparkContext._jsc.hadoopConfiguration()
+    for entry in [e for e in _SCRATCH if e[0] is spark]:
+        path = hadoop.Path(entry[1])
+        path.getFileSystem(conf).delete(path, True)
+        _SCRATCH.remove(entry)
+
+
+def _drop_all() -> None:
+    for spark in {id(s): s for s, _ in _SCRATCH}.values():
+        try:
+            drop_scratch(spark)
+        except Exception:  # noqa: BLE001 -- the session may have ended before the interpreter
+            pass
+
+
+atexit.register(_drop_all)
 
 
 def cut_lineage(df):
