@@ -8,8 +8,11 @@ substrings, so equal windows have equal fingerprints. Neighbouring windows of on
 out together as a fragment (at most ``RUN`` windows). Copies of a fragment are taken together where
 they meet, first within a scan task, then per fingerprint: all but the first are covered as a whole,
 and only the first goes on. A fingerprint with one distinct fragment that does not repeat in itself
-is then done. Of a fingerprint with more than ``hot`` distinct fragments every window is routed by
-its own hash, so that no group is larger than that.
+is then done. A fingerprint with more than ``hot`` distinct fragments is taken window by window: each
+scan task keeps the first place of every distinct window and covers the others, and what is kept is
+routed by the window's own hash, sorted and streamed by content, and covered but for the first. These
+windows need no suffix order. Other fingerprints go there whole: a group holds up to ``hot``
+fragments, and a collection up to a group more than ``collection_bytes``.
 
 Suffix order. What is left is dealt by fingerprint, and each task builds the suffix order of its
 fragments as collections of bounded size (:class:`Collection`): round j inserts the suffix of j bytes
@@ -46,6 +49,8 @@ SEED = 100
 RUN = 64  # windows of a fragment
 NULL_ID = -(2**63)  # stands for a null doc_id
 FLUSH = 500_000  # fragments that a scan task gathers before it passes them on
+WINDOWS = 100_000  # windows of hot fingerprints, and copies of them, that a task gathers
+COLD, HOT, COVERED = range(3)
 MULTIPLIER = 0x9E3779B97F4A7C15
 INVERSE = pow(MULTIPLIER, -1, 2**64)
 
@@ -330,45 +335,82 @@ def find_repeats(docs: DataFrame, length: int = 100, anchor: int = 40, hot: int
     wanted = met.filter(F.col("fp").isNotNull()).groupBy("doc", "uid").agg(F.collect_list(F.struct("a", "b", "fp", "hot")).alias("cuts"))
 
     def extract(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The bytes of the fragments; of a hot fingerprint those of each window."""
+        """The bytes of the fragments; of hot fingerprints those of each distinct window at its first
+        place, and what the other places cover."""
+        first: dict[bytes, tuple[int, int, int]] = {}
+        later: list[tuple[int, int, int]] = []
+
+        def put(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+            for i in range(0, len(rows), 20_000):
+                columns = zip(*rows[i: i + 20_000], strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), *[pa.int64()] * 5, pa.binary()), strict=True)],
+                                                 names=["kind", "key", "doc", "uid", "a", "b", "bytes"])
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            yield from put([(HOT, int.from_bytes(hashlib.blake2b(window, digest_size=8).digest(), "little", signed=True), *place, place[2] + length, window)
+                            for window, place in first.items()])
+            doc, uid, at = np.array(later, np.int64).reshape(-1, 3).T
+            spans = zip(*(x.tolist() for x in merge_spans(doc, uid, at, at + length)), strict=True)
+            yield from put([(COVERED, uid, doc, uid, a, b, None) for doc, uid, a, b in spans])
+            first.clear()
+            later.clear()
+
         for whole in parts:
             for batch in text_slices(whole, "text", 1 << 20):
                 rows = []
                 for doc, uid, text, cuts in zip(*(batch.column(c).to_pylist() for c in ("doc", "uid", "text", "cuts")), strict=True):
                     for c in cuts:
-                        if c["hot"]:
-                            for a in range(c["a"], c["b"] - length + 1):
-                                window = text[a: a + length]
-                                rows.append((int.from_bytes(hashlib.blake2b(window, digest_size=8).digest(), "little", signed=True), doc, uid, a, window))
-                        else:
-                            rows.append((c["fp"], doc, uid, c["a"], text[c["a"]: c["b"]]))
-                for i in range(0, len(rows), 20_000):
-                    columns = zip(*rows[i: i + 20_000], strict=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (*[pa.int64()] * 4, pa.binary()), strict=True)],
-                                                     names=["key", "doc", "uid", "a", "bytes"])
-
-    cut_out = source.join(wanted, ["doc", "uid"]).mapInArrow(extract, "key long, doc long, uid long, a long, bytes binary")
+                        if not c["hot"]:
+                            rows.append((COLD, c["fp"], doc, uid, c["a"], c["b"], text[c["a"]: c["b"]]))
+                            continue
+                        for a in range(c["a"], c["b"] - length + 1):
+                            window, place = text[a: a + length], (doc, uid, a)
+                            known = first.setdefault(window, place)
+                            if place < known:
+                                first[window] = place
+                                later.append(known)
+                            elif place > known:
+                                later.append(place)
+                        if len(first) + len(later) >= WINDOWS:
+                            yield from flush()
+                yield from put(rows)
+        yield from flush()
+
+    cut_out = source.join(wanted, ["doc", "uid"]).mapInArrow(extract, "kind int, key long, doc long, uid long, a long, b long, bytes binary")
 
     def order(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with tempfile.TemporaryDirectory() as folder:
             rows, held, last = [], 0, None
+            window, earliest = None, None
 
             def done() -> pa.RecordBatch:
                 doc, uid, a = (np.array(x, np.int64) for x in zip(*[r[:3] for r in rows], strict=True))
                 return _spans_batch(repeats([r[3] for r in rows], doc, uid, a, length, folder))
 
             for batch in parts:
-                for key, *row in zip(*(batch.column(c).to_pylist() for c in ("key", "doc", "uid", "a", "bytes")), strict=True):
-                    if key != last and held >= collection_bytes:
-                        yield done()
-                        rows, held = [], 0
-                    last = key
-                    rows.append(row)
-                    held += len(row[3])
+                covered = []
+                for kind, key, *place, b, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    if kind == COVERED:
+                        covered.append((*place, b))
+                    elif kind == HOT:  # sorted by content, then by place
+                        if text != window:
+                            window, earliest = text, place
+                        elif place != earliest:
+                            covered.append((*place, b))
+                    else:
+                        if key != last and held >= collection_bytes:
+                            yield done()
+                            rows, held = [], 0
+                        last = key
+                        rows.append((*place, text))
+                        held += len(text)
+                if covered:
+                    yield _spans_batch(tuple(np.array(covered, np.int64).T))
             if rows:
                 yield done()
 
-    ordered = cut_out.repartition(parts_n, "key").sortWithinPartitions("key").mapInArrow(order, "doc long, uid long, a long, b long")
+    dealt = cut_out.repartition(parts_n, "key").sortWithinPartitions("kind", "key", "bytes", "doc", "uid", "a")
+    ordered = dealt.mapInArrow(order, "doc long, uid long, a long, b long")
     return covered.unionAll(ordered)
 
 

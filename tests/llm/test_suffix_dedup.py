@@ -50,6 +50,27 @@ def test_against_all_windows(spark, length, anchor, hot):
     assert sorted(((*tuple(r)[:4], bytes(r[4])) for r in got), key=str) == sorted(without_repeats(rows, length), key=str)
 
 
+def test_hot_windows_meet_in_no_collection(spark, monkeypatch):
+    """Copies of a hot window are taken together before the suffix order, whatever their number."""
+    rng = random.Random(17)
+    passage = "".join(rng.choice("abcdefgh ") for _ in range(40))
+    text = lambda: "".join(rng.choice("abcdefgh ") for _ in range(rng.randint(15, 60)))
+    rows = [(i, text() + passage + text()) for i in range(400)]
+    # a collection is closed at collection_bytes, after at most the fragments of one fingerprint more
+    length, hot, room, repeats = 30, 20, 2000, s.repeats
+    bound = room + hot * (length + s.RUN - 1)
+
+    def bounded(strings, *more):
+        if sum(map(len, strings)) > bound:
+            raise ValueError("copies of hot windows in one collection")
+        return repeats(strings, *more)
+
+    monkeypatch.setattr(s, "repeats", bounded)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = s.remove_repeats(docs, length=length, anchor=12, hot=hot, collection_bytes=room).collect()
+    assert sorted((*tuple(r)[:4], bytes(r[4])) for r in got) == sorted(without_repeats(rows, length))
+
+
 def test_awkward_rows(spark):
     docs = spark.createDataFrame(AWKWARD, DOCS).withColumnRenamed("lang", "kept").withColumnRenamed("source", "uid").repartition(3)
     got = s.remove_repeats(docs).collect()
