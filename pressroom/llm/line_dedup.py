@@ -2,8 +2,9 @@
 
 A line (what stands between line feeds) of at least ``min_chars`` code points goes when an equal line
 or one within ``max_edits`` edits (insert, delete, replace a code point) stands earlier: in a
-document of smaller doc_id, or further up in the same document. All judged on the input; shorter
-lines always stay.
+document of smaller doc_id, or further up in the same document. All judged on the input. Shorter
+lines stay, unless ``equal_chars`` is given: then lines of at least so many code points that are not
+blank go when an equal one stands earlier, and ``min_chars`` bounds the edit join only.
 
 Distinct lines are split into ``max_edits + 1`` segments; of two lines within so many edits, one
 segment of the shorter is a substring of the longer, at a place that the lengths and the segment's
@@ -43,6 +44,7 @@ MULTIPLIER = 0x9E3779B97F4A7C15
 INVERSE = pow(MULTIPLIER, -1, 2**64)
 REMOVED, LINE, PAIR, HOT_INDEX, HOT_PROBE = range(5)
 BLOCK_PAIRS = 1_000_000
+NO_KEYS = np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
 
 def segments(size: np.ndarray, i: int, edits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -176,7 +178,7 @@ def _rows(kind: int, *columns: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), *(pa.array(np.ascontiguousarray(c, np.int64)) for c in columns)], names=NAMES)
 
 
-def _line_table(docs: DataFrame, edits: int, min_chars: int, hot: int) -> DataFrame:
+def _line_table(docs: DataFrame, edits: int, min_chars: int, hot: int, equal_chars: int) -> DataFrame:
     """Rows of kind REMOVED (doc, uid, line: equal to an earlier one), LINE (node, its other hash half,
     doc, uid, line of each distinct line's first place), PAIR (nodes), and, of keys with more than
     ``hot`` indexed lines, HOT_INDEX and HOT_PROBE (key, node, counts)."""
@@ -195,7 +197,7 @@ def _line_table(docs: DataFrame, edits: int, min_chars: int, hot: int) -> DataFr
             lines, home = np.column_stack((halves, places))[order], home[order]
             out = [(lines, np.searchsorted(home, np.arange(parts_n + 1)))]
             for side in (0, 1):
-                key, node, count = (np.concatenate([g[side][k] for g in gathered]) for k in range(3))
+                key, node, count = (np.concatenate([none, *(g[side][k] for g in gathered)]) for k, none in enumerate(NO_KEYS))
                 part = (key % U64(parts_n)).astype(np.int64)
                 order = np.argsort(part, kind="stable")
                 out.append(((key[order], node[order], count[order]), np.searchsorted(part[order], np.arange(parts_n + 1))))
@@ -213,13 +215,17 @@ def _line_table(docs: DataFrame, edits: int, min_chars: int, hot: int) -> DataFr
                 new: dict[bytes, str] = {}
                 for doc, uid, text in zip(*(batch.column(c).to_pylist() for c in ("doc", "uid", "text")), strict=True):
                     for number, line in enumerate((text or "").split("\n")):
-                        if len(line) < min_chars:
+                        short = len(line) < min_chars
+                        if short and (len(line) < equal_chars or not line.strip()):
                             continue
                         digest = xxhash.xxh3_128_digest(line.encode("utf-8", "surrogatepass"))
                         place, known = (doc, uid, number), first.get(digest)
                         if known is None:
                             first[digest] = place
-                            new[digest] = line
+                            if short:
+                                held += 1
+                            else:
+                                new[digest] = line
                         elif place < known:
                             first[digest] = place
                             again.append(known)
@@ -344,11 +350,11 @@ def _similar(docs: DataFrame, table: DataFrame, edits: int, hot: int) -> DataFra
     return joined.mapInArrow(verify, "doc long, uid long, line long")
 
 
-def removed_lines(docs: DataFrame, max_edits: int = 2, min_chars: int = 30, hot: int = 4096) -> DataFrame:
+def removed_lines(docs: DataFrame, max_edits: int = 2, min_chars: int = 30, hot: int = 4096, equal_chars: int | None = None) -> DataFrame:
     """(doc, uid, line from 0) of every line that goes; may name a line twice."""
     if not 0 <= max_edits <= 15 or min_chars <= max_edits:
         raise ValueError("max_edits up to 15 and below min_chars")
-    table = _line_table(docs, max_edits, min_chars, hot)
+    table = _line_table(docs, max_edits, min_chars, hot, min_chars if equal_chars is None else equal_chars)
     equal = table.filter(F.col("kind") == REMOVED).select(F.col("a").alias("doc"), F.col("b").alias("uid"), F.col("c").alias("line"))
     return equal.unionAll(_similar(docs, table, max_edits, hot))
 

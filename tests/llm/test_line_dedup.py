@@ -42,6 +42,25 @@ def test_against_all_pairs(spark, edits, least, hot):
         assert r["text"] == (text[r["doc_id"]] if not gone else "\n".join(x for i, x in enumerate(text[r["doc_id"]].split("\n")) if i not in gone))
 
 
+@pytest.mark.parametrize("edits,hot", [(2, 4096), (0, 2)])
+def test_equal_lines_of_every_length(spark, edits, hot):
+    rng = random.Random(edits + 40)
+    base = ["".join(rng.choice("abcde") for _ in range(rng.randint(1, 20))) for _ in range(20)] + ["", "  ", "All rights reserved."]
+    rows = [(i, "\n".join(mutate(rng, rng.choice(base), rng.choice([0, 0, 1, 2])) for _ in range(rng.randint(0, 7)))) for i in range(40)]
+    rows += [(100, None), (101, "a"), (102, "a\n\n"), (None, "All rights reserved.")]
+    want = {d: set(lines) for d, lines in lines_that_go(rows, edits, 10).items()}
+    for d, lines in lines_that_go(rows, 0, 1).items():
+        text = dict(rows)[None if d == NULL_ID else d].split("\n")
+        want.setdefault(d, set()).update(i for i in lines if text[i].strip())
+    want = {d: sorted(lines) for d, lines in want.items() if lines}
+    got = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), report=True,
+                                 max_edits=edits, min_chars=10, hot=hot, equal_chars=1).collect()
+    assert {(NULL_ID if r["doc_id"] is None else r["doc_id"]): r["removed_lines"] for r in got if r["removed_lines"]} == want
+    only_short = spark.createDataFrame([(1, "a\nb"), (2, "a")], "doc_id long, text string")
+    got = line_dedup.dedup_lines(only_short, report=True, equal_chars=1).collect()
+    assert {r["doc_id"]: r["removed_lines"] for r in got} == {1: [], 2: [0]}
+
+
 def test_awkward_rows(spark):
     docs = spark.createDataFrame(AWKWARD, DOCS).withColumnRenamed("lang", "uid").withColumnRenamed("source", "n_lines")
     plain = line_dedup.dedup_lines(docs, max_edits=2, min_chars=30)
