@@ -15,9 +15,10 @@ A document is wanted when its label says quality 1 and toxic not 1. It is reject
 is below ``threshold``.
 
 Defined results: null text, source or language count as empty; labels with null quality or doc_id
-are not used, of several labels of a document the lowest quality counts; without labels of both
-kinds nothing can be learnt, every score is 1 and all documents stay; repeated rows score alike;
-an empty table gives no rows; all columns pass through, but those named like a result are replaced.
+are not used, nor those of documents that are not in the table, of several labels of a document the
+lowest quality counts; without labels of both kinds nothing can be learnt, every score is 1 and all
+documents stay; repeated rows score alike; an empty table gives no rows; all columns pass through,
+but those named like a result are replaced.
 """
 
 from __future__ import annotations
@@ -219,8 +220,9 @@ def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.5,
     spark = docs.sparkSession
     known = labels.filter(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy(F.col("doc_id").alias("key")).agg(
         F.min(F.when((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) != 1), 1.0).otherwise(0.0)).alias("y"))
-    sample = known.orderBy(F.xxhash64("key"), "key").limit(max_labelled)  # bounded, so it may be broadcast
     plain = docs.select(F.col("doc_id").cast("long").alias("key"), "text", "source", "lang")
+    here = known.join(plain.select("key"), "key", "left_semi")  # labels may name documents of other tables
+    sample = here.orderBy(F.xxhash64("key"), "key").limit(max_labelled)  # bounded, so it may be broadcast
     labelled = _features_frame(plain.join(F.broadcast(sample), "key").select("key", "y", "text", "source", "lang")).orderBy(F.xxhash64("key"), "key").limit(max_labelled)
     pool_ids = docs.select(F.col("doc_id").cast("long").alias("key")).filter(F.col("key").isNotNull()).orderBy(F.xxhash64("key", F.lit(1)), "key").limit(max_pool)
     pool = _features_frame(plain.join(F.broadcast(pool_ids.distinct().select("key", F.lit(-1.0).alias("y"))), "key")

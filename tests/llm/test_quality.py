@@ -45,3 +45,10 @@ def test_awkward_rows_and_labels(spark):
     kept = quality.keep_wanted(more, both)
     assert kept.columns == more.columns and {r["doc_id"] for r in kept.collect() if (r["doc_id"] or 0) >= 10} == set(range(11, 60, 2))
     assert quality.keep_wanted(docs.limit(0), both).count() == 0
+
+
+def test_labels_of_other_tables_take_no_room(spark):
+    docs = spark.createDataFrame([(i, ("good words here " if i % 2 else "BAD STUFF!! ") * 20, "en", "s", 1) for i in range(60)], DOCS)
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(4000)], "doc_id long, quality int, toxic int")
+    kept = quality.keep_wanted(docs, labels, max_labelled=60)
+    assert {r["doc_id"] for r in kept.collect()} == set(range(1, 60, 2))
