@@ -7,7 +7,9 @@ with a vectorised binary search and compare the stored string of every digest th
 collision never decides.
 
 A rule fits its host and all subdomains when the url's path starts with the rule's path; the
-longest rule wins (then the longer host). Urls that no rule fits get ``default``.
+longest rule wins (then the longer host). A rule with an empty path fits every url of its host. Urls
+that no rule fits get ``default``. A rule with a null, or with a path that is neither empty nor begins
+with ``/``, could never fit: such rules are an error.
 
 Host: what follows the first ``://`` up to ``/``, ``?``, ``#`` or the end, A-Z lower-cased; path:
 from there up to ``?``, ``#`` or the end. A null url or one without ``://`` has both empty and
@@ -43,7 +45,7 @@ def _lay_out(rules: list[tuple[str, str]]) -> bytes:
     names = sorted({v for _, v in rules})
     verdicts = np.array([names.index(rules[i][1]) for i in order], np.int64)
     ends = np.cumsum([len(texts[i]) for i in order], dtype=np.int64)
-    lengths = np.unique([len(t) - t.index(b"/") for t in texts]).astype(np.int64)
+    lengths = np.unique([len(t) - t.index(b"/") if b"/" in t else 0 for t in texts]).astype(np.int64)
     listed = "\n".join(names).encode()
     head = np.array([len(rules), len(lengths), len(listed)], np.int64)
     return b"".join([head.tobytes(), lengths.tobytes(), digests[order].tobytes(), ends.tobytes(), verdicts.tobytes(),
@@ -83,7 +85,11 @@ def build(rules: DataFrame, block_rules: int = 4_000_000) -> list[str]:
     to the executors; returns their names. The driver holds one block at a time."""
     spark = rules.sparkSession
     key = F.concat(F.translate("host", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), F.col("path"))
-    ready = rules.filter(F.col("path").startswith("/") & F.col("verdict").isNotNull()).groupBy(key.alias("rule")).agg(F.min("verdict").alias("verdict"))
+    fits = F.col("host").isNotNull() & F.col("verdict").isNotNull() & ((F.col("path") == "") | F.col("path").startswith("/"))
+    unusable = rules.filter(~F.coalesce(fits, F.lit(False))).limit(5).collect()
+    if unusable:
+        raise ValueError(f"rules that can fit no url: {unusable}")
+    ready = rules.groupBy(key.alias("rule")).agg(F.min("verdict").alias("verdict"))
     hadoop, conf = spark.sparkContext._jvm.org.apache.hadoop.fs, spark.sparkContext._jsc.hadoopConfiguration()
     names, block = [], []
 
@@ -135,7 +141,7 @@ def judge(pages: DataFrame, names: list[str], default: str = "allow", url: str =
                 for i, (host, path) in enumerate(split):
                     whole, tail = host.encode(), path.encode()
                     at = 0
-                    while whole and path:
+                    while whole:
                         for n in block.lengths:
                             if n <= len(tail):
                                 keys.append(whole[at:] + tail[:n])

@@ -41,3 +41,16 @@ def test_no_rules_and_no_pages(spark):
     pages = spark.createDataFrame([(1, "http://a/b")], "page_id long, url string")
     assert [r["verdict"] for r in url_filter.judge(pages, url_filter.build(none)).collect()] == ["allow"]
     assert url_filter.judge(pages.limit(0), url_filter.build(none)).count() == 0
+
+
+def test_host_rules_and_unusable_rules(spark):
+    rules = [("net", "", "block"), ("a.net", "/en/", "allow"), ("x.org", "", "block"), ("org", "/", "allow")]
+    urls = ["http://net", "http://a.net/en/x", "http://a.net/fr", "http://www.net?q", "http://x.org/", "http://x.org", "http://y.org/", "http://y.org", "http://internet/", None, "://"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    names = url_filter.build(spark.createDataFrame(rules, "host string, path string, verdict string"), 3)
+    got = url_filter.judge(pages, names, default="allow").collect()
+    assert [tuple(r)[2:] for r in sorted(got)] == [judge_plainly(u, rules, "allow") for u in urls]
+    assert sum(r["verdict"] == "block" for r in got) == 5
+    for bad in [("net", "en/", "block"), ("net", None, "block"), (None, "/", "block"), ("net", "/", None)]:
+        with pytest.raises(ValueError):
+            url_filter.build(spark.createDataFrame([*rules, bad], "host string, path string, verdict string"))
