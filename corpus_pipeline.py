@@ -37,7 +37,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"), threshold=0.75)
+    return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"), threshold=0.75, short_items=True)
 
 
 def tokenization(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

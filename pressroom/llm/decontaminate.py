@@ -12,6 +12,9 @@ that lacks no more than (1 - threshold) of its shingles in a document then has a
 value there, so the search misses nothing; documents smaller than the item needs are passed over
 by size. Candidates are verified by counting the item's shingles in the document's set.
 
+So defined, an item of one to four words is found in documents that are just that, but not in longer
+ones. With ``short_items`` it is also found where its words stand in a row in a longer document.
+
 The items are a query set: they are taken in blocks of ``block_items``, each of which is broadcast
 and run over all documents, so what is broadcast has that bound whatever the number of items.
 
@@ -30,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pressroom.llm.common import byte_table, flat_bytes, shingles_of, signed, text_slices, unsigned, words_of, written
+from pressroom.llm.common import WORDS, byte_table, flat_bytes, shingles_of, signed, text_slices, unsigned, words_of, written
 
 SEED = 61
 
@@ -52,6 +55,7 @@ class ItemIndex:
         self.ids = [i for i, _ in items]
         self.sets = [np.sort(s) for _, s in items]
         self.need = np.array([need(len(s), threshold) for s in self.sets], np.int64)
+        self.single = np.unique(np.concatenate([np.zeros(0, np.uint64), *(s for s in self.sets if len(s) == 1)]))  # those of short items are among them
         keys = [s[: sketch_length(len(s), threshold)] for s in self.sets]
         owner = np.repeat(np.arange(len(keys)), [len(k) for k in keys])
         keys = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
@@ -88,7 +92,18 @@ def shingle_sets(texts: DataFrame, key: str) -> DataFrame:
     return done.filter(F.size("shingles") > 0)
 
 
-def find_contaminated(docs: DataFrame, items: DataFrame, threshold: float = 0.75, block_items: int = 20_000) -> DataFrame:
+def with_short(hashes: np.ndarray, at: np.ndarray, single: np.ndarray) -> list[np.ndarray]:
+    """Sets of the texts, with those of ``single`` that are a text's windows of one to four words."""
+    sets = shingles_of(hashes, at)
+    for width in range(1, WORDS if len(single) else 1):
+        for i, windows in enumerate(shingles_of(hashes, at, width)):
+            found = windows[np.isin(windows, single)]
+            if len(found):
+                sets[i] = np.union1d(sets[i], found)
+    return sets
+
+
+def find_contaminated(docs: DataFrame, items: DataFrame, threshold: float = 0.75, block_items: int = 20_000, short_items: bool = False) -> DataFrame:
     """One row per match: doc_id, item_id, n_shared, n_item_shingles, containment."""
     spark = docs.sparkSession
     if not 0 < threshold <= 1:
@@ -106,7 +121,8 @@ def find_contaminated(docs: DataFrame, items: DataFrame, threshold: float = 0.75
             for whole in parts:
                 for part in text_slices(whole, "text"):
                     data, off = flat_bytes(part.column("text"))
-                    rows = [(doc, *m) for doc, found in zip(part.column("doc_id").to_pylist(), shingles_of(*words_of(data, off, hashes)), strict=True)
+                    sets = with_short(*words_of(data, off, hashes), index.single if short_items else index.single[:0])
+                    rows = [(doc, *m) for doc, found in zip(part.column("doc_id").to_pylist(), sets, strict=True)
                             for m in index.matches(found)]
                     if rows:
                         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)],
@@ -124,11 +140,11 @@ def find_contaminated(docs: DataFrame, items: DataFrame, threshold: float = 0.75
     return out.withColumn("containment", F.col("n_shared") / F.col("n_item_shingles"))
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, threshold: float = 0.75) -> DataFrame:
+def decontaminate(docs: DataFrame, items: DataFrame, threshold: float = 0.75, short_items: bool = False) -> DataFrame:
     """The documents that no item contaminates, with all their columns. Rows are told by doc_id and
     a hash of their content, so rows of one doc_id and different texts go each by its own text."""
     names = [f"c{i}" for i in range(len(docs.columns))]
     packed = docs.select(F.xxhash64("doc_id", "text").alias("row"), F.struct(*[F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, names, strict=True)]).alias("doc"))
-    found = find_contaminated(docs.select(F.xxhash64("doc_id", "text").alias("doc_id"), "text"), items, threshold)
+    found = find_contaminated(docs.select(F.xxhash64("doc_id", "text").alias("doc_id"), "text"), items, threshold, short_items=short_items)
     gone = written(found.select(F.col("doc_id").alias("row")).distinct(), "contaminated")
     return packed.join(gone, "row", "left_anti").select(*[F.col("doc")[n].alias(c) for c, n in zip(docs.columns, names, strict=True)])

@@ -47,3 +47,13 @@ def test_filter_keeps_clean_rows_and_columns(spark):
     assert sorted(map(str, left.collect())) == sorted(str(r) for r in docs.collect() if r["doc_id"] not in (1, 5))
     assert d.decontaminate(docs, items.limit(0)).count() == len(AWKWARD)
     assert d.decontaminate(docs.limit(0), items).count() == 0
+
+
+def test_short_items_in_long_documents(spark):
+    items = spark.createDataFrame([(1, "Alpha beta"), (2, "gamma"), (3, "one two three four"), (4, "a b c d e"), (5, "beta alpha")], "item_id long, text string")
+    docs = [(1, "x y z alpha BETA and more"), (2, "alpha x beta y gamma z w"), (3, "zero one two three four five"), (4, "gammas a b c d x e"),
+            (5, "alpha beta"), (6, "x a b c d e y"), (7, None), (8, "beta")]
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    got = d.find_contaminated(frame, items, short_items=True).collect()
+    assert sorted(tuple(r)[:4] for r in got) == [(1, 1, 1, 1), (2, 2, 1, 1), (3, 3, 1, 1), (5, 1, 1, 1), (6, 4, 1, 1)]
+    assert sorted(r["doc_id"] for r in d.decontaminate(frame, items, short_items=True).collect()) == [4, 7, 8]
