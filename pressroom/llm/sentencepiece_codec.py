@@ -286,7 +286,7 @@ class Codec:
                 if cut > 0:
                     yield self._ids(text, way, cut)
                     del text[:cut]
-                    way = [(0.0, -1, way[cut][2], -1)] + [w and (w[0], w[1] - cut, w[2], w[3]) for w in way[cut + 1:]]
+                    way = [(0.0, -1, way[cut][2], -1)] + [w and (w[0] - way[cut][0], w[1] - cut, w[2], w[3]) for w in way[cut + 1:]]
                     live = [(start - cut, at) for start, at in live]
                 check = len(text) + 4 * self.max_piece
         if text:
