@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pressroom.llm import chat_format, decontaminate, exact_dedup, fill_middle, jaccard_join, line_dedup, quality, sentencepiece_codec, sharding, suffix_dedup, url_filter
+from pressroom.llm import chat_format, decontaminate, exact_dedup, fill_middle, jaccard_join, line_dedup, prefix_trie, quality, sentencepiece_codec, sharding, suffix_dedup, url_filter
 from pressroom.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -147,3 +147,36 @@ def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = fill_middle.fill_in_middle(table(spark, sf_dir, "documents"), seed=1, plain_from=90, spm_below=20)
     return done.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
                        F.sha2(fill_middle.restore(F.col("output"), F.col("form")), 256).alias("restored_sha256"))
+
+
+_CRC32 = """xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, length({0}) + 1), lambda i: CAST(ascii(substr({0}, CAST(i AS INTEGER), 1)) AS BIGINT))),
+  lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda x, i: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295::BIGINT)"""
+
+
+@query("op12_prefix_trie", sql=f"""
+WITH t AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS i
+  FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT DISTINCT conv_id, conv_id - conv_id % 5 AS base FROM t),
+h AS (SELECT conv_id, base, {_CRC32.format('CAST(conv_id AS VARCHAR)')} % 9 AS h FROM c),
+r AS (
+  SELECT h.conv_id, 0 AS part, t.i, role, text FROM h JOIN t ON t.conv_id = h.base AND t.i < h
+  UNION ALL SELECT h.conv_id, 1, t.i, role, text FROM h JOIN t ON t.conv_id = h.conv_id AND t.i >= h),
+s AS (SELECT conv_id, row_number() OVER w AS depth, strlen(text) AS n_bytes,
+    sha256(string_agg(sha256(role) || sha256(text), '') OVER w) AS k
+  FROM r WINDOW w AS (PARTITION BY conv_id ORDER BY part, i)),
+m AS (SELECT conv_id, depth, k, n_bytes, lag(k, 1, '') OVER (PARTITION BY conv_id ORDER BY depth) AS up FROM s
+  UNION ALL SELECT conv_id, 0, '', 0, NULL FROM c),
+n AS (SELECT k, any_value(up) AS up, any_value(depth) AS depth, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * any_value(n_bytes) AS saved FROM m GROUP BY k),
+kids AS (SELECT up AS k, count(*) AS n_children FROM n WHERE up IS NOT NULL GROUP BY 1),
+below AS (SELECT DISTINCT a.k, b.k AS d FROM m a JOIN m b ON a.conv_id = b.conv_id AND b.depth >= a.depth),
+sums AS (SELECT below.k, sum(n.saved) AS saved_tokens, count(*) FILTER (WHERE kids.k IS NULL) AS n_leaves
+  FROM below JOIN n ON n.k = below.d LEFT JOIN kids ON kids.k = below.d GROUP BY 1),
+tip AS (SELECT conv_id, arg_max(k, depth) AS k FROM m GROUP BY 1),
+ends AS (SELECT k, sha256(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id)) AS ends_sha256 FROM tip GROUP BY 1)
+SELECT n.conv_id, CAST(n.depth AS BIGINT) AS depth, p.conv_id AS parent_conv_id, n.n_convs, coalesce(n_children, 0) AS n_children, n_leaves,
+  CAST(saved_tokens AS BIGINT) AS saved_tokens, coalesce(ends_sha256, sha256('')) AS ends_sha256
+FROM n JOIN sums ON sums.k = n.k LEFT JOIN n p ON p.k = n.up LEFT JOIN kids ON kids.k = n.k LEFT JOIN ends ON ends.k = n.k""")
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = prefix_trie.conversation_trie(table(spark, sf_dir, "conversations"))
+    return nodes.select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
