@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pressroom.llm import chat_format, decontaminate, exact_dedup, fill_middle, jaccard_join, line_dedup, prefix_trie, quality, sentencepiece_codec, sharding, suffix_dedup, url_filter
+from pressroom.llm import chat_format, decontaminate, exact_dedup, fill_middle, jaccard_join, learned_index, line_dedup, prefix_trie, quality, sentencepiece_codec, sharding, suffix_dedup, url_filter
 from pressroom.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -132,6 +132,11 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+@query("op11_learned_index")
+def op11_learned_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return learned_index.nearest(table(spark, sf_dir, "embeddings"), k=10, every=100)
+
+
 @query("op13_fill_middle", sql="""
 WITH t AS (SELECT doc_id, coalesce(text, '') AS text, sha256('1:' || CAST(doc_id AS VARCHAR)) AS d FROM documents),
 h AS (SELECT *, length(text) AS n, CAST('0x' || d[1:8] AS UBIGINT) AS h1, CAST('0x' || d[9:16] AS UBIGINT) AS h2,
