@@ -8,13 +8,11 @@ becomes null (T13).
 
 Plan:
 
-1. ``binaryFile`` scan of ``root/*/*.csv`` (month pruning by glob: files of other months are
-   never opened, A5). One row per file -- article files are small, and a tree of millions of
-   files spreads over all tasks.
-2. ``mapInPandas`` decodes each file strictly with the first encoding that works and parses
-   it with Python's ``csv`` module (quoted fields may hold newlines, T14). Each record is
-   emitted as ``map<string,string>`` header -> cell, so binding is **by name**. Files that
-   fail are emitted as reject rows, never as garbage.
+1. ``root/*/*.csv`` is scanned in ranges by ``sources.split_csv`` (month pruning by glob: files of
+   other months are never opened, A5): small files share a task, a large one is dealt over many.
+2. Each file is decoded strictly with the first encoding that works for all of it; quoted fields may
+   hold newlines (T14) and cross ranges. Binding is **by header name**. Files that fail are reject
+   rows, never garbage.
 3. Catalyst does the rest: press from the folder, date from the file name (first ISO date;
    none -> reject, T24), null tokens -> null, ``try_cast`` to the declared types, columns in
    output order (B20), extra columns appended with nulls where absent (G1).
@@ -22,15 +20,13 @@ Plan:
 
 from __future__ import annotations
 
-import csv
-import io
-from collections.abc import Iterable, Iterator, Sequence
+from collections.abc import Iterable, Sequence
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pressroom.functions.text import NA_TOKENS, null_if_na
+from pressroom.sources.split_csv import CsvFiles
 
 # --- fixed values -------------------------------------------------------------------------
 # Encodings tried in order; the first that decodes the whole file wins.
@@ -51,101 +47,9 @@ COMMENT_COLUMNS = (
 DATE_IN_NAME = r"\d{4}-\d{2}-\d{2}"
 # ------------------------------------------------------------------------------------------
 
-# Rows per output batch of the decoder (input batches are capped by Arrow's byte limit).
-OUT_ROWS = 20_000
-
-DECODED_SCHEMA = ("path string, encoding string, row_no long, cells map<string,string>, "
-                  "reason string")
-
-
-def _decode_files(encodings: Sequence[str]):
-    encs = list(encodings)
-
-    cols = ["path", "encoding", "row_no", "cells", "reason"]
-
-    def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        csv.field_size_limit(2**31 - 1)  # cells of any length
-        for pdf in batches:
-            out = []
-            for path, content in zip(pdf["path"], pdf["content"]):
-                text, used = _decode(bytes(content) if content is not None else b"", encs)
-                if text is None:
-                    out.append((path, None, None, None, "undecodable"))
-                    continue
-                try:
-                    # a first run over the records, so that a file that does not parse gives no rows
-                    widest = max((len(r) for r in csv.reader(io.StringIO(text, newline=""), strict=True)), default=0)
-                except csv.Error as e:
-                    out.append((path, used, None, None, f"parse error: {e}"))
-                    continue
-                if not widest:
-                    out.append((path, used, None, None, "empty file"))
-                    continue
-                records = csv.reader(io.StringIO(text, newline=""), strict=True)
-                header = _cell_names(next(records), widest)
-                for i, rec in enumerate(records):
-                    if not rec:
-                        continue
-                    out.append((path, used, i, dict(zip(header, rec)), None))
-                    if len(out) >= OUT_ROWS:
-                        yield pd.DataFrame(out, columns=cols)
-                        out = []
-            if out:
-                yield pd.DataFrame(out, columns=cols)
-
-    return decode
-
-
-def _cell_names(header: list[str], widest: int) -> list[str]:
-    """Names of all cells of a file's widest record: a repeated header name is numbered from its
-    second place on (``a``, ``a.1``), cells beyond the header are ``_cell<place>``."""
-    names: list[str] = []
-    for i in range(max(widest, len(header))):
-        name = header[i] if i < len(header) else f"_cell{i}"
-        n, unique = 0, name
-        while unique in names:
-            n += 1
-            unique = f"{name}.{n}"
-        names.append(unique)
-    return names
-
-
 LAYOUTS = ("press", "partitioned")
 
 
-def _decode(raw: bytes, encs: Sequence[str]) -> tuple[str | None, str | None]:
-    for enc in encs:
-        try:
-            return raw.decode("utf-8-sig" if enc.lower().replace("_", "-") == "utf-8" else enc), enc
-        except (UnicodeDecodeError, LookupError):
-            continue
-    return None, None
-
-
-def _header_names(encodings: Sequence[str]):
-    """Header record of each file: the whole file is decoded with the same fallback as the
-    main pass (so the same encoding is chosen), but only the first CSV record is parsed."""
-    encs = list(encodings)
-
-    def headers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        csv.field_size_limit(2**31 - 1)
-        for pdf in batches:
-            out = []
-            for path, content in zip(pdf["path"], pdf["content"]):
-                text, _ = _decode(bytes(content) if content is not None else b"", encs)
-                if text is None:
-                    continue
-                try:
-                    first = next(csv.reader(io.StringIO(text, newline="")), None)
-                except csv.Error:
-                    continue
-                if first:
-                    out.append((path, first))
-            yield pd.DataFrame(out, columns=["path", "header"])
-
-    return headers
-
-
 def _file_paths(root: str, months: Iterable[str] | None, layout: str) -> list[str]:
     """``press``: ``root/<press>/<date>_<press>_<title>.csv`` (month pruning on the name);
     ``partitioned``: the J2 sink layout ``root/press_name=<press>/date=<date>/*.csv``
@@ -159,13 +63,6 @@ def _file_paths(root: str, months: Iterable[str] | None, layout: str) -> list[st
     raise ValueError(f"layout must be one of {LAYOUTS}")
 
 
-def decode_tree(spark: SparkSession, root: str, months: Iterable[str] | None = None,
-                encodings: Sequence[str] = ENCODINGS, layout: str = "press") -> DataFrame:
-    files = (spark.read.format("binaryFile").load(_file_paths(root, months, layout))
-                  .select("path", "content"))
-    return files.mapInPandas(_decode_files(encodings), DECODED_SCHEMA)
-
-
 def _unescape_partition(value):
     """Partition folder values are %XX-escaped by Spark's writer ('+' is left as is)."""
     return F.when(value != "__HIVE_DEFAULT_PARTITION__", F.try_url_decode(F.regexp_replace(value, r"\+", "%2B")))
@@ -194,40 +91,27 @@ def ingest_press_tree(spark: SparkSession, root: str, months: Iterable[str] | No
 
     ``comments``: ``press_name, date`` (+ ``title``) + the declared columns, then the other
     header names found: ``extra_columns="map"`` keeps them in one ``extra`` map column in a single
-    pass, ``True`` makes each a top-level string column (union by name, as the reference does;
-    costs one extra pass over the files to learn the names), ``False`` drops them.
+    pass, ``True`` makes each a top-level string column (union by name, as the reference does), ``False`` drops them.
     ``rejects``: ``path, reason`` for files that could not be decoded or parsed and rows of
     files without a date in their name.
     """
-    decoded = decode_tree(spark, root, months, encodings, layout)
-    press, name, date = _path_parts(F.col("path"), layout)
-    tagged = decoded.select("path", press.alias("press_name"), name.alias("file_name"),
-                            date.alias("date"), "row_no", "cells", "reason")
-    good = tagged.filter(F.col("reason").isNull() & (F.col("date") != ""))
-    rejects = (tagged.filter(F.col("reason").isNotNull() | (F.col("date") == ""))
-                     .select("path", F.coalesce("reason", F.lit("no date in file name")).alias("reason"))
-                     .distinct())
-
+    files = CsvFiles(spark, _file_paths(root, months, layout), encodings)
     declared = [c for c, _ in columns]
-    extras: list[str] = []
-    if extra_columns is True:
-        # Distinct header names only (bounded by the number of distinct columns, not data),
-        # from a header-only pass over the dated files.
-        files = spark.read.format("binaryFile").load(_file_paths(root, months, layout)).select("path", "content")
-        files = files.filter(_path_parts(F.col("path"), layout)[2] != "")
-        heads = files.mapInPandas(_header_names(encodings), "path string, header array<string>")
-        names = heads.select(F.explode("header").alias("k")).distinct().collect()
-        extras = sorted(r.k for r in names if r.k not in declared)
+    dated = _path_parts(F.col("path"), layout)[2] != ""
+    extras = sorted(set(files.names(dated)) - set(declared)) if extra_columns is True else []
+    read = files.records([*declared, *extras], rest="extra" if extra_columns == "map" else None)
+    press, name, date = _path_parts(F.col("path"), layout)
+    rejects = files.rejects().unionByName(files.files.filter(F.col("reason").isNull() & ~dated & (F.col("n_records") > 1)).select(
+        "path", F.lit("no date in file name").alias("reason")))
     tokens = list(na_tokens)
-    typed = [null_if_na(F.col("cells")[c], tokens).try_cast(t).alias(c) for c, t in columns]
-    typed += [null_if_na(F.col("cells")[c], tokens).alias(c) for c in extras]
+    typed = [null_if_na(F.col(f"`{c}`"), tokens).try_cast(t).alias(c) for c, t in columns]
+    typed += [null_if_na(F.col(f"`{c}`"), tokens).alias(c) for c in extras]
     if extra_columns == "map":
-        known = F.array(*[F.lit(c) for c in declared])
-        typed.append(F.map_filter("cells", lambda k, v: ~F.array_contains(known, k)).alias("extra"))
-    lead = [F.col("press_name"), F.col("date")]
+        typed.append(F.col("extra"))
+    lead = [press.alias("press_name"), date.alias("date")]
     if with_title:
-        lead.append(F.regexp_extract("file_name", r"^\d{4}-\d{2}-\d{2}_[^_]*_(.*)\.csv$", 1).alias("title"))
-    comments = good.select(*lead, F.col("file_name"), F.col("row_no"), *typed)
+        lead.append(F.regexp_extract(name, r"^\d{4}-\d{2}-\d{2}_[^_]*_(.*)\.csv$", 1).alias("title"))
+    comments = read.filter(dated).select(*lead, name.alias("file_name"), (F.col("record") - 1).alias("row_no"), *typed)
     return comments, rejects
 
 
@@ -247,16 +131,11 @@ def read_csv_table(spark: SparkSession, path: str, encodings: Sequence[str] = ("
     fallback, columns bound by header name, all as strings with null tokens -> null (cast
     downstream, e.g. ``try_cast`` in J20). ``strict`` raises when a file cannot be decoded
     or parsed, as the reference aborts; otherwise such files are skipped."""
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    decoded = files.mapInPandas(_decode_files(encodings), DECODED_SCHEMA)
+    files = CsvFiles(spark, path, encodings)
     if strict:
-        bad = decoded.filter(F.col("reason").isNotNull()).select("path", "reason").limit(1).collect()
+        bad = files.rejects().limit(1).collect()
         if bad:
             raise ValueError(f"cannot read {bad[0].path}: {bad[0].reason} (tried {list(encodings)})")
-    good = decoded.filter(F.col("reason").isNull())
-    heads = files.mapInPandas(_header_names(encodings), "path string, header array<string>")
-    names: list[str] = []
-    for r in heads.select("header").distinct().collect():  # distinct header lines: tiny
-        names += [c for c in r.header if c not in names]
     tokens = list(na_tokens)
-    return good.select(*[null_if_na(F.col("cells")[c], tokens).alias(c) for c in names])
+    names = files.names()
+    return files.records(names).select(*[null_if_na(F.col(f"`{c}`"), tokens).alias(c) for c in names])
