@@ -7,7 +7,7 @@ in a different order differ in the last bits.
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark.sql import SparkSession, Window
 from pyspark.sql import functions as F
 
 from pressroom.functions.text import NA_TOKENS, STOPWORDS
@@ -1023,30 +1023,30 @@ def _write_raw_tree(rows, root: str) -> None:
     task names its files by its own number, so a task that is run again writes the same ones."""
     kinds = RAW_KINDS
 
-    def write(batches):
+    def encode(batches):
         import csv
         import io
 
         import pandas as pd
-        from pyarrow import fs
         from pyspark import TaskContext
-        store, base = fs.FileSystem.from_uri(root if "://" in root or root.startswith("file:") else f"file://{root}")
         number = 0
         for pdf in batches:
+            out = []
             for (press, date), group in pdf.groupby(["press_name", "date"], sort=True):
                 for at in range(0, len(group), ARTICLE_ROWS):
                     encoding, columns = kinds[len(press) % len(kinds)]
-                    out = io.StringIO(newline="")
-                    writer = csv.writer(out)
+                    text = io.StringIO(newline="")
+                    writer = csv.writer(text)
                     writer.writerow(columns)
                     writer.writerows(group.iloc[at: at + ARTICLE_ROWS][list(columns)].itertuples(index=False, name=None))
-                    store.create_dir(f"{base}/{press}", recursive=True)
-                    with store.open_output_stream(f"{base}/{press}/{date}_{press}_t{TaskContext.get().partitionId()}n{number}.csv") as f:
-                        f.write(out.getvalue().encode(encoding))
+                    name = f"{date}_{press}_t{TaskContext.get().partitionId()}n{number}.csv"
+                    out.append((press, name, text.getvalue().removesuffix("\r\n").encode(encoding)))
                     number += 1
-            yield pd.DataFrame({"n": [len(pdf)]})
+            yield pd.DataFrame(out, columns=["press_name", "file_name", "content"])
 
-    rows.mapInPandas(write, "n long").agg(F.sum("n")).collect()
+    # an article's rows in one task
+    rows = rows.repartition("press_name", "date").sortWithinPartitions("press_name", "date")
+    sink.write_article_files(rows.mapInPandas(encode, "press_name string, file_name string, content binary"), root)
 
 
 def _raw_comments(t: Tables):
@@ -1082,11 +1082,16 @@ def raw_tree_files(spark: SparkSession, sf_dir: str):
     _write_raw_tree(_raw_comments(Tables(spark, sf_dir)).filter(F.col("comments").isNotNull()), root)
     rows, _ = press_tree.ingest_press_tree(spark, root, extra_columns=False)
     table = press_tree.read_csv_table(spark, f"{root}/*/*.csv", encodings=("utf-8", "cp949"))
-    both = rows.select("press_name", "file_name", F.lit(1).alias("tree"))
-    per_press = both.groupBy("press_name").agg(F.count("*").alias("n_rows"))
-    files = press_tree.files_per_press(rows)
+    both = rows.select("press_name", "file_name", F.lit(1).alias("tree"), F.lit(0).alias("single")).unionByName(
+        table.select(F.lit(None).cast("string").alias("press_name"), F.lit(None).cast("string").alias("file_name"), F.lit(0).alias("tree"), F.lit(1).alias("single")))
+    per_press = both.groupBy("press_name").agg(F.sum("tree").alias("n_rows"), F.sum("single").alias("n_single"), F.countDistinct("file_name").alias("n_files"))
+    # over one row per press
+    everything = Window.partitionBy()
+    per_press = per_press.withColumn("same", F.sum("n_rows").over(everything) == F.sum("n_single").over(everything))
     listed = (spark.read.format("binaryFile").load(f"{root}/*/*.csv").select(F.element_at(F.split("path", "/"), -2).alias("press_name"))
               .groupBy("press_name").agg(F.count("*").alias("n_listed")))
-    same = table.count() == rows.count()
-    checked = per_press.join(files, "press_name").join(listed, "press_name")
-    return checked.select("press_name", "n_rows", ((F.col("n_files") == F.col("n_listed")) & F.lit(same)).alias("all_listed"))
+    return per_press.join(listed, "press_name").select("press_name", "n_rows", ((F.col("n_files") == F.col("n_listed")) & F.col("same")).alias("all_listed"))
+
+
+# More queries register themselves.
+from pressroom.plans import catalog_files, catalog_web  # noqa: E402, F401

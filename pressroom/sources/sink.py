@@ -9,10 +9,15 @@ sink's key columns, which Catalyst prunes to a key-only scan) and appends partit
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import csv
+import io
+import uuid
+from collections.abc import Mapping, Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from pressroom.operators.joins import join_keys
 
@@ -104,9 +109,124 @@ def rebalance_for_write(df: DataFrame, partition_by: Sequence[str]) -> DataFrame
     return df.hint("rebalance", *partition_by) if partition_by else df
 
 
+def write_press_tables(df: DataFrame, path: str, presses: DataFrame | None = None, press: str = "press_name") -> None:
+    """One table per press in one folder each. Only the presses of this run are replaced -- those
+    with rows in ``df`` and those listed in ``presses`` (a column ``press``) -- all others stay as
+    they are (dynamic partition overwrite, so a run that fails replaces none). A listed press without
+    rows keeps an empty table: a row of nulls marked ``_scored = false`` stands for it."""
+    rows = df.withColumn("_scored", F.lit(True))
+    if presses is not None:
+        have = df.select(F.col(press).alias("_have")).distinct()
+        empty = presses.select(press).distinct().join(have, F.col(press).eqNullSafe(F.col("_have")), "left_anti")
+        nothing = {f.name: F.lit(None).cast(f.dataType) for f in df.schema.fields if f.name != press}
+        rows = rows.unionByName(empty.withColumns(nothing).withColumn("_scored", F.lit(False)))
+    (rebalance_for_write(rows, [press]).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy(press).parquet(path))
+
+
+def _with_names(spark: SparkSession, path: str, folders: Sequence[str]) -> DataFrame:
+    """A partitioned table whose folder values are read as the strings they are, not as what they look
+    like (a press may be called 023)."""
+    found = spark.read.parquet(path).schema
+    typed = StructType([StructField(f.name, StringType()) if f.name in folders else f for f in found])
+    return spark.read.schema(typed).parquet(path)
+
+
+def read_press_tables(spark: SparkSession, path: str, press: str = "press_name") -> tuple[DataFrame, DataFrame]:
+    """Returns (rows of all press tables, list of presses): a press without rows is in the list only."""
+    stored = _with_names(spark, path, [press])
+    return stored.filter("_scored").drop("_scored"), stored.select(press).distinct()
+
+
+def read_listed(spark: SparkSession, path: str, listed: DataFrame, folders: Mapping[str, Column | str]) -> DataFrame:
+    """A5: the rows of a partitioned table whose folders a list names. ``folders``: for every column of
+    ``listed`` to join on, the table's folder column (or an expression of folder columns). The list
+    stays a table: its values reach the scan as dynamic partition pruning, no path is made of them on
+    the driver. Spark prunes that way when the list is filtered, or small enough to be broadcast."""
+    table = _with_names(spark, path, [f for f in folders.values() if isinstance(f, str)])
+    names = {c: f"_listed_{c}" for c in folders}
+    side = listed.select(*[F.col(c).alias(n) for c, n in names.items()]).distinct()
+    keys = [(F.col(f) if isinstance(f, str) else f) == F.col(names[c]) for c, f in folders.items()]
+    return table.join(side, reduce(lambda a, b: a & b, keys), "left_semi")
+
+
+# ---------------------------------------------------------------- one file
+def _hadoop(spark: SparkSession, path: str):
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    return jvm, p, p.getFileSystem(conf), conf
+
+
+def write_merged_csv(df: DataFrame, path: str, order: Sequence[str | Column]) -> None:
+    """All rows as one CSV file with one header, in ``order``; what was at ``path`` is replaced.
+
+    Rows are range-partitioned and sorted by ``order``, every task writes its range, and the commit
+    joins the range files under the header: by the file system's ``concat`` where it has one (HDFS:
+    no byte is copied), else by one sequential copy through a buffer, which is what a single file on
+    such a file system takes. The file appears under its name only when it is whole. Cells are quoted
+    throughout; null and empty are the same cell."""
+    from pressroom.session import scratch_path
+
+    spark = df.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranges = scratch_path(spark, "merged-csv")
+    dealt = df.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    (dealt.select(*[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")).alias(c) for c in df.columns])
+     .write.options(**CSV_WRITE | {"header": False, "quoteAll": True, "emptyValue": "", "lineSep": "\n"}).csv(ranges))
+    jvm, target, fs, conf = _hadoop(spark, path)
+    _, source, source_fs, _ = _hadoop(spark, ranges)
+    names = sorted(f.getPath().getName() for f in source_fs.listStatus(source) if f.getPath().getName().startswith("part-"))
+    whole = jvm.org.apache.hadoop.fs.Path(target.getParent(), f".{target.getName()}.{uuid.uuid4().hex[:12]}")
+    header = io.StringIO(newline="")
+    csv.writer(header, quoting=csv.QUOTE_ALL, lineterminator="\n").writerow(df.columns)
+    out = fs.create(whole, True)
+    out.write(bytearray(header.getvalue().encode()))
+    files = [jvm.org.apache.hadoop.fs.Path(source, n) for n in names]
+    if fs.getScheme() == source_fs.getScheme() == "hdfs":
+        out.close()
+        array = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Path, len(files))
+        for i, f in enumerate(files):
+            array[i] = f
+        if files:
+            fs.concat(whole, array)
+    else:
+        for f in files:
+            part = source_fs.open(f)
+            jvm.org.apache.hadoop.io.IOUtils.copyBytes(part, out, 1 << 20, False)
+            part.close()
+        out.close()
+    fs.delete(target, True)
+    fs.rename(whole, target)
+
+
+def write_article_files(files: DataFrame, root: str) -> None:
+    """A7, the raw layout: files (press_name, file_name, content binary) as ``<root>/<press>/<file>``,
+    through Spark's writer and the session's file system. A file's bytes are its content and a line
+    end. Tasks write under folders of their own, the commit renames (no byte is copied)."""
+    from pressroom.session import scratch_path
+
+    spark = files.sparkSession
+    staged = scratch_path(spark, "article-files")
+    (files.select("press_name", "file_name", F.col("content").cast("string").alias("value"))
+     .write.partitionBy("press_name", "file_name").text(staged))
+    jvm, source, staging, _ = _hadoop(spark, staged)
+    _, target, fs, _ = _hadoop(spark, root)
+    found = staging.listFiles(source, True)
+    unescape = jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.unescapePathName
+    while found.hasNext():
+        part = found.next().getPath()
+        if part.getName().startswith("part-"):
+            name, press = (unescape(p.getName().split("=", 1)[1]) for p in (part.getParent(), part.getParent().getParent()))
+            folder = jvm.org.apache.hadoop.fs.Path(target, press)
+            fs.mkdirs(folder)
+            fs.rename(part, jvm.org.apache.hadoop.fs.Path(folder, name))
+
+
 def write_table(df: DataFrame, path: str, partition_by: Sequence[str] = (), fmt: str = "parquet",
                 mode: str = "overwrite") -> None:
-    """Overwrite a result table (optionally one folder per press)."""
+    """Overwrite a whole result table (optionally one folder per press); see
+    :func:`write_press_tables` for replacing some presses only."""
     w = rebalance_for_write(df, partition_by).write.mode(mode).format(fmt)
     if partition_by:
         w = w.partitionBy(*partition_by)

@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, MapType, StringType, StructField, StructType
 
-from pressroom.operators.joins import join_small
+from pressroom.operators.joins import bounded_broadcast
 from pressroom.session import scratch_path
 
 BOM = b"\xef\xbb\xbf"
@@ -49,7 +49,9 @@ CHUNKS = ("path string, range long, chunk long, data binary, decodes long, "
           # of the chunk, begun outside (o) or inside (i) quotes
           "end_o boolean, end_i boolean, starts_o long, starts_i long, head_i long, tail_o long, tail_i long, error_o string, error_i string, "
           # of the chunks before it in its range
-          "before_o boolean, before_i boolean, count_o long, count_i long")
+          "before_o boolean, before_i boolean, count_o long, count_i long, "
+          # the first record of a file, if it is whole in the first chunk
+          "header binary")
 
 
 # ---------------------------------------------------------------- one line, one chunk
@@ -103,6 +105,18 @@ def note(lines: list[bytes], inside: bool) -> tuple[bool, int, int, int, str | N
     return inside, starts, head, tail if inside and tail >= 0 else at, None
 
 
+def first_record(lines: list[bytes]) -> bytes | None:
+    """The bytes of the first record that begins in lines begun outside quotes, if it ends in them."""
+    out, inside = [], False
+    for line in lines:
+        if out or line and line != b"\r":
+            out.append(line + b"\n")
+            inside, error = after_line(line, inside)
+            if not inside:
+                return None if error else b"".join(out)
+    return None
+
+
 def _scan(encodings: Sequence[str], chunk_bytes: int):
     names = [f.split()[0] for f in CHUNKS.split(", ")]
 
@@ -123,14 +137,14 @@ def _scan(encodings: Sequence[str], chunk_bytes: int):
             nonlocal chunk, lines, size, before
             data = b"\n".join(lines) + b"\n"
             out, inn = note(lines, False), note(lines, True)
-            row = [now[0], now[1], chunk, data, decodes(data), out[0], inn[0], out[1], inn[1], inn[2], out[3], inn[3], out[4], inn[4], *before]
+            row = [now[0], now[1], chunk, data, decodes(data), out[0], inn[0], out[1], inn[1], inn[2], out[3], inn[3], out[4], inn[4], *before, first_record(lines) if now[1] == 0 and chunk == 0 else None]
             end = {False: out, True: inn}
             before = (end[before[0]][0], end[before[1]][0], before[2] + end[before[0]][1], before[3] + end[before[1]][1])
             chunk, lines, size = chunk + 1, [], 0
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, types, strict=True)], names=names)
 
         types = [pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.bool_(), pa.bool_(), *[pa.int64()] * 5, pa.string(), pa.string(),
-                 pa.bool_(), pa.bool_(), pa.int64(), pa.int64()]
+                 pa.bool_(), pa.bool_(), pa.int64(), pa.int64(), pa.binary()]
         for batch in batches:
             for path, start, line in zip(batch.column("path").to_pylist(), batch.column("range").to_pylist(), batch.column("line").to_pylist(), strict=True):
                 if (path, start) != now:
@@ -162,33 +176,39 @@ def scan_chunks(spark: SparkSession, paths: str | list[str], encodings: Sequence
 
 
 # ---------------------------------------------------------------- the prefix scan
-def compose(chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``ranges``: (path, range, inside, first_record) -- state and number of records before each
-    range. ``files``: (path, decodes, n_records, inside, error) of each file."""
+def compose(chunks: DataFrame, encodings: Sequence[str]) -> DataFrame:
+    """(path, range, inside, first_record) -- state and number of records before each range -- and of
+    its file: encoding, n_records, reason (it is rejected for) and header (bytes)."""
     # a range's function is its last chunk's, after what stands before that
     last = F.struct("chunk", "before_o", "before_i", "count_o", "count_i", "end_o", "end_i", "starts_o", "starts_i")
-    ends = chunks.groupBy("path", "range").agg(F.max(last).alias("l"), F.bit_and("decodes").alias("decodes"))
+    wrong = {s: F.when(F.col(f"before_{s}"), F.col("error_i")).otherwise(F.col("error_o")) for s in "oi"}
+    ends = chunks.groupBy("path", "range").agg(
+        F.max(last).alias("l"), F.bit_and("decodes").alias("decodes"), F.max("header").alias("header"),
+        *[F.min(F.when(e.isNotNull(), F.struct("chunk", e.alias("error"))))["error"].alias(f"error_{s}") for s, e in wrong.items()])
     of = lambda state, o, i: F.when(state, F.col(f"l.{i}")).otherwise(F.col(f"l.{o}"))
-    ranges = ends.select("path", "range", "decodes", *[
+    ranges = ends.select("path", "range", "decodes", "header", "error_o", "error_i", *[
         e for s in "oi" for e in (of(F.col(f"l.before_{s}"), "end_o", "end_i").alias(f"to_{s}"),
                                   (F.col(f"l.count_{s}") + of(F.col(f"l.before_{s}"), "starts_o", "starts_i")).alias(f"n_{s}"))])
     # Functions of two states are constant, the identity or a swap: the state before a range is that
     # of the last constant one, swapped as often as swaps came after it.
     w = Window.partitionBy("path").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     constant = F.col("to_o") == F.col("to_i")
-    swaps = F.coalesce(F.sum(F.when(~constant & F.col("to_o"), 1).otherwise(0)).over(w), F.lit(0))
-    ranges = ranges.withColumn("_swaps", swaps)
-    # at a constant range the swaps up to it are even, as it is none itself
+    ranges = ranges.withColumn("_swaps", F.coalesce(F.sum(F.when(~constant & F.col("to_o"), 1).otherwise(0)).over(w), F.lit(0)))
     fixed = F.last(F.when(constant, F.struct(F.col("to_o").alias("state"), F.col("_swaps").alias("swaps"))), ignorenulls=True).over(w)
     ranges = ranges.withColumn("_f", fixed)
     odd = ((F.col("_swaps") - F.coalesce(F.col("_f.swaps"), F.lit(0))) % 2) == 1
-    inside = F.coalesce(F.col("_f.state"), F.lit(False)) != odd
-    ranges = ranges.withColumn("inside", inside)
-    began = F.when(F.col("inside"), F.col("n_i")).otherwise(F.col("n_o"))
-    ranges = ranges.withColumn("first_record", F.coalesce(F.sum(began).over(w), F.lit(0)))
-    ended = F.when(F.col("inside"), F.col("to_i")).otherwise(F.col("to_o"))
-    files = ranges.groupBy("path").agg(F.bit_and("decodes").alias("decodes"), F.sum(began).alias("n_records"), F.max_by(ended, "range").alias("inside"))
-    return ranges.select("path", "range", "inside", "first_record"), files
+    ranges = ranges.withColumn("inside", F.coalesce(F.col("_f.state"), F.lit(False)) != odd)
+    actual = lambda c: F.when(F.col("inside"), F.col(f"{c}_i")).otherwise(F.col(f"{c}_o"))
+    ranges = ranges.select("path", "range", "decodes", "header", "inside", actual("n").alias("n"), actual("to").alias("to"), actual("error").alias("error"))
+    ranges = ranges.withColumn("first_record", F.coalesce(F.sum("n").over(w), F.lit(0)))
+    # what holds for the file
+    file = Window.partitionBy("path").orderBy("range").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    ranges = ranges.select("path", "range", "inside", "first_record", F.bit_and("decodes").over(file).alias("decodes"), F.sum("n").over(file).alias("n_records"),
+                           F.last("to").over(file).alias("open"), F.first("error", ignorenulls=True).over(file).alias("error"), F.first("header").over(file).alias("header"))
+    encoding = F.coalesce(*[F.when(F.col("decodes").bitwiseAND(F.lit(1 << i)) != 0, F.lit(e)) for i, e in enumerate(encodings)])
+    reason = (F.when(F.col("decodes") == 0, "undecodable").when(F.col("error").isNotNull(), F.col("error"))
+               .when(F.col("open"), "parse error: the file ends inside quotes").when(F.col("n_records") == 0, "empty file"))
+    return ranges.select("path", "range", "inside", "first_record", encoding.alias("encoding"), "n_records", reason.alias("reason"), "header")
 
 
 def cell_names(header: list[str], widest: int) -> list[str]:
@@ -231,17 +251,18 @@ def table_of(data: bytes, encoding: str, header: list[str]) -> tuple[list[str],
 
 # ---------------------------------------------------------------- parsing
 def locate(chunks: DataFrame, ranges: DataFrame) -> DataFrame:
-    """Chunks as they are, now that the state before their range is known: ``inside`` quotes or not,
-    ``first`` (records of the file that began before), ``n`` (that begin here), ``head`` and ``tail``
-    (bytes between which whole records lie), ``error``."""
-    where = ranges.select("path", "range", F.col("inside").alias("_in"), "first_record")
-    rows = join_small(chunks, where, ["path", "range"])
+    """Chunks of the files that are not rejected as they are, now that the state before their range is
+    known: ``inside`` quotes or not, ``first`` (records of the file that began before), ``n`` (that begin
+    here), ``head`` and ``tail`` (bytes between which whole records lie), encoding and header."""
+    where = ranges.filter("reason IS NULL").select("path", "range", F.col("inside").alias("_in"), "first_record", "encoding", F.col("header").alias("_header"))
+    # one row per range: broadcast within the session's limit, else a shuffle join
+    rows = chunks.join(bounded_broadcast(where, materialize=False)[0], ["path", "range"])
     inside = F.when(F.col("_in"), F.col("before_i")).otherwise(F.col("before_o"))
     pick = lambda o, i: F.when(inside, i).otherwise(o)
     return rows.select(
-        "path", "range", "chunk", "data", inside.alias("inside"),
+        "path", "range", "chunk", "data", "encoding", F.col("_header").alias("header"), inside.alias("inside"),
         (F.col("first_record") + F.when(F.col("_in"), F.col("count_i")).otherwise(F.col("count_o"))).alias("first"),
-        *[pick(F.col(f"{c}_o"), F.col(f"{c}_i")).alias(n) for c, n in (("starts", "n"), ("tail", "tail"), ("error", "error"))],
+        *[pick(F.col(f"{c}_o"), F.col(f"{c}_i")).alias(n) for c, n in (("starts", "n"), ("tail", "tail"))],
         pick(F.lit(0).cast("long"), F.col("head_i")).alias("head"))
 
 
@@ -251,10 +272,10 @@ def pieces(located: DataFrame) -> DataFrame:
     cut = lambda start, size: F.substring("data", start.cast("int"), size.cast("int"))
     place = ["range", "chunk"]
     leading = located.filter("inside AND head > 0").select(
-        "path", (F.col("first") - 1).alias("record"), *place, F.lit(1).alias("side"), cut(F.lit(1), F.col("head")).alias("piece"))
+        "path", (F.col("first") - 1).alias("record"), *place, "encoding", "header", F.lit(1).alias("side"), cut(F.lit(1), F.col("head")).alias("piece"))
     size = F.octet_length("data")
     trailing = located.filter(F.col("tail") < size).select(
-        "path", (F.col("first") + F.col("n") - 1).alias("record"), *place, F.lit(2).alias("side"), cut(F.col("tail") + 1, size - F.col("tail")).alias("piece"))
+        "path", (F.col("first") + F.col("n") - 1).alias("record"), *place, "encoding", "header", F.lit(2).alias("side"), cut(F.col("tail") + 1, size - F.col("tail")).alias("piece"))
     return leading.unionByName(trailing)
 
 
@@ -276,31 +297,19 @@ def _joined(parts: Iterator[pa.RecordBatch], fields: list[str]) -> Iterator[tupl
 ORDER = ["path", "record", "range", "chunk", "side"]
 
 
-def headers(located: DataFrame, files: DataFrame) -> DataFrame:
-    """(path, header): the first record of each file that is not rejected."""
-    def first(path: str, encoding: str, data: bytes) -> Iterator[pa.RecordBatch]:
-        csv.field_size_limit(2**31 - 1)
-        text = io.StringIO(data.decode(encoding), newline="")
-        header = next((r for r in csv.reader(text, strict=True) if r), None)
-        if header is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([header], pa.list_(pa.string()))], names=["path", "header"])
+def long_headers(located: DataFrame) -> DataFrame:
+    """(path, header) of the files whose header is not whole in their first chunk."""
+    def crossing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for path, _, data in _joined(batches, []):
+            yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([data])], names=["path", "header"])
 
-    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for r in batch.to_pylist():
-                yield from first(r["path"], r["encoding"], r["data"][: r["tail"]])
+    cut = pieces(located).filter("record = 0 AND header IS NULL")
+    return cut.repartition("path").sortWithinPartitions(*ORDER).mapInArrow(crossing, "path string, header binary")
 
-    def crossing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for path, _, data, encoding in _joined(batches, ["encoding"]):
-            yield from first(path, encoding, data)
 
-    schema = "path string, header array<string>"
-    good = files.filter("reason IS NULL").select("path", "encoding")
-    at_start = located.filter("NOT inside AND first = 0 AND n > 0 AND tail > 0").select("path", "data", "tail")
-    found = join_small(at_start, good, "path").mapInArrow(whole, schema)
-    # a header longer than its chunk
-    cut = join_small(pieces(located).filter("record = 0"), good, "path").repartition("path").sortWithinPartitions(*ORDER)
-    return found.unionByName(cut.mapInArrow(crossing, schema))
+def header_of(header: bytes, encoding: str) -> list[str]:
+    csv.field_size_limit(2**31 - 1)  # cells of any length
+    return records_of(header, encoding)[0]
 
 
 def _map_of(names: list[str], values: list[pa.Array], n: int) -> pa.Array:
@@ -316,18 +325,18 @@ def _map_of(names: list[str], values: list[pa.Array], n: int) -> pa.Array:
     return pa.MapArray.from_arrays(pa.array(sizes.astype(np.int32)), keys.filter(there), flat.filter(there))
 
 
-def parse(located: DataFrame, files: DataFrame, columns: Sequence[str] = (), rest: str | None = None) -> DataFrame:
-    """(path, encoding, record, the named columns) of all records but the headers, of the files that
-    are not rejected; a column that a file has not is null. ``rest``: name of a map column with all
-    other cells. ``record`` counts the records of a file from 0, the header."""
+def parse(located: DataFrame, columns: Sequence[str] = (), rest: str | None = None) -> DataFrame:
+    """(path, encoding, record, the named columns) of all records but the headers; a column that a file
+    has not is null. ``rest``: name of a map column with all other cells. ``record`` counts the records
+    of a file from 0, the header."""
     columns = list(columns)
     own = [StructField(c, StringType()) for c in columns] + ([StructField(rest, MapType(StringType(), StringType()))] if rest else [])
     schema = StructType([StructField("path", StringType()), StructField("encoding", StringType()), StructField("record", LongType()), *own])
 
-    def rows(path: str, first: int, data: bytes, encoding: str, header: list[str]) -> Iterator[pa.RecordBatch]:
+    def rows(path: str, first: int, data: bytes, encoding: str, header: bytes) -> Iterator[pa.RecordBatch]:
         if not data.strip(b"\r\n"):
             return
-        names, values = table_of(data, encoding, header)
+        names, values = table_of(data, encoding, header_of(header, encoding))
         if first == 0:  # the header itself
             values, first = [v[1:] for v in values], 1
         n = len(values[0])
@@ -348,10 +357,8 @@ def parse(located: DataFrame, files: DataFrame, columns: Sequence[str] = (), res
         for path, record, data, encoding, header in _joined(batches, ["encoding", "header"]):
             yield from rows(path, record, data, encoding, header)
 
-    good = files.filter("reason IS NULL").select("path", "encoding", "header")
-    inner = join_small(located.filter("head < tail").select("path", "first", "head", "tail", "data"), good, "path")
-    cut = join_small(pieces(located), good, "path").repartition("path", "record").sortWithinPartitions(*ORDER)
-    return inner.mapInArrow(whole, schema).unionByName(cut.mapInArrow(crossing, schema))
+    cut = pieces(located).repartition("path", "record").sortWithinPartitions(*ORDER)
+    return located.filter("head < tail").mapInArrow(whole, schema).unionByName(cut.mapInArrow(crossing, schema))
 
 
 class CsvFiles:
@@ -359,32 +366,32 @@ class CsvFiles:
 
     def __init__(self, spark: SparkSession, paths: str | list[str], encodings: Sequence[str] = ("utf-8",), chunk_bytes: int = CHUNK_BYTES):
         chunks = scan_chunks(spark, paths, encodings, chunk_bytes)
-        ranges, found = compose(chunks.drop("data"))
-        self.located = locate(chunks, _kept(ranges, "csv-ranges"))
-        wrong = self.located.filter("error IS NOT NULL").groupBy("path").agg(F.min_by("error", F.struct("range", "chunk")).alias("error"))
-        encoding = F.coalesce(*[F.when(F.col("decodes").bitwiseAND(F.lit(1 << i)) != 0, F.lit(e)) for i, e in enumerate(encodings)])
-        reason = (F.when(F.col("decodes") == 0, "undecodable").when(F.col("error").isNotNull(), F.col("error"))
-                   .when(F.col("inside"), "parse error: the file ends inside quotes").when(F.col("n_records") == 0, "empty file"))
-        files = _kept(found.join(wrong, "path", "left").select("path", encoding.alias("encoding"), reason.alias("reason"), "n_records"), "csv-files")
+        ranges = _kept(compose(chunks.drop("data"), encodings), "csv-ranges")
+        self.located = locate(chunks, ranges)
+        if not ranges.filter("range = 0 AND reason IS NULL AND header IS NULL").isEmpty():
+            long = long_headers(self.located).withColumnRenamed("header", "_long")
+            found = ranges.join(long, "path", "left").withColumn("header", F.coalesce("header", "_long")).select(*ranges.columns)
+            ranges = _kept(found, "csv-headers")
+            self.located = locate(chunks, ranges)
         #: (path, encoding, reason, n_records, header) of every file with a line in it
-        self.files = _kept(files.join(headers(self.located, files), "path", "left"), "csv-headers")
+        self.files = ranges.filter("range = 0").select("path", "encoding", "reason", "n_records", "header")
 
     def names(self, condition: str = "true") -> list[str]:
         """All header names of the files that meet the condition, in the order of the first file (by
         path) that has them. One row per distinct header comes to the driver, as many as layouts."""
-        some = self.files.filter("header IS NOT NULL").filter(condition)
-        layouts = some.groupBy("header").agg(F.min("path").alias("path")).orderBy("path").collect()
-        return list(dict.fromkeys(c for r in layouts for c in cell_names(r["header"], 0)))
+        some = self.files.filter("reason IS NULL").filter(condition)
+        layouts = some.groupBy("header", "encoding").agg(F.min("path").alias("path")).orderBy("path").collect()
+        return list(dict.fromkeys(c for r in layouts for c in cell_names(header_of(bytes(r["header"]), r["encoding"]), 0)))
 
     def records(self, columns: Sequence[str] = (), rest: str | None = None) -> DataFrame:
-        return parse(self.located, self.files, columns, rest)
+        return parse(self.located, columns, rest)
 
     def rejects(self) -> DataFrame:
         return self.files.filter("reason IS NOT NULL").select("path", "reason")
 
 
 def _kept(df: DataFrame, name: str) -> DataFrame:
-    """One row per range or file, written so that it is computed once."""
+    """One row per range, written so that it is computed once."""
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
