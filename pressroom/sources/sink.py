@@ -212,15 +212,16 @@ def write_article_files(files: DataFrame, root: str) -> None:
      .write.partitionBy("press_name", "file_name").text(staged))
     jvm, source, staging, _ = _hadoop(spark, staged)
     _, target, fs, _ = _hadoop(spark, root)
-    found = staging.listFiles(source, True)
+    file_path = jvm.org.apache.hadoop.fs.Path
     unescape = jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.unescapePathName
-    while found.hasNext():
-        part = found.next().getPath()
-        if part.getName().startswith("part-"):
-            name, press = (unescape(p.getName().split("=", 1)[1]) for p in (part.getParent(), part.getParent().getParent()))
-            folder = jvm.org.apache.hadoop.fs.Path(target, press)
-            fs.mkdirs(folder)
-            fs.rename(part, jvm.org.apache.hadoop.fs.Path(folder, name))
+    value = lambda folder: unescape(folder.getPath().getName().split("=", 1)[1])
+    below = lambda path: [s for s in staging.listStatus(path) if s.getPath().getName()[0] not in "._"]
+    for press in below(source):
+        folder = file_path(target, value(press))
+        fs.mkdirs(folder)
+        for name in below(press.getPath()):
+            for part in below(name.getPath()):
+                fs.rename(part.getPath(), file_path(folder, value(name)))
 
 
 def write_table(df: DataFrame, path: str, partition_by: Sequence[str] = (), fmt: str = "parquet",

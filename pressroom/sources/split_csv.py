@@ -270,13 +270,13 @@ def pieces(located: DataFrame) -> DataFrame:
     """(path, record, range, chunk, side, piece): the parts of records that cross chunks. What leads a
     chunk belongs to the record begun last before it."""
     cut = lambda start, size: F.substring("data", start.cast("int"), size.cast("int"))
-    place = ["range", "chunk"]
-    leading = located.filter("inside AND head > 0").select(
-        "path", (F.col("first") - 1).alias("record"), *place, "encoding", "header", F.lit(1).alias("side"), cut(F.lit(1), F.col("head")).alias("piece"))
     size = F.octet_length("data")
-    trailing = located.filter(F.col("tail") < size).select(
-        "path", (F.col("first") + F.col("n") - 1).alias("record"), *place, "encoding", "header", F.lit(2).alias("side"), cut(F.col("tail") + 1, size - F.col("tail")).alias("piece"))
-    return leading.unionByName(trailing)
+    leading = F.struct((F.col("first") - 1).alias("record"), F.lit(1).alias("side"), F.when(F.col("inside"), cut(F.lit(1), F.col("head"))).alias("piece"))
+    trailing = F.struct((F.col("first") + F.col("n") - 1).alias("record"), F.lit(2).alias("side"),
+                        F.when(F.col("tail") < size, cut(F.col("tail") + 1, size - F.col("tail"))).alias("piece"))
+    crossing = located.filter(F.col("inside") | (F.col("tail") < size))
+    parts = crossing.select("path", "range", "chunk", "encoding", "header", F.explode(F.array(leading, trailing)).alias("_p"))
+    return parts.select("path", "range", "chunk", "encoding", "header", "_p.*").filter("octet_length(piece) > 0")
 
 
 def _joined(parts: Iterator[pa.RecordBatch], fields: list[str]) -> Iterator[tuple]:
