@@ -1 +1,50 @@
-"""Registered queries of pages, urls and streams."""
+"""Registered queries of pages and urls as parsers read them."""
+
+from __future__ import annotations
+
+from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
+
+from pressroom.plans.catalog import _LINKS_SQL, _TITLE_RE
+from pressroom.plans.registry import register
+from pressroom.sources import links
+from pressroom.sources.tables import Tables
+
+
+@register("links_as_parsed", jobs=("J5",), ids=("A11", "C5"), sql=f"""
+WITH {_LINKS_SQL}
+SELECT * FROM l UNION ALL
+SELECT page_id, CAST((SELECT count(*) FROM l WHERE l.page_id = pages.page_id) AS INTEGER), '/n?id=' || page_id || '&b=1', 'in ner deep 가 <b>' FROM pages
+""")
+def links_as_parsed(spark: SparkSession, sf_dir: str):
+    """Anchors in comments, scripts and attribute values are none; one anchor with a bare attribute
+    value, nested elements and references is read whole."""
+    before = F.lit("<!-- <a href=\"/old\">old</a> --><script>document.write('<a href=\"/js\">js</a>')</script><img alt='<a href=\"/alt\">'>")
+    after = F.concat(F.lit("<div><A class=\"x y\" title='a > b' HREF=/n?id="), F.col("page_id").cast("string"),
+                     F.lit("&amp;b=1><b>bold</b><br><SPAN>in <i>ner <span>deep</span></i> &#44032; &#x3c;b&gt;</SPAN> out</div> behind"))
+    pages = Tables(spark, sf_dir).pages.select("page_id", F.concat(before, "html", after).alias("html"))
+    return links.extract_links(pages, "html", "page_id")
+
+
+@register("lenient_query_value", jobs=("J5", "J6"), ids=("A12",), sql="""
+SELECT page_id, CAST(page_id AS VARCHAR) || ' A%zz 가=3' AS press_id, '2|x' AS other, CAST(NULL AS VARCHAR) AS blank FROM pages
+""")
+def lenient_query_value(spark: SparkSession, sf_dir: str):
+    """Query values of urls that a strict parser refuses: blanks, bars, empty and repeated values,
+    broken percent signs, a question mark in the fragment."""
+    url = F.concat(F.lit("/main list?a|b=2|x&blank=&officeId&officeId=&%6FfficeId="), F.col("page_id").cast("string"),
+                   F.lit("+%41%zz%20%EA%B0%80=3&officeId=9#x?officeId=8"))
+    p = Tables(spark, sf_dir).pages
+    return p.select("page_id", links.query_value(url, "officeId").alias("press_id"), links.query_value(url, "a|b").alias("other"),
+                    links.query_value(url, "blank").alias("blank"))
+
+
+@register("quoted_titles", jobs=("J5",), ids=("A11",), sql=f"""
+WITH t AS (SELECT page_id, regexp_extract(html, '{_TITLE_RE}', 1) AS title FROM pages)
+SELECT page_id, replace(url_encode(title), '%2F', '/') AS quoted, title AS back FROM t
+""")
+def quoted_titles(spark: SparkSession, sf_dir: str):
+    """Titles as search phrases of a url, and read back from its query."""
+    p = Tables(spark, sf_dir).pages.select("page_id", links.quote(F.regexp_extract("html", _TITLE_RE, 1)).alias("quoted"))
+    back = F.coalesce(links.query_value(F.concat(F.lit("/search?ssc=tab&query="), "quoted", F.lit("&sm=1")), "query"), F.lit(""))
+    return p.select("page_id", "quoted", back.alias("back"))
