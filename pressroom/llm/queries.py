@@ -32,7 +32,7 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op2_line_dedup")
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), report=True, max_edits=2, min_chars=30)
+    done = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), report=True, max_edits=2, min_chars=30, equal_chars=1)
     return done.select("doc_id", "n_lines", F.size("removed_lines").alias("n_removed"), "removed_lines", F.sha2("text", 256).alias("kept_sha256"))
 
 

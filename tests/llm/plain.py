@@ -66,19 +66,23 @@ def _near(a, b, edits):
     return edit_distance(x, y) <= edits
 
 
-def lines_that_go(rows, edits, min_chars):
-    """{doc_id: line numbers}; null ids under NULL_ID."""
-    places = sorted(((NULL_ID if d is None else d, i, line) for d, t in rows for i, line in enumerate((t or "").split("\n")) if len(line) >= min_chars),
-                    key=lambda x: x[:2])
+def lines_that_go(rows, edits, min_chars, equal_chars=None):
+    """{doc_id: line numbers}; null ids under NULL_ID. Lines of ``min_chars`` code points go if they are
+    near an earlier one, shorter ones of ``equal_chars`` that are not blank if they equal one."""
+    least = min_chars if equal_chars is None else equal_chars
+    places = sorted(((NULL_ID if d is None else d, i, line) for d, t in rows for i, line in enumerate((t or "").split("\n"))
+                     if len(line) >= min_chars or len(line) >= least and line.strip()), key=lambda x: x[:2])
     seen, out = defaultdict(list), {}
     known = set()
     for d, i, line in places:
         own = (line, Counter(line))
-        if line in known or any(_near(own, x, edits) for n in range(len(line) - edits, len(line) + edits + 1) for x in seen[n]):
+        long = len(line) >= min_chars
+        if line in known or long and any(_near(own, x, edits) for n in range(len(line) - edits, len(line) + edits + 1) for x in seen[n]):
             out.setdefault(d, []).append(i)
         if line not in known:
             known.add(line)
-            seen[len(line)].append(own)
+            if long:
+                seen[len(line)].append(own)
     return out
 
 

@@ -12,7 +12,7 @@ def test_stages_compose_plainly(spark):
     docs, labels = (spark.read.parquet(f"{SF001}/{t}.parquet") for t in ("documents", "labels"))
     wanted = {r["doc_id"] for r in quality.score_documents(docs, labels).filter("keep").collect()}
     rows = [(r["doc_id"], r["text"]) for r in docs.collect() if r["doc_id"] in wanted]
-    gone = lines_that_go(rows, 2, 30)
+    gone = lines_that_go(rows, 2, 30, equal_chars=1)
     left = []
     for doc, text in rows:
         kept = "\n".join(x for i, x in enumerate(text.split("\n")) if i not in gone.get(doc, ()))
