@@ -2,12 +2,14 @@
 all documents that the stage before it kept, and is written as Parquet and read again.
 
 1. quality classifier: documents that it rejects go;
-2. line dedup: lines that stand earlier go, and documents of which nothing is left;
+2. line dedup: lines that stand earlier go, equal ones of every length and near ones from 30 code points on, and documents of which nothing is left;
 3. n-gram Jaccard join: one document of each group of near duplicates stays;
 4. benchmark decontamination: documents that hold a benchmark item go;
 5. SentencePiece: adds the ids of the text, their number, and whether they decode to it.
 
-All but the last return the columns of ``documents``.
+All but the last return the columns of ``documents``. Null texts pass the first four stages as empty
+ones do; repeated rows are rows of their own until they fall to the third stage; texts of any length are
+handled whole; an empty table passes all stages; other columns stay, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    done = line_dedup.dedup_lines(docs, report=True, max_edits=2, min_chars=30)
+    done = line_dedup.dedup_lines(docs, report=True, max_edits=2, min_chars=30, equal_chars=1)
     changed = F.size("removed_lines") > 0
     done = done.filter(~changed | (F.trim("text") != ""))
     done = done.withColumn("n_chars", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars")))
