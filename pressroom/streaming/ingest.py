@@ -23,7 +23,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -58,13 +58,16 @@ def stream_ingest(spark: SparkSession, src: str, sink: str, checkpoint: str, sch
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
         own = batch.sparkSession
-        fresh = cut_lineage(new_articles(batch, sink, key, order, "parquet", prune_by=partition_by, except_batch=int(batch_id)))
-        n_written = fresh.count()
+        # counted while the batch runs, not by running it again
+        seen, new, n = Observation("input"), Observation("new"), F.count(F.lit(1)).alias("n")
+        found = new_articles(batch.observe(seen, n), sink, key, order, "parquet", prune_by=partition_by, except_batch=int(batch_id))
+        fresh = cut_lineage(found.observe(new, n))
+        n_written = new.get["n"]
         folder = f"{sink}/batch_id={int(batch_id)}"
         if n_written:
             rebalance_for_write(fresh, partition_by).write.mode("overwrite").partitionBy(*partition_by).parquet(folder)
         if audit:
-            row = own.createDataFrame([(int(batch_id), int(batch.count()), int(n_written))], AUDIT_SCHEMA)
+            row = own.createDataFrame([(int(batch_id), int(seen.get["n"]), int(n_written))], AUDIT_SCHEMA)
             row.drop("batch_id").write.mode("overwrite").parquet(f"{audit}/batch_id={int(batch_id)}")
 
     q = (stream.writeStream.foreachBatch(write_batch)
