@@ -20,11 +20,8 @@ from pressroom.operators.profile import not_nan
 from pressroom.operators.quantiles import DEFAULT_ACCURACY, exact_quantiles
 
 
-def box_stats(df: DataFrame, by: str, cols: Iterable[str], whis: float = 1.5, exact: bool = True,
-              accuracy: int = DEFAULT_ACCURACY, places: int | None = 6) -> DataFrame:
-    """Long result: ``by, metric, n, mean, q1, median, q3, whisker_lo, whisker_hi,
-    n_outliers`` (matplotlib / seaborn box-plot rules). Nulls in the value are ignored;
-    rows with a null group key are dropped."""
+def _fenced(df: DataFrame, by: str, cols: Iterable[str], whis: float, exact: bool, accuracy: int) -> tuple[DataFrame, DataFrame]:
+    """The values as rows (by, metric, _val), and the quartiles and fences of each group."""
     cols = list(cols)
     g = F.col(by)
     wide = df.select(g.alias(by), *[not_nan(F.col(c)).alias(c) for c in cols]).filter(g.isNotNull())
@@ -41,8 +38,26 @@ def box_stats(df: DataFrame, by: str, cols: Iterable[str], whis: float = 1.5, ex
                      .select(*keys, "n", "mean", *[F.col("_q")[i].alias(f"q{i}") for i in range(3)]))
     iqr = F.col("q2") - F.col("q0")
     stats = stats.withColumns({"_lo": F.col("q0") - F.lit(whis) * iqr, "_hi": F.col("q2") + F.lit(whis) * iqr})
-    stats_b, _ = bounded_broadcast(stats)
+    return long, bounded_broadcast(stats)[0]
+
+
+def outliers(df: DataFrame, by: str, cols: Iterable[str], whis: float = 1.5, exact: bool = True, accuracy: int = DEFAULT_ACCURACY) -> DataFrame:
+    """The points a box plot draws beyond its whiskers: ``by, metric, value, n`` -- every distinct
+    value outside the fences with the number of its rows, so equal points are counted before they
+    meet. Groups as in :func:`box_stats`."""
+    long, stats = _fenced(df, by, cols, whis, exact, accuracy)
+    v = F.col("_val")
+    beyond = long.join(stats.select(by, "metric", "_lo", "_hi"), [by, "metric"]).filter((v < F.col("_lo")) | (v > F.col("_hi")))
+    return beyond.groupBy(by, "metric", v.cast("double").alias("value")).agg(F.count(F.lit(1)).alias("n"))
 
+
+def box_stats(df: DataFrame, by: str, cols: Iterable[str], whis: float = 1.5, exact: bool = True,
+              accuracy: int = DEFAULT_ACCURACY, places: int | None = 6) -> DataFrame:
+    """Long result: ``by, metric, n, mean, q1, median, q3, whisker_lo, whisker_hi,
+    n_outliers`` (matplotlib / seaborn box-plot rules). Nulls in the value are ignored;
+    rows with a null group key are dropped."""
+    long, stats_b = _fenced(df, by, cols, whis, exact, accuracy)
+    keys = [by, "metric"]
     v = F.col("_val")
     inside = (v >= F.col("_lo")) & (v <= F.col("_hi"))
     whiskers = (long.join(stats_b.select(*keys, "_lo", "_hi"), keys)

@@ -1,13 +1,14 @@
-"""Registered queries of the file jobs: one merged CSV file, press tables, tables of wanted folders."""
+"""Registered queries of the file jobs: one merged CSV file, press tables, tables of wanted folders; box-plot points, a plug-in tokenizer."""
 
 from __future__ import annotations
 
 from pyspark.sql import SparkSession, Window
 from pyspark.sql import functions as F
 
-from pressroom.operators import scores
-from pressroom.plans.catalog import _DATED_FILE_SQL, _RAW_SQL, _dated_files, _events_as_comments, _length_scorer, _raw_comments
+from pressroom.operators import boxstats, scores, tokens
+from pressroom.plans.catalog import _DATED_FILE_SQL, _RAW_SQL, _dated_files, _events_as_comments, _length_scorer, _raw_comments, _tokens_sql
 from pressroom.plans.registry import register
+from pressroom.plans.standins import DOC_TEXTS_SQL, doc_texts
 from pressroom.session import cut_lineage, scratch_path
 from pressroom.sources import press_tree, sink, split_csv
 from pressroom.sources.tables import Tables
@@ -75,6 +76,17 @@ def rescored_press(spark: SparkSession, sf_dir: str):
     return kept.join(rows, "press_name", "left").select("press_name", "year-month-day", "length")
 
 
+@register("mean_scores_day", jobs=("J17",), ids=("D8", "B19"), sql=f"""
+WITH {_SCORED_SQL}
+SELECT press_name, f[1:7] AS month, f[1:10] AS day, CAST(sum(n) AS BIGINT) AS n_comments, CASE WHEN sum(n) > 0 THEN round(sum(chars) / sum(n), 6) END AS length
+FROM s GROUP BY 1, 2, 3
+""")
+def mean_scores_day(spark: SparkSession, sf_dir: str):
+    """Mean scores of every press and day, over all its articles of the day."""
+    files = _dated_files(Tables(spark, sf_dir)).withColumn("day", F.substring("file_name", 1, 10))
+    return scores.mean_scores(files, scores.pandas_scorer(_length_scorer, ["length"]), day="day", scope="day")
+
+
 @register("listed_months", jobs=("J9",), ids=("A5", "B1"), sql="""
 WITH e AS (SELECT event_type AS press_name, strftime(ts, '%Y-%m') AS month, event_id FROM events WHERE event_type IS NOT NULL AND ts IS NOT NULL),
 m AS (SELECT press_name, month, dense_rank() OVER (PARTITION BY press_name ORDER BY month DESC) AS place FROM (SELECT DISTINCT press_name, month FROM e))
@@ -93,3 +105,28 @@ def listed_months(spark: SparkSession, sf_dir: str):
     listed = cut_lineage(months.withColumn("place", place)).filter("place <= 1")
     found = sink.read_listed(spark, root, listed, {"press_name": "press_name", "month": "month"})
     return found.select("press_name", "month", "event_id")
+
+
+@register("length_outliers", jobs=("J16",), ids=("D4", "B12"), sql="""
+WITH v AS (SELECT source, length(text) AS v FROM documents WHERE source IS NOT NULL AND text IS NOT NULL),
+q AS (SELECT source, quantile_cont(v, 0.25) AS q1, quantile_cont(v, 0.75) AS q3 FROM v GROUP BY 1)
+SELECT source AS press_name, 'comment_length' AS metric, CAST(v AS DOUBLE) AS value, count(*) AS n
+FROM v JOIN q USING (source) WHERE v < q1 - 1.5 * (q3 - q1) OR v > q3 + 1.5 * (q3 - q1) GROUP BY 1, 2, 3
+""")
+def length_outliers(spark: SparkSession, sf_dir: str):
+    """The points beyond the whiskers of every press's box of comment lengths."""
+    rows = Tables(spark, sf_dir).documents.select(F.col("source").alias("press_name"), F.length("text").alias("comment_length"))
+    return boxstats.outliers(rows, "press_name", ["comment_length"])
+
+
+def _split_at_blanks(texts):
+    """A stand-in for a noun analyser: texts in, token lists out."""
+    return texts.map(lambda t: t.split(" "))
+
+
+@register("top_tokens_plugin", jobs=("J18",), ids=("U1", "U3", "D6"), sql=f"WITH {DOC_TEXTS_SQL}, " + _tokens_sql("lang", "doc_texts", 10).replace(
+    "GCOL", "lang").replace("regexp_extract_all(coalesce(comments, ''), '\\p{L}+')", "string_split(coalesce(comments, ''), ' ')"))
+def top_tokens_plugin(spark: SparkSession, sf_dir: str):
+    """Keywords by a tokenizer of the caller's, in Arrow batches."""
+    tokenizer = F.pandas_udf(_split_at_blanks, "array<string>")
+    return tokens.top_tokens(doc_texts(Tables(spark, sf_dir)), "lang", n=10, tokenizer=tokenizer)
