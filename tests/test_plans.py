@@ -15,7 +15,7 @@ from tests.conftest import SF01
 QUERIES = {name: entry_mod.queries()[name] for name in REGISTRY}
 # file parsing and the HTML tokenizer run in Arrow batches, plug-in scorers in a pandas UDF
 PYTHON_OK = {"press_tree_roundtrip", "press_tree_raw", "raw_tree_files", "merged_csv_roundtrip", "merged_csv_by_press", "extract_links", "distinct_links",
-             "links_as_parsed", "mean_scores_by_label", "top_tokens_plugin", "emotion_report"}
+             "links_as_parsed", "mean_scores_by_label", "top_tokens_plugin", "mean_scores_day", "emotion_report"}
 PYTHON_NODES = ("BatchEvalPython", "ArrowEvalPython", "MapInPandas", "FlatMapGroupsInPandas",
                 "PythonUDF", "MapInArrow")
 
