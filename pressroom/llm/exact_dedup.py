@@ -10,9 +10,11 @@ identifier by the chosen order. Two levels:
    the owner of each class, and rows take it over by their local class, of which no task's share
    is more than one scan task's rows.
 
-A trie that outgrows its budget spills its largest subtree to a file of the task, takes further
-strings of that subtree there unread, and works the file off as a trie of its own at the end. The
-files belong to the running task and go with it; a task that is run anew makes its own.
+A trie that outgrows its budget (labels and what Python takes for nodes, terminals and classes) spills
+its largest subtree to a file of the task, takes further strings of that subtree there unread, and
+works the file off as a trie of its own at the end. The files belong to the running task and go with
+it; a task that is run anew makes its own. In level 1 a full trie is passed on and begun anew: a text
+may then leave a task more than once, which level 2 puts right.
 
 Defined results: null text counts as empty (all such rows are one group); null doc_id orders
 before all others; of rows with equal text and equal doc_id one stays (the first read); very long
@@ -34,7 +36,10 @@ from pyspark.sql import functions as F
 
 from pressroom.llm.common import parallelism, written
 
-BUDGET = 64 << 20  # bytes of strings that a trie keeps in memory
+BUDGET = 64 << 20  # bytes that a trie keeps in memory, by the costs below
+# What Python takes, in bytes (as tracemalloc measures it): a node with its label's header, its dict of
+# children and its place in its parent's; a terminal with key, list and numbers; a class in it; a digest.
+NODE, TERMINAL, CLASS, DIGEST = 200, 200, 40, 220
 
 
 class Node:
@@ -74,8 +79,8 @@ class PatriciaTrie:
 
     def __init__(self, budget: int = BUDGET, skip: int = 0):
         self.root, self.budget, self.skip = Node(b""), budget, skip
-        self.bytes = 0
-        self.by_first: dict[int, int] = {}  # bytes held under each child of the root
+        self.bytes = 0  # of labels, nodes, terminals and classes below the root
+        self.by_first: dict[int, int] = {}  # the same under each child of the root
         self.spilled: dict[int, object] = {}
 
     def insert(self, text: bytes, key, rows: int, classes: list) -> Terminal | None:
@@ -90,15 +95,17 @@ class PatriciaTrie:
             if i == len(text):
                 if node.end is None:
                     node.end = Terminal(key, rows, classes)
+                    self._held(first, TERMINAL + CLASS * len(classes))
                 else:
                     node.end.take(key, rows, classes)
+                    self._held(first, CLASS * len(classes))
                 return node.end
             child = node.children.get(text[i])
             if child is None:
                 child = Node(text[i:])
                 child.end = Terminal(key, rows, classes)
                 node.children[text[i]] = child
-                self._held(first, len(text) - i)
+                self._held(first, len(text) - i + NODE + TERMINAL + CLASS * len(classes))
                 return child.end
             label = child.label
             if text.startswith(label, i):
@@ -110,11 +117,13 @@ class PatriciaTrie:
             child.label = label[k:]
             upper.children[child.label[0]] = child
             node.children[text[i]] = upper
+            self._held(first, NODE)
             node, i = upper, i + k
 
     def _held(self, first: int, n: int) -> None:
-        self.bytes += n
-        self.by_first[first] = self.by_first.get(first, 0) + n
+        if first >= 0:  # the string that ends at the root stays there
+            self.bytes += n
+            self.by_first[first] = self.by_first.get(first, 0) + n
 
     def full(self) -> bool:
         return self.bytes > self.budget
@@ -214,7 +223,7 @@ def exact_dedup(docs: DataFrame, keep: str = "largest", budget: int = BUDGET) ->
                     end.classes.append(uid)
                     sha[uid] = hashlib.sha256(norm).hexdigest()
                 members.append((uid, doc_id, end.classes[0], sha[end.classes[0]], len(norm), None, None, None, None, None))
-                if trie.full():
+                if trie.bytes + DIGEST * len(sha) > budget:
                     yield from flush()
                     trie, sha = PatriciaTrie(budget), {}
             if members:
