@@ -13,7 +13,8 @@ with ``/``, could never fit: such rules are an error.
 
 Host: what follows the first ``://`` up to ``/``, ``?``, ``#`` or the end, A-Z lower-cased; path:
 from there up to ``?``, ``#`` or the end. A null url or one without ``://`` has both empty and
-fits no rule. Repeated rows are judged row by row; an empty table gives no rows; of equal rules
+fits no rule. Very long urls are judged whole: only suffixes of the host as long as a rule's host are
+looked up, so their number and bytes follow the rules. Repeated rows are judged row by row; an empty table gives no rows; of equal rules
 with different verdicts the smallest verdict stands; other columns of ``pages`` pass through,
 but those named like a result (host, path, rule, verdict) are replaced.
 """
@@ -34,18 +35,20 @@ from pyspark.sql.types import StructType
 from pressroom.session import scratch_path
 
 RESULT = ("host", "path", "rule", "verdict")
+DOT = ord(".")
 
 
 def _lay_out(rules: list[tuple[str, str]]) -> bytes:
-    """A block of rules in digest order: count, longest probes' path lengths, digests, ends of
-    strings, verdict numbers, verdict names, strings."""
+    """A block of rules in digest order: counts, (host length, path length) of the rules, each pair
+    once, digests, ends of strings, verdict numbers, verdict names, strings."""
     texts = [r.encode() for r, _ in rules]
     digests = np.array([xxhash.xxh64_intdigest(t) for t in texts], np.uint64)
     order = np.argsort(digests, kind="stable")
     names = sorted({v for _, v in rules})
     verdicts = np.array([names.index(rules[i][1]) for i in order], np.int64)
     ends = np.cumsum([len(texts[i]) for i in order], dtype=np.int64)
-    lengths = np.unique([len(t) - t.index(b"/") if b"/" in t else 0 for t in texts]).astype(np.int64)
+    hosts = [t.index(b"/") if b"/" in t else len(t) for t in texts]
+    lengths = np.array(sorted({(h, len(t) - h) for h, t in zip(hosts, texts, strict=True)}), np.int64).reshape(-1, 2)
     listed = "\n".join(names).encode()
     head = np.array([len(rules), len(lengths), len(listed)], np.int64)
     return b"".join([head.tobytes(), lengths.tobytes(), digests[order].tobytes(), ends.tobytes(), verdicts.tobytes(),
@@ -58,8 +61,10 @@ class DigestArray:
     def __init__(self, path: str):
         raw = np.memmap(path, np.uint8, "r")
         n, k, m = (int(x) for x in raw[:24].view(np.int64))
-        cut = np.cumsum([24, 8 * k, 8 * n, 8 * n, 8 * n, m])
-        self.lengths = [int(x) for x in raw[cut[0]: cut[1]].view(np.int64)]
+        cut = np.cumsum([24, 16 * k, 8 * n, 8 * n, 8 * n, m])
+        self.lengths: dict[int, list[int]] = {}  # path lengths by host length
+        for host, path in raw[cut[0]: cut[1]].view(np.int64).reshape(-1, 2).tolist():
+            self.lengths.setdefault(host, []).append(path)
         self.digests = raw[cut[1]: cut[2]].view(np.uint64)
         self.ends = raw[cut[2]: cut[3]].view(np.int64)
         self.verdicts = raw[cut[3]: cut[4]].view(np.int64)
@@ -69,6 +74,17 @@ class DigestArray:
     def string(self, i: int) -> bytes:
         return self.strings[(int(self.ends[i - 1]) if i else 0): int(self.ends[i])].tobytes()
 
+    def keys(self, host: bytes, path: bytes) -> Iterator[tuple[bytes, int]]:
+        """(key, bytes of its host) of what could be a rule: the host or a parent domain of it, as long as
+        the host of some rule, and the beginning of the path, as long as a path beside such a host. So a
+        host of any length makes no more keys than the rules have lengths."""
+        for n, tails in self.lengths.items():
+            at = len(host) - n
+            if host and (at == 0 or at > 0 and host[at - 1] == DOT):
+                for m in tails:
+                    if m <= len(path):
+                        yield host[at:] + path[:m], n
+
     def probe(self, keys: list[bytes]) -> Iterator[tuple[int, str]]:
         """(place in keys, verdict) of the keys that are rules."""
         digests = np.fromiter((xxhash.xxh64_intdigest(k) for k in keys), np.uint64, len(keys))
@@ -139,16 +155,9 @@ def judge(pages: DataFrame, names: list[str], default: str = "allow", url: str =
             for block in blocks:
                 keys, rows = [], []
                 for i, (host, path) in enumerate(split):
-                    whole, tail = host.encode(), path.encode()
-                    at = 0
-                    while whole:
-                        for n in block.lengths:
-                            if n <= len(tail):
-                                keys.append(whole[at:] + tail[:n])
-                                rows.append((i, len(whole) - at))
-                        at = whole.find(b".", at) + 1
-                        if not at:
-                            break
+                    for key, host_bytes in block.keys(host.encode(), path.encode()):
+                        keys.append(key)
+                        rows.append((i, host_bytes))
                 for at, verdict in block.probe(keys):
                     i, host_bytes = rows[at]
                     rule = keys[at].decode()

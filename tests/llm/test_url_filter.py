@@ -54,3 +54,23 @@ def test_host_rules_and_unusable_rules(spark):
     for bad in [("net", "en/", "block"), ("net", None, "block"), (None, "/", "block"), ("net", "/", None)]:
         with pytest.raises(ValueError):
             url_filter.build(spark.createDataFrame([*rules, bad], "host string, path string, verdict string"))
+
+
+def test_very_long_urls_and_repeated_rows(spark):
+    """Hosts of a megabyte with half a million labels, and a path as long: no more keys than the rules' lengths."""
+    rules = [("net", "/", "block"), ("a.net", "/en/", "allow"), ("xy.a.net", "/en/", "block"), ("org", "", "allow")]
+    labels = "a." * 500_000
+    urls = [f"http://{labels}net/en/" + "x" * 1_000_000, f"http://{labels}org", f"http://{labels}", "http://" + "n" * 1_000_000 + "/en/", f"http://www.{labels}xy.net/"]
+    pages = spark.createDataFrame([(i, u) for i, u in enumerate(urls)] * 2, "page_id long, url string").repartition(3)
+    names = url_filter.build(spark.createDataFrame(rules, "host string, path string, verdict string"))
+    got = sorted((r["page_id"], r["host"], r["path"], r["rule"], r["verdict"]) for r in url_filter.judge(pages, names, default="block").collect())
+    want = [(i, *judge_plainly(u, rules, "block")) for i, u in enumerate(urls)]
+    assert got == sorted(want * 2, key=lambda r: r[0])
+
+
+def test_keys_follow_the_lengths_of_the_rules(tmp_path):
+    path = tmp_path / "rules"
+    path.write_bytes(url_filter._lay_out([("net/", "block"), ("a.net/en/", "allow"), ("org", "allow")]))
+    block = url_filter.DigestArray(str(path))
+    keys = list(block.keys(b"a." * 500_000 + b"net", b"/en/" + b"x" * 1000))
+    assert sorted(k for k, _ in keys) == [b"a.net/en/", b"net", b"net/"]
