@@ -158,7 +158,12 @@ class Collection:
     def __init__(self, strings: list[bytes], folder: str):
         self.strings, self.folder = strings, folder
         self.sizes = np.array([len(s) for s in strings], np.int64)
-        self.data = np.frombuffer(b"".join(strings), np.uint8)
+        data = np.frombuffer(b"".join(strings), np.uint8)
+        # the bytes that occur, numbered from 1 in their order; 0 ends a string. UTF-8 has no more than 243
+        occur = np.bincount(data, minlength=256) > 0
+        self.symbol = np.uint8 if occur.sum() < 256 else np.uint16
+        self.data = np.cumsum(occur).astype(self.symbol)[data]
+        self.byte = np.append(0, np.flatnonzero(occur) + 1).astype(np.uint16)  # byte + 1 of a symbol, 0 for the end
         self.end = np.cumsum(self.sizes)
 
     def _read(self, name: str, dtype) -> np.ndarray:
@@ -168,27 +173,35 @@ class Collection:
         x.tofile(os.path.join(self.folder, name))
 
     def _before(self, rows: np.ndarray, size: int) -> np.ndarray:
-        """Symbol before the suffix of so many bytes: byte + 1, at the beginning 0."""
-        whole = self.sizes[rows] == size
-        at = np.maximum(self.end[rows] - size - 1, 0)
-        return np.where(whole, 0, self.data[at].astype(np.uint16) + 1) if len(self.data) else np.zeros(len(rows), np.uint16)
+        """Symbol before the suffix of so many bytes, at the beginning 0."""
+        out = np.zeros(len(rows), self.symbol)
+        inside = self.sizes[rows] > size
+        out[inside] = self.data[self.end[rows[inside]] - size - 1]
+        return out
+
+    @staticmethod
+    def _ranks(bwt: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rows by symbol, then as they stand, which is the order of the suffixes one byte longer; the
+        place of every row in it."""
+        order = np.argsort(bwt, kind="stable")
+        rank = np.empty(len(order), np.int32)
+        rank[order] = np.arange(len(order), dtype=np.int32)
+        return order, rank
 
     def build(self) -> tuple[np.ndarray, np.ndarray]:
-        """Write the transform (uint16) and the common prefixes (uint8, that of a row and the row
-        above it), and read them when all rounds are done."""
+        """Write the transform (a symbol a row) and the common prefixes (uint8, that of a row and the row
+        above it), and read them when all rounds are done; of a symbol its byte + 1, of an end 0."""
         count = len(self.strings)
         active, row = np.arange(count), np.arange(count)  # row of the last inserted suffix of each active string
-        self._write("bwt", self._before(active, 0).astype(np.uint16))
+        self._write("bwt", self._before(active, 0))
         self._write("lcp", np.zeros(count, np.uint8))
         for size in range(1, int(self.sizes.max(initial=0)) + 1):
-            bwt, lcp = self._read("bwt", np.uint16), self._read("lcp", np.uint8)
+            bwt, lcp = self._read("bwt", self.symbol), self._read("lcp", np.uint8)
             on = self.sizes[active] >= size
             active, row = active[on], row[on]
-            order = np.argsort(bwt, kind="stable")  # by symbol, then by row: the order of the longer suffixes
-            rank = np.empty(len(order), np.int64)
-            rank[order] = np.arange(len(order))
-            ended = int((bwt == 0).sum())
-            place = rank[row]  # among all symbols
+            order, rank = self._ranks(bwt)
+            ended = len(bwt) - np.count_nonzero(bwt)
+            place = rank[row].astype(np.int64)  # among all symbols
             symbol = bwt[row]
             above, below = np.maximum(place - 1, 0), np.minimum(place + 1, len(order) - 1)
             has_above = (place > 0) & (bwt[order[above]] == symbol)
@@ -199,14 +212,14 @@ class Collection:
             to = count + place - ended
             old = np.ones(len(bwt) + len(row), bool)
             old[to] = False
-            grown_bwt, grown_lcp = np.empty(len(old), np.uint16), np.empty(len(old), np.uint8)
+            grown_bwt, grown_lcp = np.empty(len(old), self.symbol), np.empty(len(old), np.uint8)
             grown_bwt[old], grown_lcp[old] = bwt, lcp
             grown_lcp[to[has_below] + 1] = common_below
             grown_bwt[to], grown_lcp[to] = self._before(active, size), common
             self._write("bwt", grown_bwt)
             self._write("lcp", grown_lcp)
             row = to
-        return self._read("bwt", np.uint16), self._read("lcp", np.uint8)
+        return self.byte[self._read("bwt", self.symbol)], self._read("lcp", np.uint8)
 
     @staticmethod
     def _least(lcp: np.ndarray, upper: np.ndarray, lower: np.ndarray) -> np.ndarray:
@@ -222,15 +235,13 @@ class Collection:
 
     def rows(self, bwt: np.ndarray, least: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """(size, strings, their rows) of all suffixes of at least so many bytes."""
-        count, ended = len(self.strings), int((bwt == 0).sum())
-        order = np.argsort(bwt, kind="stable")
-        rank = np.empty(len(order), np.int64)
-        rank[order] = np.arange(len(order))
+        count, ended = len(self.strings), len(bwt) - np.count_nonzero(bwt)
+        _, rank = self._ranks(bwt)
         active, row = np.arange(count), np.arange(count)
         for size in range(1, int(self.sizes.max(initial=0)) + 1):
             on = self.sizes[active] >= size
             active, row = active[on], row[on]
-            row = count + rank[row] - ended
+            row = count + rank[row].astype(np.int64) - ended
             if size >= least:
                 yield size, active, row
 
