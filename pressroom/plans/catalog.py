@@ -873,6 +873,24 @@ def sink_two_runs(spark: SparkSession, sf_dir: str):
     return spark.read.parquet(root).select("event_id", "user_id", "press_name", "fetched")
 
 
+@register("sink_key_filter", jobs=("J2",), ids=("C2", "G5"), sql=f"""
+WITH {_KEYED_EVENTS_SQL}, f AS (SELECT user_id, min(fetched) AS m FROM k GROUP BY 1)
+SELECT k.* FROM k JOIN f ON k.user_id IS NOT DISTINCT FROM f.user_id AND k.fetched = f.m
+""")
+def sink_key_filter(spark: SparkSession, sf_dir: str):
+    """Two runs into one sink whose folders are no part of the key: the earlier half, then everything. The
+    second run reads the folders that the filters of the first name."""
+    from pressroom.session import scratch_path
+    from pressroom.sources import key_filter
+    root = scratch_path(spark, "sink")
+    rows = _keyed_events(Tables(spark, sf_dir))
+    lo, hi = rows.agg(F.min("fetched"), F.max("fetched")).first()
+    half = rows.filter(F.col("fetched") <= F.lit(lo + (hi - lo) / 2)) if lo is not None else rows
+    for part in (half, rows):
+        key_filter.write_filtered(part, root, ["user_id"], "fetched", ["press_name"])
+    return spark.read.parquet(root).select("event_id", "user_id", "press_name", "fetched")
+
+
 @register("stream_three_batches", jobs=("J24",), ids=("S1", "C2", "G5"), sql=f"""
 WITH {_KEYED_EVENTS_SQL}, f AS (SELECT user_id, press_name, min(fetched) AS m FROM k GROUP BY 1, 2)
 SELECT k.* FROM k JOIN f ON k.user_id IS NOT DISTINCT FROM f.user_id AND k.press_name IS NOT DISTINCT FROM f.press_name AND k.fetched = f.m
