@@ -1,6 +1,7 @@
 """The keyed stream: restarts, late and repeated keys, null keys and orders, counts per batch, expiry."""
 
 import datetime as dt
+import random
 
 from pressroom.streaming import ingest, keyed
 
@@ -34,3 +35,36 @@ def test_forgotten_keys_come_in_again(spark, tmp_path):
         keyed.stream_keyed(spark, f"{tmp_path}/src", f"{tmp_path}/sink", f"{tmp_path}/ck", spark.createDataFrame([], schema).schema, ["k"], "f",
                            expire_ms=3 * 86_400_000, glob_filter="*.parquet")
     assert sorted(r["v"] for r in spark.read.schema(schema).parquet(f"{tmp_path}/sink").collect()) == ["again", "more", "x", "y", "z"]
+
+
+class Calls:
+    """The rows of one bucket and its state, as the stream hands them over."""
+
+    hasTimedOut = False
+
+    def __init__(self):
+        self.get, self.updates = None, 0
+
+    @property
+    def exists(self):
+        return self.get is not None
+
+    def update(self, value):
+        self.get, self.updates = value, self.updates + 1
+
+
+def test_many_keys_take_one_call_and_one_state(monkeypatch):
+    """Rows of many keys, cut anywhere, are judged in one call: the first batch of a key wins, in it the smallest order."""
+    import pandas as pd
+    monkeypatch.setattr(keyed, "SIFT_ROWS", 7)
+    pick, state, first, judge = random.Random(3), Calls(), {}, keyed.first_fetch_of(["k", "v"], None)
+    for batch in range(4):
+        rows = [(pick.choice([None, "null", *"abcdefghijklmnopqrst"[: 5 + 5 * batch]]), (batch, i), pick.choice([3, 4, 5, 2**63 - 1]) - batch) for i in range(200)]
+        new = {k: min(o for j, _, o in rows if j == k) for k, _, _ in rows if k not in first}
+        first |= new
+        table = pd.DataFrame([(k, v, o, repr(k), 0) for k, v, o in rows], columns=["k", "v", "_order", "_key", "_bucket"])
+        out = pd.concat(judge((0,), iter([table[i: i + 9].reset_index(drop=True) for i in range(0, 200, 9)]), state))
+        assert sorted(out["v"]) == sorted(v for k, v, o in rows if first[k] == o)
+        assert state.updates <= batch + 1
+    known = keyed.pa.ipc.open_stream(state.get[0]).read_all().to_pydict()
+    assert dict(zip(known["key"], known["first"], strict=True)) == {repr(k): o for k, o in first.items()}
