@@ -11,19 +11,41 @@ reproducible on a cluster, SURVEY T19).
 
 The tokenizer is pluggable: any ``Column -> array<string>`` function. The default is the
 Catalyst regex tokenizer; a ``pandas_udf`` returning ``array<string>`` (e.g. a morphological
-analyser) can be passed instead and runs Arrow-batched in the Python workers.
+analyser) can be passed instead and runs Arrow-batched in the Python workers. ``pandas_tokenizer``
+makes one that is handed bounded slices of the batches: the tokens of a batch take a multiple of its
+texts, in Python far more than in Arrow.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pressroom.functions.text import STOPWORDS, Tokenizer, keep_token, keep_tokens, regex_tokens
 
 
+# Characters of the texts whose tokens a Python worker holds at once (one longer text stands alone).
+SLICE_CHARS = 1 << 19
+
+
+def pandas_tokenizer(split: Callable[[pd.Series], pd.Series], slice_chars: int = SLICE_CHARS) -> Tokenizer:
+    """A tokenizer of a function from texts to their token lists, called on slices of about
+    ``slice_chars`` characters: a worker holds the tokens of one slice, whatever the texts and batches."""
+    def tokens_of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            sizes = texts.str.len().fillna(0).to_numpy(dtype="int64")
+            slices = (np.cumsum(sizes) - sizes) // slice_chars  # by where a text begins
+            cuts = np.flatnonzero(np.diff(slices)) + 1
+            for at, end in zip([0, *cuts], [*cuts, len(texts)], strict=True):
+                yield split(texts.iloc[at:end])
+
+    return F.pandas_udf(tokens_of, "array<string>")
+
+
 def tokenize(df: DataFrame, text: str = "comments", tokenizer: Tokenizer | None = None,
              stopwords: Iterable[str] = STOPWORDS, min_len: int = 2, out: str = "tokens") -> DataFrame:
     """Adds ``out``: the kept tokens of ``text`` as an array (null text -> empty array)."""

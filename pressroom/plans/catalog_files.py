@@ -127,6 +127,6 @@ def _split_at_blanks(texts):
 @register("top_tokens_plugin", jobs=("J18",), ids=("U1", "U3", "D6"), sql=f"WITH {DOC_TEXTS_SQL}, " + _tokens_sql("lang", "doc_texts", 10).replace(
     "GCOL", "lang").replace("regexp_extract_all(coalesce(comments, ''), '\\p{L}+')", "string_split(coalesce(comments, ''), ' ')"))
 def top_tokens_plugin(spark: SparkSession, sf_dir: str):
-    """Keywords by a tokenizer of the caller's, in Arrow batches."""
-    tokenizer = F.pandas_udf(_split_at_blanks, "array<string>")
+    """Keywords by a tokenizer of the caller's, in slices of Arrow batches."""
+    tokenizer = tokens.pandas_tokenizer(_split_at_blanks)
     return tokens.top_tokens(doc_texts(Tables(spark, sf_dir)), "lang", n=10, tokenizer=tokenizer)
