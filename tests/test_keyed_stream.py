@@ -68,3 +68,14 @@ def test_many_keys_take_one_call_and_one_state(monkeypatch):
         assert state.updates <= batch + 1
     known = keyed.pa.ipc.open_stream(state.get[0]).read_all().to_pydict()
     assert dict(zip(known["key"], known["first"], strict=True)) == {repr(k): o for k, o in first.items()}
+
+
+def test_counts_of_more_keys_than_buckets(spark, tmp_path, monkeypatch):
+    """The state has a row for each bucket, not for each key; the counts are those of the rows."""
+    monkeypatch.setattr(keyed, "BUCKETS", 2)
+    schema = spark.createDataFrame([], SCHEMA).schema
+    for batch in range(2):
+        spark.createDataFrame([(f"k{i}", batch, "v") for i in range(60 * batch, 60 * batch + 90)], schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/src")
+        query = keyed.stream_keyed(spark, f"{tmp_path}/src", f"{tmp_path}/sink", f"{tmp_path}/ck", schema, ["k"], "f", audit=f"{tmp_path}/audit", glob_filter="*.parquet")
+        assert query.lastProgress["stateOperators"][0]["numRowsTotal"] == 2
+    assert [tuple(r) for r in ingest.batch_audit(spark, f"{tmp_path}/audit").select("batch_id", "n_input", "n_written").collect()] == [(0, 90, 90), (1, 90, 60)]
