@@ -16,6 +16,7 @@ from pressroom.operators import (articles, audit, boxstats, clean, groups, profi
 from pressroom.plans.registry import register
 from pressroom.plans.standins import DOC_COMMENTS_SQL, DOC_TEXTS_SQL, doc_comments, doc_texts
 from pressroom.sources import links, payload, press_tree, sink
+from pressroom.sources.split_csv import load_files
 from pressroom.sources.tables import Tables, spread
 
 
@@ -1106,7 +1107,7 @@ def raw_tree_files(spark: SparkSession, sf_dir: str):
     # over one row per press
     everything = Window.partitionBy()
     per_press = per_press.withColumn("same", F.sum("n_rows").over(everything) == F.sum("n_single").over(everything))
-    listed = (spark.read.format("binaryFile").load(f"{root}/*/*.csv").select(F.element_at(F.split("path", "/"), -2).alias("press_name"))
+    listed = (load_files(spark, "binaryFile", f"{root}/*/*.csv").select(F.element_at(F.split("path", "/"), -2).alias("press_name"))
               .groupBy("press_name").agg(F.count("*").alias("n_listed")))
     return per_press.join(listed, "press_name").select("press_name", "n_rows", ((F.col("n_files") == F.col("n_listed")) & F.col("same")).alias("all_listed"))
 

@@ -11,8 +11,10 @@ from __future__ import annotations
 
 import csv
 import io
+import re
 import uuid
 from collections.abc import Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -200,6 +202,10 @@ def write_merged_csv(df: DataFrame, path: str, order: Sequence[str | Column]) ->
     fs.rename(whole, target)
 
 
+# Renames of article files under way at once.
+RENAMES = 8
+
+
 def write_article_files(files: DataFrame, root: str) -> None:
     """A7, the raw layout: files (press_name, file_name, content binary) as ``<root>/<press>/<file>``,
     through Spark's writer and the session's file system. A file's bytes are its content and a line
@@ -212,16 +218,24 @@ def write_article_files(files: DataFrame, root: str) -> None:
      .write.partitionBy("press_name", "file_name").text(staged))
     jvm, source, staging, _ = _hadoop(spark, staged)
     _, target, fs, _ = _hadoop(spark, root)
-    file_path = jvm.org.apache.hadoop.fs.Path
-    unescape = jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.unescapePathName
-    value = lambda folder: unescape(folder.getPath().getName().split("=", 1)[1])
-    below = lambda path: [s for s in staging.listStatus(path) if s.getPath().getName()[0] not in "._"]
-    for press in below(source):
-        folder = file_path(target, value(press))
-        fs.mkdirs(folder)
-        for name in below(press.getPath()):
-            for part in below(name.getPath()):
-                fs.rename(part.getPath(), file_path(folder, value(name)))
+    hadoop = jvm.org.apache.hadoop
+    value = lambda folder: _unescaped(folder.split("=", 1)[1])
+    staged_as = lambda glob: hadoop.fs.FileUtil.stat2Paths(staging.globStatus(hadoop.fs.Path(source, glob)))
+    for press in staged_as("press_name=*"):
+        fs.mkdirs(hadoop.fs.Path(target, value(press.getName())))
+
+    def rename(part) -> None:
+        press, name = part.toString().split("/")[-3:-1]
+        fs.rename(part, hadoop.fs.Path(f"{target.toString()}/{value(press)}/{value(name)}"))
+
+    # all staged files listed in one call; those that move them wait on the file system, so several are under way
+    with ThreadPoolExecutor(RENAMES) as pool:
+        list(pool.map(rename, staged_as("press_name=*/file_name=*/part-*")))
+
+
+def _unescaped(folder: str) -> str:
+    """The value of a folder as Spark's writer escapes it."""
+    return re.sub("%([0-9A-Fa-f]{2})", lambda m: chr(int(m[1], 16)), folder)
 
 
 def write_table(df: DataFrame, path: str, partition_by: Sequence[str] = (), fmt: str = "parquet",

@@ -163,9 +163,30 @@ def _scan(encodings: Sequence[str], chunk_bytes: int):
     return scan
 
 
+def load_files(spark: SparkSession, fmt: str, paths: str | list[str], **options) -> DataFrame:
+    """The files that the globs match, listed by their folders where all globs name the same ones: a file
+    that is a path of its own costs Spark a listing call, and with the others a task of a listing job."""
+    reader = spark.read.format(fmt).options(**options)
+    split = [p.rsplit("/", 1) for p in ([paths] if isinstance(paths, str) else paths)]
+    folders, names = {p[0] for p in split}, [p[-1] for p in split]
+    # folders and names that are plain globs; all else is Spark's to read
+    if any(len(p) < 2 for p in split) or len(folders) > 1 or not all("*" in n for n in names) or any(c in p for p in (*folders, *names) for c in "{},\\"):
+        return reader.load(paths)
+    folder = folders.pop()
+    glob = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = glob.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    depth = len(fs.makeQualified(glob).toUri().getPath().split("/")) + 1
+    found = reader.options(pathGlobFilter=names[0] if len(names) == 1 else "{" + ",".join(names) + "}", recursiveFileLookup=True)
+    if not all(fs.globStatus(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/{n}")) for n in names):
+        return reader.load(paths)  # says that there is no such path
+    # files that lie in these folders, not deeper or beside them
+    place = F.split(F.regexp_replace("_metadata.file_path", "^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", ""), "/")
+    return found.load(folder).filter(F.size(place) == depth)
+
+
 def scan_chunks(spark: SparkSession, paths: str | list[str], encodings: Sequence[str], chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """The written chunks of all files, see the module's first step."""
-    text = spark.read.format("text").option("lineSep", "\n").load(paths)
+    text = load_files(spark, "text", paths, lineSep="\n")
     # the path of the metadata is a URI, that of a listing is not
     listed = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
     lines = text.select(listed.alias("path"), F.col("_metadata.file_block_start").alias("range"),
