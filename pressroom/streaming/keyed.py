@@ -152,7 +152,12 @@ def keyed_first_fetch(stream: DataFrame, key: Sequence[str], order: str, expire_
     if expire_ms is not None:
         timeout = GroupStateTimeout.EventTimeTimeout
         keyed = keyed.withColumn("_event", F.col(order).cast("timestamp")).withWatermark("_event", f"{expire_ms} milliseconds")
-    return keyed.groupBy("_bucket").applyInPandasWithState(first_fetch_of(stream.columns, expire_ms), stream.schema, "known binary", "append", timeout)
+    # a long beside a null would reach pandas as a double, which rounds beyond 2^53
+    longs = {f.name: F.col(f"`{f.name}`") for f in stream.schema.fields if isinstance(f.dataType, T.LongType)}
+    schema = T.StructType([T.StructField(f.name, T.StringType()) if f.name in longs else f for f in stream.schema.fields])
+    keyed = keyed.withColumns({c: value.cast("string") for c, value in longs.items()})
+    first = keyed.groupBy("_bucket").applyInPandasWithState(first_fetch_of(stream.columns, expire_ms), schema, "known binary", "append", timeout)
+    return first.withColumns({c: value.cast("long") for c, value in longs.items()})
 
 
 def stream_keyed(spark: SparkSession, src: str, sink: str, checkpoint: str, schema: T.StructType | str, key: Sequence[str], order: str,

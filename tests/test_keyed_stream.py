@@ -79,3 +79,14 @@ def test_counts_of_more_keys_than_buckets(spark, tmp_path, monkeypatch):
         query = keyed.stream_keyed(spark, f"{tmp_path}/src", f"{tmp_path}/sink", f"{tmp_path}/ck", schema, ["k"], "f", audit=f"{tmp_path}/audit", glob_filter="*.parquet")
         assert query.lastProgress["stateOperators"][0]["numRowsTotal"] == 2
     assert [tuple(r) for r in ingest.batch_audit(spark, f"{tmp_path}/audit").select("batch_id", "n_input", "n_written").collect()] == [(0, 90, 90), (1, 90, 60)]
+
+
+def test_long_values_beside_nulls(spark, tmp_path, monkeypatch):
+    """Whole numbers that a double cannot hold come out as they are, whatever keys share their bucket."""
+    monkeypatch.setattr(keyed, "BUCKETS", 1)
+    big, schema = 2**53 + 1, "k long, f long, v long"
+    rows = [(None, 1, big), (big, 1, None), (big, 1, big + 2), (big + 2, 1, big + 4)]
+    for _ in range(2):  # of new keys, and of known ones
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/src")
+        keyed.stream_keyed(spark, f"{tmp_path}/src", f"{tmp_path}/sink", f"{tmp_path}/ck", spark.createDataFrame([], schema).schema, ["k"], "f", glob_filter="*.parquet")
+    assert sorted((tuple(r) for r in spark.read.schema(schema).parquet(f"{tmp_path}/sink").collect()), key=str) == sorted(rows * 2, key=str)
